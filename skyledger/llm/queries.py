@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import bpe
+from skyledger.llm import bpe, rules, sharding
 from skyledger.llm.common import table
 
 
@@ -14,12 +14,23 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 40, ["lang", "source", "size"])
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), rank_file())
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "rule")
+
+
 QUERIES = {
+    "op5_hilbert_shards": op5_hilbert_shards,
     "op6_bpe": op6_bpe,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
