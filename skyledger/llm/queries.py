@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import bpe, rules, sharding
+from skyledger.llm import bpe, langid, rules, sharding
 from skyledger.llm.common import table
 
 
@@ -14,6 +14,12 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(langid.fold() != 2))
+    return langid.predictions(docs, model).withColumn("held_out", langid.fold() == 2)
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 40, ["lang", "source", "size"])
 
@@ -28,6 +34,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_bpe": op6_bpe,
     "op9_quality_rules": op9_quality_rules,
