@@ -9,7 +9,7 @@ multiplied out into one row of language scores for each bucket.
 
 A part of the sample is held back: it sets the temperature of the softmax (by the likelihood) and the
 score below which a prediction is rejected, so that at most `reject` of correct held-back texts fall
-below it.
+below it, and never above 1.2 times the score of a blind guess.
 
 Cases: a null text, or one with no letter, gets `und` with score 0 and is rejected; ties go to the
 language that comes first by name; repeated rows give repeated results; with no labelled text at all
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, most: int = SAMPLE, reject: float = 0.001, id_col: str
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
     # The lowest scores of right predictions: so many of them may be rejected.
     least = float(right[int(reject * len(right))]) if len(right) else 0.0
-    return Model(langs, np.ascontiguousarray(table.T), bias, temperature, min(least, 0.5))
+    return Model(langs, np.ascontiguousarray(table.T), bias, temperature, min(least, 1.2 / len(langs)))
 
 
 def fold(id_col: str = "doc_id") -> F.Column:
