@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, langid, rules, sharding
+from skyledger.llm import bpe, langid, rules, sharding, simhash
 from skyledger.llm.common import table
 
 
@@ -14,6 +15,11 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(langid.fold() != 2))
@@ -34,6 +40,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_bpe": op6_bpe,
