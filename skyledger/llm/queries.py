@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, langid, rules, sharding, simhash
+from skyledger.llm import bpe, langid, rules, sharding, simhash, urls
 from skyledger.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(docs, model).withColumn("held_out", langid.fold() == 2)
 
 
+def op3_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 40, ["lang", "source", "size"])
 
@@ -42,6 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
+    "op3_host_trust": op3_host_trust,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_bpe": op6_bpe,
     "op9_quality_rules": op9_quality_rules,
