@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, langid, rules, sharding, simhash, urls
+from skyledger.llm import bpe, decontaminate, langid, rules, sharding, simhash, urls
 from skyledger.llm.common import table
 
 
@@ -43,12 +43,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "rule")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
     "op3_host_trust": op3_host_trust,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_bpe": op6_bpe,
+    "op10_decontamination": op10_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
 
