@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, decontaminate, langid, rules, sharding, simhash, urls
+from skyledger.llm import bpe, decontaminate, langid, rules, sharding, simhash, substring, urls
 from skyledger.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), rank_file())
 
 
+def op7_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"), length=20)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "rule")
@@ -54,6 +58,7 @@ QUERIES = {
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_bpe": op6_bpe,
     "op10_decontamination": op10_decontamination,
+    "op7_suffix_automaton": op7_suffix_automaton,
     "op9_quality_rules": op9_quality_rules,
 }
 

@@ -239,4 +239,4 @@ def similar(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 7,
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of `docs` with the least id of their class, with all columns; of rows with one id one stays."""
     kept = similar(docs, id_col=id_col, text_col=text_col, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
