@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, decontaminate, langid, rules, sharding, simhash, substring, urls
+from skyledger.llm import bpe, decontaminate, langid, rules, sharding, simhash, substring, suffix_array, urls
 from skyledger.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op7_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"), length=20)
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.digests(table(spark, sf_dir, "documents"), length=100).drop("spans")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "rule")
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op10_decontamination": op10_decontamination,
     "op7_suffix_automaton": op7_suffix_automaton,
+    "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
 }
 
