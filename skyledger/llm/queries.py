@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, decontaminate, langid, rules, sharding, simhash, substring, suffix_array, urls
+from skyledger.llm import bpe, decontaminate, kneser_ney, langid, rules, sharding, simhash, substring, suffix_array, urls
 from skyledger.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op3_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judged(table(spark, sf_dir, "documents"), rules.good_ids(table(spark, sf_dir, "labels")))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 40, ["lang", "source", "size"])
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
     "op3_host_trust": op3_host_trust,
+    "op4_kneser_ney": op4_kneser_ney,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_bpe": op6_bpe,
     "op10_decontamination": op10_decontamination,
