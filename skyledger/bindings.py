@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyledger import oracle_views
+
 _SPARK = {
     "div": "div",
     "d0": "CAST(date_from_unix_date(CAST(", "d1": " AS INT)) AS STRING)",
@@ -95,6 +97,7 @@ VIEWS = {
                 CASE WHEN p_partkey % 3 = 0 THEN CONCAT(CAST((p_partkey % 40) * 5 % 100 AS {str}), '% level') WHEN p_partkey % 3 = 1 THEN CONCAT('P', CAST((p_partkey % 40) * 10 % 100 AS {str}), '% level') ELSE 'ens std dev' END) AS line
         FROM part""",
 }
+_ALL = VIEWS | oracle_views.VIEWS
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -104,13 +107,13 @@ def with_views(text: str, dialect: dict[str, str]) -> str:
 
     def add(body: str) -> None:
         for name in re.findall(r"\bv_\w+", body):
-            if name in VIEWS and name not in needed:
-                add(VIEWS[name])
+            if name in _ALL and name not in needed:
+                add(_ALL[name])
                 if name not in needed:
                     needed.append(name)
 
     add(text)
-    head = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in needed)
+    head = ",\n".join(f"{name} AS ({_ALL[name].strip()})" for name in needed)
     body = text.strip()
     if needed:
         body = f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head}\n{body}"
