@@ -2,9 +2,9 @@
 
 The model is trained on trusted texts.  Their n-grams of the highest order are counted in Spark; the counts
 of lower orders are the numbers of different characters before (continuation counts), each derived from the
-order above; three discounts an order come from the counts of counts.  N-grams, suffixes and contexts are
-64-bit hashes, and probabilities are built up from order 1 by joins of count tables dealt out by hash: each
-n-gram with its context's totals and with its suffix's probability.
+order above; three discounts an order come from the counts of counts.  Probabilities are built up from order 1
+by joins of count tables dealt out by hash: each n-gram with its context's totals and its suffix's probability.
+Scoring looks n-grams up by 64-bit hashes.
 
 A text's perplexity needs the rows of its own n-grams alone.  Texts are dealt out in blocks by id, every
 block asks for its different n-grams, the asked rows are joined with the model's, and the answers go back
@@ -21,8 +21,6 @@ kept; an empty table gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +32,8 @@ from skyledger.llm.common import blocks, mix, shuffle_partitions, stored, text_b
 ORDER = 5
 #: Model rows (16 bytes each) up to which all tasks get the whole model.
 FEW_ROWS = 1 << 22
+#: Ids of trusted texts up to which they are sent to the texts, so that texts stay where they are.
+FEW_IDS = 1 << 20
 ENOUGH = 50
 QUANTILE = 0.995
 #: Different n-grams that a task counts before it hands them on.
@@ -56,7 +56,7 @@ def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text_of = np.repeat(np.arange(n), np.diff(firsts))
     keep = np.ones(len(raw), dtype=bool)
     keep[1:] = ~(white[1:] & white[:-1] & (text_of[1:] == text_of[:-1]))
-    raw = np.where(white, np.uint32(0x20), raw)[keep]
+    raw = np.where(white, np.uint32(0x20), np.maximum(raw, 1))[keep]
     text_of = text_of[keep]
     pad = ORDER - 1
     place = np.arange(len(raw)) + pad * (text_of + 1)
@@ -86,39 +86,37 @@ def places(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndar
     return [h[at] for h in hashes], [h[at - 1] for h in hashes[:-1]], owner[at]
 
 
-COLUMNS = [*[f"g{k}" for k in range(ORDER, 0, -1)], *[f"c{k}" for k in range(ORDER - 1, 0, -1)]]
-
-
 def count_grams(texts: DataFrame) -> DataFrame:
-    """Counts n of the grams of the highest order, with the hashes of their suffixes (g) and contexts (c)."""
+    """gram (ORDER characters) and n: how often each stands in the texts, start marks included."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def merged():
-            rows, n = np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held])
-            _, one, which = np.unique(rows[0], return_index=True, return_inverse=True)
-            return rows[:, one], np.bincount(which, weights=n).astype(np.int64)
+            keys, grams, n = (np.concatenate(x) for x in zip(*held))
+            _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+            return keys[one], grams[one], np.bincount(which, weights=n).astype(np.int64)
 
-        def out(rows, n):
-            return pa.RecordBatch.from_arrays([*[pa.array(r.view(np.int64)) for r in rows], pa.array(n)], names=[*COLUMNS, "n"])
+        def out(keys, grams, n):
+            return pa.RecordBatch.from_arrays([pa.array(grams.view(f"<U{ORDER}")[:, 0].tolist(), pa.string()), pa.array(n)], names=["gram", "n"])
 
         for block in blocks(batches, "text"):
-            grams, contexts, _ = places(block.column("text"))
-            if not len(grams[0]):
+            chars, scored, _ = characters(block.column("text"))
+            at = np.flatnonzero(scored)
+            if not len(at):
                 continue
-            _, one, n = np.unique(grams[-1], return_index=True, return_counts=True)
-            held.append((np.ascontiguousarray(np.stack([x[one] for x in (*grams[::-1], *contexts[::-1])])), n))
-            if sum(len(h[1]) for h in held) > COUNTED:
+            keys, one, n = np.unique(gram_hashes(chars)[-1][at], return_index=True, return_counts=True)
+            at = at[one]
+            held.append((keys, np.stack([chars[at - k] for k in range(ORDER - 1, -1, -1)], axis=1).astype("<u4"), n))
+            if sum(len(h[0]) for h in held) > COUNTED:
                 held = [merged()]
-                if len(held[0][1]) > COUNTED // 2:
+                if len(held[0][0]) > COUNTED // 2:
                     yield out(*held[0])
                     held = []
         if held:
             yield out(*merged())
 
-    found = texts.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS) + ", n long")
-    return found.groupBy(f"g{ORDER}").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in COLUMNS[1:]])
+    return texts.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(level: DataFrame) -> list[float]:
@@ -129,37 +127,52 @@ def discounts(level: DataFrame) -> list[float]:
     return [min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.05), k + 0.95) if n[k] else (k + 1) * 0.5 for k in range(3)]
 
 
+def hashed(model: DataFrame) -> DataFrame:
+    """The model with the hash of its grams, as `gram_hashes` gives it, in place of them; 0 for the empty one."""
+
+    def run(batches):
+        for batch in batches:
+            grams = batch.column("gram").to_pylist()
+            out = np.zeros(len(grams), dtype=np.uint64)
+            sizes = np.array([len(g) for g in grams], dtype=np.int64)
+            for k in range(1, ORDER + 1):
+                own = np.flatnonzero(sizes == k)
+                if len(own):
+                    chars = np.frombuffer("".join([grams[i] for i in own]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                    out[own] = gram_hashes(chars)[k - 1][k - 1 :: k]
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), batch.column("p"), batch.column("w")], names=["h", "p", "w"])
+
+    return model.select("gram", "p", "w").mapInArrow(run, "h long, p double, w double")
+
+
 def train(texts: DataFrame) -> DataFrame | None:
     """The model: h (the hash of a gram, or of a context), p (a gram's log probability) and w (the log weight
     that a context leaves to the order below); h = 0 is any unknown character.  None without any text."""
-    level = stored(count_grams(texts))
-    levels = {ORDER: level}
+    levels = {ORDER: stored(count_grams(texts))}
     for k in range(ORDER - 1, 0, -1):
-        rest = [c for c in COLUMNS if int(c[1:]) < k]
-        level = levels[k] = stored(levels[k + 1].groupBy(f"g{k}").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in rest]))
+        levels[k] = stored(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
     size = levels[1].count()
     if not size:
         return None
-    below, parts = None, []
+    spark = texts.sparkSession
+    none = F.lit(None).cast("double")
+    below, parts = spark.range(1).select(F.lit("").alias("gram"), F.lit(1.0 / (size + 1)).alias("q")), []
     for k in range(1, ORDER + 1):
         d1, d2, d3 = discounts(levels[k])
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        context = F.col(f"c{k - 1}") if k > 1 else F.lit(0).cast("long")
-        rows = levels[k].select(F.col(f"g{k}").alias("h"), context.alias("c"), (F.col(f"g{k - 1}") if k > 1 else F.lit(0).cast("long")).alias("s"), "n", discount.alias("d"))
+        rows = levels[k].select("gram", F.substring("gram", 1, k - 1).alias("c"), F.substring("gram", 2, k - 1).alias("s"), "n", discount.alias("d"))
         totals = stored(rows.groupBy("c").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("left")))
-        if below is None:
-            left = totals.first()["left"]
-            joined = rows.join(F.broadcast(totals), "c").withColumn("q", F.lit(1.0 / (size + 1)))
-            parts.append(totals.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"), F.lit(math.log(left / (size + 1))).alias("p"), F.lit(None).cast("double").alias("w")))
+        if k == 1:
+            parts.append(totals.select(F.col("c").alias("gram"), F.log(F.col("left") / (size + 1)).alias("p"), none.alias("w")))
         else:
-            joined = rows.join(totals, "c").join(below.select(F.col("h").alias("s"), F.col("q")), "s")
-            parts.append(totals.select(F.col("c").alias("h"), F.lit(None).cast("double").alias("p"), F.log("left").alias("w")))
-        below = stored(joined.select("h", ((F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("q")).alias("q")))
-        parts.append(below.select("h", F.log("q").alias("p"), F.lit(None).cast("double").alias("w")))
+            parts.append(totals.select(F.col("c").alias("gram"), none.alias("p"), F.log("left").alias("w")))
+        joined = rows.join(totals, "c").join(below.select(F.col("gram").alias("s"), "q"), "s")
+        below = stored(joined.select("gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("q")).alias("q")))
+        parts.append(below.select("gram", F.log("q").alias("p"), none.alias("w")))
     model = parts[0]
     for part in parts[1:]:
         model = model.unionByName(part)
-    return stored(model.groupBy("h").agg(F.max("p").alias("p"), F.max("w").alias("w")))
+    return stored(hashed(model.groupBy("gram").agg(F.max("p").alias("p"), F.max("w").alias("w"))))
 
 
 class Lookup:
@@ -242,11 +255,16 @@ def perplexities(texts: DataFrame, model: DataFrame, few_rows: int = FEW_ROWS) -
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema)
 
 
+def among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts with one of the ids.  At most FEW_IDS ids, counted first, are sent to the texts; more are joined."""
+    return texts.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
+
+
 def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, few_rows: int = FEW_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept of every row; `trusted` has the ids of trusted documents (doc_id)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     good = trusted.select(F.col("doc_id").alias("id")).distinct().withColumn("held", F.pmod(F.xxhash64("id"), F.lit(5)) == 0)
-    model = train(texts.join(good.where("not held"), "id", "left_semi"))
+    model = train(among(texts, good.where("not held").select("id")))
     if model is None:
         scored = texts.select("id", "lang", F.when(F.length("text") > 0, 1.0).alias("perplexity"))
         return scored.select(F.col("id").alias("doc_id"), "lang", "perplexity", F.lit(None).cast("double").alias("threshold"), F.col("perplexity").isNotNull().alias("kept"))
