@@ -8,8 +8,8 @@ anchor meet in one group, where an algorithm given by the caller finds the passa
 start earlier.
 
 Anchors that repeat within a block of text are known to do so before the shuffle: all but one go past the
-comparison, dealt by place instead of by anchor, so a hot anchor has a row for each block.  Equal regions
-within a block are one row, too: all but the earliest are repeats from end to end.
+comparison, dealt by place instead of by anchor, so a hot anchor has a row for each block.  Of equal regions
+that a task meets, those later than the least place so far are repeats from end to end; they need no text.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def anchor_places(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: DataFrame, units: Units) -> DataFrame:
-    """anchor, doc, place and kind of all anchors of (doc, text)."""
+    """anchor, doc and mark (place * 4 + kind) of all anchors of (doc, text)."""
     width = units.length - units.gram + 1
 
     def run(batches):
@@ -104,80 +105,87 @@ def anchors(texts: DataFrame, units: Units) -> DataFrame:
                 [
                     pa.array(np.concatenate((h, several)).view(np.int64)),
                     pa.array(np.concatenate((doc, none))),
-                    pa.array(np.concatenate((place, none)).astype(np.int32)),
-                    pa.array(np.concatenate((kind, none + WITNESS)).astype(np.int8)),
+                    pa.array(np.concatenate((place * 4 + kind, none + WITNESS))),
                 ],
-                names=["anchor", "doc", "place", "kind"],
+                names=["anchor", "doc", "mark"],
             )
 
-    return texts.mapInArrow(run, "anchor long, doc long, place int, kind byte")
+    return texts.mapInArrow(run, "anchor long, doc long, mark long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """anchor, doc and place of the anchors that occur twice or more."""
+    """doc and place of the anchors that occur twice or more."""
     n = shuffle_partitions(found.sparkSession)
 
+    def out(rows, keep):
+        return pa.RecordBatch.from_arrays([pa.array(rows[1][keep]), pa.array((rows[2][keep] >> 2).astype(np.int32))], names=["doc", "place"])
+
     def run(batches):
-        held = None  # the last row so far, and whether the row before has its anchor
+        held, before = None, False  # the last row so far, and whether the row before it has its anchor
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy() for c in ("anchor", "doc", "place", "kind")]
-            before = False
+            rows = [batch.column(c).to_numpy() for c in ("anchor", "doc", "mark")]
             if held:
-                rows = [np.concatenate((x, y)) for x, y in zip(held[0], rows)]
-                before = held[1]
-            anchor, kind = rows[0], rows[3]
+                rows = [np.concatenate((x, y)) for x, y in zip(held, rows)]
+            anchor, kind = rows[0], rows[2] & 3
             same = np.concatenate(([before], anchor[1:] == anchor[:-1]))
             twice = same.copy()
             twice[:-1] |= same[1:]
             keep = (kind == REPEATED) | ((kind == SINGLE) & twice)
             keep[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows[:3]], names=["anchor", "doc", "place"])
-            held = ([x[-1:] for x in rows], bool(same[-1]))
-        if held and (held[0][3][0] == REPEATED or (held[0][3][0] == SINGLE and held[1])):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0][:3]], names=["anchor", "doc", "place"])
+            yield out(rows, keep)
+            held, before = [x[-1:] for x in rows], bool(same[-1])
+        if held:
+            kind = held[2] & 3
+            yield out(held, (kind == REPEATED) | ((kind == SINGLE) & before))
 
-    dealt = F.when(F.col("kind") == REPEATED, F.xxhash64("doc", "place")).otherwise(F.col("anchor"))
-    return found.repartition(n, dealt).sortWithinPartitions("anchor").mapInArrow(run, "anchor long, doc long, place int")
+    dealt = F.when(F.col("mark").bitwiseAND(F.lit(3)) == REPEATED, F.xxhash64("doc", "mark")).otherwise(F.col("anchor"))
+    return found.repartition(n, dealt).sortWithinPartitions("anchor").mapInArrow(run, "doc long, place int")
 
 
 def regions(texts: DataFrame, hits: DataFrame, units: Units) -> DataFrame:
-    """anchor, doc, start, stop and payload of the region of every hit; without payload where it repeats from end to end."""
+    """anchor, doc, start, stop and payload of the region of every hit.
+
+    Regions that repeat from end to end have neither anchor nor payload, and those of a text that overlap are one.
+    """
 
     def run(batches):
+        seen: dict[bytes, tuple[int, int]] = {}  # the least place so far of each anchor and payload
         for block in blocks(batches, "text"):
             data, starts, ends, first = units.cut(block.column("text"))
             whole = data.tobytes()
             docs = block.column("doc").to_pylist()
             lists = block.column("hits")
             bounds = np.frombuffer(lists.buffers()[1], dtype=np.int32)[lists.offset : lists.offset + len(lists) + 1].tolist()
-            anchor, place = (lists.values.field(i).to_numpy() for i in range(2))
-            seen: dict[tuple[int, bytes], int] = {}
-            rows: list[list] = []
+            place = lists.values.to_numpy()
+            hashes = units.grams(data, starts, ends).view(np.int64)
+            rows: list[tuple] = []
             for i, doc in enumerate(docs):
                 base, last = int(first[i]), int(first[i + 1])
-                for j in range(bounds[i], bounds[i + 1]):
-                    at = base + int(place[j])
+                known: list[list[int]] = []
+                for at in np.sort(place[bounds[i] : bounds[i + 1]]).tolist():
+                    at += base
+                    anchor = int(hashes[at])
                     a, b = max(base, at - units.context), min(last, at + units.length)
-                    row = [int(anchor[j]), doc, a - base, b - base, units.payload(whole[starts[a] : ends[b - 1]])]
-                    key = (row[0], row[4])
+                    payload = units.payload(whole[starts[a] : ends[b - 1]])
+                    key, here = xxhash.xxh3_128_digest(payload, anchor & (1 << 63) - 1), (doc, a - base)
                     old = seen.get(key)
-                    if old is None:
-                        seen[key] = len(rows)
-                    elif (rows[old][1], rows[old][2]) == (doc, row[2]):
+                    if old == here:
                         continue
-                    elif (rows[old][1], rows[old][2]) < (doc, row[2]):
-                        row[4] = None
+                    if old is None or here < old:
+                        seen[key] = here
+                        rows.append((anchor, *here, b - base, payload))
+                    elif known and a - base <= known[-1][1]:
+                        known[-1][1] = b - base
                     else:
-                        rows[old][4] = None
-                        seen[key] = len(rows)
-                    rows.append(row)
+                        known.append([a - base, b - base])
+                rows += [(None, doc, x, y, None) for x, y in known]
             if rows:
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["anchor", "doc", "start", "stop", "payload"])
 
-    by_doc = hits.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place")).alias("hits"))
+    by_doc = hits.groupBy("doc").agg(F.collect_list("place").alias("hits"))
     joined = texts.join(by_doc, "doc", "left")  # left, so that the texts' shuffle is the same as for the spans
     return joined.mapInArrow(run, "anchor long, doc long, start int, stop int, payload binary")
 
@@ -220,7 +228,9 @@ def repeat_spans(found: DataFrame, search: Callable) -> DataFrame:
         if ready:
             yield out()
 
-    return found.repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "start").mapInArrow(run, "doc long, a int, b int")
+    # Rows known to be repeats only pass through; dealt by place, they add nothing to a hot anchor's task.
+    dealt = F.when(F.col("payload").isNull(), F.xxhash64("doc", "start")).otherwise(F.col("anchor"))
+    return found.repartition(n, dealt).sortWithinPartitions("anchor", "doc", "start").mapInArrow(run, "doc long, a int, b int")
 
 
 def with_spans(docs: DataFrame, units: Units, search: Callable, id_col: str, text_col: str, rest: bool = False) -> DataFrame:

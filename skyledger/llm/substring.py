@@ -27,7 +27,7 @@ from skyledger.llm.common import blocks
 from skyledger.llm.repeats import Units, covered, with_spans
 
 LENGTH = 20
-GRAM = 8
+GRAM = 6
 
 
 class SuffixAutomaton:

@@ -26,7 +26,7 @@ from skyledger.llm.common import blocks
 from skyledger.llm.repeats import Units, covered, with_spans
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
 #: Bytes of regions that are sorted together.
 BATCH_BYTES = 1 << 20
 
