@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyledger.plans import market_queries
+from skyledger.plans import market_queries, structure_queries
 from skyledger.registry import ORACLE_SQL, QUERIES
 
 market_queries.register_scalars()
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["ORACLE_SQL", "QUERIES", "structure_queries"]
