@@ -82,7 +82,7 @@ VIEWS = {
             CASE WHEN p_partkey % 12 = 2 THEN CONCAT(CAST(p_size + 40 AS {str}), '° to ', CAST(p_size + 41 AS {str}), '°') WHEN p_partkey % 12 = 8 THEN CONCAT(CAST(p_size AS {str}), '° or above') ELSE p_name END AS subtitle
         FROM part""",
     "v_polls": """
-        SELECT event_id, end_ts, event_type AS endpoint, CONCAT('T', CAST(user_id AS {str})) AS ticker, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS ok, CAST(value AS BIGINT) AS latency_ms FROM v_raw""",
+        SELECT event_id, end_ts, event_type AS endpoint, CONCAT('T', CAST(user_id AS {str})) AS ticker, CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS BIGINT) AS ok, CAST(FLOOR(value) AS BIGINT) AS latency_ms FROM v_raw""",
     "v_cycles": """
         SELECT d.day, {d0} d.day {d1} AS climate_date, d.day * 86400 + 104400 - 86400 AS snapshot_ts FROM (SELECT DISTINCT day FROM v_raw) d""",
     "v_watch": """

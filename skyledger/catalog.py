@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyledger.plans import market_queries, structure_queries
+from skyledger.plans import forecast_queries, market_queries, structure_queries
 from skyledger.registry import ORACLE_SQL, QUERIES
+from skyledger.sources import queries as source_queries
 
 market_queries.register_scalars()
 
-__all__ = ["ORACLE_SQL", "QUERIES", "structure_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "forecast_queries", "source_queries", "structure_queries"]
