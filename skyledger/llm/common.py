@@ -52,6 +52,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Ids up to which they are sent to the texts, so that the texts stay where they are.
+FEW_IDS = 1 << 20
+
+
+def among(texts: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The texts with one of the ids (one column).  At most FEW_IDS ids, counted first, are sent to the texts; more are joined."""
+    ids = ids.withColumnRenamed(ids.columns[0], "_among_id")
+    few = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    return texts.join(few, texts[on] == few["_among_id"], "left_semi")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

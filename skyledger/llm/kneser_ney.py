@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.common import blocks, mix, shuffle_partitions, stored, text_bytes
+from skyledger.llm.common import among, blocks, mix, shuffle_partitions, stored, text_bytes
 
 ORDER = 5
 #: Model rows (16 bytes each) up to which all tasks get the whole model.
 FEW_ROWS = 1 << 22
-#: Ids of trusted texts up to which they are sent to the texts, so that texts stay where they are.
-FEW_IDS = 1 << 20
 ENOUGH = 50
 QUANTILE = 0.995
 #: Different n-grams that a task counts before it hands them on.
@@ -222,8 +220,9 @@ def perplexities(texts: DataFrame, model: DataFrame, few_rows: int = FEW_ROWS) -
     names = [c for c in texts.columns if c != "text"]
     schema = T.StructType([*[texts.schema[c] for c in names], T.StructField("perplexity", T.DoubleType())])
     if model.count() <= few_rows:
-        rows = model.toPandas()
-        sent = texts.sparkSession.sparkContext.broadcast(Lookup(*[rows[c].to_numpy() for c in ("h", "p", "w")]))
+        rows = model.toArrow()
+        sent = texts.sparkSession.sparkContext.broadcast(Lookup(*[rows.column(c).to_numpy() for c in ("h", "p", "w")]))
+        del rows
 
         def run(batches):
             for block in blocks(batches, "text"):
@@ -255,16 +254,11 @@ def perplexities(texts: DataFrame, model: DataFrame, few_rows: int = FEW_ROWS) -
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema)
 
 
-def among(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts with one of the ids.  At most FEW_IDS ids, counted first, are sent to the texts; more are joined."""
-    return texts.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
-
-
 def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, few_rows: int = FEW_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept of every row; `trusted` has the ids of trusted documents (doc_id)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     good = trusted.select(F.col("doc_id").alias("id")).distinct().withColumn("held", F.pmod(F.xxhash64("id"), F.lit(5)) == 0)
-    model = train(among(texts, good.where("not held").select("id")))
+    model = train(among(texts, good.where("not held").select("id"), "id"))
     if model is None:
         scored = texts.select("id", "lang", F.when(F.length("text") > 0, 1.0).alias("perplexity"))
         return scored.select(F.col("id").alias("doc_id"), "lang", "perplexity", F.lit(None).cast("double").alias("threshold"), F.col("perplexity").isNotNull().alias("kept"))
