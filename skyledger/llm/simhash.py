@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import blocks, shuffle_partitions, stored
+from skyledger.llm.common import among, blocks, shuffle_partitions, stored
 from skyledger.llm.graph import components
 
 SEED = 42
@@ -33,6 +33,8 @@ SEED = 42
 LONG_LIST = 4096
 #: Lists up to this length are compared many at a time.
 SHORT_LIST = 48
+#: The same where every link is verified over the texts: all pairs of a short list, a forest of a longer one.
+FEW_PAIRS = 6
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -122,16 +124,16 @@ def forest(fp: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.n
             front, front_node = front[1:], front_node[1:]
 
 
-def list_links(batches, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def list_links(batches, radius: int, short_list: int = SHORT_LIST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links from rows sorted by key; a list may go on over batches."""
     key, fp, node = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
     def done(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
-        for a, n in zip(starts[sizes > SHORT_LIST].tolist(), sizes[sizes > SHORT_LIST].tolist()):
+        for a, n in zip(starts[sizes > short_list].tolist(), sizes[sizes > short_list].tolist()):
             yield from forest(fp[a : a + n], node[a : a + n], radius)
-        short = (sizes > 1) & (sizes <= SHORT_LIST)
+        short = (sizes > 1) & (sizes <= short_list)
         rows = np.repeat(short, sizes)
         key, fp, node = key[rows], fp[rows], node[rows]
         for d in range(1, int(sizes[short].max(initial=1))):
@@ -154,15 +156,16 @@ def list_links(batches, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield from done(key, fp, node)
 
 
-def links(nodes: DataFrame, radius: int = 3, shared: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, shared: int | None = None, short_list: int = SHORT_LIST) -> DataFrame:
     """a and b: links between nodes (fp, node) within the radius, enough of them to join all components.
 
     shared: the positional bytes that a pair shares at least; `8 - radius` is guaranteed, more misses some.
+    short_list: lists up to this length give all their links, longer ones a spanning forest.
     """
     n = shuffle_partitions(nodes.sparkSession)
 
     def run(batches):
-        for a, b in list_links(batches, radius):
+        for a, b in list_links(batches, radius, short_list):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     sorted_ = postings(nodes, shared or 8 - radius).repartition(n, "key").sortWithinPartitions("key")
@@ -201,7 +204,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
-    found = stored(texts.join(wanted, F.col("node") == F.col("n"), "left_semi").mapInArrow(sets, "node long, hashes binary"))
+    found = stored(among(texts, stored(wanted), "node").mapInArrow(sets, "node long, hashes binary"))
     left = found.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = found.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
@@ -228,7 +231,7 @@ def similar(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 7,
     nodes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("node"), *[F.first(n).alias(n) for n in names]))
     pairs = None
     for n in names:
-        some = links(nodes.select(F.col(n).alias("fp"), "node"), radius, shared)
+        some = links(nodes.select(F.col(n).alias("fp"), "node"), radius, shared, FEW_PAIRS)
         pairs = some if pairs is None else pairs.unionByName(some)
     pairs = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     joined = components(verified(pairs, own.withColumnRenamed("doc_id", "node"), size, least))
@@ -238,5 +241,8 @@ def similar(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 7,
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of `docs` with the least id of their class, with all columns; of rows with one id one stays."""
-    kept = similar(docs, id_col=id_col, text_col=text_col, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
+    found = stored(similar(docs, id_col=id_col, text_col=text_col, **how).where(F.col("doc_id") == F.col("component_id")).select("doc_id"))
+    kept = stored(found.distinct())
+    out = among(docs, kept, id_col)
+    # Only where an id repeats do the rows have to meet.
+    return out if found.count() == kept.count() else out.dropDuplicates([id_col])
