@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from skyledger.llm.common import blocks, span_hashes, text_bytes
 
 #: Text bytes that make one corpus.
-CORPUS_BYTES = 8 << 20
+CORPUS_BYTES = 4 << 20
 #: Distinct pieces whose tokens a worker remembers between corpora.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 _books: dict[str, "Codebook"] = {}
 _kinds: list[np.ndarray] = []

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import blocks, rolling, shuffle_partitions, span_hashes, text_bytes, word_spans
 
 SINGLE, WITNESS, REPEATED = 0, 1, 2
+#: Bytes of text within which anchors that repeat are known before the shuffle.
+ANCHOR_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -82,7 +84,7 @@ def anchors(texts: DataFrame, units: Units) -> DataFrame:
     width = units.length - units.gram + 1
 
     def run(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", ANCHOR_BYTES):
             data, starts, ends, first = units.cut(block.column("text"))
             hashes = units.grams(data, starts, ends)
             docs = block.column("doc").to_numpy(zero_copy_only=False)
