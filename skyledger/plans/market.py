@@ -83,10 +83,10 @@ def banded(rows: DataFrame, bands=BANDS) -> DataFrame:
     return rows.withColumns({"band_cf": inside("two_sided_cf", "mid_cf"), "band_15": inside("two_sided", "mid")})
 
 
-def per_day_median(rows: DataFrame, flag: Column, keys: list[str], name: str) -> DataFrame:
-    """Median over days of the number of flagged rows, days without any included."""
-    daily = rows.groupBy(*keys, "day").agg(F.sum(flag.cast("long")).alias("_n"))
-    return daily.groupBy(*keys).agg(F.percentile("_n", F.lit(0.5)).alias(name))
+def per_day_medians(rows: DataFrame, flags: dict[str, str], keys: list[str]) -> DataFrame:
+    """Medians over days of the numbers of flagged rows, days without any included; `flags` names a column for each result."""
+    daily = rows.groupBy(*keys, "day").agg(*[F.sum(F.col(flag).cast("long")).alias(name) for name, flag in flags.items()])
+    return daily.groupBy(*keys).agg(*[F.percentile(name, F.lit(0.5)).alias(name) for name in flags])
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -116,9 +116,8 @@ def spread_census(rows: DataFrame, excluded: DataFrame | None = None) -> DataFra
     if excluded is not None:
         columns += variant("exclnoreconcile", "two_sided_cf", "spread_cf", "quote_present", "band_cf", ~F.col("out"))
     out = tagged.groupBy(*SPREAD_KEYS).agg(*columns)
-    for flag, tag in (("band_cf", "carryforward"), ("band_15", "strict15")):
-        out = null_safe_join(out, per_day_median(tagged, F.col(flag), SPREAD_KEYS, f"brackets_per_day_{tag}"), SPREAD_KEYS)
-    return out
+    medians = per_day_medians(tagged, {"brackets_per_day_carryforward": "band_cf", "brackets_per_day_strict15": "band_15"}, SPREAD_KEYS)
+    return null_safe_join(out, medians, SPREAD_KEYS)
 
 
 def market_days(candles: DataFrame, markets: DataFrame, bands: tuple[str, ...] = TURNOVER_BANDS) -> DataFrame:
