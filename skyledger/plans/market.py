@@ -84,9 +84,13 @@ def banded(rows: DataFrame, bands=BANDS) -> DataFrame:
 
 
 def per_day_medians(rows: DataFrame, flags: dict[str, str], keys: list[str]) -> DataFrame:
-    """Medians over days of the numbers of flagged rows, days without any included; `flags` names a column for each result."""
-    daily = rows.groupBy(*keys, "day").agg(*[F.sum(F.col(flag).cast("long")).alias(name) for name, flag in flags.items()])
-    return daily.groupBy(*keys).agg(*[F.percentile(name, F.lit(0.5)).alias(name) for name in flags])
+    """Medians over days of the numbers of flagged rows, days without any included, with the days and market days.
+
+    `flags` names a flag column for each result.  Distinct counts are taken here, a day at a time, and not
+    beside the quantiles, where they would multiply the rows.
+    """
+    daily = rows.groupBy(*keys, "day").agg(*[F.sum(F.col(flag).cast("long")).alias(name) for name, flag in flags.items()], F.countDistinct("ticker").alias("_markets"))
+    return daily.groupBy(*keys).agg(*[F.percentile(name, F.lit(0.5)).alias(name) for name in flags], F.count("*").alias("n_days"), F.sum("_markets").alias("n_market_days"))
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -105,7 +109,7 @@ def spread_census(rows: DataFrame, excluded: DataFrame | None = None) -> DataFra
         tagged = tagged.join(excluded.select("ticker", F.lit(True).alias("out")).distinct(), "ticker", "left").withColumn("out", F.coalesce("out", F.lit(False)))
     age = F.when(F.col("quote_present"), F.col("quote_age") / 60.0)
     columns = [
-        F.count("*").alias("n_snapshots"), F.countDistinct("ticker", "day").alias("n_market_days"), F.countDistinct("day").alias("n_days"),
+        F.count("*").alias("n_snapshots"),
         share(F.col("quote_valid")).alias("coverage"), share(F.col("quote_present")).alias("coverage_carryforward"),
         share(~F.col("in_window")).alias("outside_window_share"), share(F.col("extreme_empty_book")).alias("empty_book_share"),
         F.percentile(age, F.lit(0.5)).alias("age_median_min"), F.percentile(age, F.lit(0.9)).alias("age_p90_min"),

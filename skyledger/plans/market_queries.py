@@ -133,7 +133,7 @@ def agg_var(s, d):
 @query("agg_pday", "SELECT CAST(horizon_h AS BIGINT) AS horizon_h, quantile_cont(n, 0.5) AS n_median FROM (SELECT horizon_h, day, SUM(band_cf::INT) AS n FROM v_tagged WHERE band = '10_90' GROUP BY 1, 2) x GROUP BY 1")
 def agg_pday(s, d):
     rows = market.banded(snaps(s, d), market.BANDS[:1])
-    return rounded(market.per_day_medians(rows, {"n_median": "band_cf"}, ["horizon_h"]))
+    return rounded(market.per_day_medians(rows, {"n_median": "band_cf"}, ["horizon_h"]).select("horizon_h", "n_median"))
 
 
 @query("agg_q", "SELECT event_type, ROUND(quantile_cont(value, 0.1), 6) AS p10, ROUND(quantile_cont(value, 0.25), 6) AS p25, ROUND(quantile_cont(value, 0.5), 6) AS median, ROUND(quantile_cont(value, 0.75), 6) AS p75, ROUND(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
