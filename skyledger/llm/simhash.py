@@ -225,7 +225,7 @@ def similar(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 7,
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("same"), *columns], names=["doc_id", "same", *names])
 
     names = [f"fp{i}" for i in range(len(seeds))]
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
     marked = own.withColumn("same", F.unhex(F.md5(F.col("text").cast("binary")))).mapInArrow(run, "doc_id long, same binary, " + ", ".join(f"{n} long" for n in names))
     marked = stored(marked)
     nodes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("node"), *[F.first(n).alias(n) for n in names]))
@@ -240,9 +240,13 @@ def similar(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 7,
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs` with the least id of their class, with all columns; of rows with one id one stays."""
+    """The rows of `docs` with the least id of their class, with all columns; of rows with one id one stays.
+
+    Ids are integers; rows with a null id are in no class and stay.
+    """
     found = stored(similar(docs, id_col=id_col, text_col=text_col, **how).where(F.col("doc_id") == F.col("component_id")).select("doc_id"))
     kept = stored(found.distinct())
     out = among(docs, kept, id_col)
     # Only where an id repeats do the rows have to meet.
-    return out if found.count() == kept.count() else out.dropDuplicates([id_col])
+    out = out if found.count() == kept.count() else out.dropDuplicates([id_col])
+    return out.unionByName(docs.where(docs[id_col].isNull()))

@@ -93,6 +93,7 @@ def test_near_duplicates(spark):
     assert kept.columns == table.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 6]
     assert simhash.deduplicated(table.unionByName(table)).count() == 4
+    assert simhash.deduplicated(table.withColumn("doc_id", F.when(F.col("doc_id") > 1, F.col("doc_id")))).count() == 5
     assert simhash.deduplicated(table.limit(0)).count() == 0 and simhash.classes(table.limit(0)).count() == 0
 
 
