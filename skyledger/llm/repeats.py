@@ -102,6 +102,7 @@ def anchors(texts: DataFrame, units: Units) -> DataFrame:
             values, which, n = np.unique(h, return_inverse=True, return_counts=True)
             kind = np.where(n[which] > 1, REPEATED, SINGLE)
             several = values[n > 1]
+            h[n[which] > 1] = 0  # what is known to repeat needs no comparison
             none = np.zeros(len(several), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
