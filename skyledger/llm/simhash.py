@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import among, blocks, shuffle_partitions, stored
+from skyledger.llm.common import among, blocks, rolling, shuffle_partitions, span_hashes, stored, text_bytes, word_spans
 from skyledger.llm.graph import components
 
 SEED = 42
@@ -33,8 +33,14 @@ SEED = 42
 LONG_LIST = 4096
 #: Lists up to this length are compared many at a time.
 SHORT_LIST = 48
-#: The same where every link is verified over the texts: all pairs of a short list, a forest of a longer one.
+#: Where pairs are verified over the texts: lists up to this length give all their pairs at once.
 FEW_PAIRS = 6
+#: Bits of the sketch that tells sets apart before their texts are read.
+SKETCH = 1024
+#: Texts whose shingles are counted to find common ones, about, and common ones that are kept, at most.
+COUNTED, COMMON = 20_000, 1 << 16
+#: Rows of a batch of postings.
+POST_ROWS = 1 << 16
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -183,8 +189,140 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "d
     return marked.join(by_fp, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
-def set_hashes(text: str | None, size: int) -> np.ndarray:
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles((text or "").encode(), size)], dtype=np.uint64))
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """The sorted hashes of each text's different shingles (as `shingles` cuts them)."""
+    data, offsets = text_bytes(texts)
+    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    starts, ends, first = word_spans(data, offsets)
+    hashes = span_hashes(data, starts, ends)
+    return [np.unique(rolling(hashes[a:b], min(size, b - a))) if b > a else hashes[:0] for a, b in zip(first.tolist(), first[1:].tolist())]
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are 1 in over half of the hashes, as a signed long."""
+    votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """SKETCH bits, each whether an odd number of the hashes falls on it; two sets differ in as many elements at least as their bits do."""
+    return np.packbits(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1 > 0).tobytes()
+
+
+def prefix(hashes: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first hashes in the order rare to common: sets alike in `least` have one of theirs in common."""
+    n = len(hashes)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        often = common[at] == hashes
+        hashes = np.concatenate((hashes[~often], hashes[often][np.argsort(rank[at[often]], kind="stable")]))
+    return hashes[: n - int(np.ceil(least * n - 1e-9)) + 1]
+
+
+def common_shingles(texts: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, sorted, and their rank; from about COUNTED of n texts.  They order the prefixes, results don't hang on them."""
+
+    def run(batches):
+        for block in blocks(batches, "text"):
+            sets = shingle_sets(block.column("text"), size)
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    rate = int(min(1.0, COUNTED / max(n, 1)) * (1 << 30))
+    some = texts.where(F.pmod(F.xxhash64(F.lit(13), "node"), F.lit(1 << 30)) < rate)
+    counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
+    found = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    h = np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], (len(h) - np.arange(len(h)))[order]
+
+
+def able(size_a, at_a, size_b, at_b, least: float) -> np.ndarray:
+    """Whether sets of these sizes with a common hash at these places of their orders can be alike in `least`, if it is the first in common or not."""
+    most = 1 + np.minimum(at_a, at_b) + np.minimum(size_a - at_a, size_b - at_b) - 1
+    return most >= least / (1 + least) * (size_a + size_b) - 1e-6
+
+
+def list_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray, at: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs from rows sorted by key: all of a short list, those with the middle text of a longer one."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(starts, len(key)))
+    for a, n in zip(starts[sizes > FEW_PAIRS].tolist(), sizes[sizes > FEW_PAIRS].tolist()):
+        own = slice(a, a + n)
+        mid = a + int(np.argmin(np.bitwise_count(fp[own] ^ np.uint64(majority(fp[own]) & (1 << 64) - 1))))
+        hit = able(size[own], at[own], size[mid], at[mid], least) & (node[own] != node[mid])
+        yield np.full(int(hit.sum()), node[mid]), node[own][hit]
+    rows = np.repeat((sizes > 1) & (sizes <= FEW_PAIRS), sizes)
+    key, node, size, at = key[rows], node[rows], size[rows], at[rows]
+    for d in range(1, FEW_PAIRS):
+        hit = (key[d:] == key[:-d]) & able(size[d:], at[d:], size[:-d], at[:-d], least)
+        if hit.any():
+            yield node[:-d][hit], node[d:][hit]
+
+
+def whole_lists(batches, columns: list[str], most: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first, in runs of about `most` rows; none cuts a list."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(c).to_numpy() for c in columns])
+        n += batch.num_rows
+        if n >= most:
+            rows = [np.concatenate(x) for x in zip(*held)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last:
+                yield [x[:last] for x in rows]
+            held, n = [[x[last:] for x in rows]], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def sharing(texts: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """a and b of pairs of the texts (node, text) that share a hash of their prefixes: all such pairs of short lists, some of longer ones."""
+    sent = texts.sparkSession.sparkContext.broadcast(common)
+    n = shuffle_partitions(texts.sparkSession)
+
+    def post(batches):
+        for block in blocks(batches, "text"):
+            sets = shingle_sets(block.column("text"), size)
+            if not sets:
+                continue
+            keys = [prefix(x, least, *sent.value) if len(x) else np.zeros(1, dtype=np.uint64) for x in sets]
+            counts = [len(k) for k in keys]
+            fps = np.array([majority(x) if len(x) else 0 for x in sets], dtype=np.int64)
+            place = np.concatenate([np.arange(c) for c in counts])
+            spot = np.repeat(np.array([len(x) for x in sets], dtype=np.int64), counts) << 32 | place
+            columns = [np.concatenate(keys).view(np.int64), np.repeat(block.column("node").to_numpy(), counts), np.repeat(fps, counts), spot]
+            for i in range(0, len(spot), POST_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + POST_ROWS]) for c in columns], names=["key", "node", "fp", "spot"])
+
+    def pair(batches):
+        for key, node, fp, spot in whole_lists(batches, ["key", "node", "fp", "spot"]):
+            for a, b in list_pairs(key, node, fp.view(np.uint64), spot >> 32, spot & 0xFFFFFFFF, least):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    lists = texts.mapInArrow(post, "key long, node long, fp long, spot long").repartition(n, "key").sortWithinPartitions("key")
+    return lists.mapInArrow(pair, "a long, b long").distinct()
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sizes and parity bits (nodes: node, size, bits) leave it open that they are alike in `least`."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            differ = np.bitwise_count(x ^ y).sum(axis=1)
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            kept = (differ <= (1 - least) / (1 + least) * (n + m) + 1e-6) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6)
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    left = nodes.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -192,7 +330,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
 
     def sets(batches):
         for block in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([block.column("node"), pa.array([set_hashes(t, size).tobytes() for t in block.column("text").to_pylist()], pa.binary())], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([block.column("node"), pa.array([x.tobytes() for x in shingle_sets(block.column("text"), size)], pa.binary())], names=["node", "hashes"])
 
     def compare(batches):
         for batch in batches:
@@ -210,31 +348,28 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def similar(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 7, shared: int = 4, seeds: tuple[int, ...] = (SEED, SEED + 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id of every id: classes of texts that are alike in `least` of their shingles.
 
-    Candidates are texts whose fingerprints of different words, for one of the seeds, differ in `radius`
-    bits or fewer and share `shared` positional bytes; every candidate is then verified over the sets of
-    `size`-word shingles.  Equal texts are one node, named by its least id.
+    Two sets alike in `least` share one of their first `(1 - least) * n + 1` hashes in any order common to
+    all; so all texts of a pair meet in a posting list of these (rare ones first, so that lists are short).
+    Places in the order, sizes and parity bits leave out what can't be alike; what is left is verified over
+    the sets of `size`-word shingles.  Texts of one set are one node, named by its least id.
     """
 
     def run(batches):
         for block in blocks(batches, "text"):
-            words = [list(set((t or "").encode().lower().split())) for t in block.column("text").to_pylist()]
-            columns = [pa.array(np.array([fingerprint(w, seed) for w in words], dtype=np.uint64).view(np.int64)) for seed in seeds]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("same"), *columns], names=["doc_id", "same", *names])
-
-    names = [f"fp{i}" for i in range(len(seeds))]
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    marked = own.withColumn("same", F.unhex(F.md5(F.col("text").cast("binary")))).mapInArrow(run, "doc_id long, same binary, " + ", ".join(f"{n} long" for n in names))
-    marked = stored(marked)
-    nodes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("node"), *[F.first(n).alias(n) for n in names]))
-    pairs = None
-    for n in names:
-        some = links(nodes.select(F.col(n).alias("fp"), "node"), radius, shared, FEW_PAIRS)
-        pairs = some if pairs is None else pairs.unionByName(some)
-    pairs = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    joined = components(verified(pairs, own.withColumnRenamed("doc_id", "node"), size, least))
+            sets = shingle_sets(block.column("text"), size)
+            columns = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([block.column("node"), *columns], names=["doc_id", "same", "size", "bits"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("node is not null")
+    marked = stored(own.mapInArrow(run, "doc_id long, same binary, size long, bits binary"))
+    nodes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bits").alias("bits")))
+    texts = among(own, nodes.select("node"), "node")
+    common = common_shingles(own, size, marked.count())
+    pairs = stored(plausible(sharing(texts, size, least, common).where("a <> b"), nodes, least))
+    joined = components(verified(pairs, own, size, least))
     by_node = nodes.select("same", "node").join(joined.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.col("same").alias("as"), F.coalesce("component", "node").alias("component_id"))
     return marked.join(by_node, F.col("same") == F.col("as")).select("doc_id", "component_id")
 

@@ -97,6 +97,38 @@ def test_near_duplicates(spark):
     assert simhash.deduplicated(table.limit(0)).count() == 0 and simhash.classes(table.limit(0)).count() == 0
 
 
+def five_word_classes(texts):
+    """Classes of the texts by all pairs: 0.8 or more of their five-word shingles in common."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    name = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            old, new = max(name[i], name[j]), min(name[i], name[j])
+            name = [new if x == old else x for x in name]
+    return name
+
+
+def test_near_duplicates_of_every_length_and_kind_of_edit(spark):
+    rng = random.Random(8)
+    texts = [None, "", " \n"]
+    for n in (6, 9, 14, 25, 40, 80, 300, 1500):
+        for _ in range(6):
+            w = ["w%d" % rng.randrange(3000) for _ in range(n)]
+            more = ["v%d" % rng.randrange(3000) for _ in range(n)]
+            texts.append(" ".join(w))
+            texts.append(" ".join(w + more[: n // 6]))
+            texts.append(" ".join(w[: n - n // 7]))
+            texts.append(" ".join(more[: n // 8] + w))
+            texts.append(" ".join(more[i] if i % 40 == 7 else x for i, x in enumerate(w)))
+            texts.append(" \t".join(w).upper())
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == five_word_classes(texts)
+
+
 # 2
 
 def test_language_held_out_accuracy(spark):
