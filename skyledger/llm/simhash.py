@@ -280,7 +280,10 @@ def whole_lists(batches, columns: list[str], most: int = 1 << 16) -> Iterator[li
 
 
 def sharing(texts: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """a and b of pairs of the texts (node, text) that share a hash of their prefixes: all such pairs of short lists, some of longer ones."""
+    """Pairs a and b of the texts (node, text) that share a hash of their prefixes, without a key: all of short lists, some of longer ones.
+
+    The rows of the longer lists come along, with key, node as `a` and spot (size and place) as `b`.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(common)
     n = shuffle_partitions(texts.sparkSession)
 
@@ -301,10 +304,43 @@ def sharing(texts: DataFrame, size: int, least: float, common: tuple[np.ndarray,
     def pair(batches):
         for key, node, fp, spot in whole_lists(batches, ["key", "node", "fp", "spot"]):
             for a, b in list_pairs(key, node, fp.view(np.uint64), spot >> 32, spot & 0xFFFFFFFF, least):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
+            _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+            long = count[which] > FEW_PAIRS
+            if long.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[long]) for x in (key, node, spot)], names=["key", "a", "b"])
 
     lists = texts.mapInArrow(post, "key long, node long, fp long, spot long").repartition(n, "key").sortWithinPartitions("key")
-    return lists.mapInArrow(pair, "a long, b long").distinct()
+    return lists.mapInArrow(pair, "key long, a long, b long")
+
+
+def apart(key: np.ndarray, node: np.ndarray, spot: np.ndarray, named: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one list that are in different components (`named`)."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
+        own, part, size, at = node[a:b], named[a:b], spot[a:b] >> 32, spot[a:b] & 0xFFFFFFFF
+        _, which, count = np.unique(part, return_inverse=True, return_counts=True)
+        if len(count) == 1:
+            continue
+        # Those of the largest component only meet the others.
+        largest = which == int(count.argmax())
+        for i in np.flatnonzero(~largest).tolist():
+            hit = (which != which[i]) & (largest | (np.arange(b - a) > i)) & able(size, at, size[i], at[i], least)
+            if hit.any():
+                yield np.full(int(hit.sum()), own[i]), own[hit]
+
+
+def still_apart(lists: DataFrame, joined: DataFrame, least: float) -> DataFrame:
+    """a and b: the pairs of the long lists that the components (node, component) found so far don't join."""
+
+    def run(batches):
+        for key, node, spot, named in whole_lists(batches, ["key", "node", "spot", "named"]):
+            for a, b in apart(key, node, spot, named, least):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    named = lists.select("key", F.col("a").alias("of"), F.col("b").alias("spot")).join(joined, F.col("of") == F.col("node"), "left")
+    rows = named.select("key", F.col("of").alias("node"), "spot", F.coalesce("component", "of").alias("named"))
+    return rows.repartition(shuffle_partitions(lists.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -354,7 +390,9 @@ def similar(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "d
     Two sets alike in `least` share one of their first `(1 - least) * n + 1` hashes in any order common to
     all; so all texts of a pair meet in a posting list of these (rare ones first, so that lists are short).
     Places in the order, sizes and parity bits leave out what can't be alike; what is left is verified over
-    the sets of `size`-word shingles.  Texts of one set are one node, named by its least id.
+    the sets of `size`-word shingles.  Long lists first give the pairs with their middle text only; what is
+    not joined once these are verified is compared in a second round, all pairs of different components, so
+    every pair of a list is verified or joined by others.  Texts of one set are one node, named by its least id.
     """
 
     def run(batches):
@@ -368,8 +406,14 @@ def similar(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "d
     nodes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bits").alias("bits")))
     texts = among(own, nodes.select("node"), "node")
     common = common_shingles(own, size, marked.count())
-    pairs = stored(plausible(sharing(texts, size, least, common).where("a <> b"), nodes, least))
-    joined = components(verified(pairs, own, size, least))
+    shared = stored(sharing(texts, size, least, common))
+    pairs = stored(plausible(shared.where("key is null").select("a", "b").distinct(), nodes, least))
+    found = stored(verified(pairs, own, size, least))
+    joined = components(found)
+    lists = shared.where("key is not null")
+    if not lists.isEmpty():
+        more = stored(plausible(still_apart(lists, joined, least).join(pairs, ["a", "b"], "left_anti"), nodes, least))
+        joined = components(found.unionByName(verified(more, own, size, least)))
     by_node = nodes.select("same", "node").join(joined.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.col("same").alias("as"), F.coalesce("component", "node").alias("component_id"))
     return marked.join(by_node, F.col("same") == F.col("as")).select("doc_id", "component_id")
 

@@ -129,6 +129,21 @@ def test_near_duplicates_of_every_length_and_kind_of_edit(spark):
     assert [got[i] for i in range(len(texts))] == five_word_classes(texts)
 
 
+def test_near_duplicates_of_large_groups(spark):
+    """Chains of copies of copies: most are alike to a few of their group only, and unlike its middle."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(3):
+        w = ["w%d" % rng.randrange(5000) for _ in range(120)]
+        for _ in range(30):
+            texts.append(" ".join(w))
+            at = rng.randrange(115)
+            w = w[:at] + ["v%d" % rng.randrange(5000)] + w[at + 1 :] if rng.random() < 0.8 else w[6:] + ["u%d" % rng.randrange(5000) for _ in range(6)]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == five_word_classes(texts)
+
+
 # 2
 
 def test_language_held_out_accuracy(spark):
