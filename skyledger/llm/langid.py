@@ -8,8 +8,12 @@ many); every n-gram of every text counts when predicting.  For prediction embedd
 multiplied out into one row of language scores for each bucket.
 
 A part of the sample is held back: it sets the temperature of the softmax (by the likelihood) and the
-score below which a prediction is rejected, so that at most `reject` of correct held-back texts fall
-below it, and never above 1.2 times the score of a blind guess.
+margin (log odds of the best language, before the temperature) below which a prediction is rejected.
+`NEGATIVE` of negatives fall below it: held-back texts of languages that a model was not trained on (three
+languages or more; up to four models, each without its share of the languages) and texts of shuffled
+letters.  It is lowered so that at most `reject_most` of correct held-back texts fall below it, and raised where
+`reject` of them do so anyway; with a sample too small to hold back from, it is not raised.  With a
+single language only texts without letters are rejected.
 
 Cases: a null text, or one with no letter, gets `und` with score 0 and is rejected; ties go to the
 language that comes first by name; repeated rows give repeated results; with no labelled text at all
@@ -18,6 +22,7 @@ every text is `und`; empty tables give empty ones; other columns never matter to
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +38,8 @@ GRAMS = (3, 4)
 #: Labelled texts that the model is fitted on, at most; the texts with the lowest hash of their id.
 SAMPLE = 4096
 EPOCHS = 4
+#: The share of negatives that is to be rejected; of every how many texts one is shuffled to be one, and its characters.
+NEGATIVE, NOISE_EACH, NOISE_CHARS = 0.99, 4, 1000
 _letters: list[np.ndarray] = []
 
 
@@ -103,7 +110,7 @@ class Model:
     table: np.ndarray  # for each language the scores of all buckets
     bias: np.ndarray
     temperature: float
-    least: float  # scores below are rejected
+    least: float  # margins below are rejected
 
     def logits(self, parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
         total, sizes = np.zeros((n, len(self.langs))), np.zeros(n)
@@ -118,11 +125,12 @@ class Model:
         """The language, its score, and whether it is accepted, of each text."""
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
-        p = softmax(self.logits(features(texts), len(texts)) / self.temperature)
+        logits = self.logits(features(texts), len(texts))
+        p = softmax(logits / self.temperature)
         best, score = p.argmax(axis=1), p.max(axis=1)
         there = has_letter(texts)
         score = np.where(there, score, 0.0)
-        return [self.langs[b] if t else "und" for b, t in zip(best, there)], score, there & (score >= self.least)
+        return [self.langs[b] if t else "und" for b, t in zip(best, there)], score, there & (margins(logits) >= self.least)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -130,6 +138,44 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def margins(logits: np.ndarray) -> np.ndarray:
+    """The log odds of the best language; of a single one infinite."""
+    if logits.shape[1] < 2:
+        return np.full(len(logits), np.inf)
+    x = np.sort(logits, axis=1)
+    top = x[:, -2:-1]
+    return x[:, -1] - top[:, 0] - np.log(np.exp(x[:, :-1] - top).sum(axis=1))
+
+
+def scores(rows: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The logits of texts given as distinct buckets with their shares."""
+    return np.array([s @ table[b] if len(b) else np.zeros(len(bias)) for b, s in rows]).reshape(len(rows), len(bias)) + bias
+
+
+def left_out(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, held: np.ndarray, n_langs: int) -> np.ndarray:
+    """Margins of held-back texts under models that were not trained on their languages."""
+    found, folds = [np.zeros(0)], min(4, n_langs) if n_langs > 2 else 0
+    for k in range(folds):
+        out = target % folds == k
+        names, own = np.unique(target[~out & ~held], return_inverse=True)
+        if len(names) < 2 or not (out & held).any():
+            continue
+        table, bias = sgd([rows[i] for i in np.flatnonzero(~out & ~held)], own, len(names))
+        found.append(margins(scores([rows[i] for i in np.flatnonzero(out & held)], table, bias)))
+    return np.concatenate(found)
+
+
+def cutoff(right: np.ndarray, negative: np.ndarray, reject: float, most: float, raised: bool) -> float:
+    """The margin that NEGATIVE of the negatives don't reach, between the `reject` and the `most` quantile of the right ones."""
+    right = np.sort(right)
+    if not len(right):
+        return float(np.quantile(negative, NEGATIVE)) if len(negative) else -np.inf
+    low, high = float(right[int(reject * len(right))]), float(right[int(most * len(right))])
+    wanted = float(np.quantile(negative, NEGATIVE)) if len(negative) else low
+    # Sums in another order differ in the last digits.
+    return min(max(wanted, low) if raised else wanted, high) - 1e-3
+
+
 def sgd(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, n_langs: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Train on texts given as distinct buckets with their shares; returns bucket scores and biases."""
     rng = np.random.default_rng(seed)
@@ -166,41 +212,55 @@ def sample(docs: DataFrame, most: int, id_col: str, text_col: str, lang_col: str
     return labelled.where(wanted)
 
 
-def fit(docs: DataFrame, most: int = SAMPLE, reject: float = 0.001, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, most: int = SAMPLE, reject: float = 0.001, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject_most: float = 0.01) -> Model:
     """A model of the languages named in the rows; only hashed counts of the sampled texts reach the driver."""
     picked = sample(docs, most, id_col, text_col, lang_col).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
+    def counted(texts: pa.Array) -> list[pa.Array]:
+        parts = features(texts)
+        rows = [np.unique(np.concatenate([buckets[bounds[i] : bounds[i + 1]] for buckets, bounds in parts] or [np.zeros(0, dtype=np.int64)]), return_counts=True) for i in range(len(texts))]
+        return [pa.array([r[k].astype("<u4").tobytes() for r in rows], pa.binary()) for k in (0, 1)]
+
+    def shuffled(text: str) -> str:
+        return "".join(np.random.default_rng(7).permutation(list(text[:NOISE_CHARS]))) if zlib.crc32(text.encode()) % NOISE_EACH == 0 else ""
+
     def run(batches):
         for block in blocks(batches, "text"):
-            parts = features(block.column("text"))
-            rows = [np.unique(np.concatenate([buckets[bounds[i] : bounds[i + 1]] for buckets, bounds in parts] or [np.zeros(0, dtype=np.int64)]), return_counts=True) for i in range(block.num_rows)]
+            noise = pa.array([shuffled(t) for t in block.column("text").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [block.column("id"), block.column("lang"), pa.array([r[0].astype("<u4").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<u4").tobytes() for r in rows], pa.binary())],
-                names=["id", "lang", "buckets", "counts"],
+                [block.column("id"), block.column("lang"), *counted(block.column("text")), *counted(noise)],
+                names=["id", "lang", "buckets", "counts", "noise", "noise_counts"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = picked.mapInArrow(run, f"id {kind}, lang string, buckets binary, counts binary").collect()
+    found = picked.mapInArrow(run, f"id {kind}, lang string, buckets binary, counts binary, noise binary, noise_counts binary").collect()
     found.sort(key=lambda r: (str(r["id"]), r["lang"], r["buckets"]))
     langs = sorted({r["lang"] for r in found})
     if not langs:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0), 1.0, 0.0)
-    rows, target = [], np.array([langs.index(r["lang"]) for r in found])
-    for r in found:
-        counts = np.frombuffer(r["counts"], dtype="<u4").astype(np.float32)
-        rows.append((np.frombuffer(r["buckets"], dtype="<u4").astype(np.int64), counts / max(counts.sum(), 1)))
+    target = np.array([langs.index(r["lang"]) for r in found])
+
+    def shares(buckets: str, counts: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for r in found:
+            n = np.frombuffer(r[counts], dtype="<u4").astype(np.float32)
+            out.append((np.frombuffer(r[buckets], dtype="<u4"), n / max(n.sum(), 1)))
+        return out
+
+    rows = shares("buckets", "counts")
     held = np.arange(len(rows)) % 5 == 0 if len(rows) >= 50 else np.zeros(len(rows), dtype=bool)
     table, bias = sgd([r for r, h in zip(rows, held) if not h], target[~held], len(langs))
     check = held if held.any() else ~held
-    logits = np.array([s @ table[b] if len(b) else np.zeros(len(langs)) for (b, s), c in zip(rows, check) if c]) + bias
+    logits = scores([r for r, c in zip(rows, check) if c], table, bias)
     truth = target[check]
     likelihood = {t: float(np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-300).sum()) for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
     temperature = max(likelihood, key=likelihood.get)
-    p = softmax(logits / temperature)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-    # The lowest scores of right predictions: so many of them may be rejected.
-    least = float(right[int(reject * len(right))]) if len(right) else 0.0
-    return Model(langs, np.ascontiguousarray(table.T), bias, temperature, min(least, 1.2 / len(langs)))
+    right = margins(logits)[logits.argmax(axis=1) == truth]
+    noise = [r for r in shares("noise", "noise_counts") if len(r[0])]
+    # Of each kind of negative the same share goes, however many there are.
+    kinds = [x for x in (left_out(rows, target, held, len(langs)), margins(scores(noise, table, bias))) if len(x)]
+    least = max([cutoff(right, x, reject, reject_most, bool(held.any())) for x in kinds or [np.zeros(0)]]) if len(langs) > 1 else -np.inf
+    return Model(langs, np.ascontiguousarray(table.T), bias, temperature, least)
 
 
 def fold(id_col: str = "doc_id") -> F.Column:

@@ -164,6 +164,18 @@ def test_language_edges(spark):
     assert langid.predictions(docs.limit(0), model).count() == 0
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    rng = random.Random(6)
+    junk = docs_of(spark, [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(60)) for _ in range(100)])
+    for out in ("de", "es"):
+        learned, other = docs.where(F.col("lang") != out), docs.where((F.col("lang") == out) & (F.length("text") > 200))
+        model = langid.fit(learned)
+        assert langid.accepted(other, model).count() <= 0.1 * other.count()
+        assert langid.accepted(junk, model).count() == 0
+        assert langid.accepted(learned, model).count() >= 0.985 * learned.count()
+
+
 # 3
 
 def test_urls(spark):
