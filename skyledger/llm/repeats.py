@@ -10,6 +10,10 @@ start earlier.
 Anchors that repeat within a block of text are known to do so before the shuffle: all but one go past the
 comparison, dealt by place instead of by anchor, so a hot anchor has a row for each block.  Of equal regions
 that a task meets, those later than the least place so far are repeats from end to end; they need no text.
+
+Of an anchor that is counted more than HOT times (in blocks where it repeats), regions are not searched in
+one group: their windows of `length` units are dealt by a hash of each, the least place of a task first, and
+equal ones later than the least are the repeats.  Spans are the unions of such windows, so results are the same.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ from skyledger.llm.common import blocks, rolling, shuffle_partitions, span_hashe
 SINGLE, WITNESS, REPEATED = 0, 1, 2
 #: Bytes of text within which anchors that repeat are known before the shuffle.
 ANCHOR_BYTES = 2 << 20
+#: Occurrences of an anchor beyond which its regions are compared window by window.
+HOT = 20_000
+WINDOW_SEED = 97
 
 
 @dataclass(frozen=True)
@@ -80,7 +87,7 @@ def anchor_places(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: DataFrame, units: Units) -> DataFrame:
-    """anchor, doc and mark (place * 4 + kind) of all anchors of (doc, text)."""
+    """anchor, doc and mark (place * 4 + kind) of all anchors of (doc, text); a witness has their number as its place."""
     width = units.length - units.gram + 1
 
     def run(batches):
@@ -108,7 +115,7 @@ def anchors(texts: DataFrame, units: Units) -> DataFrame:
                 [
                     pa.array(np.concatenate((h, several)).view(np.int64)),
                     pa.array(np.concatenate((doc, none))),
-                    pa.array(np.concatenate((place * 4 + kind, none + WITNESS))),
+                    pa.array(np.concatenate((place * 4 + kind, n[n > 1] * 4 + WITNESS))),
                 ],
                 names=["anchor", "doc", "mark"],
             )
@@ -147,13 +154,23 @@ def repeated(found: DataFrame) -> DataFrame:
     return found.repartition(n, dealt).sortWithinPartitions("anchor").mapInArrow(run, "doc long, place int")
 
 
-def regions(texts: DataFrame, hits: DataFrame, units: Units) -> DataFrame:
-    """anchor, doc, start, stop and payload of the region of every hit.
+def hot_anchors(found: DataFrame, most: int) -> np.ndarray:
+    """Anchors with more than `most` occurrences in blocks where they repeat, sorted."""
+    witness = found.where(F.col("mark").bitwiseAND(F.lit(3)) == WITNESS)
+    counts = witness.groupBy("anchor").agg(F.sum(F.shiftright("mark", 2)).alias("n"))
+    return np.sort(np.array([r["anchor"] for r in counts.where(F.col("n") > most).select("anchor").collect()], dtype=np.int64))
+
+
+def regions(texts: DataFrame, hits: DataFrame, units: Units, hot: np.ndarray) -> DataFrame:
+    """anchor, doc, start, stop, payload and window of the region of every hit.
 
     Regions that repeat from end to end have neither anchor nor payload, and those of a text that overlap are one.
+    Of a hot anchor's region each window of `length` units is a row, with its digest as payload and part of that as anchor.
     """
+    sent = texts.sparkSession.sparkContext.broadcast(frozenset(hot.tolist()))
 
     def run(batches):
+        hot = sent.value
         seen: dict[bytes, tuple[int, int]] = {}  # the least place so far of each anchor and payload
         for block in blocks(batches, "text"):
             data, starts, ends, first = units.cut(block.column("text"))
@@ -171,26 +188,29 @@ def regions(texts: DataFrame, hits: DataFrame, units: Units) -> DataFrame:
                     at += base
                     anchor = int(hashes[at])
                     a, b = max(base, at - units.context), min(last, at + units.length)
-                    payload = units.payload(whole[starts[a] : ends[b - 1]])
-                    key, here = xxhash.xxh3_128_digest(payload, anchor & (1 << 63) - 1), (doc, a - base)
-                    old = seen.get(key)
-                    if old == here:
-                        continue
-                    if old is None or here < old:
-                        seen[key] = here
-                        rows.append((anchor, *here, b - base, payload))
-                    elif known and a - base <= known[-1][1]:
-                        known[-1][1] = b - base
-                    else:
-                        known.append([a - base, b - base])
-                rows += [(None, doc, x, y, None) for x, y in known]
+                    window = anchor in hot
+                    for x, y in ((x, x + units.length) for x in range(a, b - units.length + 1)) if window else ((a, b),):
+                        payload = units.payload(whole[starts[x] : ends[y - 1]])
+                        # A window is found under one seed whatever its anchor.
+                        key, here = xxhash.xxh3_128_digest(payload, WINDOW_SEED if window else anchor & (1 << 63) - 1), (doc, x - base)
+                        old = seen.get(key)
+                        if old == here:
+                            continue
+                        if old is None or here < old:
+                            seen[key] = here
+                            rows.append((int.from_bytes(key[:8], "little", signed=True) if window else anchor, *here, y - base, key if window else payload, window))
+                        elif known and known[-1][0] <= x - base <= known[-1][1]:
+                            known[-1][1] = max(known[-1][1], y - base)
+                        else:
+                            known.append([x - base, y - base])
+                rows += [(None, doc, x, y, None, False) for x, y in known]
             if rows:
                 columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["anchor", "doc", "start", "stop", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()))], names=["anchor", "doc", "start", "stop", "payload", "window"])
 
     by_doc = hits.groupBy("doc").agg(F.collect_list("place").alias("hits"))
     joined = texts.join(by_doc, "doc", "left")  # left, so that the texts' shuffle is the same as for the spans
-    return joined.mapInArrow(run, "anchor long, doc long, start int, stop int, payload binary")
+    return joined.mapInArrow(run, "anchor long, doc long, start int, stop int, payload binary, window boolean")
 
 
 def repeat_spans(found: DataFrame, search: Callable) -> DataFrame:
@@ -206,11 +226,19 @@ def repeat_spans(found: DataFrame, search: Callable) -> DataFrame:
 
         def groups():
             group, last = [], None
+            at, digests = None, set()  # of windows: the anchor, and the digests so far under it
             for batch in batches:
-                for anchor, doc, start, stop, payload in zip(*[batch.column(c).to_pylist() for c in ("anchor", "doc", "start", "stop", "payload")]):
+                for anchor, doc, start, stop, payload, window in zip(*[batch.column(c).to_pylist() for c in ("anchor", "doc", "start", "stop", "payload", "window")]):
                     if payload is None:
                         ready.append((doc, start, stop))
                         continue
+                    if window:
+                        if anchor != at:
+                            at, digests = anchor, set()
+                        if payload in digests:
+                            ready.append((doc, start, stop))
+                        digests.add(payload)
+                        continue
                     if anchor != last:
                         if len(group) > 1:
                             yield group
@@ -244,8 +272,9 @@ def with_spans(docs: DataFrame, units: Units, search: Callable, id_col: str, tex
     others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if rest else []
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *others)
     dealt = texts.repartition(shuffle_partitions(docs.sparkSession), "doc")
-    hits = repeated(anchors(texts.where("doc is not null").select("doc", "text"), units))
-    spans = repeat_spans(regions(dealt, hits, units), search)
+    found = anchors(texts.where("doc is not null").select("doc", "text"), units)
+    often = hot_anchors(found, HOT)
+    spans = repeat_spans(regions(dealt, repeated(found), units, often), search)
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return dealt.join(by_doc, "doc", "left")
 

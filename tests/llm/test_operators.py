@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, decontaminate, kneser_ney, langid, queries, rules, sharding, simhash, substring, suffix_array, urls
+from skyledger.llm import bpe, decontaminate, kneser_ney, langid, queries, repeats, rules, sharding, simhash, substring, suffix_array, urls
 from skyledger.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -325,6 +325,24 @@ def test_repeated_bytes(spark, letters):
     assert suffix_array.digests(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 2)
+    rng = random.Random(12)
+    passage = " ".join("p%d" % i for i in range(9))
+    texts = [f"a{i} b{i} c{i} {passage} d{i} e{i} f{i}" for i in range(60)] + sample_texts(letters="ab", words=30)
+    rng.shuffle(texts)
+    docs = docs_of(spark, texts)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.digests(docs, 6, 3).collect()}
+    assert got == brute_words(list(enumerate(texts)), 6)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_array.digests(docs, 12, 5).collect()}
+    assert got == brute_bytes(list(enumerate(texts)), 12)
+    # Regions around the passage all differ, but none of its anchors gathers them.
+    units, own = repeats.Units(True, 6, 3), docs.where("text like '%p1 p2%'").select(F.col("doc_id").alias("doc"), "text").coalesce(1)
+    found = repeats.anchors(own, units)
+    rows = repeats.regions(own, repeats.repeated(found), units, repeats.hot_anchors(found, 2)).where("payload is not null")
+    assert rows.groupBy("anchor").count().agg(F.max("count")).first()[0] <= 3
+
+
 def test_suffix_array_order():
     rng = random.Random(5)
     for t in range(200):
