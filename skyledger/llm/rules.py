@@ -1,18 +1,25 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule is a ratio of a text's counts; a text is dropped where a ratio is over its cutoff.  For every
-stratum and rule a grid of cutoffs is tried on the labelled good texts (the holdout): the share that a
-cutoff rejects has an exact binomial (Clopper-Pearson) upper bound, at the level `delta` divided by the
-number of all tests (strata x rules x grid), and the strictest cutoff whose bound is within `alpha`
-divided by the number of rules is taken; by the union bound the false rejections of all rules together
-stay within `alpha` in every stratum, with probability 1 - `delta`.  A stratum with too few labelled
-texts for any cutoff has no rule but the base ones.
-
-Spark counts the labelled texts over each cutoff; only strata x rules x grid counts reach the driver.
+Each rule is a ratio of a text's counts; a text is dropped where a ratio is over its rule's cutoff.  For
+every stratum the cutoffs of all rules are tightened together along a path of steps, each the next stricter
+cutoff of one rule.  Before a step is taken, the share of labelled good texts (the holdout) that break any
+cutoff set so far, this one included, has to have an exact binomial (Clopper-Pearson) upper bound within
+`alpha`, at the level `delta` over the number of strata.  The first step that fails ends the path.  Testing
+in a fixed sequence needs no correction for its length, and Bonferroni over the strata covers the rest: with
+probability 1 - `delta` no stratum loses more than `alpha` of its good texts to the rules.
+
+The order of a path must not hang on the holdout, so it comes from the other texts alone: a step's share
+of all texts that aren't in the holdout, less what the labelled bad texts account for, is about what it
+takes from good ones; steps come in that order, and of one rule from loose to strict.  A stratum with too
+few labelled good texts to pass its first step (ln(strata / delta) / -ln(1 - alpha) of them, if none breaks
+it) has no cutoffs and only the base rules; `report` says which those are.
+
+Spark counts the texts at each step; cutoffs are a table of a row for each stratum, joined to the texts.
 
 Cases: a null or empty text has no words, so it fails the base rules; a null stratum is a stratum of its
 own; a label without a document counts nothing; several labels of one document count as good if all are
-good; repeated rows give repeated results; empty tables give empty ones, and no labels no cutoffs.
+good, and as bad otherwise; repeated rows give repeated results; empty tables give empty ones, and no
+labels no cutoffs.
 """
 
 from __future__ import annotations
@@ -40,6 +47,8 @@ GRID = {
     "repeat_share": [0.02, 0.05, 0.1, 0.2, 0.3, 0.4],
     "chars_per_word": [6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0],
 }
+#: The share of a stratum's good texts that the rules may reject, and the probability that some stratum loses more.
+ALPHA, DELTA = 0.03, 0.05
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -144,31 +153,90 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).where("good").select("doc_id")
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> dict[str | None, dict[str, float]]:
-    """For each stratum and rule the strictest cutoff that is safe for labelled good texts."""
-    held = counted.join(good_ids(labels), "doc_id", "left_semi").where(~base_failed())
-    over = [F.sum((ratio(rule) > F.lit(c)).cast("long")).alias(f"{rule}|{i}") for rule in RULES for i, c in enumerate(GRID[rule])]
-    rows = held.groupBy("stratum").agg(F.count("*").alias("n"), *over).collect()
-    tests = max(1, len(rows)) * sum(map(len, GRID.values()))
-    found: dict[str | None, dict[str, float]] = {}
-    for row in rows:
-        found[row["stratum"]] = {}
-        for rule in RULES:
-            for i, c in enumerate(GRID[rule]):  # from strict to loose
-                if upper_bound(row[f"{rule}|{i}"], row["n"], delta / tests) <= alpha / len(RULES):
-                    found[row["stratum"]][rule] = c
-                    break
-    return found
-
-
-def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bad_ids(labels: DataFrame) -> DataFrame:
+    """The ids of documents that have labels, not all of them good."""
+    return labels.select("doc_id").distinct().join(good_ids(labels), "doc_id", "left_anti")
+
+
+#: All cutoffs of all rules, of each rule from loose to strict: rule, and its cutoff.
+STEPS = [(rule, c) for rule, grid in GRID.items() for c in sorted(grid, reverse=True)]
+
+
+def over(rule: str, cutoff: float) -> F.Column:
+    return ratio(rule) > F.lit(cutoff)
+
+
+def order(n_all: float, all_over: list[float], n_bad: float, bad_over: list[float], bad_share: float) -> list[int]:
+    """The steps in the order of about how much they take from good texts, of one rule from loose to strict."""
+    bad = [x / n_bad if n_bad else 0.0 for x in bad_over]
+    cost, highest = [], {rule: 0.0 for rule in RULES}
+    for (rule, _), x, b in zip(STEPS, all_over, bad):
+        highest[rule] = max(highest[rule], x / max(n_all, 1.0) - bad_share * b)
+        cost.append(highest[rule])
+    return sorted(range(len(STEPS)), key=lambda i: (cost[i], i))
+
+
+def paths(counted: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum and path (the numbers of STEPS in order) of every stratum, from the texts that aren't in the holdout."""
+    marked = counted.where(~base_failed()).join(good_ids(labels).withColumn("good", F.lit(1)), "doc_id", "left").join(bad_ids(labels).withColumn("bad", F.lit(1)), "doc_id", "left")
+    sums = [
+        F.count_if(F.col("good").isNull()).alias("n_all"), F.count("bad").alias("n_bad"), F.count("good").alias("n_good"),
+        F.array(*[F.count_if(F.col("good").isNull() & over(*x)) for x in STEPS]).alias("all_over"),
+        F.array(*[F.count_if(F.col("bad").isNotNull() & over(*x)) for x in STEPS]).alias("bad_over"),
+    ]
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                labelled = r["n_good"] + r["n_bad"]
+                found.append(order(r["n_all"], r["all_over"], r["n_bad"], r["bad_over"], r["n_bad"] / labelled if labelled else 0.0))
+            yield pa.RecordBatch.from_arrays([batch.column("stratum"), pa.array(found, pa.list_(pa.int32()))], names=["stratum", "path"])
+
+    return marked.groupBy("stratum").agg(*sums).mapInArrow(run, "stratum string, path array<int>")
+
+
+def passed(n: int, broken: list[int], level: float, alpha: float) -> int:
+    """How many steps of a path pass; `broken` has the texts that each step is the first to reject."""
+    total = 0
+    for i, more in enumerate(broken):
+        total += more
+        if upper_bound(total, n, level) > alpha:
+            return i
+    return len(broken)
+
+
+def report(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """A row for each stratum with labelled good texts: stratum, n_good, n_steps (0: too few texts to certify any), n_rejected and a cutoff for each rule, null where it has none."""
+    found = stored(paths(counted, labels))
+    held = counted.where(~base_failed()).join(good_ids(labels), "doc_id", "left_semi")
+    # The place in its stratum's path of the first step that rejects a text.
+    named = found.select(F.col("stratum").alias("of"), "path")
+    first = F.array_min(F.array_compact(F.array(*[F.when(over(*x), F.array_position("path", F.lit(i)) - 1) for i, x in enumerate(STEPS)])))
+    levels = held.join(named, F.col("stratum").eqNullSafe(F.col("of"))).select("stratum", "path", F.coalesce(first, F.lit(len(STEPS))).cast("int").alias("level"))
+    by_level = levels.groupBy("stratum", "path").agg(F.count("*").alias("n_good"), F.array(*[F.count_if(F.col("level") == i) for i in range(len(STEPS))]).alias("broken"))
+    by_level = stored(by_level)
+    level = delta / max(1, by_level.count())
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                n = passed(r["n_good"], r["broken"], level, alpha)
+                chosen = dict(STEPS[i] for i in r["path"][:n])  # the strictest of a rule comes last
+                rows.append({"stratum": r["stratum"], "n_good": r["n_good"], "n_steps": n, "n_rejected": sum(r["broken"][:n]), **{x: chosen.get(x) for x in RULES}})
+            if rows:
+                kinds = [("stratum", pa.string()), ("n_good", pa.int64()), ("n_steps", pa.int32()), ("n_rejected", pa.int64()), *[(x, pa.float64()) for x in RULES]]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+
+    return by_level.mapInArrow(run, "stratum string, n_good long, n_steps int, n_rejected long, " + ", ".join(f"{x} double" for x in RULES))
+
+
+def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts of every text, base_failed, the first rule that it breaks, and kept."""
     counted = stored(with_counts(docs, id_col, text_col, stratum))
-    chosen = cutoffs(counted, labels, alpha, delta)
-    broken = [
-        F.when(F.col("stratum").eqNullSafe(F.lit(s)) & (ratio(rule) > F.lit(c)), F.lit(rule))
-        for s, rules in chosen.items()
-        for rule, c in rules.items()
-    ]
-    out = counted.withColumn("base_failed", base_failed()).withColumn("rule", F.coalesce(*broken, F.lit(None).cast("string")))
+    chosen = stored(report(counted, labels, alpha, delta)).select(F.col("stratum").alias("of"), *[F.col(x).alias(f"most_{x}") for x in RULES])
+    rows = counted.join(chosen, F.col("stratum").eqNullSafe(F.col("of")), "left")
+    broken = [F.when(ratio(x) > F.col(f"most_{x}"), F.lit(x)) for x in RULES]
+    out = rows.select("doc_id", "stratum", *COUNTS, base_failed().alias("base_failed"), F.coalesce(*broken).alias("rule"))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
