@@ -4,7 +4,8 @@ A text's features are the n-grams (3 and 4 characters) of its lower-cased letter
 mark, hashed into BUCKETS rows of an embedding.  A text is the mean of its rows; a linear softmax on the
 mean gives the languages.  Embedding and softmax are trained by stochastic gradient descent in numpy, on
 a bounded sample of labelled texts (`SAMPLE`, the same number for every language where there are as
-many); every n-gram of every text counts when predicting.  For prediction embedding and softmax are
+many; of a text the `LEARNED` buckets with most n-grams); every n-gram of every text counts when
+predicting.  More languages than `SAMPLE` has room for are an error, so none goes unlearned silently.  For prediction embedding and softmax are
 multiplied out into one row of language scores for each bucket.
 
 A part of the sample is held back: it sets the temperature of the softmax (by the likelihood) and the
@@ -37,6 +38,10 @@ WIDTH = 16
 GRAMS = (3, 4)
 #: Labelled texts that the model is fitted on, at most; the texts with the lowest hash of their id.
 SAMPLE = 4096
+#: Different buckets that a text is learned by, at most, the ones with most n-grams; so the sample is bounded in bytes too.
+LEARNED = 1024
+#: Texts a language that the sample must have room for.
+LEAST_EACH = 8
 EPOCHS = 4
 #: The share of negatives that is to be rejected; of every how many texts one is shuffled to be one, and its characters.
 NEGATIVE, NOISE_EACH, NOISE_CHARS = 0.99, 4, 1000
@@ -201,9 +206,12 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, n_langs:
 def sample(docs: DataFrame, most: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """At most about `most` labelled rows, spread evenly over the languages, chosen by a hash of the id."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(256).collect()
+    room = max(1, most // LEAST_EACH)
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().limit(room + 1).collect()
     if not counts:
         return labelled.limit(0)
+    if len(counts) > room:
+        raise ValueError(f"over {room} languages in {lang_col}; take a larger sample than {most}")
     each = most // len(counts)
     spread = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30))
     wanted = F.lit(False)
@@ -212,13 +220,22 @@ def sample(docs: DataFrame, most: int, id_col: str, text_col: str, lang_col: str
     return labelled.where(wanted)
 
 
+def most_frequent(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The LEARNED buckets that come most often, the lesser of ties, in order, and how often each comes."""
+    found, n = np.unique(buckets, return_counts=True)
+    if len(found) > LEARNED:
+        kept = np.sort(np.argsort(-n, kind="stable")[:LEARNED])
+        found, n = found[kept], n[kept]
+    return found, n
+
+
 def fit(docs: DataFrame, most: int = SAMPLE, reject: float = 0.001, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject_most: float = 0.01) -> Model:
     """A model of the languages named in the rows; only hashed counts of the sampled texts reach the driver."""
     picked = sample(docs, most, id_col, text_col, lang_col).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def counted(texts: pa.Array) -> list[pa.Array]:
         parts = features(texts)
-        rows = [np.unique(np.concatenate([buckets[bounds[i] : bounds[i + 1]] for buckets, bounds in parts] or [np.zeros(0, dtype=np.int64)]), return_counts=True) for i in range(len(texts))]
+        rows = [most_frequent(np.concatenate([buckets[bounds[i] : bounds[i + 1]] for buckets, bounds in parts] or [np.zeros(0, dtype=np.int64)])) for i in range(len(texts))]
         return [pa.array([r[k].astype("<u4").tobytes() for r in rows], pa.binary()) for k in (0, 1)]
 
     def shuffled(text: str) -> str:
@@ -233,18 +250,19 @@ def fit(docs: DataFrame, most: int = SAMPLE, reject: float = 0.001, id_col: str
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = picked.mapInArrow(run, f"id {kind}, lang string, buckets binary, counts binary, noise binary, noise_counts binary").collect()
-    found.sort(key=lambda r: (str(r["id"]), r["lang"], r["buckets"]))
-    langs = sorted({r["lang"] for r in found})
+    found = picked.mapInArrow(run, f"id {kind}, lang string, buckets binary, counts binary, noise binary, noise_counts binary").toArrow()
+    ids, names = found.column("id").to_pylist(), found.column("lang").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), names[i], found.column("buckets")[i].as_py()))
+    langs = sorted(set(names))
     if not langs:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0), 1.0, 0.0)
-    target = np.array([langs.index(r["lang"]) for r in found])
+    target = np.array([langs.index(names[i]) for i in order])
 
     def shares(buckets: str, counts: str) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
-        for r in found:
-            n = np.frombuffer(r[counts], dtype="<u4").astype(np.float32)
-            out.append((np.frombuffer(r[buckets], dtype="<u4"), n / max(n.sum(), 1)))
+        for i in order:
+            n = np.frombuffer(found.column(counts)[i].as_buffer(), dtype="<u4").astype(np.float32)
+            out.append((np.frombuffer(found.column(buckets)[i].as_buffer(), dtype="<u4"), n / max(n.sum(), 1)))
         return out
 
     rows = shares("buckets", "counts")
