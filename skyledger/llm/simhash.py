@@ -1,21 +1,26 @@
-"""SimHash near-duplicates by a byte-position inverted index with count filtering.
+"""SimHash classes by a byte-position inverted index with count filtering.
 
-A fingerprint of 64 bits is eight bytes at eight positions.  Fingerprints that differ in `radius` bits
-or fewer share at least `8 - radius` positional bytes, so the index keeps, for each way to choose that
-many positions, a posting list of the fingerprints by their bytes there: a pair stands in a common list
-exactly if its tally of shared bytes reaches the guaranteed minimum.  Pairs in a list are then verified by
-their differing bits.  Only different fingerprints enter the index, once each; a list holds fingerprints
-that differ in `radius` bytes, so at radius 3 it has at most 2^24, however many rows there are.  Lists
-give a spanning forest of their links instead of all pairs; components over all lists are the same.
+A fingerprint of 64 bits is eight bytes at eight positions.  Fingerprints that differ in `radius` bits or
+fewer share `8 - radius` positional bytes at least: the guaranteed minimum.  Of the two halves of the
+positions one then holds half of that number, rounded up, of the shared bytes; so the inverted index keeps a
+posting list for each choice of so many positions of a half and the bytes there (eight lists a fingerprint
+at radius 3, of three bytes each), and every pair that reaches the minimum meets in one.  In a list the
+shared positional bytes of pairs are tallied over all eight positions, pairs that reach the minimum are
+retained, and those are verified by their differing bits.
+
+Only different fingerprints enter the index, once each.  A list of more than MOST_LIST fingerprints is not
+searched but dealt again by further positions, until its fingerprints agree in the whole minimum; such a list
+has at most 2^(8 * radius).  Long lists give a spanning forest of their links instead of all pairs; components
+over all lists are the same.
 
 Cases: a null or empty text, or one without words, has the fingerprint zero, linked like any other; a
 text shorter than a shingle is one shingle; equal texts are one fingerprint; repeated rows give repeated
-results; an empty table gives an empty one; other columns are ignored by `classes` and kept by `deduplicated`.
+results; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -25,22 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import among, blocks, rolling, shuffle_partitions, span_hashes, stored, text_bytes, word_spans
+from skyledger.llm.common import blocks, shuffle_partitions, stored
 from skyledger.llm.graph import components
 
 SEED = 42
-#: Lists longer than this are searched by flipping bits, shorter ones by comparing.
-LONG_LIST = 4096
+#: Fingerprints of a list beyond which it is dealt again by further positions.
+MOST_LIST = 1 << 16
 #: Lists up to this length are compared many at a time.
 SHORT_LIST = 48
-#: Where pairs are verified over the texts: lists up to this length give all their pairs at once.
-FEW_PAIRS = 6
-#: Bits of the sketch that tells sets apart before their texts are read.
-SKETCH = 1024
-#: Texts whose shingles are counted to find common ones, about, and common ones that are kept, at most.
-COUNTED, COMMON = 20_000, 1 << 16
-#: Rows of a batch of postings.
-POST_ROWS = 1 << 16
+#: A list is searched by flipping bits where its fingerprints are so many times as many as the flips.
+FLIPS = 40
+#: Links of a batch.
+BATCH_LINKS = 1 << 16
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -80,17 +81,44 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def postings(nodes: DataFrame, shared: int) -> DataFrame:
-    """The inverted index: key (positions and the bytes there), fp and node, a row for each choice of `shared` positions."""
-    keys = []
-    for n, chosen in enumerate(combinations(range(8), shared)):
-        mask = sum(0xFF << (8 * p) for p in chosen)
-        keys.append(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "node")
+def choices(least: int) -> list[tuple[int, ...]]:
+    """Choices of positions such that any `least` of the eight positions hold all of one choice."""
+    if least >= 8:
+        return [tuple(range(8))]
+    size = max(1, -(-least // 2))
+    return [c for half in (range(4), range(4, 8)) for c in combinations(half, size)]
+
+
+def mask(positions: Iterable[int]) -> int:
+    """The bits of the bytes at these positions, as a signed long."""
+    bits = sum(0xFF << (8 * p) for p in positions)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def postings(nodes: DataFrame, least: int) -> DataFrame:
+    """The inverted index: a row (key, chosen, fp, node) of every fingerprint for each choice of positions; chosen has a bit a position."""
+    keys = [F.struct(F.xxhash64(F.lit(sum(1 << p for p in c)), F.col("fp").bitwiseAND(F.lit(mask(c)))).alias("key"), F.lit(sum(1 << p for p in c)).alias("chosen")) for c in choices(least)]
+    return nodes.select(F.explode(F.array(*keys)).alias("k"), "fp", "node").select("k.key", "k.chosen", "fp", "node")
+
+
+def dealt_again(rows: DataFrame, least: int) -> DataFrame:
+    """Postings of lists that are too long, for each choice of further positions up to `least` in all."""
+    every = [c for c in combinations(range(8), least)]
+    bits = F.array(*[F.when(F.lit(sum(1 << p for p in c)).bitwiseAND(F.col("chosen")) == F.col("chosen"), F.struct(F.xxhash64(F.col("key"), F.lit(sum(1 << p for p in c)), F.col("fp").bitwiseAND(F.lit(mask(c)))).alias("key"), F.lit(sum(1 << p for p in c)).alias("chosen"))) for c in every])
+    return rows.select(F.explode(F.array_compact(bits)).alias("k"), "fp", "node").select("k.key", "k.chosen", "fp", "node")
+
+
+def tally(differ: np.ndarray) -> np.ndarray:
+    """How many positional bytes pairs share, from their differing bits."""
+    return (np.ascontiguousarray(differ).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= radius
+    """Whether pairs share the guaranteed minimum of positional bytes and, of these, differ in `radius` bits or fewer."""
+    differ = a ^ b
+    hit = tally(differ) >= 8 - radius
+    hit[hit] = np.bitwise_count(differ[hit]) <= radius
+    return hit
 
 
 def forest(fp: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -100,12 +128,13 @@ def forest(fp: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.n
     copies the text that they were copied from comes early.
     """
     fp, first, which = np.unique(fp, return_index=True, return_inverse=True)
-    for i in np.flatnonzero(first[which] != np.arange(len(which))):  # equal fingerprints
-        yield node[first[which[i]]][None], node[i][None]
+    equal = np.flatnonzero(first[which] != np.arange(len(which)))
+    if len(equal):
+        yield node[first[which[equal]]], node[equal]
     node = node[first]
     bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     varied = [np.uint64(1 << b) for b in np.flatnonzero(bits.any(axis=0) & ~bits.all(axis=0)).tolist()]
-    if len(fp) > LONG_LIST and sum(comb(len(varied), n) for n in range(1, radius + 1)) < len(fp):
+    if FLIPS * sum(comb(len(varied), n) for n in range(1, radius + 1)) < len(fp):
         # Look up every fingerprint with each choice of bits flipped; linear in the list.
         for n in range(1, radius + 1):
             for chosen in combinations(varied, n):
@@ -130,52 +159,102 @@ def forest(fp: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.n
             front, front_node = front[1:], front_node[1:]
 
 
-def list_links(batches, radius: int, short_list: int = SHORT_LIST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links from rows sorted by key; a list may go on over batches."""
-    key, fp, node = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-
-    def done(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.append(starts, len(key)))
-        for a, n in zip(starts[sizes > short_list].tolist(), sizes[sizes > short_list].tolist()):
-            yield from forest(fp[a : a + n], node[a : a + n], radius)
-        short = (sizes > 1) & (sizes <= short_list)
-        rows = np.repeat(short, sizes)
-        key, fp, node = key[rows], fp[rows], node[rows]
-        for d in range(1, int(sizes[short].max(initial=1))):
-            hit = (key[d:] == key[:-d]) & near(fp[d:], fp[:-d], radius)
-            if hit.any():
-                yield node[:-d][hit], node[d:][hit]
-
+def list_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, short_list: int = SHORT_LIST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of whole lists, from rows sorted by key."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(starts, len(key)))
+    for a, n in zip(starts[sizes > short_list].tolist(), sizes[sizes > short_list].tolist()):
+        yield from forest(fp[a : a + n], node[a : a + n], radius)
+    short = (sizes > 1) & (sizes <= short_list)
+    rows = np.repeat(short, sizes)
+    key, fp, node = key[rows], fp[rows], node[rows]
+    for d in range(1, int(sizes[short].max(initial=1))):
+        at = np.flatnonzero(key[d:] == key[:-d])
+        at = at[near(fp[at + d], fp[at], radius)]
+        if len(at):
+            yield node[at], node[at + d]
+
+
+def lists(batches, columns: list[str], most: int, split: bool = True) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """The columns of rows sorted by the first in runs of whole lists of about `most` rows; if split, longer lists come in parts, marked True."""
+    held: list[list[np.ndarray]] = []
+    n, over = 0, None  # over: the key of a long list that is passing
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.concatenate((key, batch.column("key").to_numpy()))
-        fp = np.concatenate((fp, batch.column("fp").to_numpy().view(np.uint64)))
-        node = np.concatenate((node, batch.column("node").to_numpy()))
-        other = np.flatnonzero(key != key[-1])
-        last = int(other[-1]) + 1 if len(other) else 0
+        held.append([batch.column(c).to_numpy() for c in columns])
+        n += batch.num_rows
+        if n <= most:
+            continue
+        rows = [np.concatenate(x) for x in zip(*held)]
+        key = rows[0]
+        if over is not None and (m := int(np.searchsorted(key, over, side="right"))):
+            yield True, [x[:m] for x in rows]
+            rows = [x[m:] for x in rows]
+            key = rows[0]
+            if not len(key):  # its list may go on
+                held, n = [], 0
+                continue
+        last = int(np.searchsorted(key, key[-1]))
         if last:
-            yield from done(key[:last], fp[:last], node[:last])
-            key, fp, node = key[last:], fp[last:], node[last:]
-    if len(key):
-        yield from done(key, fp, node)
+            yield False, [x[:last] for x in rows]
+            rows = [x[last:] for x in rows]
+        over = None
+        if split and len(rows[0]) > most:
+            over = rows[0][-1]
+            yield True, rows
+            rows = [x[:0] for x in rows]
+        held, n = [rows], len(rows[0])
+    if held:
+        rows = [np.concatenate(x) for x in zip(*held)]
+        if over is not None and (m := int(np.searchsorted(rows[0], over, side="right"))):
+            yield True, [x[:m] for x in rows]
+            rows = [x[m:] for x in rows]
+        if len(rows[0]):
+            yield False, rows
+
+
+def gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = BATCH_LINKS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs in larger arrays."""
+    held, n = [], 0
+    for a, b in pairs:
+        held.append((a, b))
+        n += len(a)
+        if n >= most:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-def links(nodes: DataFrame, radius: int = 3, shared: int | None = None, short_list: int = SHORT_LIST) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, short_list: int = SHORT_LIST, most: int = MOST_LIST) -> DataFrame:
     """a and b: links between nodes (fp, node) within the radius, enough of them to join all components.
 
-    shared: the positional bytes that a pair shares at least; `8 - radius` is guaranteed, more misses some.
     short_list: lists up to this length give all their links, longer ones a spanning forest.
     """
-    n = shuffle_partitions(nodes.sparkSession)
+    if not 0 <= radius <= 7:
+        raise ValueError("pairs within the radius have to share a byte")
+    n, least = shuffle_partitions(nodes.sparkSession), 8 - radius
+    columns = ["key", "chosen", "fp", "node"]
+
+    def link(batches, whole: bool):
+        def pairs(rows):
+            return gathered(list_links(rows[0], rows[2].view(np.uint64), rows[3], radius, short_list))
+
+        for long, rows in lists(batches, columns, most, not whole):
+            if long:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[:2]] + [pa.array(rows[2]), pa.array(rows[3])], names=["key", "chosen", "a", "b"])
+                continue
+            for a, b in pairs(rows):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.array(a), pa.array(b)], names=["key", "chosen", "a", "b"])
 
-    def run(batches):
-        for a, b in list_links(batches, radius, short_list):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def searched(rows: DataFrame, whole: bool) -> DataFrame:
+        return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda batches: link(batches, whole), "key long, chosen int, a long, b long")
 
-    sorted_ = postings(nodes, shared or 8 - radius).repartition(n, "key").sortWithinPartitions("key")
-    return sorted_.mapInArrow(run, "a long, b long")
+    first = stored(searched(postings(nodes, least), False))
+    long = first.where("key is not null").select("key", "chosen", F.col("a").alias("fp"), F.col("b").alias("node"))
+    found = first.where("key is null").select("a", "b")
+    return found if long.isEmpty() else found.unionByName(searched(dealt_again(long, least), True).select("a", "b"))
 
 
 def classes(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,245 +266,3 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "d
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "component").select(F.col("fp").alias("of"), "component_id")
     return marked.join(by_fp, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
-
-
-def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
-    """The sorted hashes of each text's different shingles (as `shingles` cuts them)."""
-    data, offsets = text_bytes(texts)
-    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    starts, ends, first = word_spans(data, offsets)
-    hashes = span_hashes(data, starts, ends)
-    return [np.unique(rolling(hashes[a:b], min(size, b - a))) if b > a else hashes[:0] for a, b in zip(first.tolist(), first[1:].tolist())]
-
-
-def majority(hashes: np.ndarray) -> int:
-    """Bits that are 1 in over half of the hashes, as a signed long."""
-    votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)[0])
-
-
-def parity(hashes: np.ndarray) -> bytes:
-    """SKETCH bits, each whether an odd number of the hashes falls on it; two sets differ in as many elements at least as their bits do."""
-    return np.packbits(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1 > 0).tobytes()
-
-
-def prefix(hashes: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first hashes in the order rare to common: sets alike in `least` have one of theirs in common."""
-    n = len(hashes)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        often = common[at] == hashes
-        hashes = np.concatenate((hashes[~often], hashes[often][np.argsort(rank[at[often]], kind="stable")]))
-    return hashes[: n - int(np.ceil(least * n - 1e-9)) + 1]
-
-
-def common_shingles(texts: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of common shingles, sorted, and their rank; from about COUNTED of n texts.  They order the prefixes, results don't hang on them."""
-
-    def run(batches):
-        for block in blocks(batches, "text"):
-            sets = shingle_sets(block.column("text"), size)
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
-
-    rate = int(min(1.0, COUNTED / max(n, 1)) * (1 << 30))
-    some = texts.where(F.pmod(F.xxhash64(F.lit(13), "node"), F.lit(1 << 30)) < rate)
-    counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
-    found = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    h = np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], (len(h) - np.arange(len(h)))[order]
-
-
-def able(size_a, at_a, size_b, at_b, least: float) -> np.ndarray:
-    """Whether sets of these sizes with a common hash at these places of their orders can be alike in `least`, if it is the first in common or not."""
-    most = 1 + np.minimum(at_a, at_b) + np.minimum(size_a - at_a, size_b - at_b) - 1
-    return most >= least / (1 + least) * (size_a + size_b) - 1e-6
-
-
-def list_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray, at: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs from rows sorted by key: all of a short list, those with the middle text of a longer one."""
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    sizes = np.diff(np.append(starts, len(key)))
-    for a, n in zip(starts[sizes > FEW_PAIRS].tolist(), sizes[sizes > FEW_PAIRS].tolist()):
-        own = slice(a, a + n)
-        mid = a + int(np.argmin(np.bitwise_count(fp[own] ^ np.uint64(majority(fp[own]) & (1 << 64) - 1))))
-        hit = able(size[own], at[own], size[mid], at[mid], least) & (node[own] != node[mid])
-        yield np.full(int(hit.sum()), node[mid]), node[own][hit]
-    rows = np.repeat((sizes > 1) & (sizes <= FEW_PAIRS), sizes)
-    key, node, size, at = key[rows], node[rows], size[rows], at[rows]
-    for d in range(1, FEW_PAIRS):
-        hit = (key[d:] == key[:-d]) & able(size[d:], at[d:], size[:-d], at[:-d], least)
-        if hit.any():
-            yield node[:-d][hit], node[d:][hit]
-
-
-def whole_lists(batches, columns: list[str], most: int = 1 << 16) -> Iterator[list[np.ndarray]]:
-    """The columns of rows sorted by the first, in runs of about `most` rows; none cuts a list."""
-    held: list[list[np.ndarray]] = []
-    n = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append([batch.column(c).to_numpy() for c in columns])
-        n += batch.num_rows
-        if n >= most:
-            rows = [np.concatenate(x) for x in zip(*held)]
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            if last:
-                yield [x[:last] for x in rows]
-            held, n = [[x[last:] for x in rows]], 0
-    if held:
-        yield [np.concatenate(x) for x in zip(*held)]
-
-
-def sharing(texts: DataFrame, size: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Pairs a and b of the texts (node, text) that share a hash of their prefixes, without a key: all of short lists, some of longer ones.
-
-    The rows of the longer lists come along, with key, node as `a` and spot (size and place) as `b`.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast(common)
-    n = shuffle_partitions(texts.sparkSession)
-
-    def post(batches):
-        for block in blocks(batches, "text"):
-            sets = shingle_sets(block.column("text"), size)
-            if not sets:
-                continue
-            keys = [prefix(x, least, *sent.value) if len(x) else np.zeros(1, dtype=np.uint64) for x in sets]
-            counts = [len(k) for k in keys]
-            fps = np.array([majority(x) if len(x) else 0 for x in sets], dtype=np.int64)
-            place = np.concatenate([np.arange(c) for c in counts])
-            spot = np.repeat(np.array([len(x) for x in sets], dtype=np.int64), counts) << 32 | place
-            columns = [np.concatenate(keys).view(np.int64), np.repeat(block.column("node").to_numpy(), counts), np.repeat(fps, counts), spot]
-            for i in range(0, len(spot), POST_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + POST_ROWS]) for c in columns], names=["key", "node", "fp", "spot"])
-
-    def pair(batches):
-        for key, node, fp, spot in whole_lists(batches, ["key", "node", "fp", "spot"]):
-            for a, b in list_pairs(key, node, fp.view(np.uint64), spot >> 32, spot & 0xFFFFFFFF, least):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
-            _, which, count = np.unique(key, return_inverse=True, return_counts=True)
-            long = count[which] > FEW_PAIRS
-            if long.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[long]) for x in (key, node, spot)], names=["key", "a", "b"])
-
-    lists = texts.mapInArrow(post, "key long, node long, fp long, spot long").repartition(n, "key").sortWithinPartitions("key")
-    return lists.mapInArrow(pair, "key long, a long, b long")
-
-
-def apart(key: np.ndarray, node: np.ndarray, spot: np.ndarray, named: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of one list that are in different components (`named`)."""
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    for a, b in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
-        own, part, size, at = node[a:b], named[a:b], spot[a:b] >> 32, spot[a:b] & 0xFFFFFFFF
-        _, which, count = np.unique(part, return_inverse=True, return_counts=True)
-        if len(count) == 1:
-            continue
-        # Those of the largest component only meet the others.
-        largest = which == int(count.argmax())
-        for i in np.flatnonzero(~largest).tolist():
-            hit = (which != which[i]) & (largest | (np.arange(b - a) > i)) & able(size, at, size[i], at[i], least)
-            if hit.any():
-                yield np.full(int(hit.sum()), own[i]), own[hit]
-
-
-def still_apart(lists: DataFrame, joined: DataFrame, least: float) -> DataFrame:
-    """a and b: the pairs of the long lists that the components (node, component) found so far don't join."""
-
-    def run(batches):
-        for key, node, spot, named in whole_lists(batches, ["key", "node", "spot", "named"]):
-            for a, b in apart(key, node, spot, named, least):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    named = lists.select("key", F.col("a").alias("of"), F.col("b").alias("spot")).join(joined, F.col("of") == F.col("node"), "left")
-    rows = named.select("key", F.col("of").alias("node"), "spot", F.coalesce("component", "of").alias("named"))
-    return rows.repartition(shuffle_partitions(lists.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
-
-
-def plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sizes and parity bits (nodes: node, size, bits) leave it open that they are alike in `least`."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1)
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            kept = (differ <= (1 - least) / (1 + least) * (n + m) + 1e-6) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6)
-            yield batch.select(["a", "b"]).filter(pa.array(kept))
-
-    left = nodes.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) have a Jaccard similarity of `least` or more over sets of shingles."""
-
-    def sets(batches):
-        for block in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([block.column("node"), pa.array([x.tobytes() for x in shingle_sets(block.column("text"), size)], pa.binary())], names=["node", "hashes"])
-
-    def compare(batches):
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    wanted = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
-    found = stored(among(texts, stored(wanted), "node").mapInArrow(sets, "node long, hashes binary"))
-    left = found.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = found.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
-
-
-def similar(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id of every id: classes of texts that are alike in `least` of their shingles.
-
-    Two sets alike in `least` share one of their first `(1 - least) * n + 1` hashes in any order common to
-    all; so all texts of a pair meet in a posting list of these (rare ones first, so that lists are short).
-    Places in the order, sizes and parity bits leave out what can't be alike; what is left is verified over
-    the sets of `size`-word shingles.  Long lists first give the pairs with their middle text only; what is
-    not joined once these are verified is compared in a second round, all pairs of different components, so
-    every pair of a list is verified or joined by others.  Texts of one set are one node, named by its least id.
-    """
-
-    def run(batches):
-        for block in blocks(batches, "text"):
-            sets = shingle_sets(block.column("text"), size)
-            columns = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([block.column("node"), *columns], names=["doc_id", "same", "size", "bits"])
-
-    own = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("node is not null")
-    marked = stored(own.mapInArrow(run, "doc_id long, same binary, size long, bits binary"))
-    nodes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bits").alias("bits")))
-    texts = among(own, nodes.select("node"), "node")
-    common = common_shingles(own, size, marked.count())
-    shared = stored(sharing(texts, size, least, common))
-    pairs = stored(plausible(shared.where("key is null").select("a", "b").distinct(), nodes, least))
-    found = stored(verified(pairs, own, size, least))
-    joined = components(found)
-    lists = shared.where("key is not null")
-    if not lists.isEmpty():
-        more = stored(plausible(still_apart(lists, joined, least).join(pairs, ["a", "b"], "left_anti"), nodes, least))
-        joined = components(found.unionByName(verified(more, own, size, least)))
-    by_node = nodes.select("same", "node").join(joined.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.col("same").alias("as"), F.coalesce("component", "node").alias("component_id"))
-    return marked.join(by_node, F.col("same") == F.col("as")).select("doc_id", "component_id")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs` with the least id of their class, with all columns; of rows with one id one stays.
-
-    Ids are integers; rows with a null id are in no class and stay.
-    """
-    found = stored(similar(docs, id_col=id_col, text_col=text_col, **how).where(F.col("doc_id") == F.col("component_id")).select("doc_id"))
-    kept = stored(found.distinct())
-    out = among(docs, kept, id_col)
-    # Only where an id repeats do the rows have to meet.
-    out = out if found.count() == kept.count() else out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(docs[id_col].isNull()))
