@@ -3,22 +3,24 @@
 A unit is a word or a byte.  Of each run of consecutive k-grams that a passage of `length` units holds, the
 one with the least hash is an anchor; equal passages have equal anchors at equal places, so a passage that
 occurs twice has an anchor that occurs twice.  Anchors are narrow rows; only those that repeat call for
-text, and only for the region around them that a passage with this anchor can reach.  Regions with one
-anchor meet in one group, where an algorithm given by the caller finds the passages in them that also
+text, and only for the region around them that passages reach whose first least gram this anchor is.  Regions
+with one anchor meet in one group, where an algorithm given by the caller finds the passages in them that also
 start earlier.
 
 Anchors that repeat within a block of text are known to do so before the shuffle: all but one go past the
 comparison, dealt by place instead of by anchor, so a hot anchor has a row for each block.  Of equal regions
 that a task meets, those later than the least place so far are repeats from end to end; they need no text.
 
-Of an anchor that is counted more than HOT times (in blocks where it repeats), regions are not searched in
-one group: their windows of `length` units are dealt by a hash of each, the least place of a task first, and
-equal ones later than the least are the repeats.  Spans are the unions of such windows, so results are the same.
+The comparison also counts how often each anchor occurs.  Of one that occurs more than HOT times (say the edge
+of a passage in very many texts, whose regions all differ) regions are not searched in one group: they are
+dealt by their own digest, equal ones are repeats of the first, and each that is left gives its windows of
+`length` units, which are dealt by their digests in turn; equal ones later than the least are the repeats.
+Spans are the unions of such windows, so results are the same, and no group grows with an anchor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,14 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import blocks, rolling, shuffle_partitions, span_hashes, text_bytes, word_spans
+from skyledger.llm.common import blocks, rolling, shuffle_partitions, span_hashes, stored, text_bytes, word_spans
 
 SINGLE, WITNESS, REPEATED = 0, 1, 2
 #: Bytes of text within which anchors that repeat are known before the shuffle.
 ANCHOR_BYTES = 2 << 20
-#: Occurrences of an anchor beyond which its regions are compared window by window.
-HOT = 20_000
-WINDOW_SEED = 97
+#: Occurrences of an anchor beyond which its regions are compared window by window, and so many such anchors at most, the most frequent.
+HOT, MOST_HOT = 2_000, 1 << 20
+#: Rows of a batch that is handed on.
+READY = 20_000
+#: A region, one of a hot anchor, a window of such a region.
+REGION, HOT_REGION, WINDOW = 0, 1, 2
 
 
 @dataclass(frozen=True)
@@ -90,12 +95,22 @@ def anchors(texts: DataFrame, units: Units) -> DataFrame:
     """anchor, doc and mark (place * 4 + kind) of all anchors of (doc, text); a witness has their number as its place."""
     width = units.length - units.gram + 1
 
+    def out(found, doc, place):
+        h, place, doc = np.concatenate(found), np.concatenate(place), np.concatenate(doc)
+        values, which, n = np.unique(h, return_inverse=True, return_counts=True)
+        kind = np.where(n[which] > 1, REPEATED, SINGLE)
+        several = values[n > 1]
+        h[n[which] > 1] = 0  # what is known to repeat needs no comparison
+        none = np.zeros(len(several), dtype=np.int64)
+        columns = np.concatenate((h, several)).view(np.int64), np.concatenate((doc, none)), np.concatenate((place * 4 + kind, n[n > 1] * 4 + WITNESS))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "doc", "mark"])
+
     def run(batches):
-        for block in blocks(batches, "text", ANCHOR_BYTES):
+        found, doc, place, size = [], [], [], 0
+        for block in blocks(batches, "text"):
             data, starts, ends, first = units.cut(block.column("text"))
             hashes = units.grams(data, starts, ends)
             docs = block.column("doc").to_numpy(zero_copy_only=False)
-            found, doc, place = [], [], []
             for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
                 if b - a >= units.length:
                     own = hashes[a : b - units.gram + 1]
@@ -103,41 +118,46 @@ def anchors(texts: DataFrame, units: Units) -> DataFrame:
                     found.append(own[at])
                     place.append(at)
                     doc.append(np.full(len(at), docs[i], dtype=np.int64))
-            if not found:
-                continue
-            h, place, doc = np.concatenate(found), np.concatenate(place), np.concatenate(doc)
-            values, which, n = np.unique(h, return_inverse=True, return_counts=True)
-            kind = np.where(n[which] > 1, REPEATED, SINGLE)
-            several = values[n > 1]
-            h[n[which] > 1] = 0  # what is known to repeat needs no comparison
-            none = np.zeros(len(several), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((h, several)).view(np.int64)),
-                    pa.array(np.concatenate((doc, none))),
-                    pa.array(np.concatenate((place * 4 + kind, n[n > 1] * 4 + WITNESS))),
-                ],
-                names=["anchor", "doc", "mark"],
-            )
+            size += len(data)
+            if found and size >= ANCHOR_BYTES:
+                yield out(found, doc, place)
+                found, doc, place, size = [], [], [], 0
+        if found:
+            yield out(found, doc, place)
 
     return texts.mapInArrow(run, "anchor long, doc long, mark long")
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """doc and place of the anchors that occur twice or more."""
+def repeated(found: DataFrame, hot: int) -> DataFrame:
+    """doc and place of the anchors that occur twice or more; and of those that occur more than `hot` times the anchor as doc, -1 as place, and their number n."""
     n = shuffle_partitions(found.sparkSession)
 
     def out(rows, keep):
-        return pa.RecordBatch.from_arrays([pa.array(rows[1][keep]), pa.array((rows[2][keep] >> 2).astype(np.int32))], names=["doc", "place"])
+        m = int(keep.sum())
+        return pa.RecordBatch.from_arrays([pa.array(rows[1][keep]), pa.array((rows[2][keep] >> 2).astype(np.int32)), pa.nulls(m, pa.int64())], names=["doc", "place", "n"])
+
+    def often(anchors, counts):
+        m = counts > hot
+        return pa.RecordBatch.from_arrays([pa.array(anchors[m]), pa.array(np.full(int(m.sum()), -1, dtype=np.int32)), pa.array(counts[m])], names=["doc", "place", "n"])
 
     def run(batches):
         held, before = None, False  # the last row so far, and whether the row before it has its anchor
+        last, so_far = np.zeros(0, dtype=np.int64), 0  # the last anchor, and how often it has occurred
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy() for c in ("anchor", "doc", "mark")]
-            if held:
-                rows = [np.concatenate((x, y)) for x, y in zip(held, rows)]
+            own = [batch.column(c).to_numpy() for c in ("anchor", "doc", "mark")]
+            kind = own[2] & 3
+            occurs = np.where(kind == WITNESS, own[2] >> 2, kind == SINGLE)
+            starts = np.flatnonzero(np.concatenate(([True], own[0][1:] != own[0][:-1])))
+            anchors, counts = own[0][starts], np.add.reduceat(occurs, starts)
+            if len(last) and last[0] == anchors[0]:
+                counts[0] += so_far
+            elif len(last):
+                yield often(last, np.array([so_far]))
+            yield often(anchors[:-1], counts[:-1])
+            last, so_far = anchors[-1:], int(counts[-1])
+            rows = [np.concatenate((x, y)) for x, y in zip(held, own)] if held else own
             anchor, kind = rows[0], rows[2] & 3
             same = np.concatenate(([before], anchor[1:] == anchor[:-1]))
             twice = same.copy()
@@ -149,23 +169,49 @@ def repeated(found: DataFrame) -> DataFrame:
         if held:
             kind = held[2] & 3
             yield out(held, (kind == REPEATED) | ((kind == SINGLE) & before))
+            yield often(last, np.array([so_far]))
 
     dealt = F.when(F.col("mark").bitwiseAND(F.lit(3)) == REPEATED, F.xxhash64("doc", "mark")).otherwise(F.col("anchor"))
-    return found.repartition(n, dealt).sortWithinPartitions("anchor").mapInArrow(run, "doc long, place int")
+    return found.repartition(n, dealt).sortWithinPartitions("anchor").mapInArrow(run, "doc long, place int, n long")
 
 
-def hot_anchors(found: DataFrame, most: int) -> np.ndarray:
-    """Anchors with more than `most` occurrences in blocks where they repeat, sorted."""
-    witness = found.where(F.col("mark").bitwiseAND(F.lit(3)) == WITNESS)
-    counts = witness.groupBy("anchor").agg(F.sum(F.shiftright("mark", 2)).alias("n"))
-    return np.sort(np.array([r["anchor"] for r in counts.where(F.col("n") > most).select("anchor").collect()], dtype=np.int64))
+def hot_anchors(hits: DataFrame) -> np.ndarray:
+    """The anchors that `repeated` found to be hot, MOST_HOT at most."""
+    rows = hits.where("place < 0").orderBy(F.desc("n"), "doc").limit(MOST_HOT).select("doc").toArrow()
+    return rows.column("doc").to_numpy()
+
+
+def reach(hashes: np.ndarray, place: np.ndarray, first: np.ndarray, end: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last start of the passages whose first least gram stands at each place; first above last if there is none.
+
+    hashes: of all grams; first and end: the bounds of the text of each place.
+    """
+    own = hashes[place]
+    low, high = np.maximum(place - units.context, first), np.minimum(place, end - units.length)
+    for k in range(units.context, 0, -1):
+        at = place - k
+        low = np.where((at >= first) & (hashes[np.maximum(at, 0)] <= own), at + 1, low)
+        at = place + k
+        high = np.where((at <= end - units.gram) & (hashes[np.minimum(at, len(hashes) - 1)] < own), np.minimum(high, at - units.context - 1), high)
+    return low, high
+
+
+def digest_key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def table_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("payload", pa.binary()), ("kind", pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
+
+
+ROWS = "key long, doc long, start int, stop int, payload binary, kind int"
 
 
 def regions(texts: DataFrame, hits: DataFrame, units: Units, hot: np.ndarray) -> DataFrame:
-    """anchor, doc, start, stop, payload and window of the region of every hit.
+    """key, doc, start, stop, payload and kind of the region of every hit; the key is its anchor, or of a hot anchor its digest.
 
-    Regions that repeat from end to end have neither anchor nor payload, and those of a text that overlap are one.
-    Of a hot anchor's region each window of `length` units is a row, with its digest as payload and part of that as anchor.
+    Regions that repeat from end to end have neither key nor payload, and those of a text that overlap are one.
     """
     sent = texts.sparkSession.sparkContext.broadcast(frozenset(hot.tolist()))
 
@@ -177,106 +223,146 @@ def regions(texts: DataFrame, hits: DataFrame, units: Units, hot: np.ndarray) ->
             whole = data.tobytes()
             docs = block.column("doc").to_pylist()
             lists = block.column("hits")
-            bounds = np.frombuffer(lists.buffers()[1], dtype=np.int32)[lists.offset : lists.offset + len(lists) + 1].tolist()
-            place = lists.values.to_numpy()
-            hashes = units.grams(data, starts, ends).view(np.int64)
+            bounds = np.frombuffer(lists.buffers()[1], dtype=np.int32)[lists.offset : lists.offset + len(lists) + 1]
+            text_of = np.repeat(np.arange(len(docs)), np.diff(bounds))
+            place = lists.values.to_numpy()[bounds[0] : bounds[-1]].astype(np.int64) + first[text_of]
+            by = np.lexsort((place, text_of))
+            place, text_of = place[by], text_of[by]
+            hashes = units.grams(data, starts, ends)
+            low, high = reach(hashes, place, first[text_of], first[text_of + 1], units)
+            there = low <= high
+            place, text_of, low, high = (x[there] for x in (place, text_of, low, high))
+            cuts = np.searchsorted(text_of, np.arange(len(docs) + 1)).tolist()
+            anchor_of = hashes[place].view(np.int64).tolist()
+            low, stop = low.tolist(), (high + units.length).tolist()
             rows: list[tuple] = []
             for i, doc in enumerate(docs):
-                base, last = int(first[i]), int(first[i + 1])
+                base = int(first[i])
                 known: list[list[int]] = []
-                for at in np.sort(place[bounds[i] : bounds[i + 1]]).tolist():
-                    at += base
-                    anchor = int(hashes[at])
-                    a, b = max(base, at - units.context), min(last, at + units.length)
-                    window = anchor in hot
-                    for x, y in ((x, x + units.length) for x in range(a, b - units.length + 1)) if window else ((a, b),):
-                        payload = units.payload(whole[starts[x] : ends[y - 1]])
-                        # A window is found under one seed whatever its anchor.
-                        key, here = xxhash.xxh3_128_digest(payload, WINDOW_SEED if window else anchor & (1 << 63) - 1), (doc, x - base)
-                        old = seen.get(key)
-                        if old == here:
-                            continue
-                        if old is None or here < old:
-                            seen[key] = here
-                            rows.append((int.from_bytes(key[:8], "little", signed=True) if window else anchor, *here, y - base, key if window else payload, window))
-                        elif known and known[-1][0] <= x - base <= known[-1][1]:
-                            known[-1][1] = max(known[-1][1], y - base)
-                        else:
-                            known.append([x - base, y - base])
-                rows += [(None, doc, x, y, None, False) for x, y in known]
+                for anchor, a, b in zip(anchor_of[cuts[i] : cuts[i + 1]], low[cuts[i] : cuts[i + 1]], stop[cuts[i] : cuts[i + 1]]):
+                    payload = units.payload(whole[starts[a] : ends[b - 1]])
+                    digest, here = xxhash.xxh3_128_digest(payload, anchor & (1 << 63) - 1), (doc, a - base)
+                    old = seen.get(digest)
+                    if old == here:
+                        continue
+                    if old is None or here < old:
+                        seen[digest] = here
+                        rows.append((digest_key(digest) if anchor in hot else anchor, *here, b - base, payload, HOT_REGION if anchor in hot else REGION))
+                    elif known and known[-1][0] <= a - base <= known[-1][1]:
+                        known[-1][1] = max(known[-1][1], b - base)
+                    else:
+                        known.append([a - base, b - base])
+                rows += [(None, doc, x, y, None, REGION) for x, y in known]
             if rows:
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()))], names=["anchor", "doc", "start", "stop", "payload", "window"])
+                yield table_of(rows)
 
-    by_doc = hits.groupBy("doc").agg(F.collect_list("place").alias("hits"))
+    by_doc = hits.where("place >= 0").groupBy("doc").agg(F.collect_list("place").alias("hits"))
     joined = texts.join(by_doc, "doc", "left")  # left, so that the texts' shuffle is the same as for the spans
-    return joined.mapInArrow(run, "anchor long, doc long, start int, stop int, payload binary, window boolean")
+    return joined.mapInArrow(run, ROWS)
 
 
-def repeat_spans(found: DataFrame, search: Callable) -> DataFrame:
-    """doc, a, b: runs of units that stand in passages which also start earlier.
+def repeat_spans(found: DataFrame, search: Callable, units: Units) -> DataFrame:
+    """key, doc, start, stop, payload and kind, without a key the runs of units that stand in passages which also start earlier; with one, the windows of hot regions.
 
-    search(groups) gets the groups of an iterator, each a list of (doc, start, stop, payload) in order of
-    place, and yields (doc, a, b).
+    search() makes an object whose add(group) takes a list of (doc, start, stop, payload) in order of place; add
+    and end() yield (doc, a, b), of the last group or of earlier ones.
     """
     n = shuffle_partitions(found.sparkSession)
 
+    def opened(doc: int, start: int, payload: bytes) -> Iterator[tuple]:
+        """The windows of a region."""
+        data, starts, ends, _ = units.cut(pa.array([payload], pa.binary()))
+        for i in range(len(starts) - units.length + 1):
+            digest = xxhash.xxh3_128_digest(payload[starts[i] : ends[i + units.length - 1]])
+            yield digest_key(digest), doc, start + i, start + i + units.length, digest, WINDOW
+
     def run(batches):
-        ready: list[tuple[int, int, int]] = []
-
-        def groups():
-            group, last = [], None
-            at, digests = None, set()  # of windows: the anchor, and the digests so far under it
-            for batch in batches:
-                for anchor, doc, start, stop, payload, window in zip(*[batch.column(c).to_pylist() for c in ("anchor", "doc", "start", "stop", "payload", "window")]):
-                    if payload is None:
-                        ready.append((doc, start, stop))
-                        continue
-                    if window:
-                        if anchor != at:
-                            at, digests = anchor, set()
-                        if payload in digests:
-                            ready.append((doc, start, stop))
-                        digests.add(payload)
-                        continue
-                    if anchor != last:
+        finder = search()
+        group, last = [], None
+        at, digests = None, set()  # of hot regions: the key, and the digests so far under it
+        ready: list[tuple] = []
+
+        def repeats(spans) -> None:
+            ready.extend((None, *span, None, REGION) for span in spans)
+
+        for batch in batches:
+            for key, doc, start, stop, payload, kind in zip(*[batch.column(c).to_pylist() for c in ("key", "doc", "start", "stop", "payload", "kind")]):
+                if payload is None:
+                    ready.append((None, doc, start, stop, None, REGION))
+                elif kind == HOT_REGION:
+                    if key != at:
+                        at, digests = key, set()
+                    digest = xxhash.xxh3_128_digest(payload)
+                    if digest in digests:
+                        ready.append((None, doc, start, stop, None, REGION))
+                    else:
+                        digests.add(digest)
+                        ready.extend(opened(doc, start, payload))
+                else:
+                    if key != last:
                         if len(group) > 1:
-                            yield group
-                        group, last = [], anchor
+                            repeats(finder.add(group))
+                        group, last = [], key
                     group.append((doc, start, stop, payload))
-            if len(group) > 1:
-                yield group
-
-        def out():
-            columns = list(zip(*ready))
-            ready.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], names=["doc", "a", "b"])
-
-        for span in search(groups()):
-            ready.append(span)
-            if len(ready) >= 50_000:
-                yield out()
+                if len(ready) >= READY:
+                    yield table_of(ready)
+                    ready.clear()
+        if len(group) > 1:
+            repeats(finder.add(group))
+        repeats(finder.end())
         if ready:
-            yield out()
+            yield table_of(ready)
 
     # Rows known to be repeats only pass through; dealt by place, they add nothing to a hot anchor's task.
-    dealt = F.when(F.col("payload").isNull(), F.xxhash64("doc", "start")).otherwise(F.col("anchor"))
-    return found.repartition(n, dealt).sortWithinPartitions("anchor", "doc", "start").mapInArrow(run, "doc long, a int, b int")
+    dealt = F.when(F.col("payload").isNull(), F.xxhash64("doc", "start")).otherwise(F.col("key"))
+    return found.repartition(n, dealt).sortWithinPartitions("key", "doc", "start").mapInArrow(run, ROWS)
+
+
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """doc, a and b of the windows (key, doc, start, stop, payload: their digest) that are not the first of their digest."""
+    n = shuffle_partitions(windows.sparkSession)
+
+    def run(batches):
+        at, digests = None, set()
+        for batch in batches:
+            later = []
+            for key, digest in zip(batch.column("key").to_pylist(), batch.column("payload").to_pylist()):
+                if key != at:
+                    at, digests = key, set()
+                later.append(digest in digests)
+                digests.add(digest)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(later)) for c in ("doc", "start", "stop")], names=["doc", "a", "b"])
+
+    return windows.repartition(n, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(run, "doc long, a int, b int")
+
+
+def told_apart(texts: DataFrame) -> DataFrame:
+    """The rows of (id, text and others) with `doc`: the id, or where some id has different texts, a number in the order of ids and of a hash of the texts."""
+    ids = texts.where("id is not null").select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    if ids.groupBy("id").agg((F.min("h") != F.max("h")).alias("several")).where("several").isEmpty():
+        return texts.withColumn("doc", F.col("id"))
+    placed = stored(ids.distinct().orderBy("id", "h").select(F.col("id").alias("of"), F.col("h").alias("is"), F.monotonically_increasing_id().alias("doc")))
+    return texts.join(placed, (F.col("id") == F.col("of")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("is")), "left").drop("of", "is")
 
 
 def with_spans(docs: DataFrame, units: Units, search: Callable, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
-    """doc, text and spans (a list of (a, b), in units; null where nothing repeats) of every row, and the other columns as `rest`.
+    """id, text and spans (a list of (a, b), in units; null where nothing repeats) of every row, and the other columns as `rest`.
 
     The texts are shuffled by id once; the regions are cut from, and the spans come back to, that one copy.
     """
     others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if rest else []
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *others)
+    texts = told_apart(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *others))
     dealt = texts.repartition(shuffle_partitions(docs.sparkSession), "doc")
-    found = anchors(texts.where("doc is not null").select("doc", "text"), units)
-    often = hot_anchors(found, HOT)
-    spans = repeat_spans(regions(dealt, repeated(found), units, often), search)
+    hits = stored(repeated(anchors(texts.where("doc is not null").select("doc", "text"), units), HOT))
+    often = hot_anchors(hits)
+    found = repeat_spans(regions(dealt, hits, units, often), search, units)
+    if len(often):
+        found = stored(found)
+    spans = found.where("key is null").select("doc", F.col("start").alias("a"), F.col("stop").alias("b"))
+    if len(often):
+        spans = spans.unionByName(repeated_windows(found.where("key is not null")))
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return dealt.join(by_doc, "doc", "left")
+    return dealt.join(by_doc, "doc", "left").drop("doc")
 
 
 def covered(spans, n: int) -> np.ndarray:

@@ -9,8 +9,8 @@ the suffix array adjacent suffixes with a common prefix of `length` bytes inside
 runs; all of a run but the earliest place are repeats.
 
 Cases: a null or empty text has no bytes and keeps none; texts shorter than `length` lose nothing; equal
-ids are taken for repeated rows of one document; a row with a null id neither loses nor hides anything;
-an empty table gives an empty one; other columns are ignored by `digests`.  Cut bytes may leave no valid
+rows are one document and give equal results; rows of one id with different texts are documents of their
+own, in the order of a hash of the texts; a row with a null id neither loses nor hides anything; an empty table gives an empty one; other columns are ignored by `digests`.  Cut bytes may leave no valid
 UTF-8, so the results are digests and spans, not texts.
 """
 
@@ -141,31 +141,33 @@ def repeats_in(regions: list[tuple[int, int, bytes]], length: int):
     yield from zip(d[heads].tolist(), p[heads].tolist(), (p[tails] + length).tolist())
 
 
-def searched(length: int):
-    def search(groups):
-        batch: list[tuple[int, int, bytes]] = []
-        size = 0
-        for group in groups:
-            seen: set[bytes] = set()
-            for doc, start, whole in joined(group):
-                if whole in seen:
-                    yield doc, start, start + len(whole)
-                    continue
-                seen.add(whole)
-                batch.append((doc, start, whole))
-                size += len(whole)
-            if size >= BATCH_BYTES:
-                yield from repeats_in(batch, length)
-                batch, size = [], 0
-        if batch:
-            yield from repeats_in(batch, length)
+class Batches:
+    """Sorts whole groups together, BATCH_BYTES at a time."""
+
+    def __init__(self, length: int):
+        self.least, self.batch, self.size = length, [], 0
 
-    return search
+    def add(self, group: list[tuple[int, int, int, bytes]]):
+        seen: set[bytes] = set()
+        for doc, start, whole in joined(group):
+            if whole in seen:
+                yield doc, start, start + len(whole)
+                continue
+            seen.add(whole)
+            self.batch.append((doc, start, whole))
+            self.size += len(whole)
+        if self.size >= BATCH_BYTES:
+            yield from self.end()
+
+    def end(self):
+        batch, self.batch, self.size = self.batch, [], 0
+        if batch:
+            yield from repeats_in(batch, self.least)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (from, to) of every row."""
-    rows = with_spans(docs, Units(False, length, gram), searched(length), id_col, text_col)
+    rows = with_spans(docs, Units(False, length, gram), lambda: Batches(length), id_col, text_col)
 
     def run(batches):
         for block in blocks(batches, "text"):
@@ -183,6 +185,6 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
                 for column, value in zip(out, (len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), merged)):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([block.column("doc"), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([block.column("id"), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return rows.select("doc", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    return rows.select("id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
