@@ -6,10 +6,10 @@ order above; three discounts an order come from the counts of counts.  Probabili
 by joins of count tables dealt out by hash: each n-gram with its context's totals and its suffix's probability.
 Scoring looks n-grams up by 64-bit hashes.
 
-A text's perplexity needs the rows of its own n-grams alone.  Texts are dealt out in blocks by id, every
-block asks for its different n-grams, the asked rows are joined with the model's, and the answers go back
-to the block.  Where the model has at most `FEW_ROWS` rows, counted first, every task gets all of it instead
-and nothing is asked; results are the same.
+A text's perplexity needs the rows of its own n-grams alone.  Texts are dealt out in blocks of about
+BLOCK_TEXT bytes; every block asks once for each of its different n-grams and contexts; what is asked is joined
+with the model, shard by shard of the hash, and the answers go back to the block, where back-off sums them up for each
+text.  What a task holds is bounded by the block, whatever the model's size.
 
 A text is kept if its perplexity is within the `quantile` of trusted texts of its language that were held out
 of training (a fifth of them), or of all held-out texts where its language has fewer than `ENOUGH`.
@@ -21,7 +21,11 @@ kept; an empty table gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +34,14 @@ from pyspark.sql import types as T
 from skyledger.llm.common import among, blocks, mix, shuffle_partitions, stored, text_bytes
 
 ORDER = 5
-#: Model rows (16 bytes each) up to which all tasks get the whole model.
-FEW_ROWS = 1 << 22
+#: Bytes of text that ask for their n-grams together, about, and of text that is packed at a time.
+BLOCK_TEXT, PACKED = 32 << 20, 16 << 20
 ENOUGH = 50
 QUANTILE = 0.995
 #: Different n-grams that a task counts before it hands them on.
 COUNTED = 400_000
+#: Hashes of a batch that is asked.
+ASKED = 1 << 16
 START = 2
 _WHITE = np.zeros(0x110000, dtype=bool)
 _WHITE[[0x20, 0xA0, *range(0x09, 0x0E)]] = True
@@ -67,45 +73,54 @@ def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, scored, owner
 
 
-def gram_hashes(chars: np.ndarray) -> list[np.ndarray]:
-    """For each order k (from 1) the hash of the k characters that end at each place; wraps at the front."""
-    out, running = [], np.zeros(len(chars), dtype=np.uint64)
-    for k in range(1, ORDER + 1):
-        running = running + np.roll(chars, k - 1) * np.uint64(pow(0x9E3779B97F4A7C15, k - 1, 1 << 64))
-        out.append(mix(running + np.uint64(k)))
-    return out
+def gram_hash(rows: np.ndarray) -> np.ndarray:
+    """The hash of each row of characters."""
+    k = rows.shape[1]
+    running = np.zeros(len(rows), dtype=np.uint64)
+    for j in range(k):
+        running += rows[:, k - 1 - j] * np.uint64(pow(0x9E3779B97F4A7C15, j, 1 << 64))
+    return mix(running + np.uint64(k))
 
 
-def places(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Grams by order and contexts by order (of the character before) at each scored place, and its text."""
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different grams of ORDER characters in the texts as rows, which of them ends at each scored place, and the place's text."""
     chars, scored, owner = characters(texts)
-    hashes = gram_hashes(chars)
     at = np.flatnonzero(scored)
-    return [h[at] for h in hashes], [h[at - 1] for h in hashes[:-1]], owner[at]
+    running = np.zeros(len(chars), dtype=np.uint64)
+    for j in range(ORDER):
+        running[j:] += chars[: len(chars) - j] * np.uint64(pow(0x9E3779B97F4A7C15, j, 1 << 64))
+    which, _ = pd.factorize(running[at].view(np.int64))
+    first = np.zeros(which.max(initial=-1) + 1, dtype=np.int64)
+    first[which[::-1]] = at[::-1]
+    return np.stack([chars[first - j] for j in range(ORDER - 1, -1, -1)], axis=1), which, owner[at]
+
+
+def suffixes(rows: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order from 1 the hashes of the rows' last characters, and of their contexts: the same without the last."""
+    return [gram_hash(rows[:, ORDER - k :]) for k in range(1, ORDER + 1)], [gram_hash(rows[:, ORDER - k : ORDER - 1]) for k in range(2, ORDER + 1)]
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
     """gram (ORDER characters) and n: how often each stands in the texts, start marks included."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged():
-            keys, grams, n = (np.concatenate(x) for x in zip(*held))
-            _, one, which = np.unique(keys, return_index=True, return_inverse=True)
-            return keys[one], grams[one], np.bincount(which, weights=n).astype(np.int64)
+            rows, n = (np.concatenate(x) for x in zip(*held))
+            which, _ = pd.factorize(gram_hash(rows).view(np.int64))
+            first = np.zeros(which.max(initial=-1) + 1, dtype=np.int64)
+            first[which[::-1]] = np.arange(len(which))[::-1]
+            return rows[first], np.bincount(which, weights=n).astype(np.int64)
 
-        def out(keys, grams, n):
-            return pa.RecordBatch.from_arrays([pa.array(grams.view(f"<U{ORDER}")[:, 0].tolist(), pa.string()), pa.array(n)], names=["gram", "n"])
+        def out(rows, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows.astype("<u4")).view(f"<U{ORDER}")[:, 0].tolist(), pa.string()), pa.array(n)], names=["gram", "n"])
 
         for block in blocks(batches, "text"):
-            chars, scored, _ = characters(block.column("text"))
-            at = np.flatnonzero(scored)
-            if not len(at):
+            rows, which, _ = grams(block.column("text"))
+            if not len(rows):
                 continue
-            keys, one, n = np.unique(gram_hashes(chars)[-1][at], return_index=True, return_counts=True)
-            at = at[one]
-            held.append((keys, np.stack([chars[at - k] for k in range(ORDER - 1, -1, -1)], axis=1).astype("<u4"), n))
+            held.append((rows, np.bincount(which)))
             if sum(len(h[0]) for h in held) > COUNTED:
                 held = [merged()]
                 if len(held[0][0]) > COUNTED // 2:
@@ -126,18 +141,18 @@ def discounts(level: DataFrame) -> list[float]:
 
 
 def hashed(model: DataFrame) -> DataFrame:
-    """The model with the hash of its grams, as `gram_hashes` gives it, in place of them; 0 for the empty one."""
+    """The model with the hash of its grams in place of them; 0 for the empty one."""
 
     def run(batches):
         for batch in batches:
-            grams = batch.column("gram").to_pylist()
-            out = np.zeros(len(grams), dtype=np.uint64)
-            sizes = np.array([len(g) for g in grams], dtype=np.int64)
+            texts = batch.column("gram").to_pylist()
+            out = np.zeros(len(texts), dtype=np.uint64)
+            sizes = np.array([len(g) for g in texts], dtype=np.int64)
             for k in range(1, ORDER + 1):
                 own = np.flatnonzero(sizes == k)
                 if len(own):
-                    chars = np.frombuffer("".join([grams[i] for i in own]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-                    out[own] = gram_hashes(chars)[k - 1][k - 1 :: k]
+                    chars = np.frombuffer("".join([texts[i] for i in own]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                    out[own] = gram_hash(chars.reshape(-1, k))
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), batch.column("p"), batch.column("w")], names=["h", "p", "w"])
 
     return model.select("gram", "p", "w").mapInArrow(run, "h long, p double, w double")
@@ -152,18 +167,19 @@ def train(texts: DataFrame) -> DataFrame | None:
     size = levels[1].count()
     if not size:
         return None
-    spark = texts.sparkSession
     none = F.lit(None).cast("double")
-    below, parts = spark.range(1).select(F.lit("").alias("gram"), F.lit(1.0 / (size + 1)).alias("q")), []
-    for k in range(1, ORDER + 1):
-        d1, d2, d3 = discounts(levels[k])
-        discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = levels[k].select("gram", F.substring("gram", 1, k - 1).alias("c"), F.substring("gram", 2, k - 1).alias("s"), "n", discount.alias("d"))
+    discount = lambda k: (lambda d: F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))(discounts(levels[k]))
+    # Order 1 has one context, the empty one: its totals are two numbers.
+    rows = levels[1].select("gram", "n", discount(1).alias("d"))
+    total, taken = rows.agg(F.sum("n"), F.sum("d")).first()
+    rest = taken / total / (size + 1)
+    below = rows.select("gram", ((F.col("n") - F.col("d")) / total + rest).alias("q"))
+    unknown = texts.sparkSession.range(1).select(F.lit("").alias("gram"), F.lit(math.log(rest)).alias("p"), none.alias("w"))
+    parts = [unknown, below.select("gram", F.log("q").alias("p"), none.alias("w"))]
+    for k in range(2, ORDER + 1):
+        rows = levels[k].select("gram", F.substring("gram", 1, k - 1).alias("c"), F.substring("gram", 2, k - 1).alias("s"), "n", discount(k).alias("d"))
         totals = stored(rows.groupBy("c").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("left")))
-        if k == 1:
-            parts.append(totals.select(F.col("c").alias("gram"), F.log(F.col("left") / (size + 1)).alias("p"), none.alias("w")))
-        else:
-            parts.append(totals.select(F.col("c").alias("gram"), none.alias("p"), F.log("left").alias("w")))
+        parts.append(totals.select(F.col("c").alias("gram"), none.alias("p"), F.log("left").alias("w")))
         joined = rows.join(totals, "c").join(below.select(F.col("gram").alias("s"), "q"), "s")
         below = stored(joined.select("gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("q")).alias("q")))
         parts.append(below.select("gram", F.log("q").alias("p"), none.alias("w")))
@@ -178,83 +194,125 @@ class Lookup:
 
     def __init__(self, h: np.ndarray, p: np.ndarray, w: np.ndarray):
         order = np.argsort(h)
-        self.h, self.p, self.w = h[order], p[order].astype(np.float32), w[order].astype(np.float32)
+        self.h, self.p, self.w = h[order], p[order], w[order]
         self.unknown = float(self.p[np.searchsorted(self.h, 0)])
 
     def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """p (NaN where it is no gram) and w (0 where it is no context) of each hash."""
-        one, which = np.unique(hashes, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.h, one), len(self.h) - 1)
-        there = self.h[at] == one
-        p, w = np.where(there, self.p[at], np.nan), np.where(there, np.nan_to_num(self.w[at], nan=0.0), 0.0)
-        return p[which], w[which]
-
-    def perplexities(self, texts: pa.Array) -> np.ndarray:
-        grams, contexts, owner = places(texts)
-        n = len(texts)
-        if not len(owner):
-            return np.full(n, np.nan)
-        total, open_ = np.zeros(len(owner)), np.arange(len(owner))
+        hashes = hashes.view(np.int64)
+        at = np.minimum(np.searchsorted(self.h, hashes), len(self.h) - 1)
+        there = self.h[at] == hashes
+        return np.where(there, self.p[at], np.nan), np.where(there, np.nan_to_num(self.w[at], nan=0.0), 0.0)
+
+    def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
+        """Of the last character of each row after the others: of the longest known gram, with the weights of longer contexts."""
+        own, contexts = suffixes(rows)
+        total, open_ = np.zeros(len(rows)), np.arange(len(rows))
         for k in range(ORDER, 0, -1):
-            p, _ = self.of(grams[k - 1][open_].view(np.int64))
+            p, _ = self.of(own[k - 1][open_])
             found = ~np.isnan(p)
             total[open_[found]] += p[found]
             open_ = open_[~found]
-            if not len(open_):
-                break
-            if k > 1:
-                total[open_] += self.of(contexts[k - 2][open_].view(np.int64))[1]
+            if k > 1 and len(open_):
+                total[open_] += self.of(contexts[k - 2][open_])[1]
         total[open_] += self.unknown
-        sizes = np.bincount(owner, minlength=n)
+        return total
+
+    def perplexities(self, texts: pa.Array) -> np.ndarray:
+        rows, which, owner = grams(texts)
+        n = len(texts)
+        if not len(rows):
+            return np.full(n, np.nan)
+        sums = np.bincount(owner, weights=self.log_probabilities(rows)[which], minlength=n)
         with np.errstate(invalid="ignore", divide="ignore"):
-            return np.exp(-np.bincount(owner, weights=total, minlength=n) / sizes)
+            return np.exp(-sums / np.bincount(owner, minlength=n))
+
+
+def packed(texts: DataFrame, n_blocks: int) -> DataFrame:
+    """block and rows: the rows of `texts` by block, some at a time, as compressed Arrow data."""
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
+    names = texts.columns
+
+    def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        block = rows.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], block[order][1:] != block[order][:-1], [True])))
+        found, data = [], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = rows.select(names).take(pa.array(order[a:b])).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(own)
+            found.append(int(block[order[a]]))
+            data.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(data, pa.binary())], names=["block", "rows"])
 
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > PACKED:
+                yield from out(held)
+                held, size = [], 0
+        if held:
+            yield from out(held)
 
-def _scored(block, lookup: Lookup, names: list[str]) -> pa.RecordBatch:
-    values = lookup.perplexities(block.column("text"))
-    return pa.RecordBatch.from_arrays([*[block.column(c) for c in names], pa.array(values, pa.float64(), mask=np.isnan(values))], names=[*names, "perplexity"])
+    return dealt.mapInArrow(run, "block int, rows binary")
 
 
-def perplexities(texts: DataFrame, model: DataFrame, few_rows: int = FEW_ROWS) -> DataFrame:
+def unpacked(column: pa.Array) -> Iterator[pa.RecordBatch]:
+    for data in column:
+        with pa.ipc.open_stream(data.as_buffer()) as reader:
+            yield from blocks(reader, "text")
+
+
+def perplexities(texts: DataFrame, model: DataFrame, block_text: int = BLOCK_TEXT) -> DataFrame:
     """The rows of `texts` (columns id and text among them) without text, with their perplexity."""
     names = [c for c in texts.columns if c != "text"]
     schema = T.StructType([*[texts.schema[c] for c in names], T.StructField("perplexity", T.DoubleType())])
-    if model.count() <= few_rows:
-        rows = model.toArrow()
-        sent = texts.sparkSession.sparkContext.broadcast(Lookup(*[rows.column(c).to_numpy() for c in ("h", "p", "w")]))
-        del rows
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = packed(texts, 1 + size // block_text).repartition(shuffle_partitions(texts.sparkSession), "block")
 
-        def run(batches):
-            for block in blocks(batches, "text"):
-                yield _scored(block, sent.value, names)
-
-        return texts.mapInArrow(run, schema)
-    n = shuffle_partitions(texts.sparkSession)
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition(n, "block")
+    def asked(block: int, seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found = pd.unique(np.concatenate([np.zeros(1, dtype=np.int64), *seen]))
+        for i in range(0, len(found), ASKED):
+            part = found[i : i + ASKED]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, dtype=np.int32)), pa.array(part)], names=["block", "h"])
 
     def ask(batches):
-        seen: dict[int, list[np.ndarray]] = {}
+        last, seen = None, []
         for batch in batches:
-            for block in sorted(set(batch.column("block").to_pylist())):
-                own = batch.filter(pa.compute.equal(batch.column("block"), block))
-                for part in blocks([own], "text"):
-                    grams, contexts, _ = places(part.column("text"))
-                    seen[block] = [np.unique(np.concatenate([*seen.get(block, []), *grams, *contexts]))]
-        for block, (found,) in seen.items():
-            found = np.append(found.view(np.int64), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block, dtype=np.int32)), pa.array(found)], names=["block", "h"])
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                if block != last and seen:
+                    yield from asked(last, seen)
+                    seen = []
+                last = block
+                for part in unpacked(batch.column("rows").slice(i, 1)):
+                    own, contexts = suffixes(grams(part.column("text"))[0])
+                    seen.append(pd.unique(np.concatenate([*own, *contexts]).view(np.int64)))
+                if len(seen) > 8:
+                    seen = [pd.unique(np.concatenate(seen))]
+        if seen:
+            yield from asked(last, seen)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        lookup = Lookup(*[right.column(c).to_numpy() for c in ("h", "p", "w")]) if right.num_rows else None
-        out = [_scored(block, lookup, names) for block in blocks(left.combine_chunks().to_batches(), "text")]
-        return pa.Table.from_batches(out) if out else pa.Table.from_batches([], schema=pa.schema([]))
-
-    asked = dealt.select("block", "text").mapInArrow(ask, "block int, h long").distinct()
-    answers = asked.join(model, "h").select("block", "h", "p", "w")
+        lookup = Lookup(*[right.column(c).to_numpy() for c in ("h", "p", "w")])
+        out = []
+        for batch in left.to_batches():
+            for part in unpacked(batch.column("rows")):
+                values = lookup.perplexities(part.column("text"))
+                out.append(pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(values, pa.float64(), mask=np.isnan(values))], names=[*names, "perplexity"]))
+        return pa.Table.from_batches(out)
+
+    asks = dealt.sortWithinPartitions("block").mapInArrow(ask, "block int, h long")
+    answers = asks.join(model, "h").select("block", "h", "p", "w")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema)
 
 
-def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, few_rows: int = FEW_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, block_text: int = BLOCK_TEXT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept of every row; `trusted` has the ids of trusted documents (doc_id)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     good = trusted.select(F.col("doc_id").alias("id")).distinct().withColumn("held", F.pmod(F.xxhash64("id"), F.lit(5)) == 0)
@@ -262,7 +320,7 @@ def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, few_
     if model is None:
         scored = texts.select("id", "lang", F.when(F.length("text") > 0, 1.0).alias("perplexity"))
         return scored.select(F.col("id").alias("doc_id"), "lang", "perplexity", F.lit(None).cast("double").alias("threshold"), F.col("perplexity").isNotNull().alias("kept"))
-    scored = stored(perplexities(texts, model, few_rows))
+    scored = stored(perplexities(texts, model, block_text))
     held = scored.join(good.where("held"), "id", "left_semi").where("perplexity is not null")
     overall = held.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]
     by_lang = held.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"), F.count("*").alias("n")).where(F.col("n") >= ENOUGH)
