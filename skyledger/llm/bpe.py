@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from skyledger.llm.common import blocks, span_hashes, text_bytes
 
 #: Text bytes that make one corpus.
-CORPUS_BYTES = 4 << 20
+CORPUS_BYTES = 2 << 20
 #: Distinct pieces whose tokens a worker remembers between corpora.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _books: dict[str, "Codebook"] = {}
 _kinds: list[np.ndarray] = []
@@ -111,6 +111,7 @@ class Codebook:
         self.pair_keys = np.array([k for k, _ in found] + [1 << 62], dtype=np.int64)
         self.pair_ranks = np.array([r for _, r in found] + [-1], dtype=np.int64)
         self.known: dict[bytes, bytes] = {}
+        self.joined: dict[int, int] = {}  # pair and rank, filled when a piece is first done alone
 
     @staticmethod
     def of(path: str) -> "Codebook":
@@ -127,16 +128,31 @@ class Codebook:
 
     def alone(self, piece: bytes) -> list[int]:
         """One piece by itself: of the lowest pairs the leftmost is merged, again and again."""
-        ids = [self.single[b] for b in piece]
-        while len(ids) > 1:
-            array = np.array(ids, dtype=np.int64)
-            ranks = self.merged(array[:-1], array[1:])
-            ranks[ranks < 0] = 1 << 60
-            at = int(np.argmin(ranks))
-            if ranks[at] == 1 << 60:
-                break
-            ids[at : at + 2] = [int(ranks[at])]
-        return [int(x) for x in ids]
+        n = len(piece)
+        token, after, before = [int(self.single[b]) for b in piece], list(range(1, n + 1)), list(range(-1, n - 1))
+        if not self.joined:
+            self.joined = dict(zip(self.pair_keys[:-1].tolist(), self.pair_ranks.tolist()))
+        joined = self.joined
+        waiting: list[tuple[int, int, int]] = []  # rank, place and the token right of it when the pair was found
+
+        def enter(at: int) -> None:
+            if at >= 0 and after[at] < n and (rank := joined.get(token[at] << 32 | token[after[at]])) is not None:
+                heappush(waiting, (rank, at, token[after[at]]))
+
+        for at in range(n - 1):
+            enter(at)
+        while waiting:
+            rank, at, right = heappop(waiting)
+            beside = after[at]
+            if token[at] < 0 or beside >= n or token[beside] != right or joined.get(token[at] << 32 | right) != rank:
+                continue
+            token[at], token[beside] = rank, -1
+            after[at] = after[beside]
+            if after[at] < n:
+                before[after[at]] = at
+            enter(before[at])
+            enter(at)
+        return [t for t in token if t >= 0]
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """The tokens of each piece as little-endian unsigned 32-bit integers.

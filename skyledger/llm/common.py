@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on; a longer text is a step of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -20,6 +22,7 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+_scopes: list[list] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the session names none."""
+    """The folder that the driver and all executors see; a temporary one only where all of Spark is local and none is named."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -49,9 +54,22 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append((path, schema))
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is stored within is emptied at the end; nothing that is used later may hang on it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path, schema in _scopes.pop():
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
 #: Ids up to which they are sent to the texts, so that the texts stay where they are.
 FEW_IDS = 1 << 20
 
@@ -63,6 +81,11 @@ def among(texts: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return texts.join(few, texts[on] == few["_among_id"], "left_semi")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A table that is sent to all tasks if it has FEW_IDS rows or fewer, counted first; else it is joined."""
+    return F.broadcast(df) if df.count() <= FEW_IDS else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -80,6 +103,14 @@ def blocks(batches, column: int | str = "text", most: int = BLOCK_BYTES) -> Iter
             to = min(n, max(to, at + 1))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system at the end of a task; workers are used again and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def text_offsets(texts: pa.Array) -> np.ndarray:

@@ -7,7 +7,7 @@ into runs of equal row counts (law `rows`: counts differ by one at most).
 
 Strings are quantised by their first bytes as a number, numbers by their value, both at approximate
 quantiles, so a value with a third of all rows fills bins but never breaks anything.  Within a cell rows
-are in the order of a hash of their id, and cells are cut into sub-cells of about `SUBCELL` rows by
+are in the order of a hash of their id, size and crc32, and cells are cut into sub-cells of about `SUBCELL` rows by
 that hash; only the counts of sub-cells meet in a running sum, so no task holds a hot cell.
 
 Cases: a null dimension is in bin 0; a null text has 0 bytes (size 16, crc32 0); repeated rows get
@@ -28,7 +28,7 @@ from skyledger.llm.common import stored
 #: Bins of a dimension: 2^BITS.
 BITS = 4
 #: Rows that share a sub-cell, about.
-SUBCELL = 4096
+SUBCELL = 512
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -114,7 +114,7 @@ def assign(docs: DataFrame, shards: int, dims: list[str] | None = None, id_col:
     # In a cell of n rows the hash range falls in ceil(n / SUBCELL) equal parts.
     placed = (
         placed.join(F.broadcast(by_cell), "cell")
-        .withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+        .withColumn("spread", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(1 << 30)))
         .withColumn("part", F.expr(f"(spread * ((cell_rows + {SUBCELL - 1}) div {SUBCELL})) div {1 << 30}L"))
     )
     # A row for each SUBCELL rows of input; summed up cell by cell.

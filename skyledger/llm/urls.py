@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import checkpoint
+from skyledger.llm.common import checkpoint, small
 
 #: verdict, host, path: a rule fits its host and all subdomains where the path begins with its path.
 RULES = (
@@ -96,4 +96,4 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col:
     seeds = own.where("host <> ''").groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("allowed"), F.count_if(F.col("said") == "block").alias("blocked"), F.count("*").alias("pages"))
     shares = spread(host_edges(own.select("host", "html")), seeds).withColumnRenamed("host", "of")
     by_host = F.when((F.col("distrusted") > threshold) & (F.col("distrusted") > F.col("trusted")), "block").otherwise("allow")
-    return own.join(shares, F.col("host") == F.col("of"), "left").select("page_id", "host", "path", "rule", F.coalesce("said", by_host).alias("verdict"), F.coalesce("trusted", F.lit(0.0)).alias("trusted"), F.coalesce("distrusted", F.lit(0.0)).alias("distrusted"))
+    return own.join(small(checkpoint(shares)), F.col("host") == F.col("of"), "left").select("page_id", "host", "path", "rule", F.coalesce("said", by_host).alias("verdict"), F.coalesce("trusted", F.lit(0.0)).alias("trusted"), F.coalesce("distrusted", F.lit(0.0)).alias("distrusted"))
