@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, decontaminate, kneser_ney, langid, queries, repeats, rules, sharding, simhash, substring, suffix_array, urls
+from skyledger.llm import bpe, decontaminate, kneser_ney, langid, neardup, queries, repeats, rules, sharding, simhash, substring, suffix_array, urls
 from skyledger.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,8 +49,8 @@ def test_simhash_classes_are_those_of_all_pairs(spark):
     fps = list({b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(5))) for b in base for _ in range(60)}) + [0]
     f = np.array(fps, dtype=np.uint64)
     nodes = spark.createDataFrame([(int(x), int(x)) for x in f.view(np.int64)], "fp long, node long")
-    for short_list in (48, 2):
-        got = {r["node"]: r["component"] for r in components(simhash.links(nodes, 3, None, short_list)).collect()}
+    for short_list, most in ((48, 1 << 16), (2, 1 << 16), (48, 20), (2, 5)):
+        got = {r["node"]: r["component"] for r in components(simhash.links(nodes, 3, short_list, most)).collect()}
         near = np.bitwise_count(f[:, None] ^ f[None]) <= 3
         label = f.view(np.int64).copy()
         while True:
@@ -62,7 +62,7 @@ def test_simhash_classes_are_those_of_all_pairs(spark):
 
 
 def test_long_lists_by_flipping_bits(monkeypatch):
-    monkeypatch.setattr(simhash, "LONG_LIST", 10)
+    monkeypatch.setattr(simhash, "FLIPS", 1)
     rng = np.random.default_rng(2)
     fp = np.unique(rng.integers(0, 1 << 12, 900).astype(np.uint64))
     node = np.arange(len(fp))
@@ -89,12 +89,12 @@ def test_near_duplicates(spark):
     near[50] = near[300] = "changed"
     far = ["v%d" % rng.randrange(4000) for _ in range(400)]
     table = docs_of(spark, [" ".join(words), " ".join(near), " ".join(far), None, "", " ".join(far), "a b"], node=[1], lang=["en"])
-    kept = simhash.deduplicated(table)
+    kept = neardup.deduplicated(table)
     assert kept.columns == table.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 6]
-    assert simhash.deduplicated(table.unionByName(table)).count() == 4
-    assert simhash.deduplicated(table.withColumn("doc_id", F.when(F.col("doc_id") > 1, F.col("doc_id")))).count() == 5
-    assert simhash.deduplicated(table.limit(0)).count() == 0 and simhash.classes(table.limit(0)).count() == 0
+    assert neardup.deduplicated(table.unionByName(table)).count() == 4
+    assert neardup.deduplicated(table.withColumn("doc_id", F.when(F.col("doc_id") > 1, F.col("doc_id")))).count() == 5
+    assert neardup.deduplicated(table.limit(0)).count() == 0 and simhash.classes(table.limit(0)).count() == 0
 
 
 def five_word_classes(texts):
@@ -125,7 +125,7 @@ def test_near_duplicates_of_every_length_and_kind_of_edit(spark):
             texts.append(" ".join(more[: n // 8] + w))
             texts.append(" ".join(more[i] if i % 40 == 7 else x for i, x in enumerate(w)))
             texts.append(" \t".join(w).upper())
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs_of(spark, texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.similar(docs_of(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == five_word_classes(texts)
 
 
@@ -140,7 +140,7 @@ def test_near_duplicates_of_large_groups(spark):
             at = rng.randrange(115)
             w = w[:at] + ["v%d" % rng.randrange(5000)] + w[at + 1 :] if rng.random() < 0.8 else w[6:] + ["u%d" % rng.randrange(5000) for _ in range(6)]
     rng.shuffle(texts)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs_of(spark, texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.similar(docs_of(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == five_word_classes(texts)
 
 
@@ -213,18 +213,69 @@ def test_trust_against_dense_iteration(spark):
 
 # 4
 
-def test_kneser_ney_paths_agree_and_sum_to_one(spark):
+def kneser_ney_by_dicts(trusted, texts, order=5):
+    """Perplexities by plain dictionaries: interpolated modified Kneser-Ney over characters."""
+    white = re.compile("[\x20\xa0\x09-\x0d]+")
+
+    def padded(t):
+        return "\x02" * (order - 1) + white.sub(" ", t)
+
+    top = collections.Counter(padded(t)[i - order + 1 : i + 1] for t in trusted for i in range(order - 1, len(padded(t))))
+    levels = {order: top}
+    for k in range(order - 1, 0, -1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+    taken = {}
+    for k, level in levels.items():
+        n = [sum(1 for v in level.values() if v == i) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.05), i + 0.95) if n[i] else (i + 1) * 0.5 for i in range(3)]
+        taken[k] = lambda v, d=d: d[min(v, 3) - 1]
+    total, left = {k: collections.Counter() for k in levels}, {k: collections.Counter() for k in levels}
+    for k, level in levels.items():
+        for g, v in level.items():
+            total[k][g[:-1]] += v
+            left[k][g[:-1]] += taken[k](v)
+
+    def p(gram):
+        k, c = len(gram), gram[:-1]
+        if not k:
+            return 1 / (len(levels[1]) + 1)
+        if not total[k][c]:
+            return p(gram[1:])
+        v = levels[k].get(gram, 0)
+        return (v - taken[k](v) if v else 0) / total[k][c] + left[k][c] / total[k][c] * p(gram[1:])
+
+    out = []
+    for t in texts:
+        w = padded(t or "")
+        logs = [np.log(p(w[i - order + 1 : i + 1])) for i in range(order - 1, len(w))]
+        out.append(float(np.exp(-np.mean(logs))) if logs else None)
+    return out, p, levels[1]
+
+
+def test_kneser_ney_is_the_dictionaries(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgé") for _ in range(rng.randrange(1, 6))) for _ in range(40)]
+    texts = [None, "", "zzzz", "a\u00a0 \n b"] + [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(80)]
+    docs = docs_of(spark, texts, lang=["en", None], h=["clash"], block=[1], rows=["clash"])
+    trusted = list(range(4, 60))
+    want, p, chars = kneser_ney_by_dicts([texts[i] for i in trusted], texts)
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    model = kneser_ney.train(rows.where(F.col("id").isin(trusted)))
+    for block_text in (1 << 20, 200):
+        got = {r["id"]: r["perplexity"] for r in kneser_ney.perplexities(rows, model, block_text).collect()}
+        assert [got[i] for i in range(len(texts))] == [x if x is None else pytest.approx(x, rel=1e-9) for x in want]
+    for context in ("", "a", "ab", "\x02\x02\x02\x02", "abcd", "zzz"):
+        assert sum(p(context + c) for c in chars) + p(context + "?") == pytest.approx(1)
+
+
+def test_kneser_ney_edges(spark):
     texts = ["abcab cab abc", "bca bca", "zzzz", None, "", "abc abc"] * 12
     docs = docs_of(spark, texts, lang=["en", None], h=["clash"])
     trusted = docs.where("text like '%abc%' or text like 'bca%'").select("doc_id")
-    a = {r["doc_id"]: (r["perplexity"] and round(r["perplexity"], 9), r["kept"]) for r in kneser_ney.judged(docs, trusted).collect()}
-    b = {r["doc_id"]: (r["perplexity"] and round(r["perplexity"], 9), r["kept"]) for r in kneser_ney.judged(docs, trusted, few_rows=0).collect()}
-    assert a == b and a[3] == (None, False) and a[2][0] > a[0][0] and not a[2][1]
-    model = kneser_ney.train(docs.where("text is not null").select(F.col("doc_id").alias("id"), "text")).toPandas()
-    lookup = kneser_ney.Lookup(*[model[c].to_numpy() for c in ("h", "p", "w")])
-    chars = sorted({c for t in texts if t for c in t})
-    total = sum(1 / lookup.perplexities(pa.array(["ab" + c]))[0] ** 3 * lookup.perplexities(pa.array(["ab"]))[0] ** 2 for c in chars)
-    assert total + np.exp(lookup.unknown) == pytest.approx(1, abs=0.2)
+    got = {r["doc_id"]: (r["perplexity"], r["kept"]) for r in kneser_ney.judged(docs, trusted).collect()}
+    assert got[3] == got[4] == (None, False) and got[2][0] > got[0][0] and not got[2][1]
+    assert kneser_ney.judged(docs.unionByName(docs), trusted).count() == 144
     assert kneser_ney.judged(docs.limit(0), trusted).count() == 0 and kneser_ney.judged(docs, trusted.limit(0)).where("kept").count() > 0
 
 
@@ -303,6 +354,35 @@ def test_repeated_words(spark, letters, words):
     assert substring.digests(docs.limit(0)).count() == 0
 
 
+def test_words_of_a_reference_go(spark):
+    reference = sample_texts(seed=5, n=20, letters="abc", words=40)
+    texts = sample_texts(seed=6, n=40, letters="abc", words=40) + [" ".join((reference[k] or "").split()[2:30]) + " own end" for k in range(20)]
+    known = {tuple(w[i : i + 6]) for t in reference for w in [(t or "").split()] for i in range(len(w) - 5)}
+    want = {}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        gone = {i + j for i in range(len(w) - 5) if tuple(w[i : i + 6]) in known for j in range(6)}
+        want[i] = [x for j, x in enumerate(w) if j not in gone]
+    docs = docs_of(spark, texts, doc=[1])
+    for most in (1 << 20, 50):
+        got = substring.stripped(docs, spark.createDataFrame([(t,) for t in reference], "text string"), 6, most)
+        assert got.columns == docs.columns and {r["doc_id"]: (r["text"] or "").split() for r in got.collect()} == want
+    assert substring.stripped(docs, docs.limit(0), 6).count() == len(texts)
+
+
+def test_one_id_with_different_texts(spark):
+    """They are documents of their own; results are those of the texts with ids in the order of id and hash."""
+    rng = random.Random(14)
+    passage = " ".join("p%d" % i for i in range(12))
+    rows = [(i // 2, f"{rng.random()} {passage} x{rng.random()}") for i in range(20)] + [(3, None), (3, ""), (None, passage), (None, passage + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = spark.createDataFrame(rows, "doc_id long, text string").where("doc_id = 0").orderBy(F.xxhash64("text")).first()["text"]
+    got = substring.digests(docs, 6, 3).join(docs.select("doc_id", F.sha2("text", 256).alias("kept_sha256")), ["doc_id", "kept_sha256"], "left_semi").where("n_words > 12").collect()
+    assert [r["n_removed"] for r in got if r["doc_id"] is not None] == [0] and substring.digests(docs, 6, 3).where("n_removed = 12").count() == 19
+    assert hashlib.sha256(first.encode()).hexdigest() in {r["kept_sha256"] for r in got}
+    assert suffix_array.digests(docs, 12, 5).where("n_removed > 30").count() == 19 and substring.trimmed(docs, 6, 3).count() == len(rows)
+
+
 def brute_bytes(rows, n):
     seen, out = set(), {}
     for d, t in sorted(rows):
@@ -338,9 +418,20 @@ def test_repeats_of_hot_anchors(spark, monkeypatch):
     assert got == brute_bytes(list(enumerate(texts)), 12)
     # Regions around the passage all differ, but none of its anchors gathers them.
     units, own = repeats.Units(True, 6, 3), docs.where("text like '%p1 p2%'").select(F.col("doc_id").alias("doc"), "text").coalesce(1)
+    hits = repeats.repeated(repeats.anchors(own, units), 2)
+    found = repeats.repeat_spans(repeats.regions(own, hits, units, repeats.hot_anchors(hits)), lambda: substring.Shards(6), units)
+    assert found.where("key is not null").groupBy("key").count().agg(F.max("count")).first()[0] <= 60
+    rows = repeats.regions(own, hits, units, repeats.hot_anchors(hits)).where("payload is not null")
+    assert rows.groupBy("key").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_anchors_are_counted_over_blocks(spark, monkeypatch):
+    """An anchor that comes once in each block is counted like one that comes often in one."""
+    monkeypatch.setattr(repeats, "ANCHOR_BYTES", 1)
+    passage = " ".join("p%d" % i for i in range(9))
+    units, own = repeats.Units(True, 6, 3), docs_of(spark, [f"a{i} {passage} b{i}" for i in range(30)]).select(F.col("doc_id").alias("doc"), "text")
     found = repeats.anchors(own, units)
-    rows = repeats.regions(own, repeats.repeated(found), units, repeats.hot_anchors(found, 2)).where("payload is not null")
-    assert rows.groupBy("anchor").count().agg(F.max("count")).first()[0] <= 3
+    assert len(repeats.hot_anchors(repeats.repeated(found, 29))) > 0 and len(repeats.hot_anchors(repeats.repeated(found, 30))) == 0
 
 
 def test_suffix_array_order():
@@ -378,6 +469,71 @@ def test_bound_is_clopper_pearson():
     assert sum(comb(50, k) * p**k * (1 - p) ** (50 - k) for k in range(4)) == pytest.approx(0.01, rel=1e-6)
 
 
+def test_rule_cutoffs_against_brute_force(spark):
+    """The path, the exact test at each step and the cutoffs, from the counts of every text in plain Python."""
+    alpha, delta = 0.05, 0.1
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(2400):
+        lang = ("en", "de", None)[i % 3] if i % 50 else "rare"
+        n = rng.randrange(40, 300)
+        junk = rng.random() < 0.2
+        row = (i, lang, n, int(n * rng.uniform(3, 13 if junk else 7)), int(n * rng.random() * (0.6 if junk else 0.03)), rng.randrange(6) if junk else 0, int(n * rng.random() * (0.9 if junk else 0.1)))
+        rows.append(row)
+        if rng.random() < 0.7:
+            labels.append((i, int(not junk), 0))
+    counted = spark.createDataFrame(rows, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in rules.COUNTS))
+    got = {r["stratum"]: r.asDict() for r in rules.report(counted, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), alpha, delta).collect()}
+
+    def over(row, rule, cutoff):
+        v = dict(zip(rules.COUNTS, row[2:]))
+        top, bottom = rules.RULES[rule]
+        return v[top] / max(v[bottom], 1) > cutoff
+
+    label = {i: q for i, q, _ in labels}
+    kept = [r for r in rows if r[2] >= 50 and 100 * r[6] <= 50 * r[2]]
+    steps = [(rule, c) for rule in rules.GRID for c in sorted(rules.GRID[rule], reverse=True)]
+    strata = {r[1] for r in kept if label.get(r[0]) == 1}
+    assert set(got) == strata and sum(g["n_steps"] > 0 for g in got.values()) >= 3 and got["rare"]["n_steps"] == 0
+    for s in strata:
+        good = [r for r in kept if r[1] == s and label.get(r[0]) == 1]
+        bad = [r for r in kept if r[1] == s and label.get(r[0]) == 0]
+        rest = [r for r in kept if r[1] == s and label.get(r[0]) != 1]
+        cost, most = [], collections.Counter()
+        for rule, c in steps:
+            share = sum(over(r, rule, c) for r in rest) / len(rest) - len(bad) / (len(good) + len(bad)) * sum(over(r, rule, c) for r in bad) / max(len(bad), 1)
+            most[rule] = max(most[rule], share)
+            cost.append(most[rule])
+        chosen, broken, n = {}, set(), 0
+        for i in sorted(range(len(steps)), key=lambda i: (cost[i], i)):
+            broken |= {r[0] for r in good if over(r, *steps[i])}
+            if rules.upper_bound(len(broken), len(good), delta / len(strata)) > alpha:
+                break
+            chosen[steps[i][0]] = steps[i][1]
+            n += 1
+        assert (got[s]["n_good"], got[s]["n_steps"]) == (len(good), n)
+        assert {x: got[s][x] for x in rules.RULES} == {x: chosen.get(x) for x in rules.RULES}
+
+
+def test_rule_cutoffs_keep_their_promise():
+    """Over many made holdouts the true rate of false rejections is over alpha in a share of delta at most, about."""
+    rng = np.random.default_rng(4)
+    true = np.array([0.001, 0.004, 0.01, 0.02, 0.028, 0.035, 0.05, 0.2])
+    wrong = 0
+    for _ in range(400):
+        u = rng.random(600)
+        broken = [int(((u < t) & (u >= s)).sum()) for s, t in zip(np.append(0, true[:-1]), true)]
+        n = rules.passed(600, broken, 0.05, 0.03)
+        wrong += n > 0 and true[n - 1] > 0.03
+    assert wrong <= 400 * 0.05 + 3 * (400 * 0.05 * 0.95) ** 0.5
+
+
+def test_rules_have_cutoffs_where_labels_suffice(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = rules.report(rules.with_counts(docs), labels).collect()
+    assert len(found) == 4 and all(r["n_steps"] > 0 and r["n_rejected"] <= rules.ALPHA * r["n_good"] for r in found)
+
+
 def test_rules_edges(spark):
     docs = docs_of(spark, [None, "", "a b " * 30, " ".join(f"w{i}" for i in range(80))], lang=[None, "en"], kept=["clash"])
     labels = spark.createDataFrame([(3, 1, 0), (3, 1, None), (99, 1, 0)], "doc_id long, quality int, toxic int")
