@@ -8,6 +8,7 @@ fixed UTC-5 climate day.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -101,20 +102,20 @@ _ALL = VIEWS | oracle_views.VIEWS
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def with_views(text: str, dialect: dict[str, str]) -> str:
-    """The query with the views it uses, and those that they use, before it."""
-    needed: list[str] = []
+def with_views(text: str, dialect: dict[str, str], given: dict[str, str] | None = None) -> str:
+    """The query with the views it uses, and those that they use, before it; `given` has other names for some."""
+    needed: dict[str, str] = {}
 
-    def add(body: str) -> None:
+    def put(body: str) -> str:
+        for name, own in (given or {}).items():
+            body = re.sub(rf"\b{name}\b", own, body)
         for name in re.findall(r"\bv_\w+", body):
             if name in _ALL and name not in needed:
-                add(_ALL[name])
-                if name not in needed:
-                    needed.append(name)
+                needed[name] = put(_ALL[name].strip())
+        return body
 
-    add(text)
-    head = ",\n".join(f"{name} AS ({_ALL[name].strip()})" for name in needed)
-    body = text.strip()
+    body = put(text.strip())
+    head = ",\n".join(f"{name} AS ({sql})" for name, sql in needed.items())
     if needed:
         body = f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head}\n{body}"
     for name, word in dialect.items():
@@ -126,9 +127,16 @@ def duck(text: str) -> str:
     return with_views(text, _DUCK)
 
 
-def frame(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """The query over the tables of a folder, in Spark; a bare view name is all of it."""
+def frame(spark: SparkSession, sf_dir: str, text: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The query over the tables of a folder, in Spark; a bare view name is all of it.
+
+    `given` has rows that stand for a view, where they have been worked out before.
+    """
+    own = {name: f"given_{uuid.uuid4().hex}" for name in given or {}}
+    for name, rows in (given or {}).items():
+        rows.createOrReplaceTempView(own[name])
+    full = with_views(text if " " in text.strip() else f"SELECT * FROM {text}", _SPARK, own)
     for name in _TABLES:
-        if re.search(rf"\b{name}\b", with_views(text, _SPARK)):
+        if re.search(rf"\b{name}\b", full):
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(with_views(text if " " in text.strip() else f"SELECT * FROM {text}", _SPARK))
+    return spark.sql(full)

@@ -67,7 +67,7 @@ def longitude(lon: Column) -> Column:
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half_lat, half_lon = F.radians(lat2 - lat1) / 2, F.radians(longitude(lon2) - longitude(lon1)) / 2
     a = F.pow(F.sin(half_lat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_lon), 2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(a))
+    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
 def sub_era(date: Column, split: str) -> Column:

@@ -6,21 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, strict: bool = False, found: str = "found") -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, strict: bool = False, found: str = "found", every: int | None = None) -> DataFrame:
     """Each left row with the last right row of its key at or before its time, as a struct; before it, if strict.
 
     Both sides are laid in one sequence per key and the last right row seen is carried forward: one shuffle
     and one sort, linear whatever the sides' sizes.  An age limit is a filter on what was found, afterwards.
     Right rows of one key and time are taken in the order of all their columns; the last stands.
+
+    every: cut each key's sequence into spans of so many seconds, so that a key with many rows is many tasks' work;
+    what a span begins with comes from a second, narrow pass that takes the last right row of each earlier span.
     """
     order = F.lit(1 if not strict else 0), F.lit(0 if not strict else 1)
     a = left.select(*by, F.col(left_ts).alias("_at"), order[0].alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(*right.columns).alias("s")).schema["s"].dataType).alias("_right"))
     b = right.select(*by, F.col(right_ts).alias("_at"), order[1].alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType).alias("_left"), F.struct(*right.columns).alias("_right"))
-    seen = Window.partitionBy(*by).orderBy("_at", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn(found, F.last("_right", ignorenulls=True).over(seen)).where(F.col("_left").isNotNull())
+    rows, keys = a.unionByName(b), list(by)
+    if every:
+        rows, keys = rows.withColumn("_span", span("_at", every)), [*by, "_span"]
+    seen = Window.partitionBy(*keys).orderBy("_at", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn(found, F.last("_right", ignorenulls=True).over(seen)).where(F.col("_left").isNotNull())
+    if every:
+        ends = rows.groupBy(*keys).agg(F.max(F.when(F.col("_right").isNotNull(), F.struct("_at", "_right"))).alias("_end"))
+        out = carried(out, ends, by).withColumn(found, F.coalesce(found, "_before._right"))
     return out.select("_left.*", found)
 
 
+def span(ts: str, every: int) -> Column:
+    """The number of the span of `every` seconds that holds a time."""
+    return F.floor(F.col(ts) / every).cast("long")
+
+
+def carried(rows: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with `_before`: the last value of `_end` in the earlier spans of their key, from a row (by, _span, _end) for each span."""
+    earlier = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}_of")) for k in [*by, "_span"]]
+    starts = starts.select(*[F.col(k).alias(f"_{k}_of") for k in [*by, "_span"]], "_before")
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return rows.join(starts, cond, "left").drop(*[f"_{k}_of" for k in [*by, "_span"]])
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The last row of each key in a total order; partial maxima are taken before the shuffle."""
     values = [c for c in df.columns if c not in keys]
@@ -32,16 +58,27 @@ def with_previous(df: DataFrame, by: list[str], order: list[str], columns: list[
     return df.withColumns({f"{prefix}{c}": F.lag(c).over(w) for c in columns} | {"is_first": F.row_number().over(w) == 1})
 
 
-def gaps(df: DataFrame, by: list[str], ts: str) -> DataFrame:
-    """Rows with the seconds since the one before; null for a key's first."""
-    return df.withColumn("gap", F.col(ts) - F.lag(ts).over(Window.partitionBy(*by).orderBy(ts)))
-
-
-def changes(df: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """Rows where some value differs, null-safe, from the row before; a key's first row is none."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    now, before = F.struct(*values), F.lag(F.struct(*values)).over(w)
-    return df.withColumn("_changed", before.isNotNull() & ~now.eqNullSafe(before)).where("_changed").drop("_changed")
+def gaps(df: DataFrame, by: list[str], ts: str, every: int | None = None) -> DataFrame:
+    """Rows with the seconds since the one before; null for a key's first.  `every` as in `asof_backward`."""
+    if not every:
+        return df.withColumn("gap", F.col(ts) - F.lag(ts).over(Window.partitionBy(*by).orderBy(ts)))
+    rows = df.withColumn("_span", span(ts, every))
+    before = rows.withColumn("_lag", F.lag(ts).over(Window.partitionBy(*by, "_span").orderBy(ts)))
+    out = carried(before, rows.groupBy(*by, "_span").agg(F.max(ts).alias("_end")), by)
+    return out.withColumn("gap", F.col(ts) - F.coalesce("_lag", "_before")).select(*df.columns, "gap")
+
+
+def changes(df: DataFrame, by: list[str], order: list[str], values: list[str], every: int | None = None) -> DataFrame:
+    """Rows where some value differs, null-safe, from the row before; a key's first row is none.  `every` as in `asof_backward`, over the first of `order`."""
+    now = F.struct(*values)
+    if not every:
+        before = F.lag(now).over(Window.partitionBy(*by).orderBy(*order))
+        return df.withColumn("_changed", before.isNotNull() & ~now.eqNullSafe(before)).where("_changed").drop("_changed")
+    rows = df.withColumn("_span", span(order[0], every))
+    lagged = rows.withColumn("_lag", F.lag(now).over(Window.partitionBy(*by, "_span").orderBy(*order)))
+    out = carried(lagged, rows.groupBy(*by, "_span").agg(F.max_by(now, F.struct(*order)).alias("_end")), by)
+    before = F.coalesce("_lag", "_before")
+    return out.where(before.isNotNull() & ~now.eqNullSafe(before)).select(*df.columns)
 
 
 def change_points(daily: DataFrame, day: str, value: str, by: list[str] | None = None) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import text, time, weather
+from skyledger.sources.bronze import written
 
 LEVELS = (10, 20, 30, 40, 50, 60, 70, 80, 90)
 
@@ -52,15 +55,83 @@ def ladder_status(days: DataFrame, ladders: DataFrame, expected: int = len(LEVEL
     return days.join(counts, "day", "left").select("day", n.alias("n_levels"), status.alias("status"))
 
 
-def nearest(points: DataFrame, cells: DataFrame, reach_deg: float = 20.0) -> DataFrame:
-    """Of each point (name, lat, lon) the nearest cell (cell, cell_lat, cell_lon), searched in its band of latitude.
+#: Sides of the cubes in which cells are looked for, as parts of the globe's radius; of 2 a cube and its neighbours hold it all.
+CUBES = (1 / 64, 1 / 16, 1 / 4, 1.0, 2.0)
+
+
+def on_sphere(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    a, b = F.radians(lat), F.radians(lon)
+    return F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)
+
+
+def nearest(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """Of each point (name, lat, lon) the nearest cell (cell, cell_lat, cell_lon), the lesser of ties; none where there are no cells.
 
-    Points are few (stations), counted before they are sent to the cells; a point without a cell in reach has none.
+    Points and cells lie on a globe in a grid of cubes.  A cell no further than a cube's side, along the
+    chord, is in the point's cube or a neighbour, so each point meets the cells of 27 cubes by an equi-join,
+    first of small cubes; points that found none so near go on to larger ones.  Poles and the date line
+    need no care.  Points are few (stations), so what goes on is a small table; most stop at the first.
     """
-    few = F.broadcast(points) if points.count() <= 10_000 else points
-    near = cells.join(few, F.abs(F.col("cell_lat") - F.col("lat")) <= reach_deg)
-    km = weather.haversine_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))
-    return near.groupBy("name").agg(F.min(F.struct(km.alias("km"), F.col("cell"))).alias("b")).select("name", F.col("b.cell").alias("cell"), F.col("b.km").alias("km"))
+    open_, found = written(points.select("name", "lat", "lon")), None
+    for side in CUBES:
+        cube = lambda lat, lon: [F.floor(c / side).cast("int") for c in on_sphere(F.col(lat), F.col(lon))]  # noqa: B023, E731
+        x, y, z = cube("lat", "lon")
+        around = open_.select("*", x.alias("x0"), y.alias("y0"), z.alias("z0"))
+        for c in "xyz":
+            around = around.withColumn(c, F.explode(F.array(*[F.col(f"{c}0") + i for i in (-1, 0, 1)])))
+        x, y, z = cube("cell_lat", "cell_lon")
+        near = cells.select("cell", "cell_lat", "cell_lon", x.alias("x"), y.alias("y"), z.alias("z")).join(around, ["x", "y", "z"])
+        km = weather.haversine_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))
+        best = near.groupBy("name").agg(F.min(F.struct(km.alias("km"), F.col("cell"))).alias("b")).select("name", F.col("b.cell").alias("cell"), F.col("b.km").alias("km"))
+        sure = 2 * weather.EARTH_KM * math.asin(min(side / 2, 1.0)) * (1 - 1e-9)
+        best = written(best if side >= 2 else best.where(F.col("km") <= sure))
+        found = best if found is None else found.unionByName(best)
+        open_ = written(open_.join(best.select("name"), "name", "left_anti"))
+        if open_.isEmpty():
+            break
+    return found
+
+
+def day_spine(span: DataFrame) -> DataFrame:
+    """Every day number from a to b, as `at`."""
+    return span.select(F.explode(F.sequence("a", "b")).alias("at"))
+
+
+def month_spine(span: DataFrame) -> DataFrame:
+    """Every month of the days from a to b, as months since year 0."""
+    number = lambda c: F.year(F.date_from_unix_date(F.col(c).cast("int"))) * 12 + F.month(F.date_from_unix_date(F.col(c).cast("int"))) - 1
+    return span.select(F.explode(F.sequence(number("a"), number("b"))).alias("at"))
+
+
+def minute_spine(span: DataFrame, period: int = 60) -> DataFrame:
+    """Every boundary of `period` seconds from the one begun at a to the one begun at b."""
+    begun = lambda c: F.col(c) - F.pmod(F.col(c), F.lit(period))
+    return span.select(F.explode(F.sequence(begun("a"), begun("b"), F.lit(period).cast("long"))).alias("at"))
+
+
+def cycle_spine(span: DataFrame, days: int, hours: tuple[int, ...] = (0, 12)) -> DataFrame:
+    """The cycles at the given hours of the last `days` days up to b."""
+    day = F.explode(F.sequence(F.col("b") - days + 1, F.col("b")))
+    return span.select(day.alias("d")).select(F.explode(F.array(*[F.col("d") * 86400 + h * 3600 for h in hours])).alias("at"))
+
+
+def sample_days(span: DataFrame, count: int, first: int | None = None, end: int | None = None) -> DataFrame:
+    """The last `count` days up to b, none before `first` and all before `end`."""
+    last = F.col("b") if end is None else F.least(F.col("b"), F.lit(end - 1))
+    start = last - count + 1 if first is None else F.greatest(last - count + 1, F.lit(first))
+    return span.where(start <= last).select(F.explode(F.sequence(start, last)).alias("at"))
+
+
+def current_and_next(rows: DataFrame, key: str, coming: Column, order: list[str]) -> DataFrame:
+    """Of each series the first two rows that are coming (rn 1 and 2), or where none is its last two, in order."""
+    w = Window.partitionBy(key)
+    ahead = F.coalesce(coming, F.lit(False)).cast("int")
+    marked = rows.withColumns({
+        "_ahead": ahead, "_any": F.max(ahead).over(w), "_n": F.count("*").over(w),
+        "_rn": F.row_number().over(w.orderBy(ahead.desc(), *order)), "_back": F.row_number().over(w.orderBy(*[F.desc(c) for c in order])),
+    })
+    rn = F.when(F.col("_any") == 1, F.when(F.col("_ahead") == 1, F.col("_rn"))).otherwise(F.least(F.col("_n"), F.lit(2)) + 1 - F.col("_back"))
+    return marked.withColumn("rn", rn).where(F.col("rn").between(1, 2)).drop("_ahead", "_any", "_n", "_rn", "_back")
 
 
 def lag_stats(rows: DataFrame, minutes: str, by: list[str]) -> DataFrame:

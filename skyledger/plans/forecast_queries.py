@@ -100,20 +100,21 @@ def top_rep(s, d):
 
 
 GRIDP = "SELECT s_suppkey AS cell, 25 + s_suppkey % 25 AS cell_lat, -100 + (s_suppkey * 7) % 60 + 360 AS cell_lon FROM supplier"
-POINTS = "SELECT n_name AS name, 30 + n_nationkey % 15 AS lat, -95 + n_nationkey * 2 AS lon FROM nation"
+POINTS = "SELECT n_nationkey AS n, n_name AS name, 30 + n_nationkey % 15 AS lat, -95 + n_nationkey * 2 AS lon FROM nation"
 KM = "2 * 6371e0 * asin(sqrt(pow(sin(radians(c.cell_lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.cell_lat)) * pow(sin(radians(c.cell_lon - 360 - p.lon) / 2), 2)))"
 
 
 @query("jn_gridpt", f"SELECT name, cell, ROUND(km, 4) AS km FROM (SELECT p.name, c.cell, {KM} AS km, ROW_NUMBER() OVER (PARTITION BY p.name ORDER BY {KM}, c.cell) AS rn FROM ({POINTS}) p CROSS JOIN ({GRIDP}) c) x WHERE rn = 1")
 def jn_gridpt(s, d):
-    return rounded(forecast.nearest(frame(s, d, POINTS), frame(s, d, GRIDP)), 4)
+    return rounded(forecast.nearest(frame(s, d, POINTS).drop("n"), frame(s, d, GRIDP)), 4)
 
 
-@query("prj_hav", f"SELECT p.name, ROUND({KM}, 4) AS km FROM ({POINTS}) p JOIN ({GRIDP}) c ON c.cell = 1")
+@query("prj_hav", f"SELECT p.name, c.cell, ROUND({KM}, 4) AS km FROM ({POINTS}) p JOIN ({GRIDP}) c ON c.cell % 25 = p.n")
 def prj_hav(s, d):
-    one = frame(s, d, GRIDP).where("cell = 1")
-    rows = frame(s, d, POINTS).withColumn("k", F.lit(1)).join(one.withColumn("k", F.lit(1)), "k")
-    return rounded(rows.select("name", weather.haversine_km(COL("lat"), COL("lon"), COL("cell_lat"), COL("cell_lon")).alias("km")), 4)
+    """Every cell's distance from one of the points."""
+    cells = frame(s, d, GRIDP).withColumn("n", COL("cell") % 25)
+    rows = cells.join(frame(s, d, POINTS), "n")
+    return rounded(rows.select("name", "cell", weather.haversine_km(COL("lat"), COL("lon"), COL("cell_lat"), COL("cell_lon")).alias("km")), 4)
 
 
 LADS = "SELECT day, (o_orderkey % 9 + 1) * 10 AS level FROM (SELECT ({e0} o_orderdate {e1}) {div} 86400 AS day, o_orderkey FROM orders) x"
@@ -194,14 +195,33 @@ def win_watch(s, d):
 
 
 # Calendars, coverage, inventories, state.
-@query("jn_spine", "SELECT CAST(day AS BIGINT) AS day FROM (SELECT unnest(range(MIN(day), MAX(day) + 1)) AS day FROM v_days) x")
+LIMITS = "SELECT MIN(day) AS a, MAX(day) AS b FROM v_days"
+SPINES = {
+    "day": f"SELECT unnest(range(a, b + 1)) AS v FROM ({LIMITS}) x",
+    "month": f"SELECT DISTINCT year(t) * 12 + month(t) - 1 AS v FROM (SELECT DATE '1970-01-01' + CAST(unnest(range(a, b + 1)) AS INTEGER) AS t FROM ({LIMITS}) x) y",
+    "minute": "SELECT unnest(range(a - a % 60, b - b % 60 + 60, 60)) AS v FROM (SELECT MIN(end_ts) AS a, MAX(end_ts) AS b FROM v_raw) x",
+    "cycle": f"SELECT unnest(range((b - 11) * 86400, (b + 1) * 86400, 43200)) AS v FROM ({LIMITS}) x",
+    "sample": f"SELECT unnest(range(b - 19, b + 1)) AS v FROM ({LIMITS}) x",
+}
+
+
+@query("jn_spine", " UNION ALL ".join(f"SELECT '{kind}' AS kind, CAST(at AS BIGINT) AS v FROM ({sql}) z" for kind, sql in SPINES.items()))
 def jn_spine(s, d):
-    return frame(s, d, "SELECT MIN(day) AS a, MAX(day) AS b FROM v_days").select(F.explode(F.sequence("a", "b")).alias("day"))
+    """Days, months and minutes over the data's span, the last twelve days' cycles and the last twenty days."""
+    span = frame(s, d, LIMITS)
+    seconds = frame(s, d, "SELECT MIN(end_ts) AS a, MAX(end_ts) AS b FROM v_raw")
+    kinds = {"day": forecast.day_spine(span), "month": forecast.month_spine(span), "minute": forecast.minute_spine(seconds), "cycle": forecast.cycle_spine(span, 12), "sample": forecast.sample_days(span, 20)}
+    out = None
+    for kind, rows in kinds.items():
+        rows = rows.select(F.lit(kind).alias("kind"), COL("at").cast("long").alias("place"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("jn_cover", "SELECT CAST(day AS BIGINT) AS day FROM (SELECT unnest(range(MIN(day), MAX(day) + 1)) AS day FROM v_days) x WHERE day NOT IN (SELECT day FROM v_days)")
 def jn_cover(s, d):
-    return missing(jn_spine(s, d), frame(s, d, "v_days"), ["day"])
+    spine = forecast.day_spine(frame(s, d, LIMITS)).withColumnRenamed("at", "day")
+    return missing(spine, frame(s, d, "v_days"), ["day"])
 
 
 @query("agg_inv", "SELECT kind, value, COUNT(*) AS n, MIN(open_ts) AS first_open, MAX(close_ts) AS last_close, ROUND(AVG(CASE WHEN close_ts > open_ts THEN (close_ts - open_ts) / 3600e0 END), 6) AS mean_open_hours FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {v} AS value, open_ts, close_ts FROM v_markets" for k, v in (("prefix", "'KXHIGHNY'"), ("close_year", "COALESCE(CAST(2024 AS VARCHAR), '') || substr(CAST(close_ts AS VARCHAR), 1, 0)"), ("tier", "CASE WHEN COALESCE(close_ts < 1705000000, FALSE) THEN 'historical' ELSE 'live' END"), ("all", "''"))) + ") x WHERE NOT (kind = 'close_year' AND close_ts IS NULL) GROUP BY 1, 2 UNION ALL SELECT 'close_year', '', COUNT(*), MIN(open_ts), MAX(close_ts), NULL FROM v_markets WHERE close_ts IS NULL HAVING COUNT(*) > 0")
@@ -279,20 +299,10 @@ def agg_hb1(s, d):
     return audit.heartbeat(rows)
 
 
-@query("gate_cap", "SELECT CAST(day // 30 AS BIGINT) AS month, COUNT(*) AS n, COUNT(*) >= 180 AS maybe_cut FROM (SELECT ({e0} o_orderdate {e1}) {div} 86400 AS day FROM orders) x GROUP BY 1")
-def gate_cap(s, d):
-    rows = frame(s, d, "SELECT ({e0} o_orderdate {e1}) {div} 86400 AS day FROM orders")
-    return rows.groupBy(F.floor(COL("day") / 30).alias("month")).agg(F.count("*").alias("n"), (F.count("*") >= 180).alias("maybe_cut"))
+NEXT = 19757  # a day from which on many series have no event left
 
 
-@query("win_next", "SELECT user_id, event_id, rn FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY end_ts, event_id) AS rn FROM v_raw WHERE day >= 19740) x WHERE rn <= 2")
+@query("win_next", f"SELECT user_id, event_id, rn FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY end_ts, event_id) AS rn FROM v_raw WHERE day >= {NEXT}) x WHERE rn <= 2 UNION ALL SELECT user_id, event_id, LEAST(n, 2) + 1 - back AS rn FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY end_ts DESC, event_id DESC) AS back, COUNT(*) OVER (PARTITION BY user_id) AS n, MAX(day) OVER (PARTITION BY user_id) AS last FROM v_raw) y WHERE last < {NEXT} AND back <= 2")
 def win_next(s, d):
     """Of each series the current and the next event from a day on; where none is left, the last two."""
-    from pyspark.sql import Window
-
-    rows = frame(s, d, "SELECT user_id, event_id, end_ts, day FROM v_raw")
-    future = (COL("day") >= 19740).cast("int")
-    w = Window.partitionBy("user_id")
-    rows = rows.withColumns({"f": future, "any_f": F.max(future).over(w), "rn": F.row_number().over(w.orderBy(future.desc(), "end_ts", "event_id")), "back": F.row_number().over(w.orderBy(F.desc("end_ts"), F.desc("event_id")))})
-    kept = rows.where(((COL("any_f") == 1) & (COL("f") == 1) & (COL("rn") <= 2)) | ((COL("any_f") == 0) & (COL("back") <= 2)))
-    return rounded(kept.select("user_id", "event_id", F.when(COL("any_f") == 1, COL("rn")).otherwise(3 - COL("back")).alias("rn")))
+    return rounded(forecast.current_and_next(frame(s, d, "SELECT user_id, event_id, end_ts, day FROM v_raw"), "user_id", COL("day") >= NEXT, ["end_ts", "event_id"]).select("user_id", "event_id", "rn"))

@@ -61,20 +61,32 @@ SPREAD_KEYS = ["horizon_h", "era", "season", "regime", "regime_uncertain", "band
 
 
 def variant(tag: str, two: str, spread: str, quote: str, band: str, of: Column | None = None) -> list[Column]:
-    """The columns that exist once for each staleness rule; `of` restricts the rows."""
+    """The columns that exist once for each staleness rule; `of` restricts the rows.  The quantiles come from one histogram, see `unpacked`."""
     keep = F.lit(True) if of is None else of
     only = lambda c, cond: F.when(keep & cond, c)
     spreads = only(F.col(spread), F.col(band))
-    q = lambda p: F.percentile(spreads, F.lit(p))
     return [
         F.coalesce(F.avg(only(F.col(two).cast("double"), F.lit(True))), F.lit(0.0)).alias(f"two_sided_share_{tag}"),
         F.coalesce(F.avg(only(F.col(two).cast("double"), F.col(quote))), F.lit(0.0)).alias(f"two_sided_share_given_quote_{tag}"),
         F.coalesce(F.avg(only(F.col(quote).cast("double"), F.col("in_window"))), F.lit(0.0)).alias(f"coverage_given_open_{tag}"),
-        q(0.5).alias(f"median_spread_{tag}"), q(0.25).alias(f"p25_{tag}"), q(0.75).alias(f"p75_{tag}"), q(0.9).alias(f"p90_{tag}"),
+        quantiles(spreads, SPREAD_QUANTILES.values()).alias(f"q_{tag}"),
         F.count(spreads).alias(f"n_spread_obs_{tag}"),
     ]
 
 
+SPREAD_QUANTILES = {"median_spread": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9}
+
+
+def quantiles(values: Column, at) -> Column:
+    """Several exact quantiles out of one histogram of the values."""
+    return F.percentile(values, F.array(*[F.lit(p) for p in at]))
+
+
+def unpacked(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """The items of an array column as columns of their own, in its place."""
+    return df.withColumns({n: F.col(column)[i] for i, n in enumerate(names)}).drop(column)
+
+
 def banded(rows: DataFrame, bands=BANDS) -> DataFrame:
     """The rows once for each band, with in-band flags under both staleness rules."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("band"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in bands]))
@@ -103,7 +115,10 @@ def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left
 
 
 def spread_census(rows: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """Spread and coverage by horizon, era, season, regime and band, under each staleness rule; `excluded` has tickers."""
+    """Spread and coverage by horizon, era, season, regime and band, under each staleness rule; `excluded` has tickers.
+
+    The rows are read twice, so hand in a table that is written or cheap.
+    """
     tagged = banded(rows)
     if excluded is not None:
         tagged = tagged.join(excluded.select("ticker", F.lit(True).alias("out")).distinct(), "ticker", "left").withColumn("out", F.coalesce("out", F.lit(False)))
@@ -112,14 +127,16 @@ def spread_census(rows: DataFrame, excluded: DataFrame | None = None) -> DataFra
         F.count("*").alias("n_snapshots"),
         share(F.col("quote_valid")).alias("coverage"), share(F.col("quote_present")).alias("coverage_carryforward"),
         share(~F.col("in_window")).alias("outside_window_share"), share(F.col("extreme_empty_book")).alias("empty_book_share"),
-        F.percentile(age, F.lit(0.5)).alias("age_median_min"), F.percentile(age, F.lit(0.9)).alias("age_p90_min"),
+        quantiles(age, (0.5, 0.9)).alias("q_age"),
         F.sum(F.coalesce("volume", F.lit(0))).alias("volume_sum"),
         *variant("carryforward", "two_sided_cf", "spread_cf", "quote_present", "band_cf"),
         *variant("strict15", "two_sided", "spread", "quote_valid", "band_15"),
     ]
     if excluded is not None:
         columns += variant("exclnoreconcile", "two_sided_cf", "spread_cf", "quote_present", "band_cf", ~F.col("out"))
-    out = tagged.groupBy(*SPREAD_KEYS).agg(*columns)
+    out = unpacked(tagged.groupBy(*SPREAD_KEYS).agg(*columns), "q_age", ["age_median_min", "age_p90_min"])
+    for tag in ("carryforward", "strict15", *(["exclnoreconcile"] if excluded is not None else [])):
+        out = unpacked(out, f"q_{tag}", [f"{n}_{tag}" for n in SPREAD_QUANTILES])
     medians = per_day_medians(tagged, {"brackets_per_day_carryforward": "band_cf", "brackets_per_day_strict15": "band_15"}, SPREAD_KEYS)
     return null_safe_join(out, medians, SPREAD_KEYS)
 

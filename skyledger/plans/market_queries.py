@@ -10,6 +10,7 @@ from skyledger.functions import price, time
 from skyledger.operators.ordered import asof_backward, changes, gaps, latest
 from skyledger.plans import market
 from skyledger.registry import query
+from skyledger.sources.bronze import written
 
 COL = F.col
 
@@ -19,23 +20,27 @@ def pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def candles(s: SparkSession, d: str) -> DataFrame:
-    return market.deduplicated(pages(s, d))
+    """Deduplicated once and written, as most jobs read them several times."""
+    return written(market.deduplicated(pages(s, d)))
 
 
-def markets(s: SparkSession, d: str) -> DataFrame:
-    return frame(s, d, "v_markets")
+def markets(s: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """The markets, from candles that are at hand or else from the pages."""
+    return frame(s, d, "v_markets", {"v_candles": market.deduplicated(pages(s, d)) if of is None else of})
 
 
 def labels(s: SparkSession, d: str) -> DataFrame:
     return latest(frame(s, d, "v_issuances").where("not intermediate"), ["day"], [F.coalesce("issuance_ts", F.lit(-1))])
 
 
-def snaps(s: SparkSession, d: str) -> DataFrame:
-    return market.snapshots(markets(s, d), candles(s, d), labels(s, d))
+def snaps(s: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    of = candles(s, d) if of is None else of
+    return market.snapshots(markets(s, d, of), of, labels(s, d))
 
 
 def mdays(s: SparkSession, d: str) -> DataFrame:
-    return market.market_days(candles(s, d), markets(s, d))
+    of = candles(s, d)
+    return written(market.market_days(of, markets(s, d, of)))
 
 
 def books(s: SparkSession, d: str) -> DataFrame:
@@ -81,14 +86,15 @@ def jn_grid(s, d):
 
 @query("jn_asof", f"SELECT g.ticker, CAST(g.horizon_h AS BIGINT) AS horizon_h, q.end_ts, {r('bid', 'ask')} FROM v_grid g ASOF LEFT JOIN v_candles q ON g.ticker = q.ticker AND g.snap_ts >= q.end_ts")
 def jn_asof(s, d):
-    rows = asof_backward(market.grid(markets(s, d)), candles(s, d).select("ticker", "end_ts", "bid", "ask"), ["ticker"], "snap_ts", "end_ts")
+    of = candles(s, d)
+    rows = asof_backward(market.grid(markets(s, d, of)), of.select("ticker", "end_ts", "bid", "ask"), ["ticker"], "snap_ts", "end_ts")
     return rounded(rows.select("ticker", "horizon_h", "found.end_ts", "found.bid", "found.ask"))
 
 
 @query("jn_asof_strict", "SELECT q.event_id, p.end_ts AS prev_ts FROM v_candles q ASOF LEFT JOIN v_candles p ON q.user_id = p.user_id AND q.end_ts > p.end_ts")
 def jn_asof_strict(s, d):
     c = candles(s, d).select("event_id", "user_id", "end_ts")
-    return asof_backward(c, c.select("user_id", "end_ts"), ["user_id"], "end_ts", "end_ts", strict=True).select("event_id", F.col("found.end_ts").alias("prev_ts"))
+    return asof_backward(c, c.select("user_id", "end_ts"), ["user_id"], "end_ts", "end_ts", strict=True, every=86400).select("event_id", F.col("found.end_ts").alias("prev_ts"))
 
 
 @query("jn_lbl", "SELECT g.ticker, l.high_raw, l.time_raw FROM v_markets g LEFT JOIN v_labels l ON l.day = g.day")
@@ -121,13 +127,14 @@ def spread_sql(excluded: bool) -> str:
 
 @query("agg_spr", spread_sql(False))
 def agg_spr(s, d):
-    return rounded(market.spread_census(snaps(s, d)))
+    return rounded(market.spread_census(written(snaps(s, d))))
 
 
 @query("agg_var", spread_sql(True))
 def agg_var(s, d):
-    bad = market.reconciliation(markets(s, d), candles(s, d)).where("not sum_matches")
-    return rounded(market.spread_census(snaps(s, d), bad))
+    of = candles(s, d)
+    bad = market.reconciliation(markets(s, d, of), of).where("not sum_matches")
+    return rounded(market.spread_census(written(snaps(s, d, of)), bad))
 
 
 @query("agg_pday", "SELECT CAST(horizon_h AS BIGINT) AS horizon_h, quantile_cont(n, 0.5) AS n_median FROM (SELECT horizon_h, day, SUM(band_cf::INT) AS n FROM v_tagged WHERE band = '10_90' GROUP BY 1, 2) x GROUP BY 1")
@@ -196,7 +203,8 @@ RECON = "SELECT ticker, tier, CAST(market_volume AS BIGINT) AS market_volume, CA
 
 @query("jn_rec", RECON)
 def jn_rec(s, d):
-    return market.reconciliation(markets(s, d), candles(s, d))
+    of = candles(s, d)
+    return market.reconciliation(markets(s, d, of), of)
 
 
 @query("agg_rec", "SELECT tier, COUNT(*) AS n, COUNT_IF(sum_matches) AS n_exact, COUNT_IF(difference < 0) AS n_short, COUNT_IF(difference > 0) AS n_over, CAST(SUM(ABS(difference)) AS BIGINT) AS unreconciled FROM v_recon GROUP BY tier")
@@ -280,7 +288,8 @@ def agg_head(s, d):
 
 @query("agg_ttc", "SELECT bucket, CAST(volume AS BIGINT) AS volume, ROUND(volume / SUM(volume) OVER (), 6) AS volume_share FROM (SELECT CASE WHEN hours <= 1 THEN '0-1h' WHEN hours <= 3 THEN '1-3h' WHEN hours <= 6 THEN '3-6h' WHEN hours <= 12 THEN '6-12h' WHEN hours <= 24 THEN '12-24h' WHEN hours <= 48 THEN '24-48h' ELSE '48h+' END AS bucket, SUM(volume) AS volume FROM v_traded WHERE close_ts IS NOT NULL AND px BETWEEN 0.1e0 AND 0.9e0 GROUP BY 1) x")
 def agg_ttc(s, d):
-    return rounded(market.time_to_close(candles(s, d), markets(s, d)))
+    of = candles(s, d)
+    return rounded(market.time_to_close(of, markets(s, d, of)))
 
 
 @query("jn_regn", "SELECT climate_date, CAST(mid_volume AS BIGINT) AS mid_volume, CAST(tail_volume AS BIGINT) AS tail_volume, ROUND(mid_volume / NULLIF(mid_volume + tail_volume, 0), 6) AS mid_share FROM (SELECT climate_date, COALESCE(SUM(contracts_day) FILTER (band = '10_90'), 0) AS mid_volume, COALESCE(SUM(contracts_day) FILTER (band = 'tails'), 0) AS tail_volume FROM v_climatedays WHERE band <> 'all' GROUP BY 1) x")
@@ -368,8 +377,8 @@ def captures(s, d):
     return candles(s, d).select("event_id", "ticker", "end_ts", "bid", "ask")
 
 
-def minute_candles(s, d):
-    rows = captures(s, d).where("event_id % 3 <> 0").withColumn("end_ts", (F.floor(COL("end_ts") / 60) * 60).cast("long"))
+def minute_candles(of):
+    rows = of.where("event_id % 3 <> 0").withColumn("end_ts", (F.floor(COL("end_ts") / 60) * 60).cast("long"))
     return latest(rows, ["ticker", "end_ts"], ["event_id"])
 
 
@@ -380,20 +389,23 @@ SILENT = f"SELECT y.ticker, y.end_ts, (y.end_ts // 60) * 60 AS minute FROM ({CHG
 
 
 @query("jn_fwd", FWD)
-def jn_fwd(s, d):
-    return market.forward_check(minute_candles(s, d), captures(s, d)).select("ticker", "end_ts", "matched")
+def jn_fwd(s, d, of=None):
+    of = captures(s, d) if of is None else of
+    return market.forward_check(minute_candles(of), of).select("ticker", "end_ts", "matched")
 
 
 @query("jn_silent", SILENT)
-def jn_silent(s, d):
-    return market.silent_changes(captures(s, d), minute_candles(s, d)).select("ticker", "end_ts", "minute")
+def jn_silent(s, d, of=None):
+    of = captures(s, d) if of is None else of
+    return market.silent_changes(of, minute_candles(of)).select("ticker", "end_ts", "minute")
 
 
 @query("agg_fwd", f"SELECT f.compared, f.matched, f.compared - f.matched AS mismatches, ROUND(f.matched / CAST(f.compared AS DOUBLE), 6) AS match_rate, z.silent FROM (SELECT COUNT(*) AS compared, COUNT_IF(matched) AS matched FROM ({FWD}) a) f CROSS JOIN (SELECT COUNT(*) AS silent FROM ({SILENT}) b) z")
 def agg_fwd(s, d):
     # Two rows of totals side by side.
-    f = jn_fwd(s, d).agg(F.count("*").alias("compared"), F.count_if("matched").alias("matched"), F.lit(1).alias("k"))
-    z = jn_silent(s, d).agg(F.count("*").alias("silent"), F.lit(1).alias("k"))
+    of = captures(s, d)
+    f = jn_fwd(s, d, of).agg(F.count("*").alias("compared"), F.count_if("matched").alias("matched"), F.lit(1).alias("k"))
+    z = jn_silent(s, d, of).agg(F.count("*").alias("silent"), F.lit(1).alias("k"))
     out = f.join(z, "k").drop("k")
     rate = F.when(COL("compared") > 0, COL("matched") / COL("compared")).otherwise(0.0)
     return rounded(out.withColumns({"mismatches": COL("compared") - COL("matched"), "match_rate": rate}))
@@ -439,7 +451,8 @@ def _scalar(name, view, key, column, sql):
 
 @query("prj_win", "SELECT c.event_id, COALESCE(c.end_ts >= m.open_ts, TRUE) AND COALESCE(c.end_ts <= m.close_ts, TRUE) AS out FROM v_candles c JOIN v_markets m ON m.ticker = c.ticker")
 def prj_win(s, d):
-    return candles(s, d).join(markets(s, d).select("ticker", "open_ts", "close_ts"), "ticker").select("event_id", price.in_window(COL("end_ts"), COL("open_ts"), COL("close_ts")).alias("out"))
+    of = candles(s, d)
+    return of.join(markets(s, d, of).select("ticker", "open_ts", "close_ts"), "ticker").select("event_id", price.in_window(COL("end_ts"), COL("open_ts"), COL("close_ts")).alias("out"))
 
 
 def register_scalars() -> None:

@@ -2,14 +2,17 @@
 
 An envelope is a JSON line {ts_utc, endpoint, http_status, latency_ms, payload}; the payload's schema is
 the category's.  Files lie under root/dt=YYYY-MM-DD/category=name; older trees, root/YYYY-MM-DD/name/key.jsonl.gz,
-are read with `layout="plain"`.  Schemas are given, never inferred; a torn gzip tail keeps what came before it.
+are read with `layout="plain"`.  Schemas are given, never inferred; a torn gzip tail keeps what came before it,
+and `gzip_lines` says which files are torn.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +31,23 @@ PAYLOADS = {
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new path in the folder that the driver and all executors share; a local one only where all of Spark is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/skyledger-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, for what is read more than once."""
+    path = scratch(df.sparkSession)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def read_envelopes(spark: SparkSession, root: str, category: str, layout: str = "partitioned", payload: str | None = None) -> DataFrame:
     """All envelopes of a category, with the file each came from."""
     schema = f"ts_utc string, endpoint string, http_status int, latency_ms int, payload {payload or PAYLOADS[category]}"
@@ -43,6 +58,39 @@ def read_envelopes(spark: SparkSession, root: str, category: str, layout: str =
     return reader.json(root).where(F.col("category") == category).withColumn("file", F.col("_metadata.file_path"))
 
 
+def unzipped(content: bytes) -> tuple[bytes, int, bool]:
+    """What gzip members one after another hold, how many are whole, and whether the last is torn or something else follows."""
+    out, members, torn = [], 0, False
+    while content and not torn:
+        reader = zlib.decompressobj(16 + zlib.MAX_WBITS)
+        try:
+            out.append(reader.decompress(content))
+        except zlib.error:
+            torn = True
+        members += reader.eof
+        torn |= not reader.eof
+        content = reader.unused_data
+    return b"".join(out), members, torn
+
+
+def gzip_lines(files: DataFrame) -> DataFrame:
+    """path, members, torn and line of the complete lines in (path, content), as Spark's binaryFile reader gives them.
+
+    A file is a run of gzip members, as a writer appends them; what a torn last member still holds counts up to
+    its last line end.  A file without a complete line has one row, with a null line.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                text, members, torn = unzipped(content or b"")
+                lines = text.split(b"\n")[:-1] or [None]
+                n = len(lines)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([members] * n, pa.int32()), pa.array([torn] * n), pa.array([x if x is None else x.decode("utf-8", "replace") for x in lines], pa.string())], names=["path", "members", "torn", "line"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, members int, torn boolean, line string")
+
+
 def write_envelopes(df: DataFrame, root: str) -> None:
     """Append envelopes, gzip, in folders by the UTC date of `ts_utc` and the category."""
     df.withColumn("dt", F.substring("ts_utc", 1, 10)).write.mode("append").partitionBy("dt", "category").option("compression", "gzip").json(root)
@@ -93,24 +141,44 @@ def observations(envelopes: DataFrame, default: str = "NYC") -> DataFrame:
     return rows.select("station", F.when(good, epoch).alias("valid_ts"), F.trim(at("tmpf")).try_cast("double").alias("tmpf")).where("valid_ts is not null and tmpf is not null and not isnan(tmpf)")
 
 
+#: The format of the bulletins.
+BULLETIN_MARKS = "[\\x01\\x03]"
+BULLETIN_HEADER = r"(?m)(?=^CDUS41\s+KOKX\b)"
+BULLETIN_WORDS = ("CDUS41", "KOKX", "CLIMATE REPORT")
+BULLETIN_SUMMARY = r"(?i)CLIMATE SUMMARY FOR\s+([A-Z]+)\s+(\d{1,2})\s+(\d{4})"
+BULLETIN_MAXIMUM = r"(?im)^\s*MAXIMUM\s+(-?\d+|MM)\s+(\d{1,2}:?\d{0,2}\s*[AP]M)?"
+BULLETIN_ISSUED = r"(?i)(\d{3,4}\s+[AP]M\s+[A-Z]{3}\s+[A-Z]{3}\s+[A-Z]{3}\s+\d{1,2}\s+\d{4})"
+BULLETIN_COLUMN = r"(?i)VALUE\s+(\([^)]+\))"
+BULLETIN_SAME_DAY = ("(?i)VALID TODAY AS OF", r"(?is)TEMPERATURE \(F\).*?\n\s*TODAY\b")
+
+
+def products(envelopes: DataFrame) -> DataFrame:
+    """source_month and product of concatenated bulletins, split at control marks or at header lines; blank ones are none."""
+    text = F.regexp_replace("payload.text", "\r\n", "\n")
+    parts = F.when(text.rlike(BULLETIN_MARKS), F.split(text, BULLETIN_MARKS + "+")).otherwise(F.split(text, BULLETIN_HEADER))
+    return envelopes.select(F.col("payload.month").alias("source_month"), F.explode(parts).alias("product")).withColumn("product", F.trim("product")).where("product <> ''")
+
+
+def possibly_cut(envelopes: DataFrame, most: int) -> DataFrame:
+    """Products of each month's captures, and whether they reach what a request returns at most."""
+    return products(envelopes).groupBy("source_month").agg(F.count("*").alias("n"), (F.count("*") >= most).alias("maybe_cut"))
+
+
 def bulletins(envelopes: DataFrame) -> DataFrame:
-    """Label issuances out of concatenated bulletins, split at control marks or at header lines."""
+    """Label issuances out of concatenated bulletins."""
     from skyledger.functions import time
 
-    text = F.regexp_replace("payload.text", "\r\n", "\n")
-    marked = text.rlike("[\\x01\\x03]")
-    parts = F.when(marked, F.split(text, "[\\x01\\x03]+")).otherwise(F.split(text, r"(?m)(?=^CDUS41\s+KOKX\b)"))
-    rows = envelopes.select(F.col("payload.month").alias("source_month"), F.explode(parts).alias("product")).withColumn("product", F.trim("product"))
+    rows = products(envelopes)
     head = F.upper(F.substring("product", 1, 400))
-    rows = rows.where(head.contains("CDUS41") & head.contains("KOKX") & head.contains("CLIMATE REPORT"))
+    for word in BULLETIN_WORDS:
+        rows = rows.where(head.contains(word))
     ex = lambda pattern, i=1: F.regexp_extract("product", pattern, i)
-    summary = r"(?i)CLIMATE SUMMARY FOR\s+([A-Z]+)\s+(\d{1,2})\s+(\d{4})"
-    date = F.try_to_date(F.format_string("%s-%02d-%s", ex(summary, 3), time.month_number(ex(summary, 1)), F.lpad(ex(summary, 2), 2, "0")), "yyyy-MM-dd")
-    line = r"(?im)^\s*MAXIMUM\s+(-?\d+|MM)\s+(\d{1,2}:?\d{0,2}\s*[AP]M)?"
+    year, month, day = (ex(BULLETIN_SUMMARY, i) for i in (3, 1, 2))
+    date = F.try_to_date(F.format_string("%s-%02d-%s", year, time.month_number(month), F.lpad(day, 2, "0")), "yyyy-MM-dd")
     return rows.select(
-        time.issuance_epoch(ex(r"(?i)(\d{3,4}\s+[AP]M\s+[A-Z]{3}\s+[A-Z]{3}\s+[A-Z]{3}\s+\d{1,2}\s+\d{4})")).alias("issuance_ts"),
-        date.alias("climate_date"), ex(line).try_cast("int").alias("high_f"), F.trim(ex(line, 2)).alias("time_raw"), ex(r"(?i)VALUE\s+(\([^)]+\))").alias("time_col_label"),
-        (F.col("product").rlike("(?i)VALID TODAY AS OF") | F.col("product").rlike(r"(?is)TEMPERATURE \(F\).*?\n\s*TODAY\b")).alias("intermediate"), "source_month",
+        time.issuance_epoch(ex(BULLETIN_ISSUED)).alias("issuance_ts"),
+        date.alias("climate_date"), ex(BULLETIN_MAXIMUM).try_cast("int").alias("high_f"), F.trim(ex(BULLETIN_MAXIMUM, 2)).alias("time_raw"), ex(BULLETIN_COLUMN).alias("time_col_label"),
+        (F.col("product").rlike(BULLETIN_SAME_DAY[0]) | F.col("product").rlike(BULLETIN_SAME_DAY[1])).alias("intermediate"), "source_month",
     ).where("climate_date is not null")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skyledger.bindings import frame
@@ -11,6 +14,8 @@ from skyledger.registry import query
 from skyledger.sources import bronze
 
 COL = F.col
+#: Pages of a made capture; at the scales of the tests a page holds some tens of rows.
+PAGES = 64
 
 
 def envelope(rows, category, endpoint, payload, ts="end_ts"):
@@ -38,9 +43,33 @@ def snk_env(s, d):
     return landed(s, poll_envelopes(s, d), "polls").groupBy("dt").agg(F.count("*").alias("n"))
 
 
-@query("src_gz", "SELECT COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS ids FROM v_polls")
+def gzip_files(s, d):
+    """Capture files of 500 polls or fewer, four members each; of every third file the last member is torn in its last line."""
+    rows = frame(s, d, "SELECT event_id, endpoint, event_id {div} 500 AS file_id FROM v_polls")
+    line = F.to_json(F.struct("event_id", "endpoint"))
+    files = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("x")).select("file_id", F.col("x.line").alias("lines"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for file_id, lines in zip(batch.column("file_id").to_pylist(), batch.column("lines").to_pylist()):
+                cuts = [len(lines) * i // 4 for i in range(5)]
+                # A stored member holds its lines as they are, so a cut of a few bytes costs the last line.
+                members = [gzip.compress("".join(x + "\n" for x in lines[a:b]).encode(), 0 if i == 3 else 6) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+                out.append(b"".join(members)[: -12 if file_id % 3 == 0 else None])
+            yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in batch.column("file_id").to_pylist()], pa.string()), pa.array(out, pa.binary())], names=["path", "content"])
+
+    return files.mapInArrow(run, "path string, content binary")
+
+
+@query("src_gz", "SELECT file_id, file_id % 3 = 0 AS torn, COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS ids FROM (SELECT event_id, event_id {div} 500 AS file_id, ROW_NUMBER() OVER (PARTITION BY event_id {div} 500 ORDER BY event_id DESC) AS back FROM v_polls) x WHERE file_id % 3 <> 0 OR back > 1 GROUP BY 1, 2")
 def src_gz(s, d):
-    return landed(s, poll_envelopes(s, d), "polls").agg(F.count("*").alias("n"), F.sum("payload.event_id").alias("ids"))
+    """Concatenated members with torn tails; every complete line counts."""
+    path = bronze.scratch(s)
+    gzip_files(s, d).write.parquet(path)
+    lines = bronze.gzip_lines(s.read.parquet(path)).where("line is not null")
+    rows = lines.withColumn("r", F.from_json("line", "event_id bigint, endpoint string"))
+    return rows.groupBy(COL("path").cast("long").alias("file_id"), "torn").agg(F.count("*").alias("n"), F.sum("r.event_id").alias("ids"))
 
 
 def market_rows(s, d):
@@ -48,13 +77,18 @@ def market_rows(s, d):
     return frame(s, d, "SELECT ticker, day, CASE WHEN k = 1 AND user_id % 2 = 0 THEN 'closed' ELSE 'open' END AS status, market_volume + k AS vol, day * 86400 + 3600 * k AS end_ts FROM v_markets CROSS JOIN (VALUES (0), (1)) k(k)")
 
 
+def paged(key: str):
+    """A page number by hash: captures come in pages, so no page grows with its day."""
+    return F.pmod(F.xxhash64(key), F.lit(PAGES)).alias("page")
+
+
 def market_struct():
     return F.struct("ticker", "status", F.lit(None).cast("string").alias("open_time"), F.lit(None).cast("string").alias("close_time"), COL("vol").cast("string").alias("volume_fp"))
 
 
 @query("src_mkt", "SELECT ticker, CASE WHEN user_id % 2 = 0 THEN 'closed' ELSE 'open' END AS status, CAST(market_volume + 1 AS DOUBLE) AS volume_fp FROM v_markets")
 def src_mkt(s, d):
-    pages = market_rows(s, d).groupBy("day", "end_ts").agg(F.collect_list(market_struct()).alias("markets"))
+    pages = market_rows(s, d).groupBy("day", "end_ts", paged("ticker")).agg(F.collect_list(market_struct()).alias("markets"))
     rows = envelope(pages, "markets_history", F.lit("/markets"), F.struct("markets", F.lit("").alias("cursor")))
     return rounded(bronze.latest_markets(landed(s, rows, "markets_history")).select("ticker", "status", "volume_fp"))
 
@@ -63,7 +97,7 @@ def src_mkt(s, d):
 def src_meta(s, d):
     """Early captures list markets, later ones hold a single market."""
     rows = market_rows(s, d)
-    first = rows.where("end_ts % 86400 = 0").groupBy("day", "end_ts").agg(F.collect_list(market_struct()).alias("markets"))
+    first = rows.where("end_ts % 86400 = 0").groupBy("day", "end_ts", paged("ticker")).agg(F.collect_list(market_struct()).alias("markets"))
     none = F.lit(None).cast(bronze.MARKET)
     a = envelope(first, "markets", F.lit("/markets"), F.struct("markets", none.alias("market")))
     b = envelope(rows.where("end_ts % 86400 > 0"), "markets", F.lit("/markets/x"), F.struct(F.lit(None).cast(f"array<{bronze.MARKET}>").alias("markets"), market_struct().alias("market")))
@@ -127,15 +161,15 @@ def src_obs(s, d):
     rows = frame(s, d, "v_obs")
     stamp = F.regexp_replace(F.substring(bronze.utc_text(COL("valid_ts")), 1, 16), "T", " ")
     line = F.concat_ws(",", "station", stamp, F.coalesce(F.format_number("tmpf", 1), F.lit("M")))
-    pages = rows.groupBy("station", "day").agg(F.concat_ws("\n", F.lit("station,valid,tmpf"), F.array_join(F.collect_list(line), "\n")).alias("text"), F.max("valid_ts").alias("end_ts"))
+    pages = rows.groupBy("station", "day", paged("event_id")).agg(F.concat_ws("\n", F.lit("station,valid,tmpf"), F.array_join(F.collect_list(line), "\n")).alias("text"), F.max("valid_ts").alias("end_ts"))
     return rounded(bronze.observations(landed(s, envelope(pages, "asos_obs", F.lit("asos"), F.struct("station", "text")), "asos_obs")))
 
 
-BUL = "SELECT day, climate_date, n, mn, mn % 3 = 0 AS inter FROM v_days WHERE day % 5 = 0"
+BUL = "SELECT day, climate_date, n, mn, mn % 3 = 0 AS inter FROM v_days"
 
 
-@query("src_bul", f"SELECT climate_date, CAST(CASE WHEN mn % 10 = 0 THEN NULL ELSE 40 + mn % 50 END AS BIGINT) AS high_f, CASE WHEN mn % 10 = 0 THEN '' ELSE '455 PM' END AS time_raw, inter AS intermediate, day * 86400 + 9 * 3600 + 1200 + 86400 AS naive_ts FROM ({BUL}) x")
-def src_bul(s, d):
+def bulletin_envelopes(s, d):
+    """Captures of 30 days, each day's bulletin in them one after another."""
     rows = frame(s, d, BUL)
     date = F.date_from_unix_date(COL("day").cast("int"))
     names = F.array(*[F.lit(m) for m in ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")])
@@ -148,13 +182,24 @@ def src_bul(s, d):
         F.when(COL("mn") % 10 == 0, F.lit("MM \n")).otherwise(F.concat((COL("mn") % 50 + 40).cast("string"), F.lit("    455 PM 99\n"))),
     )
     pages = rows.withColumn("text", text).groupBy(F.floor(COL("day") / 30).alias("m")).agg(F.array_join(F.collect_list("text"), "\n").alias("text"), F.max(COL("day") * 86400).alias("end_ts"))
-    out = bronze.bulletins(landed(s, envelope(pages, "cli", F.lit("cli"), F.struct("text", COL("m").cast("string").alias("month"))), "cli"))
+    return envelope(pages, "cli", F.lit("cli"), F.struct("text", COL("m").cast("string").alias("month")))
+
+
+@query("src_bul", f"SELECT climate_date, CAST(CASE WHEN mn % 10 = 0 THEN NULL ELSE 40 + mn % 50 END AS BIGINT) AS high_f, CASE WHEN mn % 10 = 0 THEN '' ELSE '455 PM' END AS time_raw, inter AS intermediate, day * 86400 + 9 * 3600 + 1200 + 86400 AS naive_ts FROM ({BUL}) x")
+def src_bul(s, d):
+    out = bronze.bulletins(landed(s, bulletin_envelopes(s, d), "cli"))
     # The printed zone is New York's; its offset is put back for the comparison.
     from skyledger.functions.time import civil_offset
 
     return rounded(out.select("climate_date", "high_f", "time_raw", "intermediate", (COL("issuance_ts") + civil_offset(COL("issuance_ts"))).alias("naive_ts")))
 
 
+@query("gate_cap", "SELECT CAST(day {div} 30 AS {str}) AS source_month, COUNT(*) AS n, COUNT(*) >= 30 AS maybe_cut FROM v_days GROUP BY 1")
+def gate_cap(s, d):
+    """Of each month's captured text the products, against a limit of 30 a request."""
+    return bronze.possibly_cut(landed(s, bulletin_envelopes(s, d), "cli"), 30)
+
+
 @query("prj_nws", f"SELECT day, naive_ts FROM (SELECT day, day * 86400 + 9 * 3600 + 1200 AS naive_ts FROM ({BUL}) x) y")
 def prj_nws(s, d):
     from skyledger.functions import time
@@ -232,15 +277,15 @@ def src_poll(s, d):
     return rounded(rows.groupBy("endpoint").agg(F.count("*").alias("n"), F.avg("latency_ms").alias("mean_ms")))
 
 
-@query("src_pm", "SELECT CAST(n_nationkey % 5 AS BIGINT) AS ev, n_name AS slug FROM nation WHERE n_nationkey % 7 <> 0")
+@query("src_pm", "SELECT CAST(p_partkey {div} 20 AS BIGINT) AS ev, p_name AS slug, p_partkey AS k FROM part WHERE p_partkey % 7 <> 0")
 def src_pm(s, d):
     """Second-venue events with nested markets, exploded and filtered to open ones."""
-    rows = frame(s, d, "SELECT n_nationkey % 5 AS ev, n_name AS slug, n_nationkey % 7 = 0 AS closed, n_nationkey AS k FROM nation")
-    pages = rows.groupBy("ev").agg(F.collect_list(F.struct("slug", "closed")).alias("markets"), (F.max("k") * 86400).cast("long").alias("end_ts"))
+    rows = frame(s, d, "SELECT p_partkey {div} 20 AS ev, p_name AS slug, p_partkey % 7 = 0 AS closed, p_partkey AS k FROM part")
+    pages = rows.groupBy("ev").agg(F.collect_list(F.struct("slug", "closed", "k")).alias("markets"), (F.max("k") % 30 * 86400).cast("long").alias("end_ts"))
     path = bronze.scratch(s)
     bronze.write_envelopes(envelope(pages, "pm", F.lit("/events"), F.struct("ev", "markets")), path)
-    found = bronze.read_envelopes(s, path, "pm", payload="struct<ev:bigint,markets:array<struct<slug:string,closed:boolean>>>")
-    return found.select("payload.ev", F.explode("payload.markets").alias("m")).where("not m.closed").select("ev", "m.slug")
+    found = bronze.read_envelopes(s, path, "pm", payload="struct<ev:bigint,markets:array<struct<slug:string,closed:boolean,k:bigint>>>")
+    return found.select("payload.ev", F.explode("payload.markets").alias("m")).where("not m.closed").select("ev", "m.slug", "m.k")
 
 
 @query("snk_rep", "SELECT COUNT(*) AS n, COUNT(CASE WHEN stale THEN 1 END) AS n_stale FROM v_snapshots")

@@ -19,7 +19,7 @@ def land(s, *parts):
     path = scratch(s)
     for part in parts:
         part.write.mode("append").parquet(path)
-    return path, parts[0]._jdf.schema().toDDL()
+    return path, parts[0].schema
 
 
 @query("str_hb", HB.replace("{w}", ""))
@@ -70,19 +70,21 @@ def str_book(s, d):
 def str_avail(s, d):
     rows = frame(s, d, "SELECT source, nominal_ts, CAST(fhour AS BIGINT) AS fhour, event_id AS probe_id, probe_ts, CAST(http_status AS BIGINT) AS http_status, modified_ts FROM v_watch")
     path, schema = land(s, rows.where("probe_ts < 1705500000"), rows.where("probe_ts >= 1705500000"))
-    return rounded(streams.run_latest(s, streams.availability(streams.landed(s, path, schema)), ["source", "nominal_ts", "fhour"]))
+    return rounded(streams.latest_updates(s, streams.availability(streams.landed(s, path, schema)), ["source", "nominal_ts", "fhour"], scratch(s), scratch(s)))
 
 
-SWEEP = "SELECT DISTINCT day - 19733 AS sweep, day <> 19735 AS complete, user_id FROM v_raw WHERE day BETWEEN 19733 AND 19737"
+SWEEP = "SELECT DISTINCT day AS sweep, day % 7 <> 3 AS complete, user_id FROM v_raw"
 
 
-@query("str_open", "SELECT b.nxt AS sweep, a.user_id FROM (SELECT DISTINCT day, user_id FROM v_raw) a JOIN (VALUES (19733, 19734), (19734, 19736), (19736, 19737)) p(day, nd) ON p.day = a.day JOIN (VALUES (19734, 1), (19736, 3), (19737, 4)) b(day, nxt0) ON b.day = p.nd CROSS JOIN LATERAL (SELECT CAST(b.nxt0 AS BIGINT) AS nxt) b2 WHERE NOT EXISTS (SELECT 1 FROM v_raw c WHERE c.day = p.nd AND c.user_id = a.user_id)".replace("b.nxt AS sweep", "b2.nxt AS sweep"))
+@query("str_open", "SELECT n.nd AS sweep, a.user_id FROM (SELECT DISTINCT day, user_id FROM v_raw) a JOIN (SELECT day, LEAD(day) OVER (ORDER BY day) AS nd FROM (SELECT DISTINCT day FROM v_raw WHERE day % 7 <> 3) d) n ON n.day = a.day WHERE n.nd IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_raw c WHERE c.day = n.nd AND c.user_id = a.user_id)")
 def str_open(s, d):
-    """Sweeps of five days, one of them cut short; what is gone at the next complete one is dropped."""
+    """A sweep each day, some cut short, landed in two parts with a restart between; what is gone at the next complete one is dropped."""
     rows = frame(s, d, SWEEP)
-    path, schema = land(s, rows.coalesce(1))
-    gone, _ = streams.run_open_set(s, streams.landed(s, path, schema), "user_id")
-    return gone.select(COL("sweep").cast("long").alias("sweep"), "user_id")
+    root, path = scratch(s), scratch(s)
+    for part in (rows.where("sweep < 19745"), rows.where("sweep >= 19745")):
+        part.repartition("sweep").write.mode("append").parquet(path)
+        gone, _ = streams.run_open_set(s, streams.landed(s, path, rows.schema), root, "user_id")
+    return gone.select("sweep", "user_id")
 
 
 @query("str_lad", "SELECT user_id, event_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY end_ts DESC, event_id DESC) AS rn FROM v_raw) x WHERE rn = 1")
@@ -93,7 +95,7 @@ def str_lad(s, d):
     out = scratch(s)
 
     def step(df, n):
-        df.groupBy("user_id").agg(F.max(F.struct("end_ts", "event_id")).alias("m")).select("user_id", "m.*").write.mode("append").parquet(out)
+        streams.put_batch(df.groupBy("user_id").agg(F.max(F.struct("end_ts", "event_id")).alias("m")).select("user_id", "m.*"), out, n)
 
     streams.each_batch(streams.landed(s, path, schema, 2), step, scratch(s), "append")
     return s.read.parquet(out).groupBy("user_id").agg(F.max(F.struct("end_ts", "event_id")).alias("m")).select("user_id", "m.event_id")

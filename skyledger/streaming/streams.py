@@ -1,6 +1,11 @@
 """Streams over landed captures.  Each has a batch twin; run to the end of what has landed, both give the same rows.
 
-Results go to Parquet through checkpointed sinks, so a restart neither loses nor repeats a row.
+Results go to Parquet through checkpointed sinks.  Sinks that write batch by batch keep a folder for each
+batch id and replace it, so a batch that is tried again after a failure leaves its rows once.
+
+Rows of a key are put in order within a batch; over batches they are taken as they land, so captures have to
+land in the order of time, as pollers write them.  The state of a key is one row and never expires: keys are
+markets and watched files, which are few against the rows.
 """
 
 from __future__ import annotations
@@ -8,14 +13,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from skyledger.sources.bronze import scratch
 
 
-def landed(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
+def landed(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -31,6 +37,25 @@ def each_batch(stream: DataFrame, f: Callable[[DataFrame, int], None], checkpoin
     stream.writeStream.outputMode(mode).foreachBatch(f).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def put_batch(df: DataFrame, out: str, n: int) -> None:
+    """The rows of batch n; those of an earlier try are replaced."""
+    df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+
+def batches(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+    """What `put_batch` has written, with the number of the batch; no rows where nothing has."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out}/batch=-1")
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(out)
+
+
+def latest_updates(spark: SparkSession, updates: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+    """The last update of each key, of all calls so far with this table and checkpoint."""
+    each_batch(updates, lambda df, n: put_batch(df, out, n), checkpoint)
+    rows = batches(spark, out, updates.schema)
+    values = [c for c in updates.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
+
+
 def heartbeat(polls: DataFrame, late: str = "2 hours") -> DataFrame:
     """Attempts and failures by hour and endpoint; hours later than the watermark are closed."""
     rows = polls.withColumn("ts", F.timestamp_seconds("end_ts")).withWatermark("ts", late)
@@ -38,12 +63,9 @@ def heartbeat(polls: DataFrame, late: str = "2 hours") -> DataFrame:
     return hours.select(F.unix_seconds("w.start").alias("hour_ts"), "endpoint", "attempts", "failures")
 
 
-def run_heartbeat(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def run_heartbeat(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """The heartbeat table, each hour as its last update left it."""
-    out = scratch(spark)
-    each_batch(heartbeat(landed(spark, path, schema)), lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out), scratch(spark))
-    rows = spark.read.parquet(out)
-    return rows.groupBy("hour_ts", "endpoint").agg(F.max_by(F.struct("attempts", "failures"), "batch").alias("r")).select("hour_ts", "endpoint", "r.*")
+    return latest_updates(spark, heartbeat(landed(spark, path, schema)), ["hour_ts", "endpoint"], scratch(spark), scratch(spark))
 
 
 def deduplicated(trades: DataFrame, key: str = "trade_id", late: str = "40 days") -> DataFrame:
@@ -92,32 +114,37 @@ def availability(probes: DataFrame) -> DataFrame:
     )
 
 
-def run_latest(spark: SparkSession, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """The last update of each key."""
-    out = scratch(spark)
-    each_batch(updates, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out), scratch(spark))
-    rows = spark.read.parquet(out)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
+def sweep_step(before: DataFrame, now: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Of complete sweeps (sweep, key) and those of a new batch: what drops out at each next sweep, and the last sweep."""
+    rows = before.unionByName(now).distinct()
+    sweeps = rows.select("sweep").distinct()  # a row for each sweep of the batch
+    order = Window.partitionBy(F.lit(0)).orderBy("sweep")
+    following = sweeps.withColumn("next", F.lead("sweep").over(order))
+    gone = rows.join(following, "sweep").where("next is not null").select(F.col("next").alias("sweep"), key)
+    last = following.where("next is null").select("sweep")
+    return gone.join(rows, ["sweep", key], "left_anti"), rows.join(last, "sweep", "left_semi")
 
 
-def run_open_set(spark: SparkSession, sweeps: DataFrame, key: str = "ticker") -> tuple[DataFrame, DataFrame]:
-    """Batches are sweeps (sweep, complete, key): dropped (sweep, key) markets, and the set open after the last.
+def run_open_set(spark: SparkSession, sweeps: DataFrame, root: str, key: str = "ticker") -> tuple[DataFrame, DataFrame]:
+    """Dropped (sweep, key) markets of all sweeps so far, and the set (sweep, key) open after the last.
 
-    A sweep that is not complete changes nothing, as its missing markets may only not have been asked for.
+    `sweeps` streams (sweep, complete, key) rows; a sweep lands at once.  A sweep that is not complete changes
+    nothing, as its missing markets may only not have been asked for.  Everything is kept under `root`: another
+    call with the same root, in this process or a later one, goes on after the last batch, from the set that
+    the batch before left.  The first sweep opens markets and drops none.
     """
-    root = scratch(spark)
+    rows = StructType([f for f in sweeps.schema.fields if f.name in ("sweep", key)])
     state, gone = f"{root}/open", f"{root}/dropped"
-    seen = {"n": 0}
 
     def step(df: DataFrame, n: int) -> None:
-        for (sweep,) in df.where("complete").select("sweep").distinct().orderBy("sweep").collect():  # the sweeps' numbers, a few a batch
-            now = df.where(F.col("complete") & (F.col("sweep") == sweep)).select(key).distinct()
-            before = spark.read.schema(now.schema).parquet(f"{state}/{seen['n']}") if seen["n"] else None
-            if before is not None:
-                before.join(now, key, "left_anti").withColumn("sweep", F.lit(sweep)).write.mode("append").parquet(gone)
-            seen["n"] += 1
-            now.write.mode("overwrite").parquet(f"{state}/{seen['n']}")
-
-    each_batch(sweeps, step, scratch(spark), "append")
-    return spark.read.parquet(gone), spark.read.parquet(f"{state}/{seen['n']}")
+        kept = batches(df.sparkSession, state, rows).where(F.col("batch") < n)
+        newest = kept.agg(F.max("batch").alias("batch"))  # one row
+        before = kept.join(newest, "batch", "left_semi").select("sweep", key)
+        dropped, last = sweep_step(before, df.where("complete").select("sweep", key), key)
+        put_batch(dropped.select("sweep", key), gone, n)
+        put_batch(last.select("sweep", key), state, n)
+
+    each_batch(sweeps.select("sweep", "complete", key), step, f"{root}/checkpoint", "append")
+    kept = batches(spark, state, rows)
+    newest = kept.agg(F.max("batch").alias("batch"))
+    return batches(spark, gone, rows).drop("batch"), kept.join(newest, "batch", "left_semi").select("sweep", key)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyledger.functions import book, price, text, time, weather
-from skyledger.operators.ordered import asof_backward, change_points, changes, islands, latest, missing, stratified
+from skyledger.operators.ordered import asof_backward, change_points, changes, gaps, islands, latest, missing, stratified
 from skyledger.plans import forecast, market, structure
 from skyledger.sources import bronze
 
@@ -115,6 +115,21 @@ def test_asof_against_brute_force(spark):
     assert {r["found"]["v"] for r in asof_backward(left.where("k = 'a' and t = 9"), right, ["k"], "t", "ts").collect()} == {2}
 
 
+def test_spans_change_nothing(spark):
+    """Cutting a hot key's sequence into spans of seconds gives what the whole sequence gives."""
+    import random
+
+    rng = random.Random(3)
+    make = lambda n: [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(400), rng.choice([1, 2, None])) for _ in range(n)]
+    left, right = (spark.createDataFrame(list({(k, t): (k, t, v) for k, t, v in make(n)}.values()), "k string, t long, v long") for n in (120, 80))
+    same = lambda x, y: sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    for every in (7, 60, 1000):
+        for strict in (False, True):
+            assert same(asof_backward(left, right, ["k"], "t", "t", strict), asof_backward(left, right, ["k"], "t", "t", strict, every=every))
+        assert same(gaps(left, ["k"], "t"), gaps(left, ["k"], "t", every))
+        assert same(changes(left, ["k"], ["t"], ["v"]), changes(left, ["k"], ["t"], ["v"], every))
+
+
 def test_sequences(spark):
     daily = spark.createDataFrame([(i, v) for i, v in enumerate("aabba")], "d long, v string")
     got = [tuple(r) for r in change_points(daily, "d", "v").orderBy("first_date_after").collect()]
@@ -170,3 +185,64 @@ def test_plain_tree_with_torn_tail(spark, tmp_path):
     rows = bronze.observations(bronze.read_envelopes(spark, str(tmp_path), "asos_obs", layout="plain"))
     got = {(r["station"], r["valid_ts"], r["tmpf"]) for r in rows.collect()}
     assert got == {("LGA", 1720140660, 80.0)}
+
+
+def test_gzip_members_and_torn_tails(spark):
+    line = lambda i: json.dumps({"i": i}) + "\n"
+    member = lambda a, b, level=6: gzip.compress("".join(map(line, range(a, b))).encode(), level)
+    files = [
+        ("whole", member(0, 3) + member(3, 5)),
+        ("torn", member(0, 3) + member(3, 6, 0)[:-12]),
+        ("junk", member(0, 2) + b"\x00\x01"),
+        ("none", b""),
+        ("header", member(0, 1)[:5]),
+    ]
+    rows = bronze.gzip_lines(spark.createDataFrame(files, "path string, content binary")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r["path"], r["members"], r["torn"]), []).append(r["line"] and json.loads(r["line"])["i"])
+    assert got == {("whole", 2, False): [0, 1, 2, 3, 4], ("torn", 1, True): [0, 1, 2, 3, 4], ("junk", 1, True): [0, 1], ("none", 0, False): [None], ("header", 0, True): [None]}
+
+
+def test_products_and_limits(spark):
+    text = "CDUS41 KOKX 1\nCLIMATE REPORT\nCDUS41 KOKX 2\nx"
+    pages = spark.createDataFrame([(("%s" % text, "2024-01"),), (("a\x01b\x03\x01 \x03c", "2024-02"),), ((None, "2024-03"),)], "payload struct<text:string,month:string>")
+    assert {(r["source_month"], r["n"], r["maybe_cut"]) for r in bronze.possibly_cut(pages, 3).collect()} == {("2024-01", 2, False), ("2024-02", 3, True)}
+
+
+def test_nearest_cell_anywhere(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    place = lambda: (math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 540))
+    cells = [(i, *place()) for i in range(40)] + [(40, 90.0, 0.0), (41, -90.0, 77.0), (42, 10.0, 179.99), (43, 10.0, 179.99)]
+    points = [(f"p{i}", *place()) for i in range(30)] + [("pole", 89.9, 100.0), ("line", 10.0, -179.99), ("far", 0.0, 0.0)]
+
+    def km(a, b, c, d):
+        x = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * weather.EARTH_KM * math.asin(min(1, math.sqrt(x)))
+
+    p, c = spark.createDataFrame(points, "name string, lat double, lon double"), spark.createDataFrame(cells, "cell long, cell_lat double, cell_lon double")
+    got = {r["name"]: (r["cell"], round(r["km"], 3)) for r in forecast.nearest(p, c).collect()}
+    want = {n: min((round(km(a, b, x, y), 9), i) for i, x, y in cells) for n, a, b in points}
+    assert got == {n: (i, round(d, 3)) for n, (d, i) in want.items()}
+    far = forecast.nearest(p.where("name = 'far'"), c.where("cell in (40, 41)")).first()
+    assert far["cell"] in (40, 41) and round(far["km"]) == 10008
+    assert forecast.nearest(p, c.limit(0)).count() == 0 and forecast.nearest(p.limit(0), c).count() == 0
+
+
+def test_spines(spark):
+    span = spark.createDataFrame([(19722, 19724)], "a long, b long")  # 2023-12-31 to 2024-01-02
+    at = lambda df: [r["at"] for r in df.orderBy("at").collect()]
+    assert at(forecast.day_spine(span)) == [19722, 19723, 19724]
+    assert at(forecast.month_spine(span)) == [2023 * 12 + 11, 2024 * 12]
+    assert at(forecast.minute_spine(spark.createDataFrame([(59, 121)], "a long, b long"))) == [0, 60, 120]
+    assert at(forecast.cycle_spine(span, 2)) == [19723 * 86400, 19723 * 86400 + 43200, 19724 * 86400, 19724 * 86400 + 43200]
+    assert at(forecast.sample_days(span, 3, first=19723, end=19724)) == [19723] and at(forecast.sample_days(span, 3, first=19725)) == []
+
+
+def test_current_and_next(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 5), ("a", 7), ("a", 9), ("b", 1), ("b", 2), ("b", 3), ("c", 1), ("d", 8)], "k string, t long")
+    got = {(r["k"], r["t"], r["rn"]) for r in forecast.current_and_next(rows, "k", F.col("t") >= 5, ["t"]).collect()}
+    assert got == {("a", 5, 1), ("a", 7, 2), ("b", 2, 1), ("b", 3, 2), ("c", 1, 1), ("d", 8, 1)}
