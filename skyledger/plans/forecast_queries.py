@@ -205,7 +205,7 @@ SPINES = {
 }
 
 
-@query("jn_spine", " UNION ALL ".join(f"SELECT '{kind}' AS kind, CAST(at AS BIGINT) AS v FROM ({sql}) z" for kind, sql in SPINES.items()))
+@query("jn_spine", " UNION ALL ".join(f"SELECT '{kind}' AS kind, CAST(v AS BIGINT) AS place FROM ({sql}) z" for kind, sql in SPINES.items()))
 def jn_spine(s, d):
     """Days, months and minutes over the data's span, the last twelve days' cycles and the last twenty days."""
     span = frame(s, d, LIMITS)
