@@ -129,8 +129,10 @@ def test_near_duplicates_of_every_length_and_kind_of_edit(spark):
     assert [got[i] for i in range(len(texts))] == five_word_classes(texts)
 
 
-def test_near_duplicates_of_large_groups(spark):
+@pytest.mark.parametrize("sent_bits", [neardup.SENT_BITS, 0])
+def test_near_duplicates_of_large_groups(spark, monkeypatch, sent_bits):
     """Chains of copies of copies: most are alike to a few of their group only, and unlike its middle."""
+    monkeypatch.setattr(neardup, "SENT_BITS", sent_bits)
     rng = random.Random(9)
     texts = []
     for _ in range(3):
@@ -144,6 +146,17 @@ def test_near_duplicates_of_large_groups(spark):
     assert [got[i] for i in range(len(texts))] == five_word_classes(texts)
 
 
+def test_parities_tell_pairs_apart():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in rng.integers(1, 900, 40)]
+    bits = [neardup.parity(x) for x in sets]
+    many = neardup.Parities(np.arange(40)[::-1].copy(), bits[::-1])
+    for i in range(40):
+        got = many.differing(int(many.at(np.array([i]))[0]), many.at(np.arange(40)))
+        assert got.tolist() == [neardup.differing(bits[i], y) for y in bits]
+        assert all(d <= len(np.setxor1d(sets[i], y)) for d, y in zip(got, sets))
+
+
 # 2
 
 def test_language_held_out_accuracy(spark):
