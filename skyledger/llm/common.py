@@ -48,14 +48,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As checkpoint, but as Parquet: smaller, and read column by column."""
+def stored(df: DataFrame, outer: bool = False) -> DataFrame:
+    """As checkpoint, but as Parquet: smaller, and read column by column.  `outer`: it outlives the scope it is stored in."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append((path, schema))
+    if len(_scopes) > outer:
+        _scopes[-1 - outer].append((path, schema))
     return spark.read.schema(schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.common import among, blocks, mix, shuffle_partitions, stored, text_bytes
+from skyledger.llm.common import among, blocks, mix, scope, shuffle_partitions, stored, text_bytes
 
 ORDER = 5
 #: Bytes of text that ask for their n-grams together, about, and of text that is packed at a time.
@@ -40,6 +40,8 @@ ENOUGH = 50
 QUANTILE = 0.995
 #: Different n-grams that a task counts before it hands them on.
 COUNTED = 400_000
+#: How hard packed texts are compressed.
+ZSTD_LEVEL = 5
 #: Hashes of a batch that is asked.
 ASKED = 1 << 16
 START = 2
@@ -160,7 +162,12 @@ def hashed(model: DataFrame) -> DataFrame:
 
 def train(texts: DataFrame) -> DataFrame | None:
     """The model: h (the hash of a gram, or of a context), p (a gram's log probability) and w (the log weight
-    that a context leaves to the order below); h = 0 is any unknown character.  None without any text."""
+    that a context leaves to the order below), as floats; h = 0 is any unknown character.  None without any text."""
+    with scope(texts.sparkSession):
+        return trained(texts)
+
+
+def trained(texts: DataFrame) -> DataFrame | None:
     levels = {ORDER: stored(count_grams(texts))}
     for k in range(ORDER - 1, 0, -1):
         levels[k] = stored(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
@@ -186,7 +193,8 @@ def train(texts: DataFrame) -> DataFrame | None:
     model = parts[0]
     for part in parts[1:]:
         model = model.unionByName(part)
-    return stored(hashed(model.groupBy("gram").agg(F.max("p").alias("p"), F.max("w").alias("w"))))
+    model = hashed(model.groupBy("gram").agg(F.max("p").alias("p"), F.max("w").alias("w")))
+    return stored(model.select("h", F.col("p").cast("float").alias("p"), F.col("w").cast("float").alias("w")), outer=True)
 
 
 class Lookup:
@@ -242,7 +250,7 @@ def packed(texts: DataFrame, n_blocks: int) -> DataFrame:
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             own = rows.select(names).take(pa.array(order[a:b])).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD_LEVEL))) as writer:
                 writer.write_table(own)
             found.append(int(block[order[a]]))
             data.append(sink.getvalue().to_pybytes())

@@ -277,7 +277,7 @@ def test_kneser_ney_is_the_dictionaries(spark):
     model = kneser_ney.train(rows.where(F.col("id").isin(trusted)))
     for block_text in (1 << 20, 200):
         got = {r["id"]: r["perplexity"] for r in kneser_ney.perplexities(rows, model, block_text).collect()}
-        assert [got[i] for i in range(len(texts))] == [x if x is None else pytest.approx(x, rel=1e-9) for x in want]
+        assert [got[i] for i in range(len(texts))] == [x if x is None else pytest.approx(x, rel=1e-5) for x in want]
     for context in ("", "a", "ab", "\x02\x02\x02\x02", "abcd", "zzz"):
         assert sum(p(context + c) for c in chars) + p(context + "?") == pytest.approx(1)
 
