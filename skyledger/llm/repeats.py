@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import blocks, rolling, shuffle_partitions, span_hashes, stored, text_bytes, word_spans
@@ -319,21 +319,9 @@ def repeat_spans(found: DataFrame, search: Callable, units: Units) -> DataFrame:
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
-    """doc, a and b of the windows (key, doc, start, stop, payload: their digest) that are not the first of their digest."""
-    n = shuffle_partitions(windows.sparkSession)
-
-    def run(batches):
-        at, digests = None, set()
-        for batch in batches:
-            later = []
-            for key, digest in zip(batch.column("key").to_pylist(), batch.column("payload").to_pylist()):
-                if key != at:
-                    at, digests = key, set()
-                later.append(digest in digests)
-                digests.add(digest)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(later)) for c in ("doc", "start", "stop")], names=["doc", "a", "b"])
-
-    return windows.repartition(n, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(run, "doc long, a int, b int")
+    """doc, a and b of the windows (doc, start, stop, payload: their digest) that are not the first of their digest."""
+    place = F.rank().over(Window.partitionBy("payload").orderBy("doc", "start"))
+    return windows.withColumn("place", place).where("place > 1").select("doc", F.col("start").alias("a"), F.col("stop").alias("b"))
 
 
 def told_apart(texts: DataFrame) -> DataFrame:
