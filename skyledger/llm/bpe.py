@@ -53,15 +53,15 @@ def char_kinds() -> np.ndarray:
     return _kinds[0]
 
 
-def piece_starts(chars: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+def piece_starts(chars: np.ndarray, firsts: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
     """Where the matches of the split pattern begin, over the code points of texts laid end to end.
 
-    firsts: where the texts begin.  The pattern is public_tokenizers.PATTERN: contractions, runs of
+    firsts: where the texts begin; kinds: of all code points, `char_kinds` if not given.  The pattern is public_tokenizers.PATTERN: contractions, runs of
     letters, numbers or other signs with one blank before them, and white space of which the last
     character before a sign stands alone or joins it.  Whatever the texts, the matches cover them.
     """
     n = len(chars)
-    kinds = char_kinds()[chars]
+    kinds = (char_kinds() if kinds is None else kinds)[chars]
     edge = np.zeros(n + 1, dtype=bool)
     edge[firsts] = True
     edge[n] = True

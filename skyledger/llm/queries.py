@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, decontaminate, kneser_ney, langid, rules, sharding, simhash, substring, suffix_array, urls
+from skyledger.llm import bpe, decontaminate, kneser_ney, langid, prefix_bpe, rules, sharding, simhash, substring, suffix_array, urls
 from skyledger.llm.common import table
 
 
@@ -15,6 +15,12 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def merge_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,6 +65,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.token_digests(table(spark, sf_dir, "documents"), merge_file())
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -70,6 +80,7 @@ QUERIES = {
     "op7_suffix_automaton": op7_suffix_automaton,
     "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
+    "op12_prefix_bpe": op12_prefix_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
