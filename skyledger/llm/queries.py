@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, decontaminate, kneser_ney, langid, prefix_bpe, rules, sharding, simhash, substring, suffix_array, urls
+from skyledger.llm import align, bpe, decontaminate, kneser_ney, langid, prefix_bpe, rules, sharding, simhash, substring, suffix_array, urls
 from skyledger.llm.common import table
 
 
@@ -21,6 +21,12 @@ def merge_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -65,6 +71,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), merge_file(), piece_file())
+
+
 def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.token_digests(table(spark, sf_dir, "documents"), merge_file())
 
@@ -80,6 +90,7 @@ QUERIES = {
     "op7_suffix_automaton": op7_suffix_automaton,
     "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
+    "op11_alignment": op11_alignment,
     "op12_prefix_bpe": op12_prefix_bpe,
 }
 
