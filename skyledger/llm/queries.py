@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import align, bpe, decontaminate, kneser_ney, langid, prefix_bpe, rules, sharding, simhash, substring, suffix_array, urls
+from skyledger.llm import align, bpe, decontaminate, kneser_ney, langid, negatives, prefix_bpe, rules, sharding, simhash, substring, suffix_array, urls
 from skyledger.llm.common import table
 
 
@@ -79,6 +79,12 @@ def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.token_digests(table(spark, sf_dir, "documents"), merge_file())
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -92,6 +98,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op11_alignment": op11_alignment,
     "op12_prefix_bpe": op12_prefix_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {}
