@@ -26,16 +26,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import blocks, rolling, shuffle_partitions, span_hashes, stored, text_bytes, word_spans
+from skyledger.llm.common import blocks, rolling, shuffle_partitions, small, span_hashes, stored, text_bytes, word_spans
 
 SINGLE, WITNESS, REPEATED = 0, 1, 2
 #: Bytes of text within which anchors that repeat are known before the shuffle.
 ANCHOR_BYTES = 2 << 20
-#: Occurrences of an anchor beyond which its regions are compared window by window, and so many such anchors at most, the most frequent.
-HOT, MOST_HOT = 2_000, 1 << 20
+#: Occurrences of an anchor beyond which its regions are compared window by window.
+HOT = 2_000
+#: Regions whose least places a task remembers.
+SEEN = 1 << 18
 #: Rows of a batch that is handed on.
 READY = 20_000
 #: A region, one of a hot anchor, a window of such a region.
@@ -175,10 +177,9 @@ def repeated(found: DataFrame, hot: int) -> DataFrame:
     return found.repartition(n, dealt).sortWithinPartitions("anchor").mapInArrow(run, "doc long, place int, n long")
 
 
-def hot_anchors(hits: DataFrame) -> np.ndarray:
-    """The anchors that `repeated` found to be hot, MOST_HOT at most."""
-    rows = hits.where("place < 0").orderBy(F.desc("n"), "doc").limit(MOST_HOT).select("doc").toArrow()
-    return rows.column("doc").to_numpy()
+def hot_anchors(hits: DataFrame) -> DataFrame:
+    """The anchors (hot) that `repeated` found to be hot."""
+    return hits.where("place < 0").groupBy(F.col("doc").alias("hot")).agg(F.max("n").alias("n")).select("hot")
 
 
 def reach(hashes: np.ndarray, place: np.ndarray, first: np.ndarray, end: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -200,23 +201,21 @@ def digest_key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def table_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("payload", pa.binary()), ("kind", pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
+KINDS = (("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("payload", pa.binary()), ("kind", pa.int32()))
+ROWS = "key long, doc long, start int, stop int, payload binary, kind int"
 
 
-ROWS = "key long, doc long, start int, stop int, payload binary, kind int"
+def table_of(rows: list[tuple], kinds: tuple = KINDS) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
 
 
-def regions(texts: DataFrame, hits: DataFrame, units: Units, hot: np.ndarray) -> DataFrame:
-    """key, doc, start, stop, payload and kind of the region of every hit; the key is its anchor, or of a hot anchor its digest.
+def regions(texts: DataFrame, hits: DataFrame, units: Units, hot: DataFrame | None) -> DataFrame:
+    """key, doc, start, stop, payload and kind of the region of every hit; the key is its anchor, or of a `hot` anchor its digest.
 
     Regions that repeat from end to end have neither key nor payload, and those of a text that overlap are one.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(frozenset(hot.tolist()))
 
     def run(batches):
-        hot = sent.value
         seen: dict[bytes, tuple[int, int]] = {}  # the least place so far of each anchor and payload
         for block in blocks(batches, "text"):
             data, starts, ends, first = units.cut(block.column("text"))
@@ -239,6 +238,8 @@ def regions(texts: DataFrame, hits: DataFrame, units: Units, hot: np.ndarray) ->
             for i, doc in enumerate(docs):
                 base = int(first[i])
                 known: list[list[int]] = []
+                if len(seen) > SEEN:  # what is forgotten comes once more, and is found to repeat where it is compared
+                    seen.clear()
                 for anchor, a, b in zip(anchor_of[cuts[i] : cuts[i + 1]], low[cuts[i] : cuts[i + 1]], stop[cuts[i] : cuts[i + 1]]):
                     payload = units.payload(whole[starts[a] : ends[b - 1]])
                     digest, here = xxhash.xxh3_128_digest(payload, anchor & (1 << 63) - 1), (doc, a - base)
@@ -247,18 +248,23 @@ def regions(texts: DataFrame, hits: DataFrame, units: Units, hot: np.ndarray) ->
                         continue
                     if old is None or here < old:
                         seen[digest] = here
-                        rows.append((digest_key(digest) if anchor in hot else anchor, *here, b - base, payload, HOT_REGION if anchor in hot else REGION))
+                        rows.append((anchor, *here, b - base, payload, digest_key(digest)))
                     elif known and known[-1][0] <= a - base <= known[-1][1]:
                         known[-1][1] = max(known[-1][1], b - base)
                     else:
                         known.append([a - base, b - base])
-                rows += [(None, doc, x, y, None, REGION) for x, y in known]
+                rows += [(None, doc, x, y, None, None) for x, y in known]
             if rows:
-                yield table_of(rows)
+                yield table_of(rows, (*KINDS[:-1], ("digest", pa.int64())))
 
     by_doc = hits.where("place >= 0").groupBy("doc").agg(F.collect_list("place").alias("hits"))
     joined = texts.join(by_doc, "doc", "left")  # left, so that the texts' shuffle is the same as for the spans
-    return joined.mapInArrow(run, ROWS)
+    found = joined.mapInArrow(run, "key long, doc long, start int, stop int, payload binary, digest long")
+    if hot is None:
+        return found.withColumn("digest", F.lit(REGION)).withColumnRenamed("digest", "kind")
+    marked = found.join(small(hot), F.col("key") == F.col("hot"), "left")
+    is_hot = F.col("hot").isNotNull()
+    return marked.select(F.when(is_hot, F.col("digest")).otherwise(F.col("key")).alias("key"), "doc", "start", "stop", "payload", F.when(is_hot, HOT_REGION).otherwise(REGION).alias("kind"))
 
 
 def repeat_spans(found: DataFrame, search: Callable, units: Units) -> DataFrame:
@@ -280,6 +286,7 @@ def repeat_spans(found: DataFrame, search: Callable, units: Units) -> DataFrame:
         finder = search()
         group, last = [], None
         at, digests = None, set()  # of hot regions: the key, and the digests so far under it
+        before = None  # the key and place of the region before: one may come twice
         ready: list[tuple] = []
 
         def repeats(spans) -> None:
@@ -289,6 +296,8 @@ def repeat_spans(found: DataFrame, search: Callable, units: Units) -> DataFrame:
             for key, doc, start, stop, payload, kind in zip(*[batch.column(c).to_pylist() for c in ("key", "doc", "start", "stop", "payload", "kind")]):
                 if payload is None:
                     ready.append((None, doc, start, stop, None, REGION))
+                elif (key, doc, start, stop) == before:
+                    continue
                 elif kind == HOT_REGION:
                     if key != at:
                         at, digests = key, set()
@@ -304,6 +313,7 @@ def repeat_spans(found: DataFrame, search: Callable, units: Units) -> DataFrame:
                             repeats(finder.add(group))
                         group, last = [], key
                     group.append((doc, start, stop, payload))
+                before = key, doc, start, stop
                 if len(ready) >= READY:
                     yield table_of(ready)
                     ready.clear()
@@ -319,9 +329,15 @@ def repeat_spans(found: DataFrame, search: Callable, units: Units) -> DataFrame:
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
-    """doc, a and b of the windows (doc, start, stop, payload: their digest) that are not the first of their digest."""
-    place = F.rank().over(Window.partitionBy("payload").orderBy("doc", "start"))
-    return windows.withColumn("place", place).where("place > 1").select("doc", F.col("start").alias("a"), F.col("stop").alias("b"))
+    """doc, a and b of the windows (doc, start, stop, payload: their digest) that are not the first of their digest.
+
+    The first of each digest is a minimum, taken in part before the shuffle; then they are taken away from all
+    windows by place.  So the copies of one window meet in no task.
+    """
+    places = windows.select("doc", "start", "stop", F.lit(False).alias("first"))
+    firsts = windows.groupBy("payload").agg(F.min(F.struct("doc", "start", "stop")).alias("p")).select("p.*", F.lit(True).alias("first"))
+    both = places.unionByName(firsts).groupBy("doc", "start", "stop").agg(F.bool_or("first").alias("first"))
+    return both.where("not first").select("doc", F.col("start").alias("a"), F.col("stop").alias("b"))
 
 
 def told_apart(texts: DataFrame) -> DataFrame:
@@ -343,11 +359,12 @@ def with_spans(docs: DataFrame, units: Units, search: Callable, id_col: str, tex
     dealt = texts.repartition(shuffle_partitions(docs.sparkSession), "doc")
     hits = stored(repeated(anchors(texts.where("doc is not null").select("doc", "text"), units), HOT))
     often = hot_anchors(hits)
-    found = repeat_spans(regions(dealt, hits, units, often), search, units)
-    if len(often):
+    some = not often.isEmpty()
+    found = repeat_spans(regions(dealt, hits, units, often if some else None), search, units)
+    if some:
         found = stored(found)
     spans = found.where("key is null").select("doc", F.col("start").alias("a"), F.col("stop").alias("b"))
-    if len(often):
+    if some:
         spans = spans.unionByName(repeated_windows(found.where("key is not null")))
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return dealt.join(by_doc, "doc", "left").drop("doc")
