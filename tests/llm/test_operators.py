@@ -129,10 +129,11 @@ def test_near_duplicates_of_every_length_and_kind_of_edit(spark):
     assert [got[i] for i in range(len(texts))] == five_word_classes(texts)
 
 
-@pytest.mark.parametrize("sent_bits", [neardup.SENT_BITS, 0])
-def test_near_duplicates_of_large_groups(spark, monkeypatch, sent_bits):
+@pytest.mark.parametrize("part,pairs", [(1024, 1 << 15), (4, 7)])
+def test_near_duplicates_of_large_groups(spark, monkeypatch, part, pairs):
     """Chains of copies of copies: most are alike to a few of their group only, and unlike its middle."""
-    monkeypatch.setattr(neardup, "SENT_BITS", sent_bits)
+    monkeypatch.setattr(neardup, "PART", part)
+    monkeypatch.setattr(neardup, "PAIRS", pairs)
     rng = random.Random(9)
     texts = []
     for _ in range(3):
@@ -150,11 +151,33 @@ def test_parities_tell_pairs_apart():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in rng.integers(1, 900, 40)]
     bits = [neardup.parity(x) for x in sets]
-    many = neardup.Parities(np.arange(40)[::-1].copy(), bits[::-1])
-    for i in range(40):
-        got = many.differing(int(many.at(np.array([i]))[0]), many.at(np.arange(40)))
-        assert got.tolist() == [neardup.differing(bits[i], y) for y in bits]
-        assert all(d <= len(np.setxor1d(sets[i], y)) for d, y in zip(got, sets))
+    many = neardup.Parities(bits)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    got = many.differing(i, j)
+    assert got.tolist() == [neardup.differing(bits[x], bits[y]) for x, y in zip(i, j)]
+    assert all(d <= len(np.setxor1d(sets[x], sets[y])) for d, x, y in zip(got, i, j))
+
+
+def test_groups_over_batches():
+    rows = [(1, 5, b"a"), (1, 6, b"b"), (2, 7, b"c"), (3, 8, b"d"), (3, 9, b"e"), (3, 1, b"f"), (4, 2, b"g")]
+    for n in (1, 2, 3, 7):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + n])], names=["k", "v", "w"]) for i in range(0, 7, n)]
+        got = [list(zip(k.tolist(), v.tolist(), w)) for k, v, w in neardup.whole_groups(batches, ["k", "v", "w"])]
+        assert sum(got, []) == rows and all(x[-1][0] != y[0][0] for x, y in zip(got, got[1:]))
+
+
+def test_second_round_gives_few_pairs(spark):
+    """Texts with one shingle in five in common all meet in lists, and are told apart there."""
+    rng = random.Random(10)
+    common_part = " ".join("c%d" % i for i in range(14))
+    texts = [common_part + " " + " ".join("w%d" % rng.randrange(10**6) for _ in range(40)) for _ in range(300)]
+    docs = docs_of(spark, texts).select(F.col("doc_id").alias("node"), "text")
+    shared = neardup.stored(neardup.sharing(docs, 5, 0.8, (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))))
+    sets = neardup.shingle_sets(pa.array(texts), 5)
+    nodes = spark.createDataFrame([(i, len(x).to_bytes(8, "little") + neardup.parity(x)) for i, x in enumerate(sets)], "node long, bits binary")
+    lists = shared.where("key is not null")
+    assert lists.groupBy("key").count().agg(F.max("count")).first()[0] > 20
+    assert neardup.still_apart(lists, spark.createDataFrame([], "node long, component long"), nodes, 0.8).count() == 0
 
 
 # 2
