@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.sources import captures
+
 CANDLE = "struct<end_period_ts:double,yes_bid:struct<close_dollars:string,close:string>,yes_ask:struct<close_dollars:string,close:string>,price:struct<close_dollars:string,close:string>,volume_fp:string,volume:string>"
 MARKET = "struct<ticker:string,status:string,open_time:string,close_time:string,volume_fp:string>"
 PAYLOADS = {
@@ -58,21 +59,6 @@ def read_envelopes(spark: SparkSession, root: str, category: str, layout: str =
     return reader.json(root).where(F.col("category") == category).withColumn("file", F.col("_metadata.file_path"))
 
 
-def unzipped(content: bytes) -> tuple[bytes, int, bool]:
-    """What gzip members one after another hold, how many are whole, and whether the last is torn or something else follows."""
-    out, members, torn = [], 0, False
-    while content and not torn:
-        reader = zlib.decompressobj(16 + zlib.MAX_WBITS)
-        try:
-            out.append(reader.decompress(content))
-        except zlib.error:
-            torn = True
-        members += reader.eof
-        torn |= not reader.eof
-        content = reader.unused_data
-    return b"".join(out), members, torn
-
-
 def gzip_lines(files: DataFrame) -> DataFrame:
     """path, members, torn and line of the complete lines in (path, content), as Spark's binaryFile reader gives them.
 
@@ -82,11 +68,25 @@ def gzip_lines(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                text, members, torn = unzipped(content or b"")
-                lines = text.split(b"\n")[:-1] or [None]
-                n = len(lines)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([members] * n, pa.int32()), pa.array([torn] * n), pa.array([x if x is None else x.decode("utf-8", "replace") for x in lines], pa.string())], names=["path", "members", "torn", "line"])
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                # Whether the last member is torn is only known at the end, so the members are gone through twice.
+                source = pa.BufferReader(content.as_buffer() or b"")
+                members, torn = 0, False
+                for _, _, whole, torn in captures.pieces(source):
+                    members += whole
+                source.seek(0)
+                some = False
+                for _, _, lines in captures.lines_of(source):
+                    for i in range(0, len(lines), captures.LINES):
+                        some = True
+                        yield row(path, members, torn, lines[i : i + captures.LINES])
+                if not some:
+                    yield row(path, members, torn, [None])
+
+    def row(path, members, torn, lines):
+        n = len(lines)
+        text = [x if x is None else x.decode("utf-8", "replace") for x in lines]
+        return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([members] * n, pa.int32()), pa.array([torn] * n), pa.array(text, pa.string())], names=["path", "members", "torn", "line"])
 
     return files.select("path", "content").mapInArrow(run, "path string, members int, torn boolean, line string")
 

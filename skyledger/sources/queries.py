@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skyledger.bindings import frame
+from skyledger.functions import time
 from skyledger.plans import market
 from skyledger.plans.market_queries import agg_spr, mdays, rounded, snaps, spread_sql
 from skyledger.registry import query
-from skyledger.sources import bronze
+from skyledger.sources import bronze, captures
+from skyledger.streaming import streams
 
 COL = F.col
 #: Pages of a made capture; at the scales of the tests a page holds some tens of rows.
@@ -43,11 +45,15 @@ def snk_env(s, d):
     return landed(s, poll_envelopes(s, d), "polls").groupBy("dt").agg(F.count("*").alias("n"))
 
 
-def gzip_files(s, d):
-    """Capture files of 500 polls or fewer, four members each; of every third file the last member is torn in its last line."""
-    rows = frame(s, d, "SELECT event_id, endpoint, event_id {div} 500 AS file_id FROM v_polls")
+def gzip_files(s, d, members: int = 4):
+    """Capture files of 500 polls or fewer, four members each; of every third file the last member is torn in its last line.
+
+    With fewer `members` what the files held some time before.
+    """
+    rows = frame(s, d, "SELECT event_id, endpoint, event_id {div} 500 AS file_id, day FROM v_polls JOIN (SELECT event_id {div} 500 AS f, MIN(day) AS day FROM v_raw GROUP BY 1) x ON f = event_id {div} 500")
     line = F.to_json(F.struct("event_id", "endpoint"))
-    files = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("x")).select("file_id", F.col("x.line").alias("lines"))
+    name = F.concat(F.lit("dt="), time.date_text(COL("day")), F.lit("/polls/"), COL("file_id"), F.lit(".jsonl.gz"))
+    files = rows.groupBy("file_id", name.alias("name")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("x")).select("file_id", "name", F.col("x.line").alias("lines"))
 
     def run(batches):
         for batch in batches:
@@ -55,21 +61,50 @@ def gzip_files(s, d):
             for file_id, lines in zip(batch.column("file_id").to_pylist(), batch.column("lines").to_pylist()):
                 cuts = [len(lines) * i // 4 for i in range(5)]
                 # A stored member holds its lines as they are, so a cut of a few bytes costs the last line.
-                members = [gzip.compress("".join(x + "\n" for x in lines[a:b]).encode(), 0 if i == 3 else 6) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-                out.append(b"".join(members)[: -12 if file_id % 3 == 0 else None])
-            yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in batch.column("file_id").to_pylist()], pa.string()), pa.array(out, pa.binary())], names=["path", "content"])
+                packed = [gzip.compress("".join(x + "\n" for x in lines[a:b]).encode(), 0 if i == 3 else 6, mtime=0) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+                out.append(b"".join(packed[:members])[: -12 if file_id % 3 == 0 and members == 4 else None])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary())], names=["name", "content"])
+
+    return files.mapInArrow(run, "name string, content binary")
+
+
+def by_file(lines):
+    """Each file's lines, the sum of their ids, and whether it is torn."""
+    rows = lines.withColumn("r", F.from_json("line", "event_id bigint, endpoint string"))
+    file_id = F.regexp_extract("path", r"(\d+)\.jsonl\.gz$", 1).cast("long")
+    return rows.groupBy(file_id.alias("file_id")).agg(F.bool_or("torn").alias("torn"), F.count("line").alias("n"), F.sum("r.event_id").alias("ids"))
 
-    return files.mapInArrow(run, "path string, content binary")
 
+GZ = "SELECT file_id, file_id % 3 = 0 AS torn, COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS ids FROM (SELECT event_id, event_id {div} 500 AS file_id, ROW_NUMBER() OVER (PARTITION BY event_id {div} 500 ORDER BY event_id DESC) AS back FROM v_polls) x WHERE file_id % 3 <> 0 OR back > 1 GROUP BY 1, 2"
 
-@query("src_gz", "SELECT file_id, file_id % 3 = 0 AS torn, COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS ids FROM (SELECT event_id, event_id {div} 500 AS file_id, ROW_NUMBER() OVER (PARTITION BY event_id {div} 500 ORDER BY event_id DESC) AS back FROM v_polls) x WHERE file_id % 3 <> 0 OR back > 1 GROUP BY 1, 2")
+
+@query("src_gz", GZ)
 def src_gz(s, d):
-    """Concatenated members with torn tails; every complete line counts."""
+    """Concatenated members with torn tails, as files of the capture source; every complete line counts."""
     path = bronze.scratch(s)
-    gzip_files(s, d).write.parquet(path)
-    lines = bronze.gzip_lines(s.read.parquet(path)).where("line is not null")
-    rows = lines.withColumn("r", F.from_json("line", "event_id bigint, endpoint string"))
-    return rows.groupBy(COL("path").cast("long").alias("file_id"), "torn").agg(F.count("*").alias("n"), F.sum("r.event_id").alias("ids"))
+    captures.put_files(gzip_files(s, d), path)
+    s.dataSource.register(captures.Captures)
+    return by_file(s.read.format("captures").load(path))
+
+
+@query("src_gz_bytes", GZ)
+def src_gz_bytes(s, d):
+    """The same files through Spark's own reader of whole files."""
+    path = bronze.scratch(s)
+    captures.put_files(gzip_files(s, d), path)
+    files = s.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl.gz").load(path)
+    return by_file(bronze.gzip_lines(files))
+
+
+@query("src_gz_stream", GZ)
+def src_gz_stream(s, d):
+    """The same files as a stream in two runs: first with two of the four members, then grown."""
+    path, out, checkpoint = bronze.scratch(s), bronze.scratch(s), bronze.scratch(s)
+    s.dataSource.register(captures.Captures)
+    for members in (2, 4):
+        captures.put_files(gzip_files(s, d, members), path)
+        streams.to_table(s.readStream.format("captures").option("openDays", 1000).load(path), out, checkpoint)
+    return by_file(s.read.parquet(out))
 
 
 def market_rows(s, d):
