@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger.bindings import frame
+from skyledger.operators.ordered import latest
 from skyledger.plans.forecast_queries import HB, WATCH
 from skyledger.plans.market_queries import CHG, r, rounded
 from skyledger.registry import query
@@ -57,20 +58,38 @@ def str_sink(s, d):
     return s.read.parquet(out)
 
 
+def clock(rows, ts, **key):
+    """A row long after the others, as of a poller that goes on: it moves the watermark past them."""
+    last = rows.agg((F.max(ts) + 40 * 86400).alias(ts))
+    given = {c: F.lit(v) for c, v in key.items()} | {ts: COL(ts)}
+    return last.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
 @query("str_book", f"SELECT ticker, end_ts, {r('bid', 'ask')} FROM ({CHG.replace('{v}', 'v_candles')}) y")
 def str_book(s, d):
+    """Captures that land out of order: two files that each hold half of all times, then a later row, with a restart between."""
     rows = frame(s, d, "SELECT ticker, end_ts, bid, ask FROM v_candles")
-    path, schema = land(s, rows)
-    out = scratch(s)
-    streams.to_table(streams.changes(streams.landed(s, path, schema)), out, scratch(s))
+    late = F.pmod(F.xxhash64("ticker", "end_ts"), F.lit(2)) == 1
+    path, schema = land(s, rows.where(late))
+    out, checkpoint = scratch(s), scratch(s)
+    for part in (rows.where(~late), clock(rows, "end_ts", ticker="clock")):
+        with streams.timed_state(s):
+            streams.to_table(streams.changes(streams.landed(s, path, schema, 1), "60 days"), out, checkpoint)
+        part.coalesce(1).write.mode("append").parquet(path)
+    with streams.timed_state(s):
+        streams.to_table(streams.changes(streams.landed(s, path, schema, 1), "1 day"), out, checkpoint)
     return rounded(s.read.parquet(out))
 
 
 @query("str_avail", f"SELECT source, nominal_ts, CAST(fhour AS BIGINT) AS fhour, status, {r('first_min', 'modified_min')} FROM ({WATCH}) w")
 def str_avail(s, d):
+    """Probes that land out of order over three batches; ends come out as the watermark passes."""
     rows = frame(s, d, "SELECT source, nominal_ts, CAST(fhour AS BIGINT) AS fhour, event_id AS probe_id, probe_ts, CAST(http_status AS BIGINT) AS http_status, modified_ts FROM v_watch")
-    path, schema = land(s, rows.where("probe_ts < 1705500000"), rows.where("probe_ts >= 1705500000"))
-    return rounded(streams.latest_updates(s, streams.availability(streams.landed(s, path, schema)), ["source", "nominal_ts", "fhour"], scratch(s), scratch(s)))
+    some = F.pmod(F.xxhash64("probe_id"), F.lit(3))
+    path, schema = land(s, *[rows.where(some == i).coalesce(1) for i in range(3)], clock(rows, "probe_ts", source="clock", nominal_ts=0, fhour=0, probe_id=0).coalesce(1))
+    with streams.timed_state(s):
+        found = streams.latest_updates(s, streams.availability(streams.landed(s, path, schema, 1), "35 days"), ["source", "nominal_ts", "fhour"], scratch(s), scratch(s))
+    return rounded(found.where("source <> 'clock'"))
 
 
 SWEEP = "SELECT DISTINCT day AS sweep, day % 7 <> 3 AS complete, user_id FROM v_raw"
@@ -92,10 +111,7 @@ def str_lad(s, d):
     """The active row of each key after all batches; a batch without rows leaves what was."""
     rows = frame(s, d, "SELECT user_id, event_id, end_ts FROM v_raw")
     path, schema = land(s, rows.where("end_ts < 1705500000"), rows.where("end_ts >= 1705500000"), rows.where("end_ts < 0"))
-    out = scratch(s)
-
-    def step(df, n):
-        streams.put_batch(df.groupBy("user_id").agg(F.max(F.struct("end_ts", "event_id")).alias("m")).select("user_id", "m.*"), out, n)
-
-    streams.each_batch(streams.landed(s, path, schema, 2), step, scratch(s), "append")
-    return s.read.parquet(out).groupBy("user_id").agg(F.max(F.struct("end_ts", "event_id")).alias("m")).select("user_id", "m.event_id")
+    table = streams.StateTable(s, scratch(s), schema, ["user_id"], ["end_ts", "event_id"], every=2)
+    # Of a batch one row a key goes to the table.
+    streams.each_batch(streams.landed(s, path, schema, 2), lambda df, n: table.put(latest(df, ["user_id"], ["end_ts", "event_id"]), n), scratch(s), "append")
+    return table.rows().select("user_id", "event_id")

@@ -1,25 +1,32 @@
 """Streams over landed captures.  Each has a batch twin; run to the end of what has landed, both give the same rows.
 
 Results go to Parquet through checkpointed sinks.  Sinks that write batch by batch keep a folder for each
-batch id and replace it, so a batch that is tried again after a failure leaves its rows once.
-
-Rows of a key are put in order within a batch; over batches they are taken as they land, so captures have to
-land in the order of time, as pollers write them.  The state of a key is one row and never expires: keys are
-markets and watched files, which are few against the rows.
+batch id and replace it, so a batch that is tried again after a failure leaves its rows once.  Tables of
+keys with a last row each are kept by `StateTable`: a snapshot and a short tail of batches, so a read stays as
+large as the table, however many batches there were.
+
+Where order matters (book changes, probes of watched files) rows wait in state until the watermark has passed them
+and then are taken in the order of time, whatever batch they came in; what comes later than the watermark is
+left out by Spark.  A key's state goes when the key has been silent for `keep` seconds of event time.  The last rows
+come out once the watermark has passed them, so a source has to show that time goes on, as pollers' later rows do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import LongType, StructField, StructType
 
 from skyledger.sources.bronze import scratch
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
 def landed(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -42,18 +49,99 @@ def put_batch(df: DataFrame, out: str, n: int) -> None:
     df.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
 
-def batches(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
-    """What `put_batch` has written, with the number of the batch; no rows where nothing has."""
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out}/batch=-1")
-    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(out)
+def folders(spark: SparkSession, path: str, prefix: str, whole: bool = False) -> list[int]:
+    """The numbers of the folders `prefix=number` under a path, in order; only those written to the end, if `whole`."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    names = [x.getPath() for x in store.listStatus(at)]
+    found = [(p, p.getName().partition("=")) for p in names]
+    done = lambda p: not whole or store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return sorted(int(n) for p, (name, _, n) in found if name == prefix and done(p))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def batches(spark: SparkSession, out: str, schema: StructType, numbers: list[int] | None = None) -> DataFrame:
+    """What `put_batch` has written, with the number of the batch; all or some of them, no rows where nothing has."""
+    full = StructType([*schema.fields, StructField("batch", LongType())])
+    numbers = folders(spark, out, "batch") if numbers is None else numbers
+    if not numbers:
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).option("basePath", out).parquet(*[f"{out}/batch={n}" for n in numbers])
 
 
-def latest_updates(spark: SparkSession, updates: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+class StateTable:
+    """The last row of each key over all batches, under a root: a snapshot of the batches up to one, and the batches since.
+
+    `put` writes a batch as a folder of its own.  Every `every` batches they are merged with the snapshot to a new one;
+    a snapshot counts once it is written to the end, and only then what it holds is removed, the one before it
+    at the next merge, for readers that still have it.  So a lost writer leaves a whole table, a batch that is tried again
+    changes nothing, and a read takes one snapshot and fewer than `every` batches, however many there were.
+
+    order: what makes a row the last one; the number of the batch if not given.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, keys: list[str], order: list[str] | None = None, every: int = 8):
+        self.spark, self.root, self.schema, self.keys, self.every = spark, root, schema, keys, every
+        self.order = order or ["batch"]
+
+    def snapshot(self) -> int | None:
+        found = folders(self.spark, f"{self.root}/snapshot", "version", whole=True)
+        return found[-1] if found else None
+
+    def tail(self, after: int | None) -> list[int]:
+        return [n for n in folders(self.spark, f"{self.root}/tail", "batch", whole=True) if after is None or n > after]
+
+    def numbered(self) -> DataFrame:
+        """The table with the batch of each row."""
+        version = self.snapshot()
+        rows = batches(self.spark, f"{self.root}/tail", self.schema, self.tail(version))
+        if version is not None:
+            rows = self.spark.read.schema(rows.schema).parquet(f"{self.root}/snapshot/version={version}").unionByName(rows)
+        values = [c for c in rows.columns if c not in self.keys]
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), F.struct(*self.order)).alias("r")).select(*self.keys, "r.*")
+
+    def rows(self) -> DataFrame:
+        return self.numbered().select(*self.schema.names)
+
+    def put(self, df: DataFrame, n: int) -> None:
+        version = self.snapshot()
+        if version is not None and n <= version:
+            return
+        put_batch(df.select(*self.schema.names), f"{self.root}/tail", n)
+        if len(self.tail(version)) >= self.every:
+            self.merge(n)
+
+    def merge(self, n: int) -> None:
+        old = folders(self.spark, f"{self.root}/snapshot", "version")
+        self.numbered().write.mode("overwrite").parquet(f"{self.root}/snapshot/version={n}")
+        for version in old[:-1]:
+            removed(self.spark, f"{self.root}/snapshot/version={version}")
+        for batch in [b for b in folders(self.spark, f"{self.root}/tail", "batch") if b <= n]:
+            removed(self.spark, f"{self.root}/tail/batch={batch}")
+
+
+def latest_updates(spark: SparkSession, updates: DataFrame, keys: list[str], out: str, checkpoint: str, order: list[str] | None = None, every: int = 8) -> DataFrame:
     """The last update of each key, of all calls so far with this table and checkpoint."""
-    each_batch(updates, lambda df, n: put_batch(df, out, n), checkpoint)
-    rows = batches(spark, out, updates.schema)
-    values = [c for c in updates.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
+    table = StateTable(spark, out, updates.schema, keys, order, every)
+    each_batch(updates, table.put, checkpoint)
+    return table.rows()
+
+
+@contextmanager
+def timed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in the store that timers need."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
 def heartbeat(polls: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -73,45 +161,112 @@ def deduplicated(trades: DataFrame, key: str = "trade_id", late: str = "40 days"
     return trades.withColumn("ts", F.timestamp_seconds("end_ts")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key]).drop("ts")
 
 
-def book_changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class InOrder(StatefulProcessor):
+    """Takes the rows of keys in the order of time once the watermark has passed them.
+
+    Keys share the state of a bucket, so that a batch costs a few calls to the state store for each bucket and not for
+    each key.  Rows wait in a list; a timer at the first of them brings the list up when the watermark has passed it.
+    `keep` seconds after a key's last row what is known of it goes.  Subclasses say which columns keys and rows have
+    (`KEY` and `ROW`, the time in seconds first), what is remembered of a key (`STATE`), and what rows in order give (`taken`).
+    """
+
+    KEY = ROW = STATE = OUT = ""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"{self.KEY}, {self.ROW}")
+        self.known = handle.getListState("known", f"{self.KEY}, last_ts long, {self.STATE}")
+        fields = [c.split() for c in f"{self.KEY}, {self.ROW}".split(",")]
+        self.columns, self.kinds = [name for name, _ in fields], [{"long": int, "double": float, "string": str}[kind] for _, kind in fields]
+        self.n = len(self.KEY.split(","))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [tuple(None if pd.isna(x) else kind(x) for kind, x in zip(self.kinds, r)) for frame in rows for r in frame[self.columns].itertuples(index=False, name=None)]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(max(min(r[self.n] for r in new) * 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, n = timerValues.getCurrentWatermarkInMs(), self.n
+        rows = sorted((tuple(None if x != x else x for x in r) for r in self.waiting.get()), key=lambda r: tuple((x is not None, x) for x in r))
+        ready, rest = [r for r in rows if r[n] * 1000 < now], sorted((r for r in rows if r[n] * 1000 >= now), key=lambda r: r[n])
+        known = {r[:n]: r[n:] for r in (tuple(None if x != x else x for x in r) for r in self.known.get())}
+        found = []
+        for own, group in groupby(ready, key=lambda r: r[:n]):
+            group = [r[n:] for r in group]
+            out, state = self.taken(own, group, known[own][1:] if own in known else None)
+            known[own] = group[-1][0], *state
+            found += out
+        left = sorted(((*own, *r) for own, r in known.items() if (r[0] + self.keep) * 1000 >= now), key=lambda r: r[n])
+        for state, values, changed in ((self.waiting, rest, ready), (self.known, left, ready or len(left) < len(known))):
+            if changed:
+                state.put(values) if values else state.clear()
+        if ready:
+            for at in (*[r[n] for r in rest][:1], *[r[n] + self.keep for r in left][:1]):
+                self.handle.registerTimer(max(at * 1000, now) + 1)
+        if found:
+            kinds = {c.split()[0]: {"long": "Int64", "double": "Float64", "string": "object"}[c.split()[1]] for c in self.OUT.split(",")}
+            yield pd.DataFrame(found, columns=list(kinds)).astype(kinds)
+
+    def close(self) -> None:
+        pass
+
+    def taken(self, key: tuple, rows: list[tuple], state: tuple | None) -> tuple[list[tuple], tuple]:
+        raise NotImplementedError
+
+
+class BookChanges(InOrder):
     """Rows whose quote differs from the last one seen, null-safe; the first of a ticker is none."""
-    last = state.get if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("end_ts")
-    out = []
-    for end_ts, bid, ask in zip(rows["end_ts"], rows["bid"], rows["ask"]):
-        now = (-1.0 if pd.isna(bid) else float(bid), -1.0 if pd.isna(ask) else float(ask))
-        if last is not None and tuple(last) != now:
-            out.append((key[0], int(end_ts), None if now[0] < 0 else now[0], None if now[1] < 0 else now[1]))
-        last = now
-    state.update(last)
-    yield pd.DataFrame(out, columns=["ticker", "end_ts", "bid", "ask"])
 
+    KEY, ROW, STATE = "ticker string", "end_ts long, bid double, ask double", "bid double, ask double"
+    OUT = "ticker string, end_ts long, bid double, ask double"
 
-def changes(quotes: DataFrame) -> DataFrame:
-    return quotes.groupBy("ticker").applyInPandasWithState(book_changes, "ticker string, end_ts long, bid double, ask double", "bid double, ask double", "append", GroupStateTimeout.NoTimeout)
+    def taken(self, key, rows, state):
+        out = []
+        for end_ts, *now in rows:
+            if state is not None and tuple(now) != state:
+                out.append((*key, end_ts, *now))
+            state = tuple(now)
+        return out, state
 
 
-def probe(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class Probes(InOrder):
     """pending, waiting, then complete or, where the first probe already succeeds, pre_existing; ends change no more."""
-    status, first, modified = state.get if state.exists else ("pending", -1, -1)
-    for at, code, stamp in pd.concat(list(frames)).sort_values(["probe_ts", "probe_id"])[["probe_ts", "http_status", "modified_ts"]].itertuples(index=False):
-        if status in ("complete", "pre_existing") or at < key[1]:
-            continue
-        if code != 200:
-            status = "waiting"
-            continue
-        modified = -1 if pd.isna(stamp) else int(stamp)
-        status, first = ("complete", int(at)) if status == "waiting" else ("pre_existing", -1)
-    state.update((status, first, modified))
-    minutes = lambda x: None if x < 0 else (x - key[1]) / 60.0
-    yield pd.DataFrame([(*key, status, minutes(first), minutes(modified))], columns=["source", "nominal_ts", "fhour", "status", "first_min", "modified_min"])
-
-
-def availability(probes: DataFrame) -> DataFrame:
-    """An update of a watched file's state whenever it is probed."""
-    return probes.groupBy("source", "nominal_ts", "fhour").applyInPandasWithState(
-        probe, "source string, nominal_ts long, fhour long, status string, first_min double, modified_min double", "status string, first long, modified long", "update", GroupStateTimeout.NoTimeout
-    )
+
+    KEY, ROW, STATE = "source string, nominal_ts long, fhour long", "probe_ts long, probe_id long, http_status long, modified_ts long", "status string, first long, modified long"
+    OUT = "source string, nominal_ts long, fhour long, status string, first_min double, modified_min double"
+
+    def taken(self, key, rows, state):
+        nominal = key[1]
+        status, first, modified = state or ("pending", None, None)
+        for at, _, code, stamp in rows:
+            if status in ("complete", "pre_existing") or at < nominal:
+                continue
+            if code != 200:
+                status = "waiting"
+                continue
+            modified = stamp
+            status, first = ("complete", at) if status == "waiting" else ("pre_existing", None)
+        minutes = lambda x: None if x is None else (x - nominal) / 60.0
+        return [(*key, status, minutes(first), minutes(modified))], (status, first, modified)
+
+
+def in_order(rows: DataFrame, keys: list[str], ts: str, late: str, processor: InOrder, mode: str, buckets: int) -> DataFrame:
+    timed = rows.withColumn("ts", F.timestamp_seconds(ts)).withWatermark("ts", late).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    return timed.groupBy("bucket").transformWithStateInPandas(processor, processor.OUT, mode, "eventTime")
+
+
+def changes(quotes: DataFrame, late: str = "1 hour", keep: int = 90 * 86400, buckets: int = 64) -> DataFrame:
+    """Book changes of (ticker, end_ts, bid, ask); rows may come up to `late` behind the newest of all."""
+    return in_order(quotes, ["ticker"], "end_ts", late, BookChanges(keep), "Append", buckets)
+
+
+def availability(probes: DataFrame, late: str = "1 hour", keep: int = 90 * 86400, buckets: int = 64) -> DataFrame:
+    """An update of a watched file's state whenever probes of it are taken."""
+    return in_order(probes, ["source", "nominal_ts", "fhour"], "probe_ts", late, Probes(keep), "Update", buckets)
 
 
 def sweep_step(before: DataFrame, now: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -137,14 +292,13 @@ def run_open_set(spark: SparkSession, sweeps: DataFrame, root: str, key: str = "
     state, gone = f"{root}/open", f"{root}/dropped"
 
     def step(df: DataFrame, n: int) -> None:
-        kept = batches(df.sparkSession, state, rows).where(F.col("batch") < n)
-        newest = kept.agg(F.max("batch").alias("batch"))  # one row
-        before = kept.join(newest, "batch", "left_semi").select("sweep", key)
+        earlier = [m for m in folders(spark, state, "batch", whole=True) if m < n]
+        before = batches(df.sparkSession, state, rows, earlier[-1:]).select("sweep", key)
         dropped, last = sweep_step(before, df.where("complete").select("sweep", key), key)
         put_batch(dropped.select("sweep", key), gone, n)
         put_batch(last.select("sweep", key), state, n)
+        for m in earlier[:-1]:  # the set before stays, for a batch that is tried again
+            removed(spark, f"{state}/batch={m}")
 
     each_batch(sweeps.select("sweep", "complete", key), step, f"{root}/checkpoint", "append")
-    kept = batches(spark, state, rows)
-    newest = kept.agg(F.max("batch").alias("batch"))
-    return batches(spark, gone, rows).drop("batch"), kept.join(newest, "batch", "left_semi").select("sweep", key)
+    return batches(spark, gone, rows).drop("batch"), batches(spark, state, rows, folders(spark, state, "batch", whole=True)[-1:]).select("sweep", key)
