@@ -109,15 +109,23 @@ def clock_instant(day: Column, minutes: Column, convention: str) -> Column:
     return F.unix_seconds(F.to_utc_timestamp(naive, NEW_YORK))
 
 
-def regime(snapshot: Column, day: Column, time_raw: Column, convention: str = "unknown") -> tuple[Column, Column]:
-    """pre_max or post_max at a snapshot, and whether that is uncertain."""
-    minutes = clock_minutes(time_raw)
-    at = clock_instant(day, minutes, "lst" if convention == "unknown" else convention)
+def maximum_instant(day: Column, time_raw: Column, convention: str = "unknown") -> Column:
+    """Epoch seconds of a label's printed time of the maximum; of an unknown convention the fixed reading."""
+    return clock_instant(day, clock_minutes(time_raw), "lst" if convention == "unknown" else convention)
+
+
+def regime_at(snapshot: Column, at: Column, convention: str = "unknown") -> tuple[Column, Column]:
+    """pre_max or post_max at a snapshot, and whether that is uncertain, from the instant of the maximum."""
     name = F.when(at.isNotNull(), F.when(snapshot < at, "pre_max").otherwise("post_max"))
     unsure = F.abs(snapshot - at) <= 3600 if convention == "unknown" else F.lit(False)
     return name, F.when(at.isNull(), True).otherwise(unsure)
 
 
+def regime(snapshot: Column, day: Column, time_raw: Column, convention: str = "unknown") -> tuple[Column, Column]:
+    """`regime_at` with the printed time; for many snapshots of one label work out the instant once, before they meet."""
+    return regime_at(snapshot, maximum_instant(day, time_raw, convention), convention)
+
+
 def issuance_epoch(header: Column) -> Column:
     """Epoch seconds of `220 AM EDT SUN JUL 05 2026`; the printed zone is New York's civil time."""
     text = F.trim(F.regexp_replace(F.upper(header), r"\s+", " "))

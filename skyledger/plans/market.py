@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import book, price, text, time
-from skyledger.operators.ordered import asof_backward, changes, gaps, latest, with_previous
+from skyledger.operators.ordered import asof_backward, changes, gaps, hot_spans, latest, with_previous
+from skyledger.operators.quantiles import counted_quantiles
 
 HORIZONS = (48, 36, 24, 12, 6, 3, 1)
 BANDS = (("10_90", 0.10, 0.90), ("20_80", 0.20, 0.80))
@@ -26,14 +27,16 @@ def grid(markets: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
 def snapshots(markets: DataFrame, candles: DataFrame, labels: DataFrame, convention: str = "unknown", horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """The census grain: the quote in force at each market and horizon, under both staleness rules."""
     quotes = candles.select("ticker", "end_ts", "bid", "ask", "volume")
-    rows = asof_backward(grid(markets, horizons), quotes, ["ticker"], "snap_ts", "end_ts")
+    asked = grid(markets, horizons)
+    rows = asof_backward(asked, quotes, ["ticker"], "snap_ts", "end_ts", every=hot_spans([(asked, "snap_ts"), (quotes, "end_ts")], ["ticker"]))
     bid, ask, age = F.col("found.bid"), F.col("found.ask"), F.col("snap_ts") - F.col("found.end_ts")
     present = F.col("found").isNotNull()
     valid = F.coalesce(~price.stale(age), F.lit(False))
     date = F.date_from_unix_date(F.col("day").cast("int"))
-    label = labels.select(F.col("day").alias("label_day"), F.col("time_raw").alias("label_time"))
+    # The printed clock is parsed once a label; the snapshots only meet its instant.
+    label = labels.select(F.col("day").alias("label_day"), time.maximum_instant(F.col("day"), F.coalesce("time_raw", F.lit("")), convention).alias("max_ts"))
     rows = rows.join(label, F.col("day") == F.col("label_day"), "left")
-    name, unsure = time.regime(F.col("snap_ts"), F.col("day"), F.coalesce("label_time", F.lit("")), convention)
+    name, unsure = time.regime_at(F.col("snap_ts"), F.col("max_ts"), convention)
     return rows.select(
         "ticker", "day", "climate_date", "horizon_h", "snap_ts",
         time.season(date).alias("season"), time.era(date).alias("era"),
@@ -60,33 +63,20 @@ def share(flag: Column) -> Column:
 SPREAD_KEYS = ["horizon_h", "era", "season", "regime", "regime_uncertain", "band"]
 
 
-def variant(tag: str, two: str, spread: str, quote: str, band: str, of: Column | None = None) -> list[Column]:
-    """The columns that exist once for each staleness rule; `of` restricts the rows.  The quantiles come from one histogram, see `unpacked`."""
+def variant(tag: str, two: str, quote: str, of: Column | None = None) -> list[Column]:
+    """The shares that exist once for each staleness rule; `of` restricts the rows."""
     keep = F.lit(True) if of is None else of
     only = lambda c, cond: F.when(keep & cond, c)
-    spreads = only(F.col(spread), F.col(band))
     return [
         F.coalesce(F.avg(only(F.col(two).cast("double"), F.lit(True))), F.lit(0.0)).alias(f"two_sided_share_{tag}"),
         F.coalesce(F.avg(only(F.col(two).cast("double"), F.col(quote))), F.lit(0.0)).alias(f"two_sided_share_given_quote_{tag}"),
         F.coalesce(F.avg(only(F.col(quote).cast("double"), F.col("in_window"))), F.lit(0.0)).alias(f"coverage_given_open_{tag}"),
-        quantiles(spreads, SPREAD_QUANTILES.values()).alias(f"q_{tag}"),
-        F.count(spreads).alias(f"n_spread_obs_{tag}"),
     ]
 
 
 SPREAD_QUANTILES = {"median_spread": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9}
 
 
-def quantiles(values: Column, at) -> Column:
-    """Several exact quantiles out of one histogram of the values."""
-    return F.percentile(values, F.array(*[F.lit(p) for p in at]))
-
-
-def unpacked(df: DataFrame, column: str, names: list[str]) -> DataFrame:
-    """The items of an array column as columns of their own, in its place."""
-    return df.withColumns({n: F.col(column)[i] for i, n in enumerate(names)}).drop(column)
-
-
 def banded(rows: DataFrame, bands=BANDS) -> DataFrame:
     """The rows once for each band, with in-band flags under both staleness rules."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("band"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in bands]))
@@ -122,21 +112,24 @@ def spread_census(rows: DataFrame, excluded: DataFrame | None = None) -> DataFra
     tagged = banded(rows)
     if excluded is not None:
         tagged = tagged.join(excluded.select("ticker", F.lit(True).alias("out")).distinct(), "ticker", "left").withColumn("out", F.coalesce("out", F.lit(False)))
-    age = F.when(F.col("quote_present"), F.col("quote_age") / 60.0)
     columns = [
         F.count("*").alias("n_snapshots"),
         share(F.col("quote_valid")).alias("coverage"), share(F.col("quote_present")).alias("coverage_carryforward"),
         share(~F.col("in_window")).alias("outside_window_share"), share(F.col("extreme_empty_book")).alias("empty_book_share"),
-        quantiles(age, (0.5, 0.9)).alias("q_age"),
         F.sum(F.coalesce("volume", F.lit(0))).alias("volume_sum"),
-        *variant("carryforward", "two_sided_cf", "spread_cf", "quote_present", "band_cf"),
-        *variant("strict15", "two_sided", "spread", "quote_valid", "band_15"),
+        *variant("carryforward", "two_sided_cf", "quote_present"),
+        *variant("strict15", "two_sided", "quote_valid"),
     ]
+    # Quantiles of values on a grid (cents, seconds): a value of each row and rule, counted before they meet.
+    spreads = {"carryforward": F.when(F.col("band_cf"), F.col("spread_cf")), "strict15": F.when(F.col("band_15"), F.col("spread"))}
     if excluded is not None:
-        columns += variant("exclnoreconcile", "two_sided_cf", "spread_cf", "quote_present", "band_cf", ~F.col("out"))
-    out = unpacked(tagged.groupBy(*SPREAD_KEYS).agg(*columns), "q_age", ["age_median_min", "age_p90_min"])
-    for tag in ("carryforward", "strict15", *(["exclnoreconcile"] if excluded is not None else [])):
-        out = unpacked(out, f"q_{tag}", [f"{n}_{tag}" for n in SPREAD_QUANTILES])
+        columns += variant("exclnoreconcile", "two_sided_cf", "quote_present", ~F.col("out"))
+        spreads["exclnoreconcile"] = F.when(F.col("band_cf") & ~F.col("out"), F.col("spread_cf"))
+    asked = {"age": (F.when(F.col("quote_present"), F.col("quote_age") / 60.0), {"age_median_min": 0.5, "age_p90_min": 0.9})}
+    asked |= {tag: (x, {f"{n}_{tag}": p for n, p in SPREAD_QUANTILES.items()}) for tag, x in spreads.items()}
+    found = counted_quantiles(tagged, SPREAD_KEYS, asked)
+    found = found.drop("n_age").withColumnsRenamed({f"n_{tag}": f"n_spread_obs_{tag}" for tag in spreads})
+    out = null_safe_join(tagged.groupBy(*SPREAD_KEYS).agg(*columns), found, SPREAD_KEYS).withColumns({f"n_spread_obs_{tag}": F.coalesce(f"n_spread_obs_{tag}", F.lit(0)) for tag in spreads})
     medians = per_day_medians(tagged, {"brackets_per_day_carryforward": "band_cf", "brackets_per_day_strict15": "band_15"}, SPREAD_KEYS)
     return null_safe_join(out, medians, SPREAD_KEYS)
 
@@ -215,7 +208,7 @@ def region_shares(by_day: DataFrame) -> DataFrame:
 
 
 def gap_distribution(candles: DataFrame) -> DataFrame:
-    rows = gaps(candles, ["tier", "ticker"], "end_ts")
+    rows = gaps(candles, ["tier", "ticker"], "end_ts", hot_spans([(candles, "end_ts")], ["tier", "ticker"]))
     return rows.groupBy("tier").agg(
         F.countDistinct("ticker").alias("n_markets"), F.count("*").alias("n_candles"), F.count("gap").alias("n_gaps"),
         F.mode("gap", deterministic=True).alias("modal_gap"), F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.percentile("gap", F.lit(0.9)).alias("p90_gap"),
@@ -243,7 +236,7 @@ def reconciliation(markets: DataFrame, candles: DataFrame) -> DataFrame:
 def emptying(candles: DataFrame) -> DataFrame:
     """Candles with their book emptied right after a two-sided one: is_empty and transition flags."""
     two = price.two_sided(F.col("bid"), F.col("ask"))
-    rows = with_previous(candles.withColumn("two", two), ["ticker"], ["end_ts"], ["two"])
+    rows = with_previous(candles.withColumn("two", two), ["ticker"], ["end_ts"], ["two"], every=hot_spans([(candles, "end_ts")], ["ticker"]))
     empty = ~F.col("two") & F.col("bid").isNotNull()
     return rows.withColumns({"is_empty": empty, "transition": empty & F.coalesce("prev_two", F.lit(False))})
 
@@ -275,8 +268,19 @@ def depth_metrics(books: DataFrame) -> DataFrame:
 
 
 def depth_census(books: DataFrame, markets: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """The book in force at each horizon, with its depth, age, week and band flags."""
-    rows = asof_backward(grid(markets, horizons), depth_metrics(books).drop("day"), ["ticker"], "snap_ts", "end_ts").where("found is not null")
+    """The book in force at each horizon, with its depth, age, week and band flags.
+
+    `books` has one capture a ticker and time.  The lookup goes over the times of captures with both sides alone; only
+    the books that it finds are fetched and measured, once each.  The captures are read twice, so hand in a table
+    that is written or cheap.
+    """
+    asked = grid(markets, horizons)
+    sided = tops(books).where("bid is not null and ask is not null").select("ticker", "end_ts")
+    rows = asof_backward(asked, sided, ["ticker"], "snap_ts", "end_ts", every=hot_spans([(asked, "snap_ts"), (sided, "end_ts")], ["ticker"])).where("found is not null")
+    used = rows.select("ticker", "found.end_ts").distinct()
+    measured = depth_metrics(books.join(used, ["ticker", "end_ts"], "left_semi"))
+    measured = measured.select(F.col("ticker").alias("of"), F.col("end_ts").alias("seen_ts"), F.struct(*[c for c in measured.columns if c not in ("ticker", "day")]).alias("book"))
+    rows = rows.join(measured, (F.col("ticker") == F.col("of")) & (F.col("found.end_ts") == F.col("seen_ts"))).withColumn("found", F.col("book")).drop("of", "seen_ts", "book")
     bid, ask, mid = F.col("found.bid").cast("double"), F.col("found.ask").cast("double"), F.col("found.mid").cast("double")
     two = price.two_sided(bid, ask)
     at = F.date_from_unix_date(F.floor(F.col("found.end_ts") / 86400).cast("int"))
@@ -297,14 +301,15 @@ def forward_check(candles: DataFrame, captures: DataFrame) -> DataFrame:
     """Candles on a minute, within a ticker's captures, against the book carried to that minute."""
     span = captures.groupBy("ticker").agg(F.min("end_ts").alias("from_ts"), F.max("end_ts").alias("to_ts"))
     rows = candles.where(F.col("end_ts") % 60 == 0).join(span, "ticker").where(F.col("end_ts").between(F.col("from_ts") - 60, F.col("to_ts") + 60)).select("ticker", "end_ts", F.col("bid").alias("candle_bid"), F.col("ask").alias("candle_ask"))
-    found = asof_backward(rows, captures.select("ticker", "end_ts", "bid", "ask"), ["ticker"], "end_ts", "end_ts")
+    own = captures.select("ticker", "end_ts", "bid", "ask")
+    found = asof_backward(rows, own, ["ticker"], "end_ts", "end_ts", every=hot_spans([(candles, "end_ts"), (own, "end_ts")], ["ticker"]))
     found = found.where("found.bid is not null or found.ask is not null")
     return found.withColumn("matched", price.price_match(F.col("found.bid"), F.col("candle_bid")) & price.price_match(F.col("found.ask"), F.col("candle_ask")))
 
 
 def silent_changes(captures: DataFrame, candles: DataFrame, align: str = "floor") -> DataFrame:
     """Book changes at whose minute no candle ended; the minute is the one begun, or with `ceil` the one to come."""
-    rows = changes(captures, ["ticker"], ["end_ts"], ["bid", "ask"])
+    rows = changes(captures, ["ticker"], ["end_ts"], ["bid", "ask"], hot_spans([(captures, "end_ts")], ["ticker"]))
     minute = F.floor(F.col("end_ts") / 60) * 60 if align == "floor" else F.ceil(F.col("end_ts") / 60) * 60
     ends = candles.select("ticker", F.col("end_ts").alias("minute")).distinct()
     return rows.withColumn("minute", minute.cast("long")).join(ends, ["ticker", "minute"], "left_anti")

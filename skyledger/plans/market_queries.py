@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from skyledger.bindings import frame
 from skyledger.functions import price, time
-from skyledger.operators.ordered import asof_backward, changes, gaps, latest
+from skyledger.operators.ordered import asof_backward, changes, gaps, hot_spans, latest
+from skyledger.operators.quantiles import counted_quantiles
 from skyledger.plans import market
 from skyledger.registry import query
 from skyledger.sources.bronze import written
@@ -87,7 +88,8 @@ def jn_grid(s, d):
 @query("jn_asof", f"SELECT g.ticker, CAST(g.horizon_h AS BIGINT) AS horizon_h, q.end_ts, {r('bid', 'ask')} FROM v_grid g ASOF LEFT JOIN v_candles q ON g.ticker = q.ticker AND g.snap_ts >= q.end_ts")
 def jn_asof(s, d):
     of = candles(s, d)
-    rows = asof_backward(market.grid(markets(s, d, of)), of.select("ticker", "end_ts", "bid", "ask"), ["ticker"], "snap_ts", "end_ts")
+    asked, quotes = market.grid(markets(s, d, of)), of.select("ticker", "end_ts", "bid", "ask")
+    rows = asof_backward(asked, quotes, ["ticker"], "snap_ts", "end_ts", every=hot_spans([(asked, "snap_ts"), (quotes, "end_ts")], ["ticker"]))
     return rounded(rows.select("ticker", "horizon_h", "found.end_ts", "found.bid", "found.ask"))
 
 
@@ -145,9 +147,9 @@ def agg_pday(s, d):
 
 @query("agg_q", "SELECT event_type, ROUND(quantile_cont(value, 0.1), 6) AS p10, ROUND(quantile_cont(value, 0.25), 6) AS p25, ROUND(quantile_cont(value, 0.5), 6) AS median, ROUND(quantile_cont(value, 0.75), 6) AS p75, ROUND(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
 def agg_q(s, d):
-    q = F.percentile("value", F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    rows = frame(s, d, "SELECT event_type, value FROM events").groupBy("event_type").agg(q.alias("q"))
-    return rounded(rows.select("event_type", *[COL("q")[i].alias(n) for i, n in enumerate(("p10", "p25", "median", "p75", "p90"))]))
+    rows = frame(s, d, "SELECT event_type, value FROM events")
+    names = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+    return rounded(counted_quantiles(rows, ["event_type"], {"value": (COL("value"), names)}).drop("n_value"))
 
 
 @query("win_dedup", f"SELECT ticker, end_ts, {r('bid', 'ask')}, volume FROM v_candles")
@@ -157,7 +159,8 @@ def win_dedup(s, d):
 
 @query("win_gap", "SELECT ticker, end_ts, end_ts - LAG(end_ts) OVER (PARTITION BY ticker ORDER BY end_ts) AS gap FROM v_candles")
 def win_gap(s, d):
-    return gaps(candles(s, d), ["ticker"], "end_ts").select("ticker", "end_ts", "gap")
+    of = candles(s, d)
+    return gaps(of, ["ticker"], "end_ts", hot_spans([(of, "end_ts")], ["ticker"])).select("ticker", "end_ts", "gap")
 
 
 @query("win_latest", "SELECT user_id, event_id, end_ts FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY end_ts DESC, event_id DESC) AS rn FROM v_raw) x WHERE rn = 1")
@@ -180,7 +183,8 @@ CHG = "SELECT * FROM (SELECT ticker, end_ts, bid, ask, ROW_NUMBER() OVER w AS rn
 
 @query("win_chg", f"SELECT ticker, end_ts, {r('bid', 'ask')} FROM ({CHG.replace('{v}', 'v_candles')}) y")
 def win_chg(s, d):
-    return rounded(changes(candles(s, d), ["ticker"], ["end_ts"], ["bid", "ask"]).select("ticker", "end_ts", "bid", "ask"))
+    of = candles(s, d)
+    return rounded(changes(of, ["ticker"], ["end_ts"], ["bid", "ask"], hot_spans([(of, "end_ts")], ["ticker"])).select("ticker", "end_ts", "bid", "ask"))
 
 
 @query("agg_gap", f"SELECT tier, COUNT(DISTINCT ticker) AS n_markets, COUNT(*) AS n_candles, COUNT(gap) AS n_gaps, (SELECT gap FROM (SELECT c.tier, end_ts - LAG(end_ts) OVER (PARTITION BY c.tier, ticker ORDER BY end_ts) AS gap FROM v_candles c) m WHERE m.tier = g.tier AND gap IS NOT NULL GROUP BY gap ORDER BY COUNT(*) DESC, gap LIMIT 1) AS modal_gap, quantile_cont(gap, 0.5) AS median_gap, ROUND(quantile_cont(gap, 0.9), 6) AS p90_gap, ROUND(AVG((gap > 60)::INT::DOUBLE), 6) AS share_over_period, ROUND(AVG((gap > 900)::INT::DOUBLE), 6) AS share_over_15min FROM (SELECT tier, ticker, end_ts - LAG(end_ts) OVER (PARTITION BY tier, ticker ORDER BY end_ts) AS gap FROM v_candles) g GROUP BY tier")
@@ -345,7 +349,7 @@ DC_R = r("bid", "ask", "mid", "imbalance", "yes_size_1", "yes_size_5", "no_size_
 
 
 def depth_rows(s, d):
-    return rounded(market.depth_census(latest(books(s, d), ["ticker", "end_ts"], ["event_id"]), markets(s, d)))
+    return rounded(market.depth_census(written(latest(books(s, d), ["ticker", "end_ts"], ["event_id"])), markets(s, d)))
 
 
 _ONE = DC.replace("ASOF JOIN v_depth q", "ASOF JOIN (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker, end_ts ORDER BY event_id DESC) AS rn FROM v_depth) z WHERE rn = 1) q")
