@@ -13,7 +13,8 @@ checked; larger benchmarks are worked off in parts of `PART_BYTES`, each a pass.
 
 Cases: a null or empty text has no window and is clean; a null or empty item is no item; an item shorter
 than a shingle is one shingle; equal items are found together; repeated rows give repeated results; with
-no items every text is clean; other columns are ignored by `contaminated` and kept by `cleaned`.
+no items every text is clean; ids of documents and items may be of any type, and null; other columns are
+ignored by `contaminated` and kept by `cleaned`.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skyledger.llm.common import blocks, rolling, span_hashes, text_bytes, word_spans
 
@@ -183,7 +186,9 @@ def _found(texts: pa.Array, items: Items) -> list[list[tuple[int, int, int]]]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, first_word and n_words (of the first window found) for each row and item it holds."""
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
+    kinds = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_id].dataType)]
+    schema = T.StructType([*kinds, *[T.StructField(c, T.LongType()) for c in ("n_windows", "first_word", "n_words")]])
+    item_kind = to_arrow_type(benchmark.schema[item_id].dataType)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for part in item_parts(benchmark, item_id, item_text, PART_BYTES):
@@ -199,9 +204,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
                     for item, spans in by_item.items():
                         rows += [(i, x, len(spans), *min(spans)) for x in sent.value.ids[item]]
                 at, items, counts, firsts, sizes = (list(c) for c in zip(*rows)) if rows else ([], [], [], [], [])
-                yield pa.RecordBatch.from_arrays([block.column("doc_id").take(pa.array(at, pa.int64())), pa.array(items, pa.int64()), pa.array(counts, pa.int64()), pa.array(firsts, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "item_id", "n_windows", "first_word", "n_words"])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id").take(pa.array(at, pa.int64())), pa.array(items, item_kind), pa.array(counts, pa.int64()), pa.array(firsts, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "item_id", "n_windows", "first_word", "n_words"])
 
-        some = picked.mapInArrow(run, f"doc_id {kind}, item_id {'long' if item_kind == 'bigint' else item_kind}, n_windows long, first_word long, n_words long")
+        some = picked.mapInArrow(run, schema)
         out = some if out is None else out.unionByName(some)
     return out
 
