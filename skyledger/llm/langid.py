@@ -4,8 +4,7 @@ A text's features are the n-grams (3 and 4 characters) of its lower-cased letter
 mark, hashed into BUCKETS rows of an embedding.  A text is the mean of its rows; a linear softmax on the
 mean gives the languages.  Embedding and softmax are trained by stochastic gradient descent in numpy, on
 a bounded sample of labelled texts (`SAMPLE`, the same number for every language where there are as
-many; of a text the `LEARNED` buckets with most n-grams); every n-gram of every text counts when
-predicting.  More languages than `SAMPLE` has room for are an error, so none goes unlearned silently.  For prediction embedding and softmax are
+many); every n-gram of every text counts, in training and when predicting.  More languages than `SAMPLE` has room for are an error, so none goes unlearned silently.  For prediction embedding and softmax are
 multiplied out into one row of language scores for each bucket.
 
 A part of the sample is held back: it sets the temperature of the softmax (by the likelihood) and the
@@ -37,14 +36,12 @@ BUCKETS = 1 << 17
 WIDTH = 16
 GRAMS = (3, 4)
 #: Labelled texts that the model is fitted on, at most; the texts with the lowest hash of their id.
-SAMPLE = 4096
-#: Different buckets that a text is learned by, at most, the ones with most n-grams; so the sample is bounded in bytes too.
-LEARNED = 1024
+SAMPLE = 2048
 #: Texts a language that the sample must have room for.
 LEAST_EACH = 8
 EPOCHS = 4
-#: The share of negatives that is to be rejected; of every how many texts one is shuffled to be one, and its characters.
-NEGATIVE, NOISE_EACH, NOISE_CHARS = 0.99, 4, 1000
+#: The share of negatives that is to be rejected; of every how many texts one is shuffled to be one.
+NEGATIVE, NOISE_EACH = 0.99, 4
 _letters: list[np.ndarray] = []
 
 
@@ -220,26 +217,20 @@ def sample(docs: DataFrame, most: int, id_col: str, text_col: str, lang_col: str
     return labelled.where(wanted)
 
 
-def most_frequent(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The LEARNED buckets that come most often, the lesser of ties, in order, and how often each comes."""
-    found, n = np.unique(buckets, return_counts=True)
-    if len(found) > LEARNED:
-        kept = np.sort(np.argsort(-n, kind="stable")[:LEARNED])
-        found, n = found[kept], n[kept]
-    return found, n
-
-
 def fit(docs: DataFrame, most: int = SAMPLE, reject: float = 0.001, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject_most: float = 0.01) -> Model:
     """A model of the languages named in the rows; only hashed counts of the sampled texts reach the driver."""
     picked = sample(docs, most, id_col, text_col, lang_col).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def counted(texts: pa.Array) -> list[pa.Array]:
         parts = features(texts)
-        rows = [most_frequent(np.concatenate([buckets[bounds[i] : bounds[i + 1]] for buckets, bounds in parts] or [np.zeros(0, dtype=np.int64)])) for i in range(len(texts))]
+        rows = [np.unique(np.concatenate([buckets[bounds[i] : bounds[i + 1]] for buckets, bounds in parts] or [np.zeros(0, dtype=np.int64)]), return_counts=True) for i in range(len(texts))]
         return [pa.array([r[k].astype("<u4").tobytes() for r in rows], pa.binary()) for k in (0, 1)]
 
     def shuffled(text: str) -> str:
-        return "".join(np.random.default_rng(7).permutation(list(text[:NOISE_CHARS]))) if zlib.crc32(text.encode()) % NOISE_EACH == 0 else ""
+        if zlib.crc32(text.encode()) % NOISE_EACH:
+            return ""
+        chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        return chars[np.random.default_rng(7).permutation(len(chars))].tobytes().decode("utf-32-le")
 
     def run(batches):
         for block in blocks(batches, "text"):
