@@ -3,7 +3,8 @@
 Each rule is a ratio of a text's counts; a text is dropped where a ratio is over its rule's cutoff.  For
 every stratum the cutoffs of all rules are tightened together along a path of steps, each the next stricter
 cutoff of one rule.  Before a step is taken, the share of labelled good texts (the holdout) that break any
-cutoff set so far, this one included, has to have an exact binomial (Clopper-Pearson) upper bound within
+cutoff set so far, this one included (texts of the same words are one trial, however many documents have
+them), has to have an exact binomial (Clopper-Pearson) upper bound within
 `alpha`, at the level `delta` over the number of strata.  The first step that fails ends the path.  Testing
 in a fixed sequence needs no correction for its length, and Bonferroni over the strata covers the rest: with
 probability 1 - `delta` no stratum loses more than `alpha` of its good texts to the rules.
@@ -28,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def _segments(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def count_block(texts: pa.Array) -> dict[str, np.ndarray]:
-    """The counts of RULES for each text."""
+    """The counts of RULES for each text, and `same`, a hash of its words."""
     data, offsets = text_bytes(texts)
     docs = len(texts)
     starts, ends, first = word_spans(data, offsets)
@@ -102,20 +104,21 @@ def count_block(texts: pa.Array) -> dict[str, np.ndarray]:
     for k in range(3):
         repeat[at + k] = True
     out["n_repeat_words"] = _segments(repeat, first)
+    out["same"] = np.array([xxhash.xxh3_64_intdigest(hashes[a:b].tobytes()) for a, b in zip(first.tolist(), first[1:].tolist())], dtype=np.uint64).view(np.int64)
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
 def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of every text, one row for each row of `docs`."""
+    """doc_id, stratum, the counts of every text and `same`, one row for each row of `docs`."""
 
     def run(batches):
         for block in blocks(batches, "text"):
             counts = count_block(block.column("text"))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("stratum"), *[pa.array(counts[c]) for c in COUNTS]], names=["doc_id", "stratum", *COUNTS])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("stratum"), *[pa.array(counts[c]) for c in (*COUNTS, "same")]], names=["doc_id", "stratum", *COUNTS, "same"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return picked.mapInArrow(run, f"doc_id {kind}, stratum string, " + ", ".join(f"{c} long" for c in (*COUNTS, "same")))
 
 
 def upper_bound(failed: int, tried: int, level: float) -> float:
@@ -209,7 +212,8 @@ def passed(n: int, broken: list[int], level: float, alpha: float) -> int:
 def report(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """A row for each stratum with labelled good texts: stratum, n_good, n_steps (0: too few texts to certify any), n_rejected and a cutoff for each rule, null where it has none."""
     found = stored(paths(counted, labels))
-    held = counted.where(~base_failed()).join(good_ids(labels), "doc_id", "left_semi")
+    # A text that several documents have is one trial: its copies break the same rules.
+    held = counted.where(~base_failed()).join(good_ids(labels), "doc_id", "left_semi").dropDuplicates(["stratum", "same"])
     # The place in its stratum's path of the first step that rejects a text.
     named = found.select(F.col("stratum").alias("of"), "path")
     first = F.array_min(F.array_compact(F.array(*[F.when(over(*x), F.array_position("path", F.lit(i)) - 1) for i, x in enumerate(STEPS)])))
