@@ -522,7 +522,10 @@ def test_rule_cutoffs_against_brute_force(spark):
         rows.append(row)
         if rng.random() < 0.7:
             labels.append((i, int(not junk), 0))
-    counted = spark.createDataFrame(rows, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in rules.COUNTS))
+    # Every tenth document has a copy: a text of the same words is one trial.
+    copies = [(10**6 + r[0], *r[1:], r[0]) for r in rows[::10]]
+    labels += [(10**6 + i, q, t) for i, q, t in labels if i % 10 == 0 and q == 1]
+    counted = spark.createDataFrame([(*r, r[0]) for r in rows] + [c for c in copies if c[0] in {i for i, *_ in labels}], "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in (*rules.COUNTS, "same")))
     got = {r["stratum"]: r.asDict() for r in rules.report(counted, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), alpha, delta).collect()}
 
     def over(row, rule, cutoff):
@@ -620,6 +623,45 @@ def test_decontamination_is_brute_force(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("kind,make", [("string", str), ("int", int), ("date", lambda i: __import__("datetime").date(2024, 1, 1 + i))])
+def test_decontamination_with_ids_of_any_type(spark, kind, make):
+    passage = " ".join("p%d" % i for i in range(30))
+    docs = spark.createDataFrame([("a", f"x y {passage} z"), (None, passage), ("c", "nothing here")], "doc_id string, text string")
+    items = spark.createDataFrame([(make(1), passage), (make(2), passage.upper()), (None, "other words of an item"), (make(3), None)], f"item_id {kind}, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(d, make(i)) for d in ("a", None) for i in (1, 2)}
+    assert decontaminate.contaminated(docs, items).schema["item_id"].dataType == items.schema["item_id"].dataType
+
+
+def test_language_scores_are_those_of_plain_sums(spark):
+    """The logits of the model from n-grams cut and summed up one by one."""
+    texts = ["the Cat sat\non a mat", "x", "", "12 3", "äöü, größe 3 Straße", "a" * 40]
+    rows = [(i, t * 30, ("en", "de")[i % 2]) for i, t in enumerate(texts * 8)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    codes = langid.letter_codes()
+    for text, logits in zip(texts, model.logits(langid.features(pa.array(texts)), len(texts))):
+        marked, last = [], None
+        for k, c in enumerate(text):
+            code = int(codes[ord(c)])
+            if code and k == 0:
+                code |= 1 << 21
+            if code or last != 0 or k == 0:
+                marked.append(code)
+            last = code
+        buckets = []
+        for g in langid.GRAMS:
+            for k in range(len(marked) - g + 1):
+                part = marked[k : k + g]
+                if 0 in part[1:-1]:
+                    continue
+                h = g
+                for code in part:
+                    h = (h * 0x9E3779B97F4A7C15 + code) % (1 << 64)
+                buckets.append(int(common.mix(np.array([h], dtype=np.uint64))[0]) % langid.BUCKETS)
+        want = model.table[:, buckets].astype(np.float64).sum(axis=1) / max(len(buckets), 1) + model.bias
+        assert np.allclose(logits, want, atol=1e-6)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
