@@ -114,36 +114,62 @@ def changes(df: DataFrame, by: list[str], order: list[str], values: list[str], e
     return rows.where(~F.col("is_first") & ~F.struct(*values).eqNullSafe(before)).select(*df.columns)
 
 
-def change_points(daily: DataFrame, day: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """Where a daily series changes, with how many earlier days had the old value and later days the new.
+#: Days of a span of a daily series.
+SPAN_DAYS = 365
 
-    Daily series have a row a day, so the window without a key is over thousands of rows, not the input's.
-    """
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(day)
-    seen = Window.partitionBy(*(by or [F.lit(0)]), value).orderBy(day)
-    # Of each value the days so far, this one included, and the days from this one on.
-    counted = daily.withColumns({"_so_far": F.count("*").over(seen.rowsBetween(Window.unboundedPreceding, 0)), "_from_here": F.count("*").over(seen.rowsBetween(0, Window.unboundedFollowing))})
-    rows = counted.withColumns({"last_date_before": F.lag(day).over(w), "value_before": F.lag(value).over(w), "days_before": F.lag("_so_far").over(w)})
-    return rows.where(F.col("last_date_before").isNotNull() & ~F.col("value_before").eqNullSafe(F.col(value))).select(*(by or []), "last_date_before", F.col(day).alias("first_date_after"), "value_before", F.col(value).alias("value_after"), "days_before", F.col("_from_here").alias("days_after"))
 
+def change_points(daily: DataFrame, day: str, value: str, by: list[str] | None = None, every: int = SPAN_DAYS) -> DataFrame:
+    """Where a series changes, with how many earlier days had the old value and later days the new.
 
-def islands(daily: DataFrame, day: str, value: str, by: list[str] | None = None, name: str = "island") -> DataFrame:
-    """Rows with a number that grows where the value changes in day order."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(day)
-    changed = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"), F.lit(0))
-    return daily.withColumn("_step", F.when(F.row_number().over(w) == 1, 0).otherwise(changed)).withColumn(name, F.sum("_step").over(w)).drop("_step")
+    A segmented scan: rows are counted within spans of `every` days, each a task's work; what spans begin with comes from
+    a row for each span (and value), so no window holds a whole series.
+    """
+    keys = by or []
+    rows = spanned(daily, keys, day, every)
+    own = Window.partitionBy(*keys, "_span", value).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy(*keys, "_span", value).agg(F.count("*").alias("_n"))
+    each = Window.partitionBy(*keys, value)
+    earlier = counts.withColumns({"_earlier": F.coalesce(F.sum("_n").over(each.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("_n").over(each)})
+    earlier = earlier.select(*[F.col(k).alias(f"_{k}_of") for k in (*keys, "_span", value)], "_earlier", "_total")
+    rows = rows.withColumn("_own", F.count("*").over(own)).join(earlier, same_keys([*keys, "_span", value], "of"))
+    rows = rows.withColumn("_so_far", F.col("_earlier") + F.col("_own")).select(*daily.columns, "_so_far", "_total")
+    rows = with_previous(rows, keys, [day], [day, value, "_so_far"], "_prev_", every)
+    changed = ~F.col("is_first") & ~F.col(f"_prev_{value}").eqNullSafe(F.col(value))
+    return rows.where(changed).select(
+        *keys, F.col(f"_prev_{day}").alias("last_date_before"), F.col(day).alias("first_date_after"), F.col(f"_prev_{value}").alias("value_before"), F.col(value).alias("value_after"),
+        F.col("_prev__so_far").alias("days_before"), (F.col("_total") - F.col("_so_far") + 1).alias("days_after"),
+    )
+
+
+def islands(daily: DataFrame, day: str, value: str, by: list[str] | None = None, name: str = "island", every: int = SPAN_DAYS) -> DataFrame:
+    """Rows with a number that grows where the value changes in day order; a segmented scan as in `change_points`."""
+    keys = by or []
+    rows = spanned(daily, keys, day, every)
+    w = Window.partitionBy(*keys, "_span").orderBy(day)
+    step = F.when(F.row_number().over(w) == 1, 0).otherwise((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"))
+    rows = rows.withColumn("_step", step).withColumn("_local", F.sum("_step").over(w))
+    spans = rows.groupBy(*keys, "_span").agg(F.sum("_step").alias("_steps"), F.min_by(F.struct(value), day).alias("_first"), F.max_by(F.struct(value), day).alias("_last"))
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_span")  # a row for each span
+    jump = F.coalesce((~F.col("_first").eqNullSafe(F.lag("_last").over(across))).cast("int"), F.lit(0))
+    spans = spans.withColumn("_jump", F.when(F.row_number().over(across) == 1, 0).otherwise(jump))
+    spans = spans.withColumn("_before", F.sum(F.col("_steps") + F.col("_jump")).over(across) - F.col("_steps"))
+    spans = spans.select(*[F.col(k).alias(f"_{k}_of") for k in (*keys, "_span")], "_before")
+    return rows.join(spans, same_keys([*keys, "_span"], "of")).withColumn(name, F.col("_before") + F.col("_local")).select(*daily.columns, name)
 
 
 def stratified(df: DataFrame, strata: list[str], key: str, target: int, seed: int) -> DataFrame:
     """About `target` rows with equal quotas a stratum, the first strata one more; chosen by a hash of seed and key.
 
-    Short strata are taken whole and their lack is not made up for elsewhere.
+    Short strata are taken whole and their lack is not made up for elsewhere.  No quota is over the greatest, so each
+    task passes at most so many rows of a stratum on, before they meet.
     """
     named = df.select(*strata).distinct()
+    most = target // max(1, named.count()) + 1
     ranked = named.withColumns({"_i": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*strata)) - 1, "_n": F.count("*").over(Window.partitionBy(F.lit(0)))})
-    quota = ranked.select(*strata, (F.floor(F.lit(target) / F.col("_n")) + (F.col("_i") < F.lit(target) % F.col("_n")).cast("long")).alias("quota"))
-    order = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))))
-    return df.withColumn("_rn", F.row_number().over(order)).join(quota, strata).where(F.col("_rn") <= F.col("quota")).drop("_rn", "quota")
+    quota = ranked.select(*[F.col(c).alias(f"_{c}_of") for c in strata], (F.floor(F.lit(target) / F.col("_n")) + (F.col("_i") < F.lit(target) % F.col("_n")).cast("long")).alias("quota"))
+    order = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key)
+    first = df.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most)
+    return first.join(quota, same_keys(strata, "of")).where(F.col("_rn") <= F.col("quota")).select(*df.columns)
 
 
 def missing(expected: DataFrame, captured: DataFrame, keys: list[str]) -> DataFrame:

@@ -49,6 +49,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def folders(spark: SparkSession, path: str, prefix: str, whole: bool = False) -> list[int]:
+    """The numbers of the folders `prefix=number` under a path, in order; only those written to the end, if `whole`."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    names = [x.getPath() for x in store.listStatus(at)]
+    found = [(p, p.getName().partition("=")) for p in names]
+    done = lambda p: not whole or store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return sorted(int(n) for p, (name, _, n) in found if name == prefix and done(p))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_envelopes(spark: SparkSession, root: str, category: str, layout: str = "partitioned", payload: str | None = None) -> DataFrame:
     """All envelopes of a category, with the file each came from."""
     schema = f"ts_utc string, endpoint string, http_status int, latency_ms int, payload {payload or PAYLOADS[category]}"
@@ -196,3 +213,46 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def overwrite_days(df: DataFrame, path: str, day: str) -> None:
     """Parquet in folders by day; days that are written again are replaced, others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+class DayTable:
+    """A table by day under a root, of which days are replaced whole: data in a folder for each commit, and manifests.
+
+    A commit writes its days beside what is there, and then a manifest that names the live folder of every day; the
+    newest manifest that is written to the end is the table.  So a writer that is lost midway leaves the table as
+    it was, a commit that is tried again (by its name) changes nothing, and readers see all of a commit or nothing.
+    Data that neither of the last two manifests names is removed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, day: str):
+        self.spark, self.root, self.day = spark, root, day
+        self.schema = spark.createDataFrame([], schema).schema
+
+    def manifest(self, back: int = 0) -> tuple[int, list[tuple[int, str]], list[str]]:
+        """Number, (day, commit) of each live day, and all commits so far; of the newest manifest, or `back` before it."""
+        versions = folders(self.spark, f"{self.root}/manifest", "version", whole=True)
+        if len(versions) <= back:
+            return -1, [], []
+        rows = self.spark.read.schema("day long, commit string, live boolean").parquet(f"{self.root}/manifest/version={versions[-1 - back]}").collect()
+        return versions[-1 - back], [(r["day"], r["commit"]) for r in rows if r["live"]], sorted({r["commit"] for r in rows})
+
+    def put(self, rows: DataFrame, commit: str) -> None:
+        """Replace the days (whole numbers) that the rows have."""
+        number, live, commits = self.manifest()
+        if commit in commits:
+            return
+        path = f"{self.root}/data/commit={commit}"
+        rows.select(*self.schema.names).write.mode("overwrite").partitionBy(self.day).parquet(path)
+        new = folders(self.spark, path, self.day)
+        live = [(d, c) for d, c in live if d not in set(new)] + [(d, commit) for d in new]
+        entries = [(d, c, True) for d, c in live] + [(None, c, False) for c in [*commits, commit]]
+        self.spark.createDataFrame(entries, "day long, commit string, live boolean").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/version={number + 1}")
+        named = {c for _, c in live} | {c for _, c in self.manifest(1)[1]}
+        for old in [c for c in commits if c not in named]:
+            removed(self.spark, f"{self.root}/data/commit={old}")
+
+    def rows(self) -> DataFrame:
+        paths = [f"{self.root}/data/commit={c}/{self.day}={d}" for d, c in self.manifest()[1]]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("basePath", f"{self.root}/data").parquet(*paths).select(*self.schema.names)

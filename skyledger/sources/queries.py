@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyledger.bindings import frame
 from skyledger.functions import time
+from skyledger.operators.ordered import latest
 from skyledger.plans import market
 from skyledger.plans.market_queries import agg_spr, mdays, rounded, snaps, spread_sql
 from skyledger.registry import query
@@ -237,8 +238,6 @@ def gate_cap(s, d):
 
 @query("prj_nws", f"SELECT day, naive_ts FROM (SELECT day, day * 86400 + 9 * 3600 + 1200 AS naive_ts FROM ({BUL}) x) y")
 def prj_nws(s, d):
-    from skyledger.functions import time
-
     rows = frame(s, d, BUL)
     date = F.date_from_unix_date(COL("day").cast("int"))
     header = F.concat(F.lit("920 AM EDT SUN "), F.element_at(F.array(*[F.lit(m) for m in time.MONTHS]), F.month(date)), F.lit(" "), F.lpad(F.dayofmonth(date).cast("string"), 2, "0"), F.lit(" "), F.year(date).cast("string"))
@@ -255,15 +254,28 @@ def round_trip(s, df, write, read):
 ISS = "SELECT day, CAST(k AS BIGINT) AS k, issuance_ts, intermediate, NULLIF(high_raw, '') AS high_raw FROM v_issuances"
 
 
-def _labels(name):
-    @query(name, ISS)
-    def run(s, d):
-        rows = rounded(frame(s, d, "v_issuances").select("day", "k", "issuance_ts", "intermediate", F.when(COL("high_raw") != "", COL("high_raw")).alias("high_raw")))
-        return round_trip(s, rows, lambda x, p: bronze.write_notes_csv(x, p, ["labels"]), lambda p: bronze.read_csv(s, f"{p}/data", "day bigint, k bigint, issuance_ts bigint, intermediate boolean, high_raw string"))
+def issuances(s, d):
+    return rounded(frame(s, d, "v_issuances").select("day", "k", "issuance_ts", "intermediate", F.when(COL("high_raw") != "", COL("high_raw")).alias("high_raw")))
+
+
+def read_labels(s, path):
+    return bronze.read_csv(s, f"{path}/data", "day bigint, k bigint, issuance_ts bigint, intermediate boolean, high_raw string")
 
 
-_labels("src_lbl")
-_labels("snk_lbl")
+@query("snk_lbl", ISS)
+def snk_lbl(s, d):
+    """All issuances as CSV with notes, read back."""
+    return round_trip(s, issuances(s, d), lambda x, p: bronze.write_notes_csv(x, p, ["labels"]), lambda p: read_labels(s, p))
+
+
+@query("src_lbl", "SELECT day, issuance_ts, NULLIF(high_raw, '') AS high_raw FROM v_labels")
+def src_lbl(s, d):
+    """The census's labels out of the CSV: of each day the last issuance that covers all of it; notes within the data are passed over."""
+    path = bronze.scratch(s)
+    bronze.write_notes_csv(issuances(s, d), path, ["labels"])
+    s.createDataFrame([("# a note within the data",), ("#,,,,",)], "value string").coalesce(1).write.mode("append").text(f"{path}/data")
+    rows = read_labels(s, path).where("day is not null and not intermediate")
+    return latest(rows, ["day"], [F.coalesce("issuance_ts", F.lit(-1))]).select("day", "issuance_ts", "high_raw")
 
 
 @query("snk_csv", spread_sql(False))
@@ -277,22 +289,27 @@ def snk_csv(s, d):
 LAD = "SELECT day, level, CAST(COUNT(*) AS DOUBLE) AS value_f FROM (SELECT ({e0} o_orderdate {e1}) {div} 86400 AS day, (o_orderkey % 9 + 1) * 10 AS level FROM orders) x GROUP BY 1, 2"
 
 
-def _ladder(name):
-    @query(name, LAD)
-    def run(s, d):
-        rows = frame(s, d, LAD)
-        month = F.floor(COL("day") / 30).cast("int")
-
-        def write(x, p):
-            x = x.withColumn("part", month).repartition("part")
-            bronze.overwrite_days(x.where("part % 2 = 0").withColumn("value_f", F.lit(-1.0)), p, "part")
-            bronze.overwrite_days(x, p, "part")
+@query("snk_lad", LAD)
+def snk_lad(s, d):
+    """Ladders by month: some written with other values before, then replaced; one commit tried twice."""
+    rows = frame(s, d, LAD).withColumn("part", F.floor(COL("day") / 30).cast("long")).repartition("part")
+    table = bronze.DayTable(s, bronze.scratch(s), "part long, day long, level long, value_f double", "part")
+    table.put(rows.where("part % 2 = 0").withColumn("value_f", F.lit(-1.0)), "first")
+    table.put(rows.where("part % 3 > 0"), "second")
+    table.put(rows.where("part % 3 = 0"), "third")
+    table.put(rows.withColumn("value_f", F.lit(-2.0)), "second")
+    return table.rows().select("day", "level", "value_f")
 
-        return round_trip(s, rows, write, lambda p: s.read.parquet(p).select("day", "level", "value_f"))
 
-
-_ladder("src_lad")
-_ladder("snk_lad")
+@query("src_lad", f"SELECT day, COUNT(*) AS n_levels, CAST(MIN(level) AS BIGINT) AS lowest, CAST(MAX(level) AS BIGINT) AS highest, MAX(value_f) AS most FROM ({LAD}) x GROUP BY day")
+def src_lad(s, d):
+    """A day's ladder out of files of two layouts: older ones have no column for the model."""
+    rows = frame(s, d, LAD)
+    path = bronze.scratch(s)
+    rows.where("day % 2 = 0").write.parquet(f"{path}/a")
+    rows.where("day % 2 = 1").withColumn("model", F.lit("qmd")).write.parquet(f"{path}/a", mode="append")
+    rows = s.read.schema("day long, level long, value_f double, model string").parquet(f"{path}/a")
+    return rows.groupBy("day").agg(F.count("*").alias("n_levels"), F.min("level").alias("lowest"), F.max("level").alias("highest"), F.max("value_f").alias("most"))
 
 
 @query("snk_poll", "SELECT event_id, endpoint, ok FROM v_polls")

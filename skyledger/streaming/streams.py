@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import LongType, StructField, StructType
 
-from skyledger.sources.bronze import scratch
+from skyledger.sources.bronze import folders, removed, scratch
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -49,23 +49,6 @@ def put_batch(df: DataFrame, out: str, n: int) -> None:
     df.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
 
-def folders(spark: SparkSession, path: str, prefix: str, whole: bool = False) -> list[int]:
-    """The numbers of the folders `prefix=number` under a path, in order; only those written to the end, if `whole`."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(at):
-        return []
-    names = [x.getPath() for x in store.listStatus(at)]
-    found = [(p, p.getName().partition("=")) for p in names]
-    done = lambda p: not whole or store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-    return sorted(int(n) for p, (name, _, n) in found if name == prefix and done(p))
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def batches(spark: SparkSession, out: str, schema: StructType, numbers: list[int] | None = None) -> DataFrame:
     """What `put_batch` has written, with the number of the batch; all or some of them, no rows where nothing has."""
     full = StructType([*schema.fields, StructField("batch", LongType())])
