@@ -139,4 +139,7 @@ def frame(spark: SparkSession, sf_dir: str, text: str, given: dict[str, DataFram
     for name in _TABLES:
         if re.search(rf"\b{name}\b", full):
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(full)
+    out = spark.sql(full)
+    for name in own.values():  # the frame holds what it reads; the names were for the text alone
+        spark.catalog.dropTempView(name)
+    return out

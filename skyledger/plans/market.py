@@ -170,23 +170,26 @@ def climate_days(days: DataFrame) -> DataFrame:
     return rows.join(concentration(days), "climate_date", "left").withColumn("n_brackets_with_volume", F.coalesce("n_brackets_with_volume", F.lit(0)))
 
 
-def quartiles(column: str, name: str) -> list[Column]:
-    return [F.percentile(column, F.lit(p)).alias(f"{tag}_{name}") for tag, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))]
+def quartiles(column: str, name: str) -> dict[str, tuple[Column, dict[str, float]]]:
+    return {column: (F.col(column), {f"{tag}_{name}": p for tag, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))})}
 
 
 def turnover_census(days: DataFrame, by_day: DataFrame) -> DataFrame:
+    """Turnover by era, season and band, a market day and a climate day; quantiles from counted values.
+
+    Both inputs are read twice, so hand in tables that are written or cheap.
+    """
     keys = ["era", "season", "band"]
-    a = days.groupBy(*keys).agg(
-        F.count("*").alias("n_market_days"), share(F.col("contracts_traded") <= 0).alias("zero_volume_frac"),
-        *quartiles("contracts_traded", "contracts_market_day"), *quartiles("premium_traded", "premium_market_day"),
-        *[F.percentile(f"share_last_{h}h", F.lit(0.5)).alias(f"median_share_last_{h}h") for h in (1, 3, 6)],
-    )
+    shares = {f"share_last_{h}h": (F.col(f"share_last_{h}h"), {f"median_share_last_{h}h": 0.5}) for h in (1, 3, 6)}
+    found = counted_quantiles(days, keys, quartiles("contracts_traded", "contracts_market_day") | quartiles("premium_traded", "premium_market_day") | shares)
+    a = days.groupBy(*keys).agg(F.count("*").alias("n_market_days"), share(F.col("contracts_traded") <= 0).alias("zero_volume_frac"))
+    a = null_safe_join(a, found.drop(*[c for c in found.columns if c.startswith("n_")]), keys)
     middle = by_day.withColumns({c: F.when(F.col("band") == "10_90", F.col(c)) for c in ("top_bracket_share", "n_brackets_with_volume")})
-    b = middle.groupBy(*keys).agg(
-        F.countDistinct("climate_date").alias("n_climate_days"), *quartiles("contracts_day", "contracts_climate_day"), *quartiles("premium_day", "premium_climate_day"),
-        *quartiles("n_brackets_with_volume", "brackets_with_volume"), *quartiles("top_bracket_share", "top_bracket_share"),
-        *[F.percentile("premium_day", F.lit(p)).alias(f"climate_day_premium_p{int(p * 100)}") for p in (0.1, 0.9)],
-    )
+    premium, names = quartiles("premium_day", "premium_climate_day")["premium_day"]
+    asked = quartiles("contracts_day", "contracts_climate_day") | {"premium_day": (premium, names | {f"climate_day_premium_p{int(p * 100)}": p for p in (0.1, 0.9)})}
+    found = counted_quantiles(middle, keys, asked | quartiles("n_brackets_with_volume", "brackets_with_volume") | quartiles("top_bracket_share", "top_bracket_share"))
+    b = middle.groupBy(*keys).agg(F.countDistinct("climate_date").alias("n_climate_days"))
+    b = null_safe_join(b, found.drop(*[f"n_{c}" for c in (*asked, "n_brackets_with_volume", "top_bracket_share")]), keys)
     return a.join(b, keys, "full_outer")
 
 
@@ -209,11 +212,14 @@ def region_shares(by_day: DataFrame) -> DataFrame:
 
 def gap_distribution(candles: DataFrame) -> DataFrame:
     rows = gaps(candles, ["tier", "ticker"], "end_ts", hot_spans([(candles, "end_ts")], ["tier", "ticker"]))
-    return rows.groupBy("tier").agg(
+    out = rows.groupBy("tier").agg(
         F.countDistinct("ticker").alias("n_markets"), F.count("*").alias("n_candles"), F.count("gap").alias("n_gaps"),
-        F.mode("gap", deterministic=True).alias("modal_gap"), F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.percentile("gap", F.lit(0.9)).alias("p90_gap"),
         share(F.col("gap") > 60).alias("share_over_period"), share(F.col("gap") > price.STALE_SECONDS).alias("share_over_15min"),
     )
+    counts = rows.where("gap is not null").groupBy("tier", "gap").agg(F.count("*").alias("n"))  # a row for each length
+    modal = counts.groupBy("tier").agg(F.max_by("gap", F.struct("n", -F.col("gap"))).alias("modal_gap"))
+    found = counted_quantiles(rows, ["tier"], {"gap": (F.col("gap"), {"median_gap": 0.5, "p90_gap": 0.9})}).drop("n_gap")
+    return null_safe_join(null_safe_join(out, modal, ["tier"]), found, ["tier"])
 
 
 def agreement(rows: DataFrame) -> DataFrame:
@@ -294,7 +300,8 @@ def depth_census(books: DataFrame, markets: DataFrame, horizons: tuple[int, ...]
 
 
 def depth_medians(rows: DataFrame, by: str) -> DataFrame:
-    return rows.where("in_band and in_window").groupBy(by).agg(F.count("*").alias("n"), F.percentile("depth_2c", F.lit(0.5)).alias("median_depth_2c"), F.percentile("dollar_depth_2c", F.lit(0.5)).alias("median_dollar_depth_2c"))
+    asked = {c: (F.col(c), {f"median_{c}": 0.5}) for c in ("depth_2c", "dollar_depth_2c")}
+    return counted_quantiles(rows.where("in_band and in_window"), [by], asked).select(by, F.col("n_depth_2c").alias("n"), "median_depth_2c", "median_dollar_depth_2c")
 
 
 def forward_check(candles: DataFrame, captures: DataFrame) -> DataFrame:

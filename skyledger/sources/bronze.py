@@ -67,12 +67,19 @@ def removed(spark: SparkSession, path: str) -> None:
 
 
 def read_envelopes(spark: SparkSession, root: str, category: str, layout: str = "partitioned", payload: str | None = None) -> DataFrame:
-    """All envelopes of a category, with the file each came from."""
+    """All envelopes of a category, with the file each came from.
+
+    Files of the plain layout come through the capture source: of a torn one every complete line counts, and the
+    source's own table says which are torn.  Lines that are no JSON are left out.  In the partitioned layout files are whole,
+    as Spark commits them, and a damaged one is an error.
+    """
     schema = f"ts_utc string, endpoint string, http_status int, latency_ms int, payload {payload or PAYLOADS[category]}"
-    reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true")
     if layout == "plain":
-        return reader.json(f"{root}/*/{category}/*.jsonl.gz").withColumn("file", F.col("_metadata.file_path"))
-    reader = spark.read.schema(schema + ", dt string, category string").option("ignoreCorruptFiles", "true")
+        spark.dataSource.register(captures.Captures)
+        lines = spark.read.format("captures").option("suffix", ".jsonl.gz").load(root).where(F.col("path").contains(f"/{category}/") & F.col("line").isNotNull())
+        rows = lines.select(F.from_json("line", schema).alias("e"), F.col("path").alias("file"))
+        return rows.where("e.ts_utc is not null").select("e.*", "file")
+    reader = spark.read.schema(schema + ", dt string, category string")
     return reader.json(root).where(F.col("category") == category).withColumn("file", F.col("_metadata.file_path"))
 
 

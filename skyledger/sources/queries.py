@@ -17,8 +17,8 @@ from skyledger.sources import bronze, captures
 from skyledger.streaming import streams
 
 COL = F.col
-#: Pages of a made capture; at the scales of the tests a page holds some tens of rows.
-PAGES = 64
+#: Rows of a page of a made capture, about, were all rows of one capture.
+PAGE_ROWS = 500
 
 
 def envelope(rows, category, endpoint, payload, ts="end_ts"):
@@ -113,9 +113,9 @@ def market_rows(s, d):
     return frame(s, d, "SELECT ticker, day, CASE WHEN k = 1 AND user_id % 2 = 0 THEN 'closed' ELSE 'open' END AS status, market_volume + k AS vol, day * 86400 + 3600 * k AS end_ts FROM v_markets CROSS JOIN (VALUES (0), (1)) k(k)")
 
 
-def paged(key: str):
-    """A page number by hash: captures come in pages, so no page grows with its day."""
-    return F.pmod(F.xxhash64(key), F.lit(PAGES)).alias("page")
+def paged(rows, key: str):
+    """A page number by hash, out of as many pages as all rows would fill: captures come in pages, so none grows with its day."""
+    return F.pmod(F.xxhash64(key), F.lit(1 + rows.count() // PAGE_ROWS)).alias("page")
 
 
 def market_struct():
@@ -124,7 +124,8 @@ def market_struct():
 
 @query("src_mkt", "SELECT ticker, CASE WHEN user_id % 2 = 0 THEN 'closed' ELSE 'open' END AS status, CAST(market_volume + 1 AS DOUBLE) AS volume_fp FROM v_markets")
 def src_mkt(s, d):
-    pages = market_rows(s, d).groupBy("day", "end_ts", paged("ticker")).agg(F.collect_list(market_struct()).alias("markets"))
+    listed = market_rows(s, d)
+    pages = listed.groupBy("day", "end_ts", paged(listed, "ticker")).agg(F.collect_list(market_struct()).alias("markets"))
     rows = envelope(pages, "markets_history", F.lit("/markets"), F.struct("markets", F.lit("").alias("cursor")))
     return rounded(bronze.latest_markets(landed(s, rows, "markets_history")).select("ticker", "status", "volume_fp"))
 
@@ -133,7 +134,7 @@ def src_mkt(s, d):
 def src_meta(s, d):
     """Early captures list markets, later ones hold a single market."""
     rows = market_rows(s, d)
-    first = rows.where("end_ts % 86400 = 0").groupBy("day", "end_ts", paged("ticker")).agg(F.collect_list(market_struct()).alias("markets"))
+    first = rows.where("end_ts % 86400 = 0").groupBy("day", "end_ts", paged(rows, "ticker")).agg(F.collect_list(market_struct()).alias("markets"))
     none = F.lit(None).cast(bronze.MARKET)
     a = envelope(first, "markets", F.lit("/markets"), F.struct("markets", none.alias("market")))
     b = envelope(rows.where("end_ts % 86400 > 0"), "markets", F.lit("/markets/x"), F.struct(F.lit(None).cast(f"array<{bronze.MARKET}>").alias("markets"), market_struct().alias("market")))
@@ -197,7 +198,7 @@ def src_obs(s, d):
     rows = frame(s, d, "v_obs")
     stamp = F.regexp_replace(F.substring(bronze.utc_text(COL("valid_ts")), 1, 16), "T", " ")
     line = F.concat_ws(",", "station", stamp, F.coalesce(F.format_number("tmpf", 1), F.lit("M")))
-    pages = rows.groupBy("station", "day", paged("event_id")).agg(F.concat_ws("\n", F.lit("station,valid,tmpf"), F.array_join(F.collect_list(line), "\n")).alias("text"), F.max("valid_ts").alias("end_ts"))
+    pages = rows.groupBy("station", "day", paged(rows, "event_id")).agg(F.concat_ws("\n", F.lit("station,valid,tmpf"), F.array_join(F.collect_list(line), "\n")).alias("text"), F.max("valid_ts").alias("end_ts"))
     return rounded(bronze.observations(landed(s, envelope(pages, "asos_obs", F.lit("asos"), F.struct("station", "text")), "asos_obs")))
 
 

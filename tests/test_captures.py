@@ -86,3 +86,12 @@ def test_many_members_take_linear_time():
 def test_spans_are_packed():
     parts = captures.packed([("a", 0, 10), ("b", 0, 100), ("c", 5, 10), ("d", 0, 60)], 100)
     assert [sum(e - b for _, b, e in p.spans) for p in parts] == [100, 75] and sum(len(p.spans) for p in parts) == 4
+
+
+def test_plain_layout_keeps_what_a_torn_file_holds(spark, tmp_path):
+    lines = ['{"ts_utc": "2024-01-01T00:00:0%dZ", "endpoint": "/x", "http_status": 200, "latency_ms": 1, "payload": {"ticker": "T%d", "ok": true, "event_id": %d}}' % (i, i, i) for i in range(4)]
+    put(tmp_path, "2024-01-01/polls/a.jsonl.gz", member(*lines[:2]) + member("no json", *lines[2:], level=0)[:-12])
+    put(tmp_path, "2024-01-01/trades/a.jsonl.gz", member(lines[3]))
+    rows = bronze.read_envelopes(spark, str(tmp_path), "polls", layout="plain")
+    assert sorted(r["event_id"] for r in rows.select("payload.event_id").collect()) == [0, 1, 2]
+    assert {r["file"].rsplit("/", 1)[1] for r in rows.collect()} == {"a.jsonl.gz"}
