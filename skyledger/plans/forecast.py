@@ -64,32 +64,43 @@ def on_sphere(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     return F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)
 
 
-def nearest(points: DataFrame, cells: DataFrame) -> DataFrame:
+def cube(lat: str, lon: str, side: float) -> list[Column]:
+    return [F.floor(c / side).cast("int") for c in on_sphere(F.col(lat), F.col(lon))]
+
+
+def cube_index(cells: DataFrame) -> DataFrame:
+    """Every cell (cell, cell_lat, cell_lon) under its cube (level, x, y, z) of each size in CUBES."""
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), *[c.alias(n) for c, n in zip(cube("cell_lat", "cell_lon", side), "xyz")]) for i, side in enumerate(CUBES)])
+    return cells.select("cell", "cell_lat", "cell_lon", F.explode(levels).alias("at")).select("cell", "cell_lat", "cell_lon", "at.*")
+
+
+def nearest(points: DataFrame, cells: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Of each point (name, lat, lon) the nearest cell (cell, cell_lat, cell_lon), the lesser of ties; none where there are no cells.
 
-    Points and cells lie on a globe in a grid of cubes.  A cell no further than a cube's side, along the
-    chord, is in the point's cube or a neighbour, so each point meets the cells of 27 cubes by an equi-join,
-    first of small cubes; points that found none so near go on to larger ones.  Poles and the date line
-    need no care.  Points are few (stations), so what goes on is a small table; most stop at the first.
+    Points and cells lie on a globe in grids of cubes, small to large (`cube_index`, which a caller with many lookups keeps).
+    A cell no further than a cube's side, along the chord, is in the point's cube or a neighbour.  So each point first
+    meets the cubes that hold cells: the smallest size at which one of its 27 does bounds the distance by twice a cube's
+    diagonal.  The size that is as large as this bound holds the nearest cell in one of 27 cubes, which are met by one more
+    equi-join.  Cells are read twice at most, poles and the date line need no care.
     """
-    open_, found = written(points.select("name", "lat", "lon")), None
-    for side in CUBES:
-        cube = lambda lat, lon: [F.floor(c / side).cast("int") for c in on_sphere(F.col(lat), F.col(lon))]  # noqa: B023, E731
-        x, y, z = cube("lat", "lon")
-        around = open_.select("*", x.alias("x0"), y.alias("y0"), z.alias("z0"))
+    index = written(cube_index(cells)) if index is None else index
+    own = points.select("name", "lat", "lon")
+
+    def around(rows: DataFrame, levels: list[int], level: Column) -> DataFrame:
+        at = F.array(*[F.struct(F.lit(i).alias("level"), *[c.alias(n) for c, n in zip(cube("lat", "lon", CUBES[i]), "xyz")]) for i in levels])
+        rows = rows.withColumn("at", F.explode(F.filter(at, lambda x: level.isNull() | (x["level"] == level)))).select("name", "lat", "lon", "at.*")
         for c in "xyz":
-            around = around.withColumn(c, F.explode(F.array(*[F.col(f"{c}0") + i for i in (-1, 0, 1)])))
-        x, y, z = cube("cell_lat", "cell_lon")
-        near = cells.select("cell", "cell_lat", "cell_lon", x.alias("x"), y.alias("y"), z.alias("z")).join(around, ["x", "y", "z"])
-        km = weather.haversine_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))
-        best = near.groupBy("name").agg(F.min(F.struct(km.alias("km"), F.col("cell"))).alias("b")).select("name", F.col("b.cell").alias("cell"), F.col("b.km").alias("km"))
-        sure = 2 * weather.EARTH_KM * math.asin(min(side / 2, 1.0)) * (1 - 1e-9)
-        best = written(best if side >= 2 else best.where(F.col("km") <= sure))
-        found = best if found is None else found.unionByName(best)
-        open_ = written(open_.join(best.select("name"), "name", "left_anti"))
-        if open_.isEmpty():
-            break
-    return found
+            rows = rows.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
+        return rows
+
+    every = list(range(len(CUBES)))
+    bound = [next((j for j in every if CUBES[j] >= 2 * math.sqrt(3) * CUBES[i]), every[-1]) for i in every]
+    there = index.select("level", "x", "y", "z").distinct()
+    first = around(own, every, F.lit(None).cast("int")).join(there, ["level", "x", "y", "z"], "left_semi").groupBy("name").agg(F.min("level").alias("first"))
+    sized = own.join(first, "name").withColumn("sure", F.element_at(F.array(*[F.lit(j) for j in bound]), F.col("first") + 1))
+    near = index.join(around(sized, every, F.col("sure")), ["level", "x", "y", "z"])
+    km = weather.haversine_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))
+    return near.groupBy("name").agg(F.min(F.struct(km.alias("km"), F.col("cell"))).alias("b")).select("name", F.col("b.cell").alias("cell"), F.col("b.km").alias("km"))
 
 
 def day_spine(span: DataFrame) -> DataFrame:
