@@ -101,4 +101,18 @@ QUERIES = {
     "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The exact operators whose results SQL can express and DuckDB gives over whole tables in some seconds.
+ORACLE_SQL: dict[str, str] = {
+    "op7_suffix_automaton": r"""WITH d AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d) x),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS at FROM (SELECT doc_id, i, ROW_NUMBER() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM windows) y WHERE n > 1),
+    kept AS (SELECT z.doc_id, string_agg(word, ' ' ORDER BY z.at) AS text, COUNT(*) AS n FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d) z LEFT JOIN gone g ON g.doc_id = z.doc_id AND g.at = z.at WHERE g.at IS NULL GROUP BY z.doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - COALESCE(n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(text, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+    "op13_hard_negatives": """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+    p AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE label = own) x WHERE k <= 5)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+        SELECT p.anchor_id, p.id AS positive_id, CAST(ROW_NUMBER() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s n ON n.anchor_id = p.anchor_id AND n.label <> n.own AND 80 * p.score <= 100 * n.score AND n.score <= p.score) y WHERE rank <= 5""",
+}

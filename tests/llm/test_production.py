@@ -221,3 +221,16 @@ def test_very_long_texts(spark):
     model = langid.fit(docs)
     assert langid.predictions(docs, model).count() == 4
     assert kneser_ney.judged(docs, docs.where("doc_id < 3").select("doc_id")).count() == 4
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_with_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, SMALL)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
