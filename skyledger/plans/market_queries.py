@@ -374,7 +374,8 @@ def _dmed(name, by):
 _dmed("agg_dmed", "horizon_h")
 _dmed("agg_dmed_week", "capture_week")
 
-FWD_C = "(SELECT event_id, ticker, (end_ts // 60) * 60 AS end_ts, bid, ask FROM v_candles WHERE event_id % 3 <> 0)"
+# Every quote gives a candle at a minute; a third of them come late, so that some minutes of changes have none.
+FWD_C = "(SELECT event_id, ticker, ((end_ts + CASE WHEN event_id % 3 = 0 THEN 90 ELSE 0 END) // 60) * 60 AS end_ts, bid, ask FROM v_candles)"
 
 
 def captures(s, d):
@@ -382,7 +383,8 @@ def captures(s, d):
 
 
 def minute_candles(of):
-    rows = of.where("event_id % 3 <> 0").withColumn("end_ts", (F.floor(COL("end_ts") / 60) * 60).cast("long"))
+    late = F.when(COL("event_id") % 3 == 0, 90).otherwise(0)
+    rows = of.withColumn("end_ts", (F.floor((COL("end_ts") + late) / 60) * 60).cast("long"))
     return latest(rows, ["ticker", "end_ts"], ["event_id"])
 
 
