@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 PRICE, SIZE = "decimal(6,4)", "decimal(18,2)"
 
 
+def _level(x: Column) -> tuple[Column, Column]:
+    return F.try_element_at(x, F.lit(1)).try_cast(PRICE), F.try_element_at(x, F.lit(2)).try_cast(SIZE)
+
+
+def any_level(raw: Column) -> Column:
+    """Whether some level is readable; false for a null array."""
+    good = lambda x: _level(x)[0].isNotNull() & _level(x)[1].isNotNull()
+    return F.coalesce(F.exists(raw, good), F.lit(False))
+
+
 def levels(raw: Column) -> Column:
     """Typed levels of [price, size] string pairs, malformed ones left out, highest price first."""
-    typed = F.transform(raw, lambda x: F.struct(F.try_element_at(x, F.lit(1)).try_cast(PRICE).alias("price"), F.try_element_at(x, F.lit(2)).try_cast(SIZE).alias("size")))
+    typed = F.transform(raw, lambda x: F.struct(_level(x)[0].alias("price"), _level(x)[1].alias("size")))
     good = F.filter(F.coalesce(typed, F.array().cast(f"array<struct<price:{PRICE},size:{SIZE}>>")), lambda x: x["price"].isNotNull() & x["size"].isNotNull())
     return F.sort_array(good, asc=False)
 

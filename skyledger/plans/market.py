@@ -264,6 +264,11 @@ def tops(books: DataFrame) -> DataFrame:
     return rows.withColumns({"bid": book.best(F.col("bids")), "ask": book.best(F.col("asks"))})
 
 
+def two_sides(books: DataFrame) -> DataFrame:
+    """The captures that have a readable level on both sides."""
+    return books.where(book.any_level(F.col("yes")) & book.any_level(F.col("no")))
+
+
 def depth_metrics(books: DataFrame) -> DataFrame:
     """All depth measures of captures with both sides; others are left out."""
     rows = tops(books).where("bid is not null and ask is not null").withColumn("mid", ((F.col("bid") + F.col("ask")) / 2).cast("decimal(10,6)"))
@@ -276,12 +281,12 @@ def depth_metrics(books: DataFrame) -> DataFrame:
 def depth_census(books: DataFrame, markets: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """The book in force at each horizon, with its depth, age, week and band flags.
 
-    `books` has one capture a ticker and time.  The lookup goes over the times of captures with both sides alone; only
+    `books` has one capture a ticker and time; of several, leave one with both sides (`two_sides` before `latest`).  The lookup goes over the times of captures with both sides alone; only
     the books that it finds are fetched and measured, once each.  The captures are read twice, so hand in a table
     that is written or cheap.
     """
     asked = grid(markets, horizons)
-    sided = tops(books).where("bid is not null and ask is not null").select("ticker", "end_ts")
+    sided = two_sides(books).select("ticker", "end_ts")
     rows = asof_backward(asked, sided, ["ticker"], "snap_ts", "end_ts", every=hot_spans([(asked, "snap_ts"), (sided, "end_ts")], ["ticker"])).where("found is not null")
     used = rows.select("ticker", "found.end_ts").distinct()
     measured = depth_metrics(books.join(used, ["ticker", "end_ts"], "left_semi"))
