@@ -302,15 +302,15 @@ def snk_lad(s, d):
     return table.rows().select("day", "level", "value_f")
 
 
-@query("src_lad", f"SELECT day, COUNT(*) AS n_levels, CAST(MIN(level) AS BIGINT) AS lowest, CAST(MAX(level) AS BIGINT) AS highest, MAX(value_f) AS most FROM ({LAD}) x GROUP BY day")
+@query("src_lad", LAD)
 def src_lad(s, d):
-    """A day's ladder out of files of two layouts: older ones have no column for the model."""
+    """All levels of the ladders out of files of two layouts: older ones have no column for the model."""
     rows = frame(s, d, LAD)
     path = bronze.scratch(s)
     rows.where("day % 2 = 0").write.parquet(f"{path}/a")
     rows.where("day % 2 = 1").withColumn("model", F.lit("qmd")).write.parquet(f"{path}/a", mode="append")
     rows = s.read.schema("day long, level long, value_f double, model string").parquet(f"{path}/a")
-    return rows.groupBy("day").agg(F.count("*").alias("n_levels"), F.min("level").alias("lowest"), F.max("level").alias("highest"), F.max("value_f").alias("most"))
+    return rows.select("day", "level", "value_f")
 
 
 @query("snk_poll", "SELECT event_id, endpoint, ok FROM v_polls")
