@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import blocks, crc32_text, mix, text_bytes
+from skyledger.llm.common import blocks, crc32_text, give_back, mix, text_bytes
 
 BUCKETS = 1 << 17
 WIDTH = 16
@@ -269,7 +269,10 @@ def fit(docs: DataFrame, most: int = SAMPLE, reject: float = 0.001, id_col: str
     # Of each kind of negative the same share goes, however many there are.
     kinds = [x for x in (left_out(rows, target, held, len(langs)), margins(scores(noise, table, bias))) if len(x)]
     least = max([cutoff(right, x, reject, reject_most, bool(held.any())) for x in kinds or [np.zeros(0)]]) if len(langs) > 1 else -np.inf
-    return Model(langs, np.ascontiguousarray(table.T), bias, temperature, least)
+    model = Model(langs, np.ascontiguousarray(table.T), bias, temperature, least)
+    del found, rows, noise, table, logits
+    give_back()  # the driver goes on without what the training took
+    return model
 
 
 def fold(id_col: str = "doc_id") -> F.Column:

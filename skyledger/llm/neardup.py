@@ -26,6 +26,7 @@ row stays; rows with a null id are in no class and stay; an empty table gives an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,8 +41,10 @@ from skyledger.llm.graph import components
 
 #: Lists up to this length give all their pairs in the first round.
 FEW_PAIRS = 6
-#: Texts whose shingles are counted to find common ones, about, and common ones that are kept, at most.
-COUNTED, COMMON = 20_000, 1 << 16
+#: A shingle is common if COMMON_TEXTS of each COUNTED texts hold it, and COMMON_TEXTS at least; the order names COMMON of them at most.
+COMMON_TEXTS, COUNTED, COMMON = 3, 20_000, 1 << 16
+#: Bins in which all hashes are counted first, and those that meet at a time.
+BINS, BINS_CHUNK = 1 << 22, 1 << 16
 #: Rows of a batch of postings.
 POST_ROWS = 1 << 16
 #: Elements of the sets of a block's pairs, about: the pairs' sizes added up, a hundred a pair at least.
@@ -95,17 +98,47 @@ def prefix(hashes: np.ndarray, least: float, common: np.ndarray, rank: np.ndarra
 
 
 def common_shingles(texts: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of common shingles, sorted, and their rank; from about COUNTED of n texts.  They order the prefixes, results don't hang on them."""
+    """Hashes of common shingles, sorted, and their rank, counted over all n texts.  They order the prefixes, results don't hang on them.
+
+    Common is what `least` texts hold.  A first pass counts all hashes in bins; only those of bins that reach `least`,
+    so all common ones and few others, are counted by themselves in the second.
+    """
+    least = max(COMMON_TEXTS, -(-n * COMMON_TEXTS // COUNTED))
+    bins, chunk = BINS, BINS_CHUNK
+
+    def tally(batches):
+        counts = np.zeros(bins, dtype=np.uint32)
+        for block in blocks(batches, "text"):
+            for own in shingle_sets(block.column("text"), size):
+                np.add.at(counts, own & np.uint64(bins - 1), np.uint32(1))
+        for i in range(0, bins, chunk):
+            if counts[i : i + chunk].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // chunk]), pa.array([zlib.compress(counts[i : i + chunk].tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+
+    def reached(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
+                own = sums.setdefault(i, np.zeros(chunk, dtype=np.uint64))
+                own += np.frombuffer(zlib.decompress(counts.as_buffer()), dtype=np.uint32)
+        for i, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([np.packbits(own >= least).tobytes()], pa.binary())], names=["chunk", "flags"])
+
+    # A bit for each bin, half a megabyte, whatever the input.
+    flags = np.zeros(bins // chunk * (chunk // 8), dtype=np.uint8).reshape(-1, chunk // 8)
+    for i, own in texts.mapInArrow(tally, "chunk long, counts binary").repartition(bins // chunk, "chunk").mapInArrow(reached, "chunk long, flags binary").collect():
+        flags[i] = np.frombuffer(own, dtype=np.uint8)
+    sent = texts.sparkSession.sparkContext.broadcast(flags.reshape(-1))
 
     def run(batches):
+        hot = np.unpackbits(sent.value).astype(bool)
         for block in blocks(batches, "text"):
-            sets = shingle_sets(block.column("text"), size)
+            sets = [own[hot[own & np.uint64(bins - 1)]] for own in shingle_sets(block.column("text"), size)]
             if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+                h, counts = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(counts)], names=["h", "n"])
 
-    rate = int(min(1.0, COUNTED / max(n, 1)) * (1 << 30))
-    some = texts.where(F.pmod(F.xxhash64(F.lit(13), "node"), F.lit(1 << 30)) < rate)
-    counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
+    counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("count")).where(F.col("count") >= least)
     h = counts.orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow().column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     return h[order], (len(h) - np.arange(len(h)))[order]

@@ -232,6 +232,19 @@ def test_rules_of_the_contract(spark):
     assert got == {0: ("com/en/", "block"), 1: ("example.com/en/7", "allow"), 2: ("net/de/", "allow"), 3: ("example.net/de/8", "block"), 4: ("org/es/", "block")}
 
 
+def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COUNTED", 60)
+    rng = random.Random(4)
+    texts = [" ".join([f"w{i} x y z"] + [f"often{k} a{k} b{k}" for k in range(12) if rng.random() < 0.01 * k]) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(5)
+    n = collections.Counter(h for own in neardup.shingle_sets(pa.array(texts), 3) for h in own.tolist())
+    want = {h: k for h, k in n.items() if k >= 20}
+    hashes, rank = neardup.common_shingles(docs, 3, len(texts))
+    assert set(hashes.tolist()) == set(want) and len(want) > 3
+    assert [h for _, h in sorted(zip(rank.tolist(), hashes.tolist()), reverse=True)] == [h for h, _ in sorted(want.items(), key=lambda x: (-x[1], x[0] - (x[0] >> 63 << 64)))]
+    assert len(neardup.common_shingles(docs.limit(0), 3, 0)[0]) == 0
+
+
 def test_trust_against_dense_iteration(spark):
     edges = [("a", "b", 2.0), ("b", "c", 1.0), ("a", "c", 2.0), ("d", "a", 1.0)]
     seeds = [("a", 3, 0, 4), ("c", 0, 5, 6)]
