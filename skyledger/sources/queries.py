@@ -57,14 +57,15 @@ def gzip_files(s, d, members: int = 4):
     files = rows.groupBy("file_id", name.alias("name")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("x")).select("file_id", "name", F.col("x.line").alias("lines"))
 
     def run(batches):
-        for batch in batches:
+        # A file at a time: a batch is thousands of files, many GB as Python strings.
+        for one in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
             out = []
-            for file_id, lines in zip(batch.column("file_id").to_pylist(), batch.column("lines").to_pylist()):
+            for file_id, lines in zip(one.column("file_id").to_pylist(), one.column("lines").to_pylist()):
                 cuts = [len(lines) * i // 4 for i in range(5)]
                 # A stored member holds its lines as they are, so a cut of a few bytes costs the last line.
                 packed = [gzip.compress("".join(x + "\n" for x in lines[a:b]).encode(), 0 if i == 3 else 6, mtime=0) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
                 out.append(b"".join(packed[:members])[: -12 if file_id % 3 == 0 and members == 4 else None])
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary())], names=["name", "content"])
+            yield pa.RecordBatch.from_arrays([one.column("name"), pa.array(out, pa.binary())], names=["name", "content"])
 
     return files.mapInArrow(run, "name string, content binary")
 
