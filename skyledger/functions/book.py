@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +53,39 @@ def depth(mid: Column, bids: Column, ask_levels: Column, cents: int, dollars: bo
     reach = F.lit(cents).cast(PRICE) / 100
     value = (lambda x: x["price"] * x["size"]) if dollars else (lambda x: x["size"])
     return total(F.filter(bids, lambda x: x["price"] >= mid - reach), value) + total(F.filter(ask_levels, lambda x: x["price"] <= mid + reach), value)
+
+
+def units(sorted_levels: Column) -> Column:
+    """Levels as whole numbers, `p` ten-thousandths and `s` hundredths, whose sums are quick and exact in a long.
+
+    Null where a price isn't from 0 to 1, a size isn't from 0 to 10^8 or there are over 10^4 levels: sums of those are left to decimals.
+    """
+    fits = (F.size(sorted_levels) <= 10_000) & F.forall(sorted_levels, lambda x: x["price"].between(0, 1) & x["size"].between(0, 10**8))
+    return F.when(fits, F.transform(sorted_levels, lambda x: F.struct(F.rint(x["price"].cast("double") * 10_000).cast("long").alias("p"), F.rint(x["size"].cast("double") * 100).cast("long").alias("s"))))
+
+
+def _sum(array: Column, value) -> Column:
+    return F.aggregate(array, F.lit(0).cast("long"), lambda acc, x: acc + value(x))
+
+
+def _decimal(sum_: Column, places: int) -> Column:
+    return (sum_.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-places))).cast("decimal(38,6)")
+
+
+def size_at_units(levels_: Column, n: int) -> Column:
+    """As `size_at`, of `units`."""
+    return _decimal(_sum(F.slice(levels_, 1, n), lambda x: x["s"]), 2)
+
+
+def dollars_at_units(levels_: Column, n: int) -> Column:
+    """As `dollars_at`, of `units`."""
+    return _decimal(_sum(F.slice(levels_, 1, n), lambda x: x["p"] * x["s"]), 6)
+
+
+def depth_units(twice_mid: Column, bids: Column, no_levels: Column, cents: int, dollars: bool = False) -> Column:
+    """As `depth`, of `units` of yes bids and no bids; `twice_mid` in ten-thousandths."""
+    near = lambda bound, value: lambda x: F.when(x["p"] * 2 >= bound, value(x)).otherwise(F.lit(0).cast("long"))
+    bid = (lambda x: x["p"] * x["s"]) if dollars else (lambda x: x["s"])
+    ask = (lambda x: (10_000 - x["p"]) * x["s"]) if dollars else (lambda x: x["s"])
+    both = _sum(bids, near(twice_mid - 200 * cents, bid)) + _sum(no_levels, near(20_000 - twice_mid - 200 * cents, ask))
+    return _decimal(both, 6 if dollars else 2)

@@ -260,7 +260,9 @@ def emptying_samples(candles: DataFrame, tickers: int = 3, rows: int = 5) -> Dat
 
 def tops(books: DataFrame) -> DataFrame:
     """Book captures (arrays yes and no of string pairs) with sorted levels, best bid and best ask."""
-    rows = books.withColumns({"bids": book.levels(F.col("yes")), "nos": book.levels(F.col("no"))}).withColumn("asks", book.asks(F.col("nos")))
+    # From a generator, so that filters on what comes of the levels don't read and sort them once more.
+    typed = F.struct(book.levels(F.col("yes")).alias("bids"), book.levels(F.col("no")).alias("nos"))
+    rows = books.select("*", F.inline(F.array(typed))).withColumn("asks", book.asks(F.col("nos")))
     return rows.withColumns({"bid": book.best(F.col("bids")), "ask": book.best(F.col("asks"))})
 
 
@@ -270,12 +272,22 @@ def two_sides(books: DataFrame) -> DataFrame:
 
 
 def depth_metrics(books: DataFrame) -> DataFrame:
-    """All depth measures of captures with both sides; others are left out."""
-    rows = tops(books).where("bid is not null and ask is not null").withColumn("mid", ((F.col("bid") + F.col("ask")) / 2).cast("decimal(10,6)"))
-    sizes = {f"{side}_size_{n}": book.size_at(F.col(a), n) for side, a in (("yes", "bids"), ("no", "nos")) for n in (1, 2, 3, 5)}
-    depth = {f"{'dollar_' if d else ''}depth_{c}c": book.depth(F.col("mid"), F.col("bids"), F.col("asks"), c, d) for c in (1, 2, 3, 5) for d in (False, True)}
-    more = {"dollar_yes_5": book.dollars_at(F.col("bids"), 5), "dollar_no_5": book.dollars_at(F.col("nos"), 5), "imbalance": price.imbalance(F.col("bids")[0]["size"], F.col("asks")[0]["size"]).cast("double")}
-    return rows.withColumns(sizes | depth | more).drop("yes", "no", "bids", "nos", "asks")
+    """All depth measures of captures with both sides; others are left out.
+
+    Sums are taken in whole units, and in decimals for books whose sums a long may not hold.
+    """
+    rows = tops(books).where((F.size("bids") > 0) & (F.size("nos") > 0)).withColumn("mid", ((F.col("bid") + F.col("ask")) / 2).cast("decimal(10,6)"))
+    rows = rows.withColumns({"_yes": book.units(F.col("bids")), "_no": book.units(F.col("nos"))})
+    rows = rows.withColumn("_twice", F.when(F.col("_yes").isNotNull() & F.col("_no").isNotNull(), F.col("_yes")[0]["p"] + 10_000 - F.col("_no")[0]["p"]))
+    either = lambda quick, exact: F.when(F.col("_twice").isNotNull(), quick).otherwise(exact)
+    sizes = {f"{side}_size_{n}": either(book.size_at_units(F.col(u), n), book.size_at(F.col(a), n)) for side, a, u in (("yes", "bids", "_yes"), ("no", "nos", "_no")) for n in (1, 2, 3, 5)}
+    depth = {
+        f"{'dollar_' if d else ''}depth_{c}c": either(book.depth_units(F.col("_twice"), F.col("_yes"), F.col("_no"), c, d), book.depth(F.col("mid"), F.col("bids"), F.col("asks"), c, d))
+        for c in (1, 2, 3, 5) for d in (False, True)
+    }
+    dollars = {f"dollar_{side}_5": either(book.dollars_at_units(F.col(u), 5), book.dollars_at(F.col(a), 5)) for side, a, u in (("yes", "bids", "_yes"), ("no", "nos", "_no"))}
+    more = {"imbalance": price.imbalance(F.col("bids")[0]["size"], F.col("asks")[0]["size"]).cast("double")}
+    return rows.withColumns(sizes | depth | dollars | more).drop("yes", "no", "bids", "nos", "asks", "_yes", "_no", "_twice")
 
 
 def depth_census(books: DataFrame, markets: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
