@@ -9,7 +9,7 @@ from skyledger.operators.ordered import latest
 from skyledger.plans.forecast_queries import HB, WATCH
 from skyledger.plans.market_queries import CHG, r, rounded
 from skyledger.registry import query
-from skyledger.sources.bronze import scratch
+from skyledger.sources.bronze import scratch, written
 from skyledger.streaming import streams
 
 COL = F.col
@@ -67,17 +67,17 @@ def clock(rows, ts, **key):
 
 @query("str_book", f"SELECT ticker, end_ts, {r('bid', 'ask')} FROM ({CHG.replace('{v}', 'v_candles')}) y")
 def str_book(s, d):
-    """Captures that land out of order: two files that each hold half of all times, then a later row, with a restart between."""
-    rows = frame(s, d, "SELECT ticker, end_ts, bid, ask FROM v_candles")
+    """Captures that land out of order: two batches that each hold half of all times, then a later row, with a restart between."""
+    rows = written(frame(s, d, "SELECT ticker, end_ts, bid, ask FROM v_candles"))
     late = F.pmod(F.xxhash64("ticker", "end_ts"), F.lit(2)) == 1
     path, schema = land(s, rows.where(late))
     out, checkpoint = scratch(s), scratch(s)
     for part in (rows.where(~late), clock(rows, "end_ts", ticker="clock")):
         with streams.timed_state(s):
-            streams.to_table(streams.changes(streams.landed(s, path, schema, 1), "60 days"), out, checkpoint)
-        part.coalesce(1).write.mode("append").parquet(path)
+            streams.to_table(streams.changes(streams.landed(s, path, schema), "60 days"), out, checkpoint)
+        part.write.mode("append").parquet(path)
     with streams.timed_state(s):
-        streams.to_table(streams.changes(streams.landed(s, path, schema, 1), "1 day"), out, checkpoint)
+        streams.to_table(streams.changes(streams.landed(s, path, schema), "1 day"), out, checkpoint)
     return rounded(s.read.parquet(out))
 
 
@@ -85,10 +85,11 @@ def str_book(s, d):
 def str_avail(s, d):
     """Probes that land out of order over three batches; ends come out as the watermark passes."""
     rows = frame(s, d, "SELECT source, nominal_ts, CAST(fhour AS BIGINT) AS fhour, event_id AS probe_id, probe_ts, CAST(http_status AS BIGINT) AS http_status, modified_ts FROM v_watch")
-    some = F.pmod(F.xxhash64("probe_id"), F.lit(3))
-    path, schema = land(s, *[rows.where(some == i).coalesce(1) for i in range(3)], clock(rows, "probe_ts", source="clock", nominal_ts=0, fhour=0, probe_id=0).coalesce(1))
+    some, n = F.pmod(F.xxhash64("probe_id"), F.lit(3)), s.sparkContext.defaultParallelism
+    # As many files a batch as tasks write, so that there are as many batches whatever the rows.
+    path, schema = land(s, *[rows.where(some == i).repartition(n, "probe_id") for i in range(3)], clock(rows, "probe_ts", source="clock", nominal_ts=0, fhour=0, probe_id=0).coalesce(1))
     with streams.timed_state(s):
-        found = streams.latest_updates(s, streams.availability(streams.landed(s, path, schema, 1), "35 days"), ["source", "nominal_ts", "fhour"], scratch(s), scratch(s))
+        found = streams.latest_updates(s, streams.availability(streams.landed(s, path, schema, n), "35 days"), ["source", "nominal_ts", "fhour"], scratch(s), scratch(s))
     return rounded(found.where("source <> 'clock'"))
 
 

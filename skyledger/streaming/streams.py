@@ -15,9 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -148,72 +150,112 @@ class InOrder(StatefulProcessor):
     """Takes the rows of keys in the order of time once the watermark has passed them.
 
     Keys share the state of a bucket, so that a batch costs a few calls to the state store for each bucket and not for
-    each key.  Rows wait in a list; a timer at the first of them brings the list up when the watermark has passed it.
-    `keep` seconds after a key's last row what is known of it goes.  Subclasses say which columns keys and rows have
-    (`KEY` and `ROW`, the time in seconds first), what is remembered of a key (`STATE`), and what rows in order give (`taken`).
+    each key.  Rows wait as packed frames with their first time, so that a call costs by its frames and not by its rows; a timer
+    at the first of them brings up the frames that the watermark has reached.  `keep` seconds after a key's last row
+    what is known of it goes.  Subclasses say which columns keys and rows have (`KEY` and `ROW`, the time in seconds first),
+    what is remembered of a key (`STATE`), what rows in order give (`taken`), and which rows need not wait (`thinned`).
     """
 
     KEY = ROW = STATE = OUT = ""
+    #: Rows of a packed frame of those that wait on.
+    FRAME = 1 << 16
 
     def __init__(self, keep: int):
         self.keep = keep
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"{self.KEY}, {self.ROW}")
-        self.known = handle.getListState("known", f"{self.KEY}, last_ts long, {self.STATE}")
-        fields = [c.split() for c in f"{self.KEY}, {self.ROW}".split(",")]
-        self.columns, self.kinds = [name for name, _ in fields], [{"long": int, "double": float, "string": str}[kind] for _, kind in fields]
-        self.n = len(self.KEY.split(","))
+        self.waiting = handle.getListState("waiting", "first long, frame binary")
+        self.known = handle.getValueState("known", "frame binary")
+        self.keys, self.row = named(self.KEY), named(f"{self.KEY}, {self.ROW}")
+        self.state = named(f"{self.KEY}, last_ts long, {self.STATE}")
+        self.ts = self.row.names[len(self.keys)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if pd.isna(x) else kind(x) for kind, x in zip(self.kinds, r)) for frame in rows for r in frame[self.columns].itertuples(index=False, name=None)]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(max(min(r[self.n] for r in new) * 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+        new = [self.thinned(frame[self.row.names]) for frame in rows if len(frame)]
+        self.waiting.appendList([(int(frame[self.ts].min()), packed(frame, self.row)) for frame in new])
+        self.handle.registerTimer(max(min(int(frame[self.ts].min()) for frame in new) * 1000, timerValues.getCurrentWatermarkInMs()) + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, n = timerValues.getCurrentWatermarkInMs(), self.n
-        rows = sorted((tuple(None if x != x else x for x in r) for r in self.waiting.get()), key=lambda r: tuple((x is not None, x) for x in r))
-        ready, rest = [r for r in rows if r[n] * 1000 < now], sorted((r for r in rows if r[n] * 1000 >= now), key=lambda r: r[n])
-        known = {r[:n]: r[n:] for r in (tuple(None if x != x else x for x in r) for r in self.known.get())}
-        found = []
-        for own, group in groupby(ready, key=lambda r: r[:n]):
-            group = [r[n:] for r in group]
-            out, state = self.taken(own, group, known[own][1:] if own in known else None)
-            known[own] = group[-1][0], *state
-            found += out
-        left = sorted(((*own, *r) for own, r in known.items() if (r[0] + self.keep) * 1000 >= now), key=lambda r: r[n])
-        for state, values, changed in ((self.waiting, rest, ready), (self.known, left, ready or len(left) < len(known))):
-            if changed:
-                state.put(values) if values else state.clear()
-        if ready:
-            for at in (*[r[n] for r in rest][:1], *[r[n] + self.keep for r in left][:1]):
+        now = timerValues.getCurrentWatermarkInMs()
+        frames = list(self.waiting.get())
+        rows = unpacked([frame for first, frame in frames if first * 1000 < now], self.row)
+        passed = pc.less(pc.multiply(rows[self.ts], 1000), now)
+        ready, rest = rows.filter(passed), rows.filter(pc.invert(passed))
+        order = pc.sort_indices(ready, [(c, "ascending") for c in self.row.names], null_placement="at_start")
+        before = self.known.get()
+        known = plain(unpacked([before[0]] if before else [], self.state))
+        found = None
+        if len(order):
+            found, known = self.taken(plain(ready.take(order)), known)
+            waiting = [(first, frame) for first, frame in frames if first * 1000 >= now]
+            for at in range(0, len(rest), self.FRAME):
+                own = rest.slice(at, self.FRAME)
+                waiting.append((pc.min(own[self.ts]).as_py(), packed(own, self.row)))
+            self.waiting.put(waiting) if waiting else self.waiting.clear()
+        left = known[(known["last_ts"] + self.keep) * 1000 >= now]
+        if len(order) or len(left) < len(known):
+            self.known.update((packed(left, self.state),)) if len(left) else self.known.clear()
+        if len(order):
+            for at in ([min(first for first, _ in waiting)] if waiting else []) + ([int(left["last_ts"].min()) + self.keep] if len(left) else []):
                 self.handle.registerTimer(max(at * 1000, now) + 1)
-        if found:
+        if found is not None and len(found):
             kinds = {c.split()[0]: {"long": "Int64", "double": "Float64", "string": "object"}[c.split()[1]] for c in self.OUT.split(",")}
-            yield pd.DataFrame(found, columns=list(kinds)).astype(kinds)
+            yield found[list(kinds)].astype(kinds)
 
     def close(self) -> None:
         pass
 
-    def taken(self, key: tuple, rows: list[tuple], state: tuple | None) -> tuple[list[tuple], tuple]:
+    def thinned(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """The rows of those that came in together which have to wait; all, if not given."""
+        return frame
+
+    def taken(self, rows: pd.DataFrame, known: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """What rows in the order of keys and time give, and what is known of all keys after them."""
         raise NotImplementedError
 
 
+def named(columns: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
+
+def packed(rows: pd.DataFrame | pa.Table, schema: pa.Schema) -> bytes:
+    """Rows as an Arrow stream; NaN counts as null."""
+    table = rows if isinstance(rows, pa.Table) else pa.Table.from_pandas(rows, schema, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(frames: list[bytes], schema: pa.Schema) -> pa.Table:
+    return pa.concat_tables([schema.empty_table(), *[pa.ipc.open_stream(bytes(f)).read_all() for f in frames]])
+
+
+def plain(table: pa.Table) -> pd.DataFrame:
+    """Longs stay whole numbers where some are null."""
+    return table.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+
 class BookChanges(InOrder):
     """Rows whose quote differs from the last one seen, null-safe; the first of a ticker is none."""
 
     KEY, ROW, STATE = "ticker string", "end_ts long, bid double, ask double", "bid double, ask double"
     OUT = "ticker string, end_ts long, bid double, ask double"
 
-    def taken(self, key, rows, state):
-        out = []
-        for end_ts, *now in rows:
-            if state is not None and tuple(now) != state:
-                out.append((*key, end_ts, *now))
-            state = tuple(now)
-        return out, state
+    def taken(self, rows, known):
+        both = pd.concat([known.rename(columns={"last_ts": "end_ts"}), rows], ignore_index=True)
+        codes, _ = pd.factorize(both["ticker"], use_na_sentinel=False)
+        order = np.argsort(codes, kind="stable")  # what is known of a ticker comes before its rows
+        both, codes = both.iloc[order], codes[order]
+        same, differs = np.append(False, codes[1:] == codes[:-1]), np.zeros(len(both), bool)
+        for c in ("bid", "ask"):
+            x = both[c].to_numpy(float, na_value=np.nan)
+            differs[1:] |= (x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1]))
+        last = np.append(codes[1:] != codes[:-1], True)
+        return both[same & differs], both[last].rename(columns={"end_ts": "last_ts"})
 
 
 class Probes(InOrder):
@@ -222,19 +264,42 @@ class Probes(InOrder):
     KEY, ROW, STATE = "source string, nominal_ts long, fhour long", "probe_ts long, probe_id long, http_status long, modified_ts long", "status string, first long, modified long"
     OUT = "source string, nominal_ts long, fhour long, status string, first_min double, modified_min double"
 
-    def taken(self, key, rows, state):
-        nominal = key[1]
-        status, first, modified = state or ("pending", None, None)
-        for at, _, code, stamp in rows:
-            if status in ("complete", "pre_existing") or at < nominal:
-                continue
-            if code != 200:
-                status = "waiting"
-                continue
-            modified = stamp
-            status, first = ("complete", at) if status == "waiting" else ("pre_existing", None)
-        minutes = lambda x: None if x is None else (x - nominal) / 60.0
-        return [(*key, status, minutes(first), minutes(modified))], (status, first, modified)
+    def firsts(self, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """Of rows in order, each file's first success and first failure from its nominal time on."""
+        due = rows["probe_ts"] >= rows["nominal_ts"]
+        success = (rows["http_status"] == 200).fillna(False).astype(bool)
+        return rows[due & success].drop_duplicates(self.keys.names), rows[due & ~success].drop_duplicates(self.keys.names)
+
+    def thinned(self, frame):
+        """Beside a file's first success and failure its first and last row, for when it is heard of and silent; all, if time goes on for longer than states are kept."""
+        if frame["probe_ts"].max() - frame["probe_ts"].min() > self.keep:
+            return frame
+        rows = frame.sort_values(self.row.names, na_position="first", ignore_index=True)
+        ends = [rows.drop_duplicates(self.keys.names, keep=k) for k in ("first", "last")]
+        return rows.loc[sorted({i for some in (*ends, *self.firsts(rows)) for i in some.index})]
+
+    def taken(self, rows, known):
+        by_key = lambda some: {r[:3]: r for r in ((*(None if pd.isna(x) else x for x in r[1:]), r[0]) for r in some.itertuples(name=None))}
+        hits, fails = (by_key(some) for some in self.firsts(rows))
+        states = {key: r[3:7] for key, r in by_key(known).items()}
+        ends = by_key(rows.drop_duplicates(self.keys.names, keep="last"))
+        out = []
+        minutes = lambda x, nominal: None if x is None else (x - nominal) / 60.0
+        for key, end in ends.items():
+            _, status, first, modified = states.get(key, (None, "pending", None, None))
+            hit, fail = hits.get(key), fails.get(key)
+            if status not in ("complete", "pre_existing"):
+                waited = status == "waiting" or (fail is not None and (hit is None or fail[-1] < hit[-1]))
+                if hit is not None:
+                    modified = hit[6]
+                    status, first = ("complete", hit[3]) if waited else ("pre_existing", None)
+                elif waited:
+                    status = "waiting"
+            states[key] = end[3], status, first, modified
+            out.append((*key, status, minutes(first, key[1]), minutes(modified, key[1])))
+        after = pd.DataFrame([(*key, *state) for key, state in states.items()], columns=self.state.names)
+        after = after.astype({f.name: "Int64" for f in self.state if f.type == pa.int64()})
+        return pd.DataFrame(out, columns=[c.split()[0] for c in self.OUT.split(",")]), after
 
 
 def in_order(rows: DataFrame, keys: list[str], ts: str, late: str, processor: InOrder, mode: str, buckets: int) -> DataFrame:
@@ -248,7 +313,7 @@ def changes(quotes: DataFrame, late: str = "1 hour", keep: int = 90 * 86400, buc
 
 
 def availability(probes: DataFrame, late: str = "1 hour", keep: int = 90 * 86400, buckets: int = 64) -> DataFrame:
-    """An update of a watched file's state whenever probes of it are taken."""
+    """An update of a watched file's state whenever probes of it are taken; one that says nothing new may be left out."""
     return in_order(probes, ["source", "nominal_ts", "fhour"], "probe_ts", late, Probes(keep), "Update", buckets)
 
 
