@@ -88,10 +88,10 @@ def banded(rows: DataFrame, bands=BANDS) -> DataFrame:
 def per_day_medians(rows: DataFrame, flags: dict[str, str], keys: list[str]) -> DataFrame:
     """Medians over days of the numbers of flagged rows, days without any included, with the days and market days.
 
-    `flags` names a flag column for each result.  Distinct counts are taken here, a day at a time, and not
-    beside the quantiles, where they would multiply the rows.
+    `flags` names a flag column for each result.  Rows are one for each ticker under the same keys, as those of
+    `snapshots` are by horizon and band, so that market days are counted and no task holds the tickers.
     """
-    daily = rows.groupBy(*keys, "day").agg(*[F.sum(F.col(flag).cast("long")).alias(name) for name, flag in flags.items()], F.countDistinct("ticker").alias("_markets"))
+    daily = rows.groupBy(*keys, "day").agg(*[F.sum(F.col(flag).cast("long")).alias(name) for name, flag in flags.items()], F.count("ticker").alias("_markets"))
     return daily.groupBy(*keys).agg(*[F.percentile(name, F.lit(0.5)).alias(name) for name in flags], F.count("*").alias("n_days"), F.sum("_markets").alias("n_market_days"))
 
 
@@ -107,11 +107,11 @@ def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left
 def spread_census(rows: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Spread and coverage by horizon, era, season, regime and band, under each staleness rule; `excluded` has tickers.
 
-    The rows are read twice, so hand in a table that is written or cheap.
+    Rows are one for each ticker and horizon, as of `snapshots`.  They are read three times, so hand in a table that is written or cheap.
     """
+    if excluded is not None:  # before the rows are there once for each band
+        rows = rows.join(excluded.select("ticker", F.lit(True).alias("out")).distinct(), "ticker", "left").withColumn("out", F.coalesce("out", F.lit(False)))
     tagged = banded(rows)
-    if excluded is not None:
-        tagged = tagged.join(excluded.select("ticker", F.lit(True).alias("out")).distinct(), "ticker", "left").withColumn("out", F.coalesce("out", F.lit(False)))
     columns = [
         F.count("*").alias("n_snapshots"),
         share(F.col("quote_valid")).alias("coverage"), share(F.col("quote_present")).alias("coverage_carryforward"),
