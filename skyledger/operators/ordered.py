@@ -37,6 +37,15 @@ def hot_spans(frames: list[tuple[DataFrame, str]], by: list[str], most: int | No
     return F.broadcast(found) if len(hot) <= 1 << 16 else found
 
 
+def parts_of(rows: DataFrame, most: int) -> int:
+    """Tasks of about `most` rows each, no fewer than the session's shuffles have.
+
+    A number of its own isn't made less by what rows take in a shuffle, which is far less than what sorting them takes.
+    Rows are counted, so hand in a table that is written.
+    """
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // most + 1)
+
+
 def same_keys(keys: list[str], suffix: str) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -60,7 +69,7 @@ def carried(rows: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(starts, same_keys([*by, "_span"], "of"), "left").drop(*[f"_{k}_of" for k in [*by, "_span"]])
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, strict: bool = False, found: str = "found", every: Spans = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, strict: bool = False, found: str = "found", every: Spans = None, parts: int | None = None) -> DataFrame:
     """Each left row with the last right row of its key at or before its time, as a struct; before it, if strict.
 
     Both sides are laid in one sequence per key and the last right row seen is carried forward: one shuffle
@@ -69,6 +78,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str
 
     every: cut sequences into spans, so that a key with many rows is many tasks' work; what a span begins with comes
     from a second, narrow pass that takes the last right row of each earlier span.
+    parts: over how many tasks sequences are dealt (see `parts_of`).
     """
     order = F.lit(1 if not strict else 0), F.lit(0 if not strict else 1)
     a = left.select(*by, F.col(left_ts).alias("_at"), order[0].alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(*right.columns).alias("s")).schema["s"].dataType).alias("_right"))
@@ -76,6 +86,8 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str
     rows, keys = a.unionByName(b), list(by)
     if every is not None:
         rows, keys = spanned(rows, by, "_at", every), [*by, "_span"]
+    if parts is not None:
+        rows = rows.repartition(parts, *keys)
     seen = Window.partitionBy(*keys).orderBy("_at", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn(found, F.last("_right", ignorenulls=True).over(seen)).where(F.col("_left").isNotNull())
     if every is not None:

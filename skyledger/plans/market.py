@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import book, price, text, time
-from skyledger.operators.ordered import asof_backward, changes, gaps, hot_spans, latest, with_previous
+from skyledger.operators.ordered import asof_backward, changes, gaps, hot_spans, latest, parts_of, with_previous
 from skyledger.operators.quantiles import counted_quantiles
 
 HORIZONS = (48, 36, 24, 12, 6, 3, 1)
@@ -28,7 +28,7 @@ def snapshots(markets: DataFrame, candles: DataFrame, labels: DataFrame, convent
     """The census grain: the quote in force at each market and horizon, under both staleness rules."""
     quotes = candles.select("ticker", "end_ts", "bid", "ask", "volume")
     asked = grid(markets, horizons)
-    rows = asof_backward(asked, quotes, ["ticker"], "snap_ts", "end_ts", every=hot_spans([(asked, "snap_ts"), (quotes, "end_ts")], ["ticker"]))
+    rows = asof_backward(asked, quotes, ["ticker"], "snap_ts", "end_ts", every=hot_spans([(asked, "snap_ts"), (quotes, "end_ts")], ["ticker"]), parts=parts_of(quotes, 1 << 17))
     bid, ask, age = F.col("found.bid"), F.col("found.ask"), F.col("snap_ts") - F.col("found.end_ts")
     present = F.col("found").isNotNull()
     valid = F.coalesce(~price.stale(age), F.lit(False))
@@ -110,7 +110,7 @@ def spread_census(rows: DataFrame, excluded: DataFrame | None = None) -> DataFra
     Rows are one for each ticker and horizon, as of `snapshots`.  They are read three times, so hand in a table that is written or cheap.
     """
     if excluded is not None:  # before the rows are there once for each band
-        rows = rows.join(excluded.select("ticker", F.lit(True).alias("out")).distinct(), "ticker", "left").withColumn("out", F.coalesce("out", F.lit(False)))
+        rows = rows.repartition(parts_of(rows, 1 << 20), "ticker").join(excluded.select("ticker", F.lit(True).alias("out")).distinct(), "ticker", "left").withColumn("out", F.coalesce("out", F.lit(False)))
     tagged = banded(rows)
     columns = [
         F.count("*").alias("n_snapshots"),

@@ -22,3 +22,13 @@ def test_no_group_is_by_ticker(spark):
         got = {r["band"]: r for r in out.collect()}
         assert {b: (r["n_snapshots"], r["n_market_days"], r["n_days"]) for b, r in got.items()} == {"10_90": (30, 30, 3), "20_80": (30, 30, 3)}
     assert got["10_90"]["n_spread_obs_carryforward"] == 30 and got["10_90"]["n_spread_obs_exclnoreconcile"] == 28
+
+
+def test_tasks_grow_with_the_rows(spark):
+    from skyledger.operators.ordered import asof_backward, parts_of
+
+    rows = spark.range(1000).selectExpr("id % 50 as k", "id as at")
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts_of(rows, 10) == 101 and parts_of(rows, 10**6) == own
+    out = asof_backward(rows, rows, ["k"], "at", "at", parts=40)
+    assert out.rdd.getNumPartitions() == 40 and out.where("found.at = at").count() == 1000
